@@ -7,6 +7,7 @@ import importlib
 
 _MODULES = [
     "checks_enrich",
+    "checks_merge",
 ]
 
 

@@ -78,6 +78,56 @@ def std_documents(spark, sf_dir) -> DataFrame:
     )
 
 
+def std_original(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    cols = lambda seq: [
+        _s("doc_id").alias("doc_key"), seq.alias("orig_seq"), F.col("lang"), F.col("source"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("T"), _s("doc_id"))).alias("title"),
+        F.col("n_chars")]
+    base = d.select(*cols(F.col("doc_id") * 2))
+    copy = d.where(F.col("doc_id") % 50 == 0).select(*cols(F.col("doc_id") * 2 + 1))
+    return base.unionByName(copy)
+
+
+def std_updates(spark, sf_dir) -> DataFrame:
+    lb = table(spark, sf_dir, "labels")
+    return lb.select(
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("u"), _s("doc_id"))).otherwise(_s("doc_id")).alias("doc_key"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
+         .when(F.col("doc_id") % 3 == 1, F.lit(""))
+         .otherwise(F.concat(F.lit("q"), _s("quality"))).alias("lang"),
+        F.when(F.col("toxic") == 1, F.lit("toxic"))
+         .when(F.col("doc_id") % 4 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("upd"), _s("doc_id"))).alias("title"),
+        F.lit("x").alias("extra"),
+        F.col("doc_id").alias("upd_pos"),
+    )
+
+
+def std_updates_dup(spark, sf_dir) -> DataFrame:
+    u = std_updates(spark, sf_dir)
+    lb = table(spark, sf_dir, "labels").where(F.col("doc_id") % 9 == 0)
+    late = lb.select(_s("doc_id").alias("doc_key"), F.lit("late").alias("lang"),
+                     F.lit(None).cast("string").alias("title"), F.lit("y").alias("extra"),
+                     (F.col("doc_id") + 1000000000).alias("upd_pos"))
+    return u.unionByName(late)
+
+
+def std_reviews(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        _s("user_id").alias("item_key"),
+        F.when(F.col("event_type") == "purchase", F.lit("approved"))
+         .when(F.col("event_type") == "error", F.lit("disapproved"))
+         .otherwise(F.lit("pending")).alias("status"),
+        F.col("event_id").alias("seq"),
+        F.col("ts"),
+        F.concat(F.col("event_type"), F.lit(" "), _s("user_id")).alias("seo_title"),
+        F.col("props").alias("meta_description"),
+        F.concat(F.lit("<p>"), F.col("value").cast("decimal(12,2)").cast("string"), F.lit("</p>")).alias("html_content"),
+    )
+
+
 SQL = {
     "std_items": """
 SELECT o_orderkey AS input_seq,
@@ -106,6 +156,33 @@ FROM customer WHERE c_custkey % 5 <> 4 AND c_custkey % 11 = 0""",
 SELECT CAST(doc_id AS VARCHAR) AS doc_key,
   CASE WHEN doc_id % 26 = 0 THEN '' WHEN doc_id % 13 = 0 THEN ' ' || chr(10) || ' ' ELSE text END AS text
 FROM documents""",
+    "std_original": """
+SELECT CAST(doc_id AS VARCHAR) AS doc_key, doc_id * 2 AS orig_seq, lang, source,
+  CASE WHEN doc_id % 3 <> 0 THEN 'T' || CAST(doc_id AS VARCHAR) END AS title, n_chars
+FROM documents
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), doc_id * 2 + 1, lang, source,
+  CASE WHEN doc_id % 3 <> 0 THEN 'T' || CAST(doc_id AS VARCHAR) END, n_chars
+FROM documents WHERE doc_id % 50 = 0""",
+    "std_updates": """
+SELECT CASE WHEN doc_id % 7 = 0 THEN 'u' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS doc_key,
+  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'q' || CAST(quality AS VARCHAR) END AS lang,
+  CASE WHEN toxic = 1 THEN 'toxic' WHEN doc_id % 4 = 0 THEN NULL ELSE 'upd' || CAST(doc_id AS VARCHAR) END AS title,
+  'x' AS extra, doc_id AS upd_pos
+FROM labels""",
+    "std_updates_dup": """
+SELECT * FROM std_updates
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 'late', CAST(NULL AS VARCHAR), 'y', doc_id + 1000000000
+FROM labels WHERE doc_id % 9 = 0""",
+    "std_reviews": """
+SELECT CAST(user_id AS VARCHAR) AS item_key,
+  CASE WHEN event_type = 'purchase' THEN 'approved' WHEN event_type = 'error' THEN 'disapproved' ELSE 'pending' END AS status,
+  event_id AS seq, ts,
+  event_type || ' ' || CAST(user_id AS VARCHAR) AS seo_title,
+  props AS meta_description,
+  '<p>' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) || '</p>' AS html_content
+FROM events""",
 }
 
 
