@@ -8,6 +8,7 @@ import importlib
 _MODULES = [
     "checks_enrich",
     "checks_merge",
+    "checks_html",
 ]
 
 

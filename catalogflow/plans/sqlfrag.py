@@ -21,3 +21,53 @@ def blank_to_null(e: str) -> str:
 
 def flag_is(e: str, expected: str = "sim") -> str:
     return f"coalesce(lower({ustrip(e)}) = '{expected}', false)"
+
+
+# --- HTML (mirrors functions/html.py and the scorers) ---------------------
+from ..functions import html as H  # noqa: E402
+from ..functions.text import STRIP_PATTERN as _STRIP, WS_CLASS as _WS  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rx_replace(e: str, pattern: str, repl: str = "") -> str:
+    return f"regexp_replace({e}, {lit(pattern)}, {lit(repl)}, 'g')"
+
+
+def markup(e: str) -> str:
+    return rx_replace(rx_replace(e, H.COMMENT), H.SCRIPT_STYLE)
+
+
+def decode(e: str) -> str:
+    for ent, ch in H.ENTITIES:
+        e = f"replace({e}, {lit(ent)}, {lit(ch)})"
+    return e
+
+
+def text_of_markup(m: str) -> str:
+    return f"lower({decode(rx_replace(rx_replace(m, H.TEMPLATE), H.ANY_TAG))})"
+
+
+def has_tag(m: str, *names: str) -> str:
+    return f"coalesce(regexp_matches({m}, {lit('(?i)<(' + '|'.join(names) + r')[\s/>]')}), false)"
+
+
+def count_tag(m: str, name: str) -> str:
+    return f"len(regexp_extract_all({m}, {lit('(?i)<' + name + r'[\s/>]')}))"
+
+
+def headings(m: str, level: int = 2) -> str:
+    pat = rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"
+    return (f"list_transform(regexp_extract_all({m}, {lit(pat)}, 1), "
+            f"lambda h: {rx_replace(rx_replace('h', H.ANY_TAG), _STRIP)})")
+
+
+def base_name(e: str) -> str:
+    return ustrip(rx_replace(e, r"(?s)" + _WS + r"+[0-9].*\z"))
+
+
+def clean_fences(e: str) -> str:
+    s = ustrip(f"coalesce({e}, '')")
+    return rx_replace(rx_replace(s, H.FENCE_OPEN), H.FENCE_CLOSE)

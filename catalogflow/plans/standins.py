@@ -186,10 +186,18 @@ FROM events""",
 }
 
 
+def _all_sql():
+    from .standin_html import SQL as HTML_SQL
+    out = dict(SQL)
+    out.update(HTML_SQL)
+    return out
+
+
 def with_ctes(body: str, *names: str, ctes: str = "") -> str:
     """Prefix ``body`` (a SELECT) with the stand-in CTEs it uses plus extra
     CTE definitions ``ctes`` (``a AS (...), b AS (...)``)."""
-    parts = [f"{n} AS ({SQL[n]}\n)" for n in names]
+    sql = _all_sql()
+    parts = [f"{n} AS ({sql[n]}\n)" for n in names]
     if ctes.strip():
         parts.append(ctes.strip())
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
