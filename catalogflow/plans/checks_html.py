@@ -283,3 +283,16 @@ SELECT doc_id,
     CASE WHEN NOT {_DLEN} THEN 'description_length' END, CASE WHEN NOT {_DCLEAN} THEN 'banned_word' END,
     CASE WHEN NOT {_DCTA} THEN 'call_to_action' END], lambda x: x IS NOT NULL), ',') AS l7_repairs
 FROM cm""", "made_html", "made_content", ctes=_CM)
+
+
+def feat_cte(name: str, src: str) -> str:
+    """Scorer-A feature CTE over table ``src`` (columns src, id, html)."""
+    return _FEAT.replace("feat AS (", f"{name} AS (", 1).replace("FROM pm)))", f"FROM {src})))")
+
+
+def scores_cte(name: str, feat: str) -> str:
+    return (_SCORES.replace("scores AS (", f"{name} AS (", 1).replace("FROM feat)", f"FROM {feat})")
+            .replace("feat.*", f"{feat}.*"))
+
+
+TOTAL_SQL = _TOTAL

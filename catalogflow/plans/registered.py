@@ -9,6 +9,7 @@ _MODULES = [
     "checks_enrich",
     "checks_merge",
     "checks_html",
+    "checks_ledger",
 ]
 
 

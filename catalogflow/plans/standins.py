@@ -201,3 +201,28 @@ def with_ctes(body: str, *names: str, ctes: str = "") -> str:
     if ctes.strip():
         parts.append(ctes.strip())
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
+
+
+def std_ledger(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    before = (F.col("user_id") % 101).cast("int")
+    after = (F.floor(F.col("value")) % 101).cast("int")
+    return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), _s("user_id")).alias("strategy"),
+                    F.col("event_type").alias("product_type"), before.alias("score_before"),
+                    after.alias("score_after"), (after - before).alias("delta"), F.col("ts"))
+
+
+def std_requested_types(spark, sf_dir) -> DataFrame:
+    """Every event type plus the document languages (types absent from the ledger)."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("product_type"))
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("product_type"))
+    return ev.union(langs).distinct()
+
+
+SQL["std_ledger"] = """
+SELECT event_id AS seq, 's' || CAST(user_id AS VARCHAR) AS strategy, event_type AS product_type,
+  CAST(user_id % 101 AS INTEGER) AS score_before, CAST(CAST(floor(value) AS BIGINT) % 101 AS INTEGER) AS score_after,
+  CAST(CAST(floor(value) AS BIGINT) % 101 AS INTEGER) - CAST(user_id % 101 AS INTEGER) AS delta, ts
+FROM events"""
+SQL["std_requested_types"] = """
+SELECT DISTINCT product_type FROM (SELECT event_type AS product_type FROM events UNION ALL SELECT lang FROM documents)"""
