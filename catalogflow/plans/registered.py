@@ -10,6 +10,7 @@ _MODULES = [
     "checks_merge",
     "checks_html",
     "checks_ledger",
+    "checks_misc",
 ]
 
 

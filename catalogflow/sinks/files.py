@@ -50,8 +50,9 @@ def stamped_name(prefix: str, ts: Column, ext: str) -> Column:
 
 
 def payload_base64(content: Column) -> Column:
-    """K5: bytes -> base64 text."""
-    return F.base64(content)
+    """K5: bytes -> base64 text on one line (Spark may chunk base64 into
+    76-character MIME lines depending on configuration; the CRLFs go)."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def payload_decode(text: Column) -> Column:
