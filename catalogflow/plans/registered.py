@@ -11,6 +11,7 @@ _MODULES = [
     "checks_html",
     "checks_ledger",
     "checks_misc",
+    "checks_events",
 ]
 
 

@@ -226,3 +226,34 @@ SELECT event_id AS seq, 's' || CAST(user_id AS VARCHAR) AS strategy, event_type
 FROM events"""
 SQL["std_requested_types"] = """
 SELECT DISTINCT product_type FROM (SELECT event_type AS product_type FROM events UNION ALL SELECT lang FROM documents)"""
+
+
+def std_frames(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    event = F.when(et == "error", F.lit("error")).when(et == "purchase", F.lit("done")).otherwise(F.lit("log"))
+    typ = (F.when(et == "view", F.lit("info")).when(et == "click", F.lit("success"))
+            .when(et == "signup", F.lit("warning")).otherwise(F.lit("error")))
+    done = F.to_json(F.struct(F.floor("value").cast("int").alias("final_score"),
+                              F.concat(F.lit("<p>"), _s("user_id"), F.lit("</p>")).alias("final_content"),
+                              F.concat(F.lit("T"), _s("user_id")).alias("seo_title"),
+                              F.col("props").alias("meta_description")))
+    log = F.to_json(F.struct(F.concat(F.lit("value "), F.col("value").cast("decimal(12,2)").cast("string")).alias("message"),
+                             typ.alias("type")))
+    data = F.when(et == "purchase", done).otherwise(log)
+    from ..operators.events import encode_frame
+    return e.select("event_id", "user_id", event.alias("event"), encode_frame(event, data).alias("frame"))
+
+
+SQL["std_frames"] = """
+SELECT event_id, user_id,
+  CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done' ELSE 'log' END AS event,
+  'event: ' || CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done' ELSE 'log' END
+  || chr(10) || 'data: ' || CASE WHEN event_type = 'purchase' THEN
+      CAST(to_json(struct_pack(final_score := CAST(floor(value) AS INTEGER), final_content := '<p>' || CAST(user_id AS VARCHAR) || '</p>',
+                               seo_title := 'T' || CAST(user_id AS VARCHAR), meta_description := props)) AS VARCHAR)
+    ELSE CAST(to_json(struct_pack(message := 'value ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR),
+      type := CASE WHEN event_type = 'view' THEN 'info' WHEN event_type = 'click' THEN 'success'
+                   WHEN event_type = 'signup' THEN 'warning' ELSE 'error' END)) AS VARCHAR) END
+  || chr(10) || chr(10) AS frame
+FROM events"""
