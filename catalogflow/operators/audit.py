@@ -90,6 +90,9 @@ def description_checks(meta: Column, rules: AuditRules):
 def audit_content(df: DataFrame, title: str = "seo_title", meta: str = "meta_description",
                   html: str = "html_content", name: str | None = None,
                   rules: AuditRules = AuditRules(), out: str = "audit") -> DataFrame:
+    for c in (title, meta, html):
+        if c in ("_m", "_t"):
+            raise ValueError("column names _m/_t are reserved by audit_content")
     inner = df.withColumn("_m", markup(html))
     inner = inner.withColumn("_t", visible_text("_m", from_markup=True))
     m, t, h = F.col("_m"), F.col("_t"), F.col(html)

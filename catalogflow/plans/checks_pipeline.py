@@ -1,0 +1,113 @@
+"""Registered checks: batch completion stages and application compositions
+(G1-G6, E1, E2, E5).  The model is the deterministic offline plug-in, so
+these are rows-only checks, except ``reprocess_queue`` (up to the model call)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.html import base_name
+from ..functions.prompts import render
+from ..functions.text import blank_to_null
+from ..operators import completions as C
+from ..operators.offline_model import OfflineModel
+from . import app
+from . import sqlfrag as Q
+from .checks_misc import std_requests
+from .standin_html import _base_cols
+from .standins import std_catalog, std_documents, std_items, std_reviews, table, with_ctes
+
+FAST = {"first_wait": 0.0}
+
+
+def _products(spark, d):
+    b = _base_cols(table(spark, d, "documents"))
+    return b.where(blank_to_null(F.col("text")).isNotNull()).select(
+        F.col("doc_id").cast("string").alias("doc_key"), "product_name", F.col("text").alias("leaflet_text"))
+
+
+def completions_q(spark, d):
+    p = _products(spark, d)
+    t = C.default_templates()["page_generator"]
+    prompts = p.select("doc_key", render(t, {"product_name": "product_name", "base_name": base_name("product_name"),
+                                             "leaflet_text": "leaflet_text"}).alias("prompt"))
+    return C.complete(prompts, "doc_key", "prompt", OfflineModel(), **FAST)
+
+
+def generate_stage_q(spark, d):
+    p = _products(spark, d)
+    g = C.generate(p, "doc_key", "product_name", "leaflet_text", OfflineModel(), C.default_templates()["page_generator"], **FAST)
+    return C.audit(g, name="product_name").select("doc_key", F.col("content.seo_title").alias("seo_title"),
+                                                  F.col("audit.seo_score").alias("score"))
+
+
+def refine_stage_q(spark, d):
+    p = _products(spark, d)
+    t = C.default_templates()
+    g = C.audit(C.generate(p, "doc_key", "product_name", "leaflet_text", OfflineModel(), t["page_generator"], **FAST),
+                name="product_name")
+    failing = g.where(F.col("content").isNotNull() & (F.col("audit.seo_score") < 95))
+    r = C.audit(C.refine(failing, "doc_key", "product_name", "leaflet_text", OfflineModel(), t["quality_refiner"], **FAST),
+                name="product_name")
+    return r.select("doc_key", F.col("audit.seo_score").alias("score"))
+
+
+def fallback_stage_q(spark, d):
+    p = _products(spark, d)
+    t = C.default_templates()
+    g = C.generate(p, "doc_key", "product_name", "leaflet_text", OfflineModel(), t["page_generator"], **FAST)
+    empty = g.where(F.col("content").isNull()).drop("content")
+    fb = C.audit(C.fallback(empty, "doc_key", "product_name", "leaflet_text", OfflineModel(), t["essentials_fallback"],
+                            **FAST), name="product_name")
+    return fb.select("doc_key", F.col("content.html_content").alias("html_content"), F.col("audit.seo_score").alias("score"))
+
+
+def content_pipeline_q(spark, d):
+    return C.content_pipeline(_products(spark, d), "doc_key", "product_name", "leaflet_text", OfflineModel(), **FAST)
+
+
+def batch_draft_q(spark, d):
+    return app.build_draft(std_items(spark, d), std_catalog(spark, d), std_documents(spark, d), OfflineModel(), **FAST)
+
+
+def review_set_q(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("sku"), F.col("o_orderkey").alias("input_seq"),
+                                         F.col("o_orderpriority").alias("product_name"))
+    return app.review_set(o, std_requests(spark, d), std_documents(spark, d), OfflineModel(), **FAST)
+
+
+def reprocess_queue_q(spark, d):
+    q = app.reprocess_queue(std_reviews(spark, d), std_catalog(spark, d), std_documents(spark, d))
+    return q.select("item_key", "leaflet_link", "catalog_seq", F.length("doc_text").alias("text_chars"))
+
+
+def reprocess_q(spark, d):
+    names = std_items(spark, d).select(F.col("item_key"), "product_name")
+    from ..operators.keys import normalize_keys
+    names = normalize_keys(names, "item_key").groupBy("item_key").agg(F.min("product_name").alias("product_name"))
+    return app.reprocess(std_reviews(spark, d), std_catalog(spark, d), std_documents(spark, d), names,
+                         OfflineModel(), **FAST)
+
+
+QUERIES = {
+    "completions": completions_q,
+    "generate_stage": generate_stage_q,
+    "refine_stage": refine_stage_q,
+    "fallback_stage": fallback_stage_q,
+    "content_pipeline": content_pipeline_q,
+    "batch_draft": batch_draft_q,
+    "review_set": review_set_q,
+    "reprocess_queue": reprocess_queue_q,
+    "reprocess": reprocess_q,
+}
+
+ORACLE = {
+    "reprocess_queue": with_ctes(f"""
+SELECT l.item_key, f.leaflet_link, f.catalog_seq, length(nd.doc_text) AS text_chars
+FROM (SELECT * FROM std_reviews QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY ts DESC, seq DESC) = 1) l
+JOIN (SELECT * FROM (SELECT {Q.norm_key('barcode')} AS barcode, leaflet_link, catalog_seq FROM std_catalog)
+      WHERE barcode IS NOT NULL QUALIFY row_number() OVER (PARTITION BY barcode ORDER BY catalog_seq) = 1) f
+  ON {Q.norm_key('l.item_key')} = f.barcode
+LEFT JOIN (SELECT doc_key, min(text) AS doc_text FROM std_documents GROUP BY doc_key) nd ON f.leaflet_link = nd.doc_key
+WHERE l.status = 'disapproved'""", "std_reviews", "std_catalog", "std_documents"),
+}

@@ -12,6 +12,7 @@ _MODULES = [
     "checks_ledger",
     "checks_misc",
     "checks_events",
+    "checks_pipeline",
 ]
 
 
