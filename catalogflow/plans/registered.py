@@ -13,6 +13,7 @@ _MODULES = [
     "checks_misc",
     "checks_events",
     "checks_pipeline",
+    "checks_io",
 ]
 
 
