@@ -24,7 +24,8 @@ def read_csv_sheet_q(spark, d):
     path = scratch_path(spark, "items_csv") + ".csv"
     items = std_items(spark, d)
     items.select(*[F.col(c).alias(f" {c} ") for c in items.columns]).write \
-        .option("header", True).option("escape", '"').csv(path)
+        .option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
     back = read_sheet(spark, path)
     return back.select(F.col("input_seq").cast("bigint").alias("input_seq"), *ITEM_COLS[1:])
 

@@ -38,7 +38,9 @@ def write_sheet(df: DataFrame, base: str, kind: str, run_id: str, fmt: str = "pa
     out = df.sortWithinPartitions(order_col) if order_col and order_col in df.columns else df
     w = out.write.mode("errorifexists")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # keep cell values exactly (the CSV writer trims blanks by default)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
     return path
