@@ -17,10 +17,13 @@ from .text import STRIP_PATTERN, WS_CLASS, ustrip
 
 # --- patterns -------------------------------------------------------------
 COMMENT = r"(?s)<!--.*?-->"
-# raw-text elements whose content is not markup (script/style) plus template
-SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+# comments and raw-text elements (script/style) in ONE leftmost-first pass:
+# a comment opener inside a script body stays script text, as in a parser
+NON_MARKUP = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
 TEMPLATE = r"(?is)<template\b[^>]*>.*?</template\s*>"
 ANY_TAG = r"(?s)<[^>]*>"
+# template bodies and every remaining tag, one pass
+TEMPLATE_OR_TAG = r"(?is)<(?:template\b[^>]*>.*?</template\s*>|[^>]*>)"
 DOC_TAGS = r"(?i)</?(html|body|head|header|footer)(\s[^>]*)?/?>"
 FENCE_OPEN = r"(?i)\A```html" + WS_CLASS + "*"
 FENCE_CLOSE = WS_CLASS + r"*```\z"
@@ -56,21 +59,23 @@ def wrap_fragment(c, style: str = "", css_class: str = "product-description") ->
 def markup(c) -> Column:
     """Markup with comments and script/style bodies removed (tags inside them
     are not elements).  Compute once and derive the features from it."""
-    return F.regexp_replace(F.regexp_replace(col_of(c), COMMENT, ""), SCRIPT_STYLE, "")
+    return F.regexp_replace(col_of(c), NON_MARKUP, "")
 
 
 def decode_entities(c) -> Column:
-    out = col_of(c)
+    """Decode the common entities; texts without '&' skip the seven scans."""
+    src = col_of(c)
+    out = src
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.when(F.contains(src, F.lit("&")), out).otherwise(src)
 
 
 def visible_text(c, lower: bool = True, from_markup: bool = False) -> Column:
     """H4: text nodes concatenated with no separator, entities decoded,
     comments / script / style / template text left out, optionally lower-cased."""
     m = col_of(c) if from_markup else markup(c)
-    t = decode_entities(F.regexp_replace(F.regexp_replace(m, TEMPLATE, ""), ANY_TAG, ""))
+    t = decode_entities(F.regexp_replace(m, TEMPLATE_OR_TAG, ""))
     return F.lower(t) if lower else t
 
 

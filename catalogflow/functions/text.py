@@ -23,6 +23,12 @@ def ustrip(c) -> Column:
     return F.regexp_replace(col_of(c), STRIP_PATTERN, "")
 
 
+def has_text(c) -> Column:
+    """True when the text holds any non-whitespace character (null -> False).
+    Stops at the first visible character instead of stripping the whole text."""
+    return F.coalesce(col_of(c).rlike("[^" + WS_CLASS[1:]), F.lit(False))
+
+
 def blank_to_null(c) -> Column:
     """'' (after strip) -> null."""
     return F.nullif(ustrip(c), F.lit(""))

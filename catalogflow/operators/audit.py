@@ -119,7 +119,10 @@ def audit_content(df: DataFrame, title: str = "seo_title", meta: str = "meta_des
         "meta_description_format": (F.when(d_len, 5.0).otherwise(0.0) + F.when(d_clean, 5.0).otherwise(0.0)
                                     + F.when(d_cta, 5.0).otherwise(0.0)),
     }
-    score = {k: F.coalesce(v, F.lit(0.0)).cast("double") for k, v in score.items()}
+    # scores are materialised as columns first: each is referenced several
+    # times below (struct, pass test, feedback, total) and must run once
+    inner = inner.select("*", *[F.coalesce(v, F.lit(0.0)).cast("double").alias(f"_r_{k}") for k, v in score.items()])
+    score = {k: F.col(f"_r_{k}") for k in RULES}
     entries = [F.struct(score[k].alias("score"), F.lit(MAX_POINTS[k]).alias("max_score"),
                         F.when(score[k] == MAX_POINTS[k], F.lit(f"{k}: passed"))
                          .otherwise(F.format_string(f"{k}: %s of {MAX_POINTS[k]:g} points", score[k])).alias("feedback"))
@@ -132,7 +135,8 @@ def audit_content(df: DataFrame, title: str = "seo_title", meta: str = "meta_des
                                                             F.lit("no content to audit").alias("feedback"))
                                    ).alias("score_breakdown"))
     none = ti.isNull() & me.isNull() & h.isNull()
-    return inner.withColumn(out, F.when(none, failed).otherwise(ok)).drop("_m", "_t")
+    return (inner.withColumn(out, F.when(none, failed).otherwise(ok))
+            .drop("_m", "_t", *[f"_r_{k}" for k in RULES]))
 
 
 def audit_long(df: DataFrame, id_cols, col: str = "audit") -> DataFrame:

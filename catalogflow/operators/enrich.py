@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, flag_is, normalize_key
+from ..functions.text import flag_is, has_text, normalize_key
 
 ROUTES = ("no_key", "not_found", "not_validated", "no_link", "empty_text", "ready")
 
@@ -80,6 +80,14 @@ def attach_documents(df: DataFrame, documents: DataFrame, link_col: str,
               .drop("_doc_key").withColumnRenamed("_doc_text", "doc_text"))
 
 
+def document_flags(documents: DataFrame, doc_key: str = "doc_key", text_col: str = "text") -> DataFrame:
+    """One row per document key: does it hold any text?  Computed once per
+    document, so routing joins a flag instead of shipping leaflet texts
+    through the item shuffle."""
+    return documents.groupBy(F.col(doc_key).alias("_doc_key")).agg(
+        F.max(has_text(F.col(text_col))).alias("_has_text"))
+
+
 def route_items(items: DataFrame, catalog: DataFrame, documents: DataFrame,
                 item_key: str = "item_key", barcode: str = "barcode",
                 link: str = "leaflet_link", flag: str = "link_valid",
@@ -89,17 +97,18 @@ def route_items(items: DataFrame, catalog: DataFrame, documents: DataFrame,
     no_key -> not_found -> not_validated -> no_link -> empty_text -> ready.
 
     Nothing disappears: routes partition the joined rows, so counts add up.
-    """
+    Texts are not attached here (see ``attach_documents``)."""
     enriched = enrich_items(items, catalog, item_key, barcode)
     cat_link = "cat_" + link
-    with_doc = attach_documents(enriched, documents, cat_link, doc_key, text_col)
+    flags = document_flags(documents, doc_key, text_col)
+    with_doc = enriched.join(flags, enriched[cat_link] == flags["_doc_key"], "left").drop("_doc_key")
     route = (F.when(F.col(item_key).isNull(), F.lit("no_key"))
                .when(F.col("cat_" + barcode).isNull(), F.lit("not_found"))
                .when(~flag_is("cat_" + flag), F.lit("not_validated"))
                .when(F.nullif(F.col(cat_link), F.lit("")).isNull(), F.lit("no_link"))
-               .when(blank_to_null(F.col("doc_text")).isNull(), F.lit("empty_text"))
+               .when(~F.coalesce(F.col("_has_text"), F.lit(False)), F.lit("empty_text"))
                .otherwise(F.lit("ready")))
-    return with_doc.withColumn("route", route)
+    return with_doc.withColumn("route", route).drop("_has_text")
 
 
 def chunk_of(seq_col: str = "input_seq", chunk_size: int = 500):

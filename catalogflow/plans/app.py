@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
-from ..functions.text import blank_to_null, normalize_key
+from ..functions.text import has_text, normalize_key
 from ..operators import enrich as E
 from ..operators.completions import content_pipeline
 from ..operators.events import encode_frame
@@ -34,8 +34,11 @@ def ready_documents(items: DataFrame, catalog: DataFrame, documents: DataFrame,
     if dedupe_catalog:
         cat = E.dedupe_first(cat.withColumn("barcode", normalize_key("barcode")), "barcode", "catalog_seq")
     routed = E.route_items(items, cat, documents, key)
-    ready = routed.where(F.col("route") == "ready").select("input_seq", key, name, F.col("doc_text").alias("leaflet_text"))
-    return E.dedupe_first(ready, key, "input_seq")
+    ready = routed.where(F.col("route") == "ready").select("input_seq", key, name, "cat_leaflet_link")
+    ready = E.dedupe_first(ready, key, "input_seq")
+    # texts join only for the (deduplicated) ready products
+    with_text = E.attach_documents(ready, documents, "cat_leaflet_link")
+    return with_text.select("input_seq", key, name, F.col("doc_text").alias("leaflet_text"))
 
 
 def build_draft(items: DataFrame, catalog: DataFrame, documents: DataFrame, completion_fn,
@@ -65,7 +68,7 @@ def review_set(sheet: DataFrame, requests: DataFrame, documents: DataFrame, comp
         rows = rows.withColumn(keywords, F.lit(J.DEFAULT_KEYWORDS))
     docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text).alias("leaflet_text"))
     rows = rows.join(docs, F.col("_doc") == F.col("_dk"), "left")
-    rows = rows.where(blank_to_null(F.col("leaflet_text")).isNotNull())
+    rows = rows.where(has_text(F.col("leaflet_text")))
     rows = E.dedupe_first(rows.select(sku, order, name, keywords, "leaflet_text"), sku, order)
     done = content_pipeline(rows, sku, name, "leaflet_text", completion_fn, keywords=keywords, **kw)
     return (done.join(rows.select(F.col(sku).alias("_s"), name), F.col(sku) == F.col("_s")).drop("_s")
@@ -90,7 +93,7 @@ def reprocess(events: DataFrame, catalog: DataFrame, documents: DataFrame, names
               completion_fn, key: str = "item_key", name: str = "product_name", **kw) -> DataFrame:
     """E5: rejected items regenerated; done payloads carry key and name
     (ST4) and sheet column names (P6); every row returns as `pending`."""
-    q = reprocess_queue(events, catalog, documents, key).where(blank_to_null(F.col("doc_text")).isNotNull())
+    q = reprocess_queue(events, catalog, documents, key).where(has_text(F.col("doc_text")))
     q = q.join(names.select(F.col(key).alias("_nk"), name), F.col(key) == F.col("_nk"), "left").drop("_nk")
     q = q.withColumn(name, F.coalesce(F.col(name), F.col(key)))
     done = content_pipeline(q.select(key, name, F.col("doc_text").alias("leaflet_text")), key, name,

@@ -37,7 +37,7 @@ def rx_replace(e: str, pattern: str, repl: str = "") -> str:
 
 
 def markup(e: str) -> str:
-    return rx_replace(rx_replace(e, H.COMMENT), H.SCRIPT_STYLE)
+    return rx_replace(e, H.NON_MARKUP)
 
 
 def decode(e: str) -> str:
@@ -47,7 +47,7 @@ def decode(e: str) -> str:
 
 
 def text_of_markup(m: str) -> str:
-    return f"lower({decode(rx_replace(rx_replace(m, H.TEMPLATE), H.ANY_TAG))})"
+    return f"lower({decode(rx_replace(m, H.TEMPLATE_OR_TAG))})"
 
 
 def has_tag(m: str, *names: str) -> str:
