@@ -15,8 +15,14 @@ from .merge import merge_updates, rejected_rows
 STATUSES = ("pending", "approved", "disapproved")
 
 
-def latest_reviews(events: DataFrame, key: str = "item_key", order=("ts", "seq")) -> DataFrame:
-    """Last event per key by ``order`` (a tuple of columns compared left to right)."""
+def latest_reviews(events: DataFrame, key: str = "item_key", order=("ts", "seq"), columns=None) -> DataFrame:
+    """Last event per key by ``order`` (a tuple of columns compared left to right).
+
+    ``columns`` limits what is carried through the aggregate: fields inside
+    the ``max_by`` struct are not pruned by the optimizer, so callers that
+    need only the status should say so (the scan then skips the content)."""
+    if columns is not None:
+        events = events.select(key, *dict.fromkeys([*columns, *order]))
     others = [c for c in events.columns if c != key]
     ordering = F.struct(*[F.col(c) for c in order])
     last = F.max_by(F.struct(*[F.col(c) for c in others]), ordering).alias("_last")
@@ -56,7 +62,7 @@ def finalize_approved(original: DataFrame, events: DataFrame, key: str = "item_k
                       order=("ts", "seq")) -> DataFrame:
     """Approved edits (latest state per key) merged into the original
     with update-preserve semantics; only ``columns`` are taken from reviews."""
-    approved = review_split(latest_reviews(events, key, order), "approved").select(key, *columns)
+    approved = review_split(latest_reviews(events, key, order, ("status", *columns)), "approved").select(key, *columns)
     # latest_reviews yields one row per key: no uniqueness check needed
     return merge_updates(original, approved, key, columns=list(columns), duplicates="unique")
 
@@ -64,5 +70,5 @@ def finalize_approved(original: DataFrame, events: DataFrame, key: str = "item_k
 def finalize_rejected(original: DataFrame, events: DataFrame, key: str = "item_key",
                       order=("ts", "seq")) -> DataFrame:
     """Original rows whose latest review status is `disapproved`."""
-    rejected = review_split(latest_reviews(events, key, order), "disapproved").select(key)
+    rejected = review_split(latest_reviews(events, key, order, ("status",)), "disapproved").select(key)
     return rejected_rows(original, rejected, key)

@@ -83,7 +83,7 @@ def reprocess_queue(events: DataFrame, catalog: DataFrame, documents: DataFrame,
                     order=("ts", "seq")) -> DataFrame:
     """E5 up to the model call: latest-disapproved keys -> first catalog row
     (no validity filter here) -> document text."""
-    rejected = review_split(latest_reviews(events, key, order), "disapproved").select(key)
+    rejected = review_split(latest_reviews(events, key, order, ("status",)), "disapproved").select(key)
     cat = catalog.withColumn("barcode", normalize_key("barcode"))
     first = E.lookup_first(rejected.withColumn(key, normalize_key(key)), cat, key, "barcode", "catalog_seq")
     return E.attach_documents(first, documents, "leaflet_link")

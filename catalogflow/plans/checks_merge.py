@@ -40,11 +40,11 @@ def review_latest_q(spark, d):
 
 
 def review_gates_q(spark, d):
-    return R.review_gates(R.latest_reviews(std_reviews(spark, d), "item_key"))
+    return R.review_gates(R.latest_reviews(std_reviews(spark, d), "item_key", columns=("status",)))
 
 
 def review_split_q(spark, d):
-    latest = R.latest_reviews(std_reviews(spark, d), "item_key")
+    latest = R.latest_reviews(std_reviews(spark, d), "item_key", columns=("status", "seq"))
     return R.review_split(latest, "approved").unionByName(R.review_split(latest, "disapproved")) \
         .select("item_key", "status", "seq")
 
