@@ -169,3 +169,9 @@ SELECT seq, strategy, product_type, score_before, score_after, delta, CAST(NULL
 UNION ALL
 SELECT doc_id, 'manual', 'audit', quality, toxic, toxic - quality, 1 FROM labels""", "std_ledger"),
 }
+
+# the derived ledger appended twice, read back tolerant (the corrupt line is set aside)
+ORACLE["ledger_read"] = with_ctes("""
+SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger
+UNION ALL
+SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger""", "std_ledger")

@@ -130,3 +130,26 @@ WHERE ni.item_key IS NOT NULL
   AND ni.item_key IN (SELECT item_key FROM latest WHERE status = 'disapproved')""",
                                    "std_items", "std_reviews", ctes=_LATEST + ", " + _NI),
 }
+
+
+def merge_updates_empty_string_q(spark, d):
+    """J4 on the rows whose update value is '' (it must replace, unlike null)."""
+    m = M.merge_updates(std_original(spark, d), std_updates(spark, d), "doc_key")
+    empties = std_updates(spark, d).where(F.col("lang") == "").select(F.col("doc_key").alias("_k"))
+    return m.join(empties, F.col("doc_key") == F.col("_k"), "left_semi").select("doc_key", "orig_seq", "lang")
+
+
+def write_draft_q(spark, d):
+    """K1: the finalised sheet written under kind=approved/run_id=... and read back."""
+    from ..session import scratch_path
+    from ..sinks.files import write_sheet
+    out = write_sheet(finalize_approved_q(spark, d), scratch_path(spark, "sheets"), "approved", "r1")
+    return spark.read.parquet(out)
+
+
+QUERIES["merge_updates_empty_string"] = merge_updates_empty_string_q
+QUERIES["write_draft"] = write_draft_q
+ORACLE["merge_updates_empty_string"] = with_ctes("""
+SELECT o.doc_key, o.orig_seq, coalesce(u.lang, o.lang) AS lang
+FROM std_original o JOIN std_updates u ON o.doc_key = u.doc_key WHERE u.lang = ''""", "std_original", "std_updates")
+ORACLE["write_draft"] = ORACLE["finalize_approved"]

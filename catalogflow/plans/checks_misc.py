@@ -294,3 +294,17 @@ FROM documents""",
 SELECT user_id, ms, {_hms('ms')} AS elapsed
 FROM (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS ms FROM events GROUP BY user_id)""",
 }
+
+
+def pretty_labels_q(spark, d):
+    from ..functions.text import pretty_label
+    c = table(spark, d, "conversations")
+    k = F.concat(F.col("role"), F.lit("_turn_"), F.col("turn").cast("string"))
+    return c.select("conv_id", "turn", pretty_label(k).alias("label"))
+
+
+QUERIES["pretty_labels"] = pretty_labels_q
+ORACLE["pretty_labels"] = """
+SELECT conv_id, turn, array_to_string(list_transform(string_split(role || ' turn ' || CAST(turn AS VARCHAR), ' '),
+       lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label
+FROM conversations"""
