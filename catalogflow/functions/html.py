@@ -92,7 +92,7 @@ def count_tag(m, name: str) -> Column:
 def heading_texts(m, level: int = 2) -> Column:
     """H6: ordered texts of h<level> elements (inner tags stripped, stripped)."""
     raw = F.regexp_extract_all(col_of(m), F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"), F.lit(1))
-    return F.transform(raw, lambda h: F.regexp_replace(F.regexp_replace(h, ANY_TAG, ""), STRIP_PATTERN, ""))
+    return F.transform(raw, lambda h: ustrip(F.regexp_replace(h, ANY_TAG, "")))
 
 
 def base_name(c) -> Column:

@@ -14,13 +14,17 @@ from ._col import col_of
 WS_CLASS = (r"[\t\n\x{000B}\f\r\x{001C}-\x{001F} \x{0085}\x{00A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 STRIP_PATTERN = r"\A" + WS_CLASS + r"+|" + WS_CLASS + r"+\z"
+# the same characters as a plain set, for trim(col, chars) (no regex)
+WS_CHARS = "".join(chr(c) for c in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680,
+                                    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 # a whole key that is digits + ".0" (float-inferred), surrounded by blanks
 FLOAT_KEY_PATTERN = r"\A" + WS_CLASS + r"*([0-9]+)\.0" + WS_CLASS + r"*\z"
 
 
 def ustrip(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(col_of(c), STRIP_PATTERN, "")
+    """Strip leading/trailing Unicode whitespace (plain ``trim`` strips spaces
+    only); a character-set trim, linear and regex-free."""
+    return F.trim(col_of(c), F.lit(WS_CHARS))
 
 
 def has_text(c) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import (ANY_TAG, DETAILS_BLOCK, base_name, count_tag, has_tag,
                               heading_texts, markup, visible_text)
-from ..functions.text import STRIP_PATTERN, pretty_label
+from ..functions.text import pretty_label, ustrip
 
 RULES = ("json_structure", "no_h1_tag", "section_order", "specifications_table", "faq_structure",
          "legal_notice", "transparency_note", "seo_title_format", "meta_description_format")
@@ -68,8 +68,8 @@ def table_labels(m: Column) -> Column:
     """First-cell labels of the rows of the first table (lower, stripped)."""
     table = F.regexp_extract(m, r"(?is)<table\b[^>]*>(.*?)</table\s*>", 1)
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
-    return F.transform(rows, lambda r: F.lower(F.regexp_replace(F.regexp_replace(
-        F.regexp_extract(r, r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>", 1), ANY_TAG, ""), STRIP_PATTERN, "")))
+    return F.transform(rows, lambda r: F.lower(ustrip(F.regexp_replace(
+        F.regexp_extract(r, r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>", 1), ANY_TAG, ""))))
 
 
 def _len_between(c: Column, lo_hi) -> Column:

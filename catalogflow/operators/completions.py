@@ -86,6 +86,7 @@ def complete(df: DataFrame, key: str, prompt_col: str, completion_fn: Callable |
     if (completion_fn is None) == (client_factory is None):
         raise ValueError("give exactly one of completion_fn / client_factory")
     src = df.select(F.col(key), F.col(prompt_col).alias("_prompt"))
+    # parallelism = number of concurrent model callers (default: as partitioned)
     if parallelism:
         src = src.repartition(parallelism)
     key_type = df.schema[key].dataType.simpleString()

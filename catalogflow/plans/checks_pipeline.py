@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import base_name
 from ..functions.prompts import render
-from ..functions.text import blank_to_null
+from ..functions.text import has_text
 from ..operators import completions as C
 from ..operators.offline_model import OfflineModel
 from . import app
@@ -22,7 +22,7 @@ FAST = {"first_wait": 0.0}
 
 def _products(spark, d):
     b = _base_cols(table(spark, d, "documents"))
-    return b.where(blank_to_null(F.col("text")).isNotNull()).select(
+    return b.where(has_text(F.col("text"))).select(
         F.col("doc_id").cast("string").alias("doc_key"), "product_name", F.col("text").alias("leaflet_text"))
 
 

@@ -88,3 +88,4 @@ def ensure_parent(path: str) -> None:
     if is_local_path(path):
         p = path[len("file:"):] if path.startswith("file:") else path
         os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
+
