@@ -57,18 +57,29 @@ def reset_pending(draft: DataFrame) -> DataFrame:
     return draft.withColumn("status", F.lit("pending"))
 
 
+def require_rows(df: DataFrame, what: str) -> None:
+    """an empty approved / rejected set is an error (``limit(1)``, not a count)."""
+    if df.limit(1).count() == 0:
+        raise ValueError(f"no {what} item was sent")
+
+
 def finalize_approved(original: DataFrame, events: DataFrame, key: str = "item_key",
                       columns=("seo_title", "meta_description", "html_content"),
-                      order=("ts", "seq")) -> DataFrame:
+                      order=("ts", "seq"), require: bool = False) -> DataFrame:
     """Approved edits (latest state per key) merged into the original
-    with update-preserve semantics; only ``columns`` are taken from reviews."""
+    with update-preserve semantics; only ``columns`` are taken from reviews.
+    ``require=True`` raises when nothing is approved (F12)."""
     approved = review_split(latest_reviews(events, key, order, ("status", *columns)), "approved").select(key, *columns)
+    if require:
+        require_rows(approved, "approved")
     # latest_reviews yields one row per key: no uniqueness check needed
     return merge_updates(original, approved, key, columns=list(columns), duplicates="unique")
 
 
 def finalize_rejected(original: DataFrame, events: DataFrame, key: str = "item_key",
-                      order=("ts", "seq")) -> DataFrame:
+                      order=("ts", "seq"), require: bool = False) -> DataFrame:
     """Original rows whose latest review status is `disapproved`."""
     rejected = review_split(latest_reviews(events, key, order, ("status",)), "disapproved").select(key)
+    if require:
+        require_rows(rejected, "disapproved")
     return rejected_rows(original, rejected, key)

@@ -73,3 +73,19 @@ def test_merge_properties(spark, orig, upd):
     for r in out:
         want = upd.get(int(r.key)) if int(r.key) in upd and upd[int(r.key)] is not None else orig[r.seq][1]
         assert r.t == want
+
+
+def test_finalize_guards_and_fold(spark):
+    import datetime as dt
+    from catalogflow.operators.review import finalize_approved, finalize_rejected, latest_reviews, review_gates
+    orig = spark.createDataFrame([("1", "t1"), ("2", "t2")], "item_key string, seo_title string")
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([("1", "approved", 1, t, "new1"), ("1", "pending", 2, t, "x"), ("2", "disapproved", 3, t, "y")],
+                               "item_key string, status string, seq long, ts timestamp, seo_title string")
+    latest = {r.item_key: r.status for r in latest_reviews(ev).collect()}
+    assert latest == {"1": "pending", "2": "disapproved"}  # re-rendering replaces the entry
+    g = review_gates(latest_reviews(ev, columns=("status",))).first()
+    assert g.has_pending and not g.can_finalize and g.show_disapproved_panel
+    with pytest.raises(ValueError, match="approved"):
+        finalize_approved(orig, ev, columns=("seo_title",), require=True)
+    assert [r.item_key for r in finalize_rejected(orig, ev, require=True).collect()] == ["2"]
