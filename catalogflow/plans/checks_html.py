@@ -137,8 +137,7 @@ _FEAT = f"""feat AS (
   SELECT src, id, html,
     coalesce(html <> '', false) AS valid,
     {Q.has_tag('m', 'h1')} AS has_h1, {Q.has_tag('m', 'h2')} AS has_h2, {Q.has_tag('m', 'ul', 'ol')} AS has_list,
-    coalesce(regexp_matches(regexp_extract(m, {Q.lit(A.FAQ_DIV)}, 1), '(?i)<details[\\s/>]')
-         AND regexp_matches(regexp_extract(m, {Q.lit(A.FAQ_DIV)}, 1), '(?i)<summary[\\s/>]'), false) AS faq_ok,
+    coalesce(regexp_matches(m, {Q.lit(A.FAQ_DETAILS)}) AND regexp_matches(m, {Q.lit(A.FAQ_SUMMARY)}), false) AS faq_ok,
     coalesce(contains(t, {Q.lit(A.GEO_PHRASES[0])}) AND contains(t, {Q.lit(A.GEO_PHRASES[1])}), false) AS geo_ok,
     coalesce(contains(t, {Q.lit(A.VERIFIABLE_PHRASES[0])}) AND contains(t, {Q.lit(A.VERIFIABLE_PHRASES[1])}), false) AS verifiable_ok,
     coalesce(regexp_matches(m, {Q.lit(A.AUTH_LINK)}), false) AS links_ok

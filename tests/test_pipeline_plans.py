@@ -95,3 +95,13 @@ def test_entry_contract(spark):
     df = ent.entry(spark)
     assert df.count() >= 0 and "route" in df.columns
     assert set(ent.oracle_sql()) <= set(ent.queries())
+
+
+def test_top_n_is_partial_window_group_limit(spark):
+    plan = QUERIES["strategy_top"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
+
+
+def test_review_fold_is_partial_aggregate(spark):
+    plan = QUERIES["review_latest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
