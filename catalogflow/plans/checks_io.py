@@ -110,3 +110,47 @@ FROM pages GROUP BY doc_key""",
     "stream_scores": HTML_ORACLE["analyze_html"].replace(
         "FROM scores", "FROM scores WHERE src = 'page'"),
 }
+
+
+def read_workbooks_q(spark, d):
+    """Items written as workbooks (1000 rows each) and read back with the
+    workbook source, one task per file."""
+    import os
+    from ..sinks.workbook import write_workbooks
+    from ..sources.sheets import cells_to_columns, read_workbooks
+    out = scratch_path(spark, "workbooks")
+    if "://" in out and not out.startswith("file:"):
+        raise RuntimeError("workbook check needs an executor-writable folder")
+    written = write_workbooks(std_items(spark, d), out, "input_seq").collect()
+    assert sum(r.n_rows for r in written) > 0
+    wb = cells_to_columns(read_workbooks(spark, os.path.join(out, "*.xlsx")), ITEM_COLS)
+    return wb.select(F.col("input_seq").cast("bigint").alias("input_seq"), *ITEM_COLS[1:])
+
+
+def trim_headers_q(spark, d):
+    """Padded / BOM-prefixed headers trimmed back to names."""
+    from ..operators.keys import trim_headers
+    o = table(spark, d, "orders").drop("o_orderdate")
+    padded = o.toDF(*[("﻿" if i == 0 else "") + f"  {c} " for i, c in enumerate(o.columns)])
+    return trim_headers(padded)
+
+
+def ledger_append_q(spark, d):
+    """K6: the derived ledger appended twice as Parquet (never rewritten), read back."""
+    from ..sinks.files import append_ledger
+    from ..sources.ledger import read_ledger
+    from .standins import std_ledger
+    path = scratch_path(spark, "ledger_parquet")
+    led = std_ledger(spark, d)
+    append_ledger(led, path, fmt="parquet")
+    append_ledger(led, path, fmt="parquet")
+    return read_ledger(spark, path, fmt="parquet").drop("ts", "rows_read")
+
+
+QUERIES.update({"read_workbooks": read_workbooks_q, "trim_headers": trim_headers_q, "ledger_append": ledger_append_q})
+ORACLE["read_workbooks"] = with_ctes("SELECT " + ", ".join(ITEM_COLS) + " FROM std_items", "std_items")
+ORACLE["trim_headers"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORACLE["ledger_append"] = with_ctes("""
+SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger
+UNION ALL
+SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger""", "std_ledger")
