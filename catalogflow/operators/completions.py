@@ -164,7 +164,7 @@ def fallback(df: DataFrame, key: str, name: str, text: str, completion_fn, templ
                         ).drop("_html")
 
 
-def content_pipeline(df: DataFrame, key: str, name: str, text: str, completion_fn,
+def produce_content(df: DataFrame, key: str, name: str, text: str, completion_fn,
                      target: float = 95, max_attempts: int = 2, select: str = "last",
                      templates: dict | None = None, style: str = "", css_class: str = "product-description",
                      keywords: str | None = None, **kw) -> DataFrame:

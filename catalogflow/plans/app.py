@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx as J
 from ..functions.text import has_text, normalize_key
 from ..operators import enrich as E
-from ..operators.completions import content_pipeline
+from ..operators.completions import produce_content
 from ..operators.events import encode_frame
 from ..operators.keys import normalize_keys
 from ..operators.merge import merge_updates
@@ -47,7 +47,7 @@ def build_draft(items: DataFrame, catalog: DataFrame, documents: DataFrame, comp
     with update-preserve semantics (duplicate item keys all get the result)."""
     items = normalize_keys(items, key)
     ready = ready_documents(items, catalog, documents, key, name=name)
-    done = content_pipeline(ready, key, name, "leaflet_text", completion_fn, **kw)
+    done = produce_content(ready, key, name, "leaflet_text", completion_fn, **kw)
     updates = done.select(key, "seo_title", "meta_description", F.col("final_content").alias("html_content"))
     return merge_updates(items, updates, key, columns=list(CONTENT_COLS), duplicates="unique")
 
@@ -70,7 +70,7 @@ def review_set(sheet: DataFrame, requests: DataFrame, documents: DataFrame, comp
     rows = rows.join(docs, F.col("_doc") == F.col("_dk"), "left")
     rows = rows.where(has_text(F.col("leaflet_text")))
     rows = E.dedupe_first(rows.select(sku, order, name, keywords, "leaflet_text"), sku, order)
-    done = content_pipeline(rows, sku, name, "leaflet_text", completion_fn, keywords=keywords, **kw)
+    done = produce_content(rows, sku, name, "leaflet_text", completion_fn, keywords=keywords, **kw)
     return (done.join(rows.select(F.col(sku).alias("_s"), name), F.col(sku) == F.col("_s")).drop("_s")
             .select(sku, name, F.coalesce(F.nullif("final_content", F.lit("")), F.lit(J.DEFAULT_HTML)).alias("html_content"),
                     F.coalesce(F.nullif("seo_title", F.lit("")), F.col(name)).alias("seo_title"),
@@ -96,7 +96,7 @@ def reprocess(events: DataFrame, catalog: DataFrame, documents: DataFrame, names
     q = reprocess_queue(events, catalog, documents, key).where(has_text(F.col("doc_text")))
     q = q.join(names.select(F.col(key).alias("_nk"), name), F.col(key) == F.col("_nk"), "left").drop("_nk")
     q = q.withColumn(name, F.coalesce(F.col(name), F.col(key)))
-    done = content_pipeline(q.select(key, name, F.col("doc_text").alias("leaflet_text")), key, name,
+    done = produce_content(q.select(key, name, F.col("doc_text").alias("leaflet_text")), key, name,
                             "leaflet_text", completion_fn, **kw)
     done = done.join(q.select(F.col(key).alias("_k"), name), F.col(key) == F.col("_k")).drop("_k")
     payload = F.to_json(F.struct(F.col("final_score"), F.col("final_content"), F.col("seo_title"),

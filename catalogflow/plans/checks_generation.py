@@ -62,8 +62,8 @@ def fallback_stage_q(spark, d):
     return fb.select("doc_key", F.col("content.html_content").alias("html_content"), F.col("audit.seo_score").alias("score"))
 
 
-def content_pipeline_q(spark, d):
-    return C.content_pipeline(_products(spark, d), "doc_key", "product_name", "leaflet_text", OfflineModel(), **FAST)
+def produce_content_q(spark, d):
+    return C.produce_content(_products(spark, d), "doc_key", "product_name", "leaflet_text", OfflineModel(), **FAST)
 
 
 def batch_draft_q(spark, d):
@@ -94,7 +94,7 @@ QUERIES = {
     "generate_stage": generate_stage_q,
     "refine_stage": refine_stage_q,
     "fallback_stage": fallback_stage_q,
-    "content_pipeline": content_pipeline_q,
+    "produce_content": produce_content_q,
     "batch_draft": batch_draft_q,
     "review_set": review_set_q,
     "reprocess_queue": reprocess_queue_q,

@@ -150,8 +150,9 @@ def payload_base64_q(spark, d):
 
 def elapsed_hms_q(spark, d):
     e = table(spark, d, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = e.groupBy("user_id").agg(((F.max(us) - F.min(us)) / 1000).cast("bigint").alias("ms"))
+    # difference taken on the zone-free timestamps: no session time zone involved
+    g = e.groupBy("user_id").agg(
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000).cast("bigint").alias("ms"))
     return g.select("user_id", "ms", elapsed_hms("ms").alias("elapsed"))
 
 

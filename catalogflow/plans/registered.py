@@ -12,7 +12,7 @@ _MODULES = [
     "checks_ledger",
     "checks_misc",
     "checks_events",
-    "checks_pipeline",
+    "checks_generation",
     "checks_io",
 ]
 

@@ -35,11 +35,11 @@ def test_retry_policy():
     assert C.call_with_retries(broken_one, ["ok", "bad"]) == ["ok", None]
 
 
-def test_content_pipeline_paths(spark):
+def test_produce_content_paths(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(
         F.col("doc_id").cast("string").alias("k"), F.concat(F.lit("Remedio"), F.upper("lang")).alias("name"),
         F.col("text"))
-    out = C.content_pipeline(docs, "k", "name", "text", OfflineModel(), first_wait=0.0).collect()
+    out = C.produce_content(docs, "k", "name", "text", OfflineModel(), first_wait=0.0).collect()
     assert len(out) == 60
     paths = {r.path for r in out}
     assert paths <= {"generated", "refined", "fallback"} and "generated" in paths
