@@ -46,21 +46,33 @@ def resolved_feedback(before: Column, after: Column, text: AdviceText = AdviceTe
     return F.when(first.isNull(), F.lit(text.generic)).otherwise(F.format_string(text.fix_applied, first))
 
 
+def ledger_entries_paired(df: DataFrame, key: str, type_col: str, before: str = "before",
+                          after: str = "after", at: Column | None = None,
+                          text: AdviceText = AdviceText(), keep_zero: bool = False) -> DataFrame:
+    """E6 when both analyses of an item are already columns of one row (e.g.
+    read back from a table): no join, no shuffle.  delta = after - before
+    total; zero deltas are not logged (F9).  Do not stack two ``analyze_html``
+    calls in one projection chain to feed it: the optimizer inlines both
+    scorers into one method beyond the 64 KB code limit; score the versions
+    separately (``ledger_entries`` joins them) or persist the analyses first."""
+    sb = F.coalesce(F.col(before)["total_score"], F.lit(0))
+    sa = F.coalesce(F.col(after)["total_score"], F.lit(0))
+    out = df.select(
+        F.col(key), resolved_feedback(F.col(before), F.col(after), text).alias("strategy"),
+        F.col(type_col).alias("product_type"), sb.alias("score_before"), sa.alias("score_after"),
+        (sa - sb).alias("delta"), (at if at is not None else F.current_timestamp()).alias("ts"))
+    return out if keep_zero else out.where(F.col("delta") != 0)
+
+
 def ledger_entries(before: DataFrame, after: DataFrame, key: str, type_col: str,
                    analysis_col: str = "analysis", at: Column | None = None,
                    text: AdviceText = AdviceText(), keep_zero: bool = False) -> DataFrame:
-    """Join before/after analyses on ``key``; delta = after - before total;
-    zero deltas are not logged (F9)."""
+    """E6 from two frames of analyses: equi-join on ``key``, then as
+    ``ledger_entries_paired``."""
     b = before.select(key, type_col, F.col(analysis_col).alias("_b"))
     a = after.select(F.col(key).alias("_ak"), F.col(analysis_col).alias("_a"))
     j = b.join(a, F.col(key) == F.col("_ak"), "inner")
-    sb = F.coalesce(F.col("_b.total_score"), F.lit(0))
-    sa = F.coalesce(F.col("_a.total_score"), F.lit(0))
-    out = j.select(
-        F.col(key), resolved_feedback(F.col("_b"), F.col("_a"), text).alias("strategy"),
-        F.col(type_col).alias("product_type"), sb.alias("score_before"), sa.alias("score_after"),
-        (sa - sb).alias("delta"), (at if at is not None else F.current_timestamp()).alias("ts"))
-    return out if keep_zero else out.where(F.col("delta") != 0)
+    return ledger_entries_paired(j, key, type_col, "_b", "_a", at, text, keep_zero)
 
 
 def _ranked(ledger: DataFrame, n: int, where: Column | None) -> DataFrame:

@@ -69,6 +69,8 @@ def write_workbooks(df: DataFrame, out_dir: str, order: str, rows_per_file: int
                     sheet_name: str = "Sheet1") -> DataFrame:
     """Write ``df`` as workbooks of at most ``rows_per_file`` rows (by ``order``
     ranges); returns (chunk, path, n_rows) per file written."""
+    if out_dir.startswith("file:"):  # Python tasks open plain paths
+        out_dir = "/" + out_dir[len("file:"):].lstrip("/")
     cols = df.columns
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / rows_per_file).cast("bigint"))
 
