@@ -32,7 +32,8 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "json", keep_corrupt:
         return spark.createDataFrame([], LEDGER_SCHEMA)
     if fmt == "parquet":
         return spark.read.schema(LEDGER_SCHEMA).option("mergeSchema", "true").parquet(path)
-    schema = LEDGER_SCHEMA.add(T.StructField("_corrupt_record", T.StringType()))
+    # a new StructType: .add() would mutate the shared schema in place
+    schema = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     if keep_corrupt:

@@ -110,3 +110,17 @@ def test_streaming_equals_batch(spark, tmpdir_path):
     streamed = sorted(map(tuple, spark.read.parquet(out).collect()))
     batch = sorted(map(tuple, EV.log_counts(EV.decode_frames(chunks, id_cols=["user_id", "chunk"])).collect()))
     assert streamed == batch
+
+
+def test_ledger_reads_do_not_share_state(spark, tmpdir_path):
+    from catalogflow.sinks.files import append_ledger
+    from catalogflow.sources.ledger import LEDGER_SCHEMA
+    from catalogflow.plans.standins import std_ledger
+    led = std_ledger(spark, SF)
+    jp, pp = os.path.join(tmpdir_path, "j"), os.path.join(tmpdir_path, "p")
+    append_ledger(led, jp)
+    append_ledger(led, pp, fmt="parquet")
+    n_fields = len(LEDGER_SCHEMA.fields)
+    assert read_ledger(spark, jp).count() == led.count()
+    assert len(LEDGER_SCHEMA.fields) == n_fields
+    assert "_corrupt_record" not in read_ledger(spark, pp, fmt="parquet").columns
