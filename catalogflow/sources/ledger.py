@@ -26,16 +26,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+# Field names of the original ledger file (JSON array), in
+# record order, and the logical names they map to
+ORIGINAL_FIELDS = {"estrategia_aplicada": "strategy", "tipo_de_produto": "product_type",
+                   "texto_original_score": "score_before", "novo_texto_score": "score_after",
+                   "melhora_score": "delta", "timestamp": "ts", "quantidade_lida": "rows_read"}
+
+
 def read_ledger(spark: SparkSession, path: str, fmt: str = "json", keep_corrupt: bool = False) -> DataFrame:
-    """Read the ledger; absent path -> empty DataFrame with the ledger schema."""
+    """Read the ledger; absent path -> empty DataFrame with the ledger schema.
+
+    fmt ``json``: JSON lines (what ``append_ledger`` writes); each line is
+    parsed with built-in functions, unparsable lines go to ``_corrupt_record``
+    (dropped unless ``keep_corrupt``).  ``parquet``: appended Parquet parts,
+    schemas merged by name.  ``json_array``: the original single-file JSON
+    array with its original field names (``seq`` is the array position)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     if fmt == "parquet":
         return spark.read.schema(LEDGER_SCHEMA).option("mergeSchema", "true").parquet(path)
-    # a new StructType: .add() would mutate the shared schema in place
-    schema = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    if fmt == "json_array":
+        orig = T.StructType([T.StructField(k, LEDGER_SCHEMA[v].dataType) for k, v in ORIGINAL_FIELDS.items()])
+        df = spark.read.schema(orig).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        df = df.select(*[F.col(k).alias(v) for k, v in ORIGINAL_FIELDS.items()])
+        return df.withColumn("seq", F.monotonically_increasing_id()).select(*LEDGER_SCHEMA.fieldNames())
+    raw = spark.read.text(path)
+    ok = F.try_parse_json(F.col("value")).isNotNull()
+    parsed = raw.select(F.when(ok, F.from_json("value", LEDGER_SCHEMA)).alias("_r"),
+                        F.when(~ok, F.col("value")).alias("_corrupt_record"))
+    out = parsed.select("_r.*", "_corrupt_record")
     if keep_corrupt:
-        return df
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        return out
+    return out.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")

@@ -124,3 +124,17 @@ def test_ledger_reads_do_not_share_state(spark, tmpdir_path):
     assert read_ledger(spark, jp).count() == led.count()
     assert len(LEDGER_SCHEMA.fields) == n_fields
     assert "_corrupt_record" not in read_ledger(spark, pp, fmt="parquet").columns
+
+
+def test_original_ledger_file(spark, tmpdir_path):
+    """The original format: one indented JSON array with the original field names."""
+    rows = [("fix a", 60, 75), ("fix b", 60, 85), ("fix c", 75, 100), ("fix d", 60, 75)]
+    recs = [{"estrategia_aplicada": s, "tipo_de_produto": "medicine", "texto_original_score": b,
+             "novo_texto_score": a, "melhora_score": a - b, "timestamp": "2025-01-01T00:00:00+00:00"}
+            for s, b, a in rows]
+    p = os.path.join(tmpdir_path, "ledger.json")
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump(recs, f, indent=2, ensure_ascii=False)
+    led = read_ledger(spark, p, fmt="json_array").orderBy("seq").collect()
+    assert [(r.strategy, r.delta) for r in led] == [("fix a", 15), ("fix b", 25), ("fix c", 25), ("fix d", 15)]
+    assert led[0].rows_read is None and led[0].ts is not None

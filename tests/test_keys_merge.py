@@ -89,3 +89,19 @@ def test_finalize_guards_and_fold(spark):
     with pytest.raises(ValueError, match="approved"):
         finalize_approved(orig, ev, columns=("seo_title",), require=True)
     assert [r.item_key for r in finalize_rejected(orig, ev, require=True).collect()] == ["2"]
+
+
+def test_draft_reload_and_sheet_sink(spark, tmpdir_path):
+    from catalogflow.operators.review import reset_pending
+    from catalogflow.sinks.files import write_sheet
+    draft = spark.createDataFrame([("1", "a", 0), ("2", "b", 1)], "item_key string, seo_title string, input_seq long")
+    assert {r.status for r in reset_pending(draft).collect()} == {"pending"}
+    assert write_sheet(draft.limit(0), tmpdir_path, "draft", "r0") is None  # nothing to write
+    out = write_sheet(draft, tmpdir_path, "draft", "r1", fmt="csv")
+    assert out.endswith("kind=draft/run_id=r1")
+    back = spark.read.option("header", True).csv(out)
+    assert sorted(r.item_key for r in back.collect()) == ["1", "2"]
+    with pytest.raises(Exception):
+        write_sheet(draft, tmpdir_path, "draft", "r1")  # never overwrites a run
+    with pytest.raises(ValueError):
+        write_sheet(draft, tmpdir_path, "other", "r2")
