@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._col import col_of
-from .text import STRIP_PATTERN, WS_CLASS, ustrip
+from .text import WS_CLASS, ustrip
 
 # --- patterns -------------------------------------------------------------
 COMMENT = r"(?s)<!--.*?-->"
