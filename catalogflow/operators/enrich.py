@@ -20,6 +20,21 @@ from ..functions.text import flag_is, has_text, normalize_key
 ROUTES = ("no_key", "not_found", "not_validated", "no_link", "empty_text", "ready")
 
 
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Left outer equi-join where left rows with a null key -- which never
+    match -- are spread over the reducers instead of all hashing to the one
+    partition of ``null`` (a third of the rows may have no key / no link).
+
+    Exact: the join is on (coalesce(key, per-row sentinel), key IS NULL)
+    against (key, false), so a sentinel can never equal a real key."""
+    lk = F.coalesce(F.col(left_key).cast("string"),
+                    F.concat(F.lit("\u0000null:"), F.monotonically_increasing_id().cast("string")))
+    l2 = left.withColumn("_jk", lk).withColumn("_jnull", F.col(left_key).isNull())
+    r2 = right.withColumn("_rjk", F.col(right_key).cast("string")).withColumn("_rjnull", F.lit(False))
+    cond = (F.col("_jk") == F.col("_rjk")) & (F.col("_jnull") == F.col("_rjnull"))
+    return l2.join(r2, cond, "left").drop("_jk", "_jnull", "_rjk", "_rjnull")
+
+
 def prefix_columns(df: DataFrame, prefix: str, keep=()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
 
@@ -35,7 +50,7 @@ def enrich_items(items: DataFrame, catalog: DataFrame, item_key: str = "item_key
     cat = prefix_columns(catalog, prefix).withColumn(
         prefix + barcode, normalize_key(F.col(prefix + barcode)))
     left = items.withColumn(item_key, normalize_key(F.col(item_key)))
-    return left.join(cat, left[item_key] == cat[prefix + barcode], "left")
+    return left_join_spread_nulls(left, cat, item_key, prefix + barcode)
 
 
 def valid_items(enriched: DataFrame, flag_col: str = "cat_link_valid", expected: str = "sim") -> DataFrame:
@@ -76,8 +91,8 @@ def attach_documents(df: DataFrame, documents: DataFrame, link_col: str,
     """
     docs = documents.select(F.col(doc_key).alias("_doc_key"), F.col(text_col).alias("_doc_text"))
     docs = docs.groupBy("_doc_key").agg(F.min("_doc_text").alias("_doc_text"))
-    return (df.join(docs, df[link_col] == docs["_doc_key"], "left")
-              .drop("_doc_key").withColumnRenamed("_doc_text", "doc_text"))
+    return (left_join_spread_nulls(df, docs, link_col, "_doc_key")
+            .drop("_doc_key").withColumnRenamed("_doc_text", "doc_text"))
 
 
 def document_flags(documents: DataFrame, doc_key: str = "doc_key", text_col: str = "text") -> DataFrame:
@@ -101,7 +116,7 @@ def route_items(items: DataFrame, catalog: DataFrame, documents: DataFrame,
     enriched = enrich_items(items, catalog, item_key, barcode)
     cat_link = "cat_" + link
     flags = document_flags(documents, doc_key, text_col)
-    with_doc = enriched.join(flags, enriched[cat_link] == flags["_doc_key"], "left").drop("_doc_key")
+    with_doc = left_join_spread_nulls(enriched, flags, cat_link, "_doc_key").drop("_doc_key")
     route = (F.when(F.col(item_key).isNull(), F.lit("no_key"))
                .when(F.col("cat_" + barcode).isNull(), F.lit("not_found"))
                .when(~flag_is("cat_" + flag), F.lit("not_validated"))

@@ -57,14 +57,14 @@ def merge_updates(original: DataFrame, updates: DataFrame, key: str, columns=Non
         upd = last_per_key(updates, key, order)
     else:
         raise ValueError(f"unknown duplicates mode {duplicates!r}")
+    from .enrich import left_join_spread_nulls
     u = upd.select(F.col(key).alias("_ukey"), *[F.col(c).alias("_u_" + c) for c in shared])
-    o = original.alias("o")
-    joined = o.join(u, F.col("o." + key) == F.col("_ukey"), "left")
-    out = [F.col("o." + key).alias(key)]
+    joined = left_join_spread_nulls(original, u, key, "_ukey")
+    out = [F.col(key)]
     for c in original.columns:
         if c == key:
             continue
-        out.append(F.coalesce(F.col("_u_" + c), F.col("o." + c)).alias(c) if c in shared else F.col("o." + c))
+        out.append(F.coalesce(F.col("_u_" + c), F.col(c)).alias(c) if c in shared else F.col(c))
     return joined.select(*out)
 
 

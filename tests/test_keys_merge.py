@@ -105,3 +105,11 @@ def test_draft_reload_and_sheet_sink(spark, tmpdir_path):
         write_sheet(draft, tmpdir_path, "draft", "r1")  # never overwrites a run
     with pytest.raises(ValueError):
         write_sheet(draft, tmpdir_path, "other", "r2")
+
+
+def test_null_keys_spread_and_never_match(spark):
+    from catalogflow.operators.enrich import left_join_spread_nulls
+    left = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    right = spark.createDataFrame([("a", "A"), ("\u0000null:0", "X"), (None, "N")], "rk string, w string")
+    out = sorted((r.v, r.w) for r in left_join_spread_nulls(left, right, "k", "rk").collect())
+    assert out == [(1, None), (2, None), (3, "A")]
