@@ -80,13 +80,12 @@ def merge_first_match(original: DataFrame, updates: DataFrame, key: str, order:
     firsts = original.groupBy(key).agg(F.min(order).alias("_first"))
     target = firsts.join(lastu, key, "inner").select(
         F.col(key).alias("_tkey"), "_first", *[F.col(c).alias("_u_" + c) for c in columns])
-    o = original.alias("o")
-    joined = o.join(target, F.col("o." + key) == F.col("_tkey"), "left")
-    hit = F.coalesce(F.col("o." + order) == F.col("_first"), F.lit(False))
+    from .enrich import left_join_spread_nulls
+    joined = left_join_spread_nulls(original, target, key, "_tkey")
+    hit = F.coalesce(F.col(order) == F.col("_first"), F.lit(False))
     out = []
     for c in original.columns:
-        out.append(F.when(hit, F.col("_u_" + c)).otherwise(F.col("o." + c)).alias(c)
-                   if c in columns else F.col("o." + c))
+        out.append(F.when(hit, F.col("_u_" + c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c))
     return joined.select(*out)
 
 
