@@ -37,7 +37,7 @@ class AuditRules:
     title_len: tuple = (50, 65)
     desc_len: tuple = (120, 165)
     banned_word: str = "bula"
-    call_to_action: str = "na Mevo Farma"
+    call_to_action: str = "na nossa loja"  # the store's own closing phrase (a parameter)
     legal_phrase: str = "seu uso pode trazer riscos"
     transparency_phrase: str = "aprovada pela anvisa"
     # [product] [dose+unit] [manufacturer] [quantity + unit word]

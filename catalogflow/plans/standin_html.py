@@ -115,7 +115,7 @@ def made_content(spark, sf_dir) -> DataFrame:
                     F.lit(", com "), qty, F.lit(" comprimidos, auxilia no "), F.lower(F.col("p_type")),
                     F.repeat(F.lit(" tratamento"), (F.col("doc_id") % 9).cast("int")),
                     F.when(F.col("doc_id") % 5 == 0, F.lit(". Leia a bula")).otherwise(F.lit("")),
-                    F.when(F.col("doc_id") % 3 != 0, F.lit(". Produto de qualidade na Mevo Farma.")).otherwise(F.lit(".")))
+                    F.when(F.col("doc_id") % 3 != 0, F.lit(". Produto de qualidade na nossa loja.")).otherwise(F.lit(".")))
     none = F.col("doc_id") % 41 == 0
     null = F.lit(None).cast("string")
     return j.select(
@@ -152,7 +152,7 @@ SELECT doc_id, product_name,
     b || ' ' || CAST(p_size AS VARCHAR) || 'mg da ' || p_brand || ', com ' || CAST(doc_id % 60 + 1 AS VARCHAR)
       || ' comprimidos, auxilia no ' || lower(p_type) || repeat(' tratamento', CAST(doc_id % 9 AS INTEGER))
       || (CASE WHEN doc_id % 5 = 0 THEN '. Leia a bula' ELSE '' END)
-      || (CASE WHEN doc_id % 3 <> 0 THEN '. Produto de qualidade na Mevo Farma.' ELSE '.' END) END AS meta_description,
+      || (CASE WHEN doc_id % 3 <> 0 THEN '. Produto de qualidade na nossa loja.' ELSE '.' END) END AS meta_description,
   CASE WHEN doc_id % 41 = 0 THEN NULL ELSE html END AS html_content
 FROM made_html JOIN (SELECT p_partkey, p_brand, p_type, p_size FROM part) p ON doc_id = p.p_partkey""",
 }

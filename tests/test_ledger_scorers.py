@@ -83,7 +83,7 @@ def test_title_length(spark, length, ok, ):
     (119, False, True, 10.0), (120, False, True, 15.0), (165, False, True, 15.0), (166, False, True, 10.0),
     (140, True, True, 10.0), (140, False, False, 10.0)])
 def test_description_rules(spark, length, bula, cta, expected):
-    tail = " Produto de qualidade na Mevo Farma." if cta else " Produto de qualidade na loja online."
+    tail = " Produto de qualidade na nossa loja." if cta else " Produto de qualidade na loja online."
     head = "Aldazida 50mg da Pfizer" + (" leia a bula " if bula else " ")
     desc = head + "x" * (length - len(head) - len(tail)) + tail
     df = spark.createDataFrame([(None, desc, None)], "seo_title string, meta_description string, html_content string")
