@@ -33,7 +33,7 @@ class AuditRules:
                                ("composição", 5), ("especificações", 6), ("para que serve", 1))
     # The only rows of the specifications table
     spec_rows: tuple = ("fabricante", "princípio ativo", "registro ms")
-    # Length ranges, banned word, store call-to-action
+    # Length ranges and banned word (the closing phrase is the store's own)
     title_len: tuple = (50, 65)
     desc_len: tuple = (120, 165)
     banned_word: str = "bula"
