@@ -65,7 +65,7 @@ def attach_documents_q(spark, d):
     first = E.lookup_first(items, cat, "item_key", "barcode", "catalog_seq")
     out = E.attach_documents(first, std_documents(spark, d), "leaflet_link")
     return out.select("input_seq", "leaflet_link",
-                      F.length("doc_text").alias("text_chars"),
+                      F.length("doc_text").cast("bigint").alias("text_chars"),
                       F.md5("doc_text").alias("text_md5"))
 
 

@@ -78,7 +78,7 @@ def review_set_q(spark, d):
 
 def reprocess_queue_q(spark, d):
     q = app.reprocess_queue(std_reviews(spark, d), std_catalog(spark, d), std_documents(spark, d))
-    return q.select("item_key", "leaflet_link", "catalog_seq", F.length("doc_text").alias("text_chars"))
+    return q.select("item_key", "leaflet_link", "catalog_seq", F.length("doc_text").cast("bigint").alias("text_chars"))
 
 
 def reprocess_q(spark, d):

@@ -26,25 +26,25 @@ _PM = """pm AS (SELECT 'page' AS src, page_id AS id, html FROM pages
 def clean_fences_q(spark, d):
     h = made_html(spark, d)
     c = H.clean_fences("html")
-    return h.select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
+    return h.select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("bigint").alias("clean_len"))
 
 
 def unwrap_tags_q(spark, d):
     h = _pages_and_made(spark, d)
     u = H.unwrap_tags("html")
-    return h.select("src", "id", F.md5(u).alias("unwrapped_md5"), F.length(u).alias("unwrapped_len"))
+    return h.select("src", "id", F.md5(u).alias("unwrapped_md5"), F.length(u).cast("bigint").alias("unwrapped_len"))
 
 
 def wrap_fragment_q(spark, d):
     h = made_html(spark, d)
     w = H.wrap_fragment("html", style="<style>.pd{margin:0}</style>", css_class="pd")
-    return h.select("doc_id", F.md5(w).alias("wrapped_md5"), F.length(w).alias("wrapped_len"))
+    return h.select("doc_id", F.md5(w).alias("wrapped_md5"), F.length(w).cast("bigint").alias("wrapped_len"))
 
 
 def html_text_q(spark, d):
     h = _pages_and_made(spark, d)
     t = H.visible_text("html")
-    return h.select("src", "id", F.md5(t).alias("text_md5"), F.length(t).alias("text_len"))
+    return h.select("src", "id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("text_len"))
 
 
 def html_features_q(spark, d):
@@ -65,7 +65,7 @@ def base_name_q(spark, d):
 def suffix_headings_q(spark, d):
     h = made_html(spark, d)
     s = H.suffix_headings("html", H.base_name("product_name"))
-    return h.select("doc_id", F.md5(s).alias("suffixed_md5"), F.length(s).alias("suffixed_len"))
+    return h.select("doc_id", F.md5(s).alias("suffixed_md5"), F.length(s).cast("bigint").alias("suffixed_len"))
 
 
 def analyze_html_q(spark, d):

@@ -46,7 +46,7 @@ def _extract(spark, d, mode):
     x = J.extract_json_text("response", mode)
     r = r.withColumn("x", x)
     ok = J.is_json("x")
-    return r.select("doc_id", F.length("x").alias("extracted_len"), F.md5("x").alias("extracted_md5"),
+    return r.select("doc_id", F.length("x").cast("bigint").alias("extracted_len"), F.md5("x").alias("extracted_md5"),
                     ok.alias("parsed"), F.when(ok, F.get_json_object("x", "$.seo_title")).alias("seo_title"))
 
 
@@ -87,7 +87,7 @@ def fallback_meta_q(spark, d):
 def length_gate_q(spark, d):
     c = made_content(spark, d)
     return c.select("doc_id", J.generated_ok("html_content").alias("generated_ok"),
-                    F.length(J.fallback_html("html_content")).alias("fallback_len"))
+                    F.length(J.fallback_html("html_content")).cast("bigint").alias("fallback_len"))
 
 
 def score_bands_q(spark, d):
@@ -114,7 +114,7 @@ def render_prompts_q(spark, d):
     b = _base_cols(table(spark, d, "documents"))
     p = render(PROMPT, {"product_name": "product_name", "base_name": base_name("product_name"),
                         "leaflet": "text"}, escape=True)
-    return b.select("doc_id", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+    return b.select("doc_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len"))
 
 
 def std_requests(spark, d):
@@ -144,7 +144,7 @@ def run_stamp_q(spark, d):
 def payload_base64_q(spark, d):
     t = table(spark, d, "documents")
     b64 = payload_base64(F.encode("text", "UTF-8"))
-    return t.select("doc_id", F.md5(b64).alias("b64_md5"), F.length(b64).alias("b64_len"),
+    return t.select("doc_id", F.md5(b64).alias("b64_md5"), F.length(b64).cast("bigint").alias("b64_len"),
                     (F.decode(payload_decode(b64), "UTF-8") == F.col("text")).alias("roundtrip"))
 
 
