@@ -295,3 +295,14 @@ def scores_cte(name: str, feat: str) -> str:
 
 
 TOTAL_SQL = _TOTAL
+
+
+def analyze_html_exact_q(spark, d):
+    """Q3 exact mode (Z16): the FAQ nesting decided by a real parser in Arrow
+    batches; rows-only (SQL has no HTML parser), differs from the native
+    approximation only where details/summary follow the FAQ div's end."""
+    a = A.analyze_html(_pages_and_made(spark, d), "html", exact_faq=True)
+    return A.analysis_scores(a).drop("html")
+
+
+QUERIES["analyze_html_exact"] = analyze_html_exact_q
