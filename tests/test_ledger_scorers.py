@@ -106,3 +106,18 @@ def test_ledger_entries_zero_delta_not_logged(spark):
     assert all(r.strategy.startswith("Fix applied") for r in e)
     same = L.ledger_entries(before, before, "id", "product_type").collect()
     assert same == []
+
+
+def test_ledger_entries_from_persisted_pairs(spark, tmpdir_path):
+    import os
+    df = spark.createDataFrame([(1, "t", "<h2>a</h2>"), (2, "t", "<p>x</p>")], "id int, product_type string, html string")
+    before = A.analyze_html(df, "html", out="before").drop("html")
+    path = os.path.join(tmpdir_path, "before")
+    before.write.parquet(path)
+    after = A.analyze_html(df.withColumn("html", F.concat("html", F.lit("<ul><li>x</li></ul>"))), "html", out="after")
+    pairs = spark.read.parquet(path).join(after.select("id", "after"), "id")
+    e = {r.id: r for r in L.ledger_entries_paired(pairs, "id", "product_type").collect()}
+    assert {k: v.delta for k, v in e.items()} == {1: 10, 2: 10}
+    joined = {r.id: r.delta for r in L.ledger_entries(A.analyze_html(df, "html"), after.withColumnRenamed(
+        "after", "analysis"), "id", "product_type").collect()}
+    assert joined == {1: 10, 2: 10}
