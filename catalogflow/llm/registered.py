@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
+from . import quality, urllists, warc
+from .common import materialize, scratch_path, table
 
 
 def op1_quality_outliers(spark, sf_dir):
@@ -18,5 +18,61 @@ def op1_quality_outliers(spark, sf_dir):
                       "base_failed", "kept", F.round("mahalanobis2", 6).alias("mahalanobis2"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers,)}
-ORACLE: dict[str, str] = {}
+def op2_warc_revisits(spark, sf_dir):
+    """Pages written as deduplicated archives, read back and resolved."""
+    path = scratch_path(spark, "warc")
+    warc.write_deduplicated(warc.records_of(table(spark, sf_dir, "pages")), path)
+    read = materialize(warc.read_archives(spark, path, with_payload=False).drop("payload"), "warc-headers")
+    return warc.resolved(read).select(
+        F.col("key").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, n, max(page_id) AS top FROM d GROUP BY h, n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM d JOIN m USING (h, n)
+"""
+
+
+def op7_url_lists(spark, sf_dir):
+    """Pages as dated captures against dated list entries, both derived from
+    the whole pages table (capture times and entries follow from page_id)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    k = F.col("page_id")
+    captures = p.withColumn("fetch_time", F.lit(1672531200) + (k * 7919) % 63072000)
+    host = urllists.host_of(F.col("url"))
+    parent = F.regexp_replace(host, r"^[^.]+\.([^.]+\..+)$", "$1")
+    entries = p.select(
+        F.when(k % 5 == 0, "malware").when(k % 5 < 4, "spam").otherwise("partners").alias("list"),
+        (k % 5 == 4).alias("allow"), F.when(k % 3 == 0, parent).otherwise(host).alias("domain"),
+        F.when(k % 7 < 5, "add").otherwise("remove").alias("action"), (F.lit(19358) + (k * 104729) % 900).alias("day"))
+    out = urllists.evaluate(captures, urllists.validity_intervals(entries))
+    return out.select("page_id", "host", "fetch_day", "n_active", "matched_list", "matched_domain", "blocked")
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.'), '') AS host,
+                  CAST(floor((1672531200 + (page_id * 7919) % 63072000) / 86400.0) AS BIGINT) AS fetch_day FROM pages),
+e AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'malware' WHEN page_id % 5 < 4 THEN 'spam' ELSE 'partners' END AS list,
+             CASE WHEN page_id % 3 = 0 THEN regexp_replace(host, '^[^.]+\.([^.]+\..+)$', '\1') ELSE host END AS domain,
+             page_id % 7 < 5 AS added, 19358 + (page_id * 104729) % 900 AS day FROM c WHERE host IS NOT NULL),
+d AS (SELECT list, domain, day, bool_or(added) AS added FROM e GROUP BY ALL),
+k AS (SELECT DISTINCT host, fetch_day FROM c WHERE host IS NOT NULL),
+a AS (SELECT host, fetch_day, list, domain, arg_max(added, day) AS active
+      FROM k JOIN d ON (host = domain OR ends_with(host, '.' || domain)) AND day <= fetch_day GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY host, fetch_day
+             ORDER BY len(string_split(domain, '.')) DESC, list <> 'partners', list, domain) AS rn,
+             count(*) OVER (PARTITION BY host, fetch_day) AS n FROM a WHERE active)
+SELECT c.page_id, c.host, c.fetch_day, coalesce(r.n, 0) AS n_active, r.list AS matched_list, r.domain AS matched_domain,
+       coalesce(r.list <> 'partners', false) AS blocked
+FROM c LEFT JOIN r ON c.host = r.host AND c.fetch_day = r.fetch_day AND r.rn = 1
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op7_url_lists)}
+ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL}
