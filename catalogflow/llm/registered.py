@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, urllists, warc
+from . import quality, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -39,6 +39,19 @@ FROM d JOIN m USING (h, n)
 """
 
 
+TOKENIZER = "byte_bpe_50k.json"
+OVER = 1024
+
+
+def op3_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document under the public byte-level BPE."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokens.token_counts(docs, public_tokenizers.path(TOKENIZER))
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+                      (F.col("n_tokens") > OVER).alias("over_limit"))
+
+
 def op7_url_lists(spark, sf_dir):
     """Pages as dated captures against dated list entries, both derived from
     the whole pages table (capture times and entries follow from page_id)."""
@@ -74,5 +87,5 @@ FROM c LEFT JOIN r ON c.host = r.host AND c.fetch_day = r.fetch_day AND r.rn = 1
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op7_url_lists)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL}
