@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, tokens, urllists, warc
+from . import minhash, quality, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -87,5 +87,11 @@ FROM c LEFT JOIN r ON c.host = r.host AND c.fetch_day = r.fetch_day AND r.rn = 1
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists)}
+def op8_minhash_odd_sketch(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists, op8_minhash_odd_sketch)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL}
