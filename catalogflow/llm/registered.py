@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, quality, tokens, urllists, warc
+from . import minhash, quality, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -93,5 +93,42 @@ def op8_minhash_odd_sketch(spark, sf_dir):
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists, op8_minhash_odd_sketch)}
-ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL}
+def op10_line_templates(spark, sf_dir):
+    """Every document without the lines whose template recurs in five documents."""
+    out = templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "emptied", F.length("text").cast("long").alias("chars_left"),
+                      F.md5("text").alias("text_md5"))
+
+
+OP10_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, line_no, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+               lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
+l AS (SELECT doc_id, line_no, len(t) AS n, t[1:4] AS lead, t[5:] AS rest, greatest(len(t) - 4, 0) AS m FROM tok WHERE len(t) > 0),
+s AS (SELECT doc_id, line_no, n, m, lead,
+             list_transform(range(8), lambda g: rest[CAST(floor(m * g / 8) AS INT) + 1 : CAST(floor(m * (g + 1) / 8) AS INT)]) AS sl FROM l),
+b AS (SELECT n, lead, count(*) AS c FROM s GROUP BY ALL HAVING count(*) >= 5),
+x AS (SELECT s.*, b.c FROM s JOIN b USING (n, lead)),
+v AS (SELECT n, lead, c, g, sl[g] AS v, count(*) AS k FROM x, (SELECT unnest(range(1, 9)) AS g) GROUP BY ALL HAVING count(*) * 2 > c),
+t AS (SELECT doc_id, line_no, x.n, x.lead, x.sl,
+             (SELECT coalesce(bool_and(x.sl[v.g] = v.v), true) AND
+                     least(x.n, 4) + coalesce(sum(floor(x.m * v.g / 8) - floor(x.m * (v.g - 1) / 8)), 0) >= 0.6 * x.n
+              FROM v WHERE v.n = x.n AND v.lead = x.lead) AS shared FROM x),
+k AS (SELECT doc_id, line_no, n, lead, CASE WHEN shared THEN NULL ELSE sl END AS own FROM t),
+r AS (SELECT n, lead, own, min(doc_id) AS first FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.doc_id, k.line_no FROM k JOIN r ON k.n = r.n AND k.lead = r.lead AND k.own IS NOT DISTINCT FROM r.own
+      WHERE k.doc_id <> r.first),
+a AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.line_no) FILTER (WHERE d.line_no IS NULL) AS txt,
+             count(d.line_no) AS gone FROM raw LEFT JOIN d USING (doc_id, line_no) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY 1)
+SELECT o.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(a.gone, 0) AS n_dropped,
+       coalesce(a.gone > 0 AND a.gone = c.n_lines, false) AS emptied,
+       CASE WHEN o.text IS NOT NULL THEN length(coalesce(a.txt, '')) END AS chars_left,
+       CASE WHEN o.text IS NOT NULL THEN md5(coalesce(a.txt, '')) END AS text_md5
+FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
+ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
