@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, quality, templates, tokens, urllists, warc
+from . import minhash, mixing, quality, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -52,6 +52,12 @@ def op3_token_counts(spark, sf_dir):
                       (F.col("n_tokens") > OVER).alias("over_limit"))
 
 
+def op5_source_mix(spark, sf_dir):
+    """What a mix of all sources at the standing weights takes of every document."""
+    out, _ = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op7_url_lists(spark, sf_dir):
     """Pages as dated captures against dated list entries, both derived from
     the whole pages table (capture times and entries follow from page_id)."""
@@ -130,5 +136,5 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op5_source_mix, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
