@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, templates, tokens, urllists, warc
+from . import langid, minhash, mixing, quality, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -58,6 +58,15 @@ def op5_source_mix(spark, sf_dir):
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark, sf_dir):
+    """Language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    model = langid.fit(docs.where(part != 2))
+    return docs.select("doc_id", "held_out", langid.predict(docs, model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 def op7_url_lists(spark, sf_dir):
     """Pages as dated captures against dated list entries, both derived from
     the whole pages table (capture times and entries follow from page_id)."""
@@ -136,5 +145,5 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op5_source_mix, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
