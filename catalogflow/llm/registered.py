@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, templates, tokens, urllists, warc
+from . import covertree, langid, minhash, mixing, quality, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -52,6 +52,12 @@ def op3_token_counts(spark, sf_dir):
                       (F.col("n_tokens") > OVER).alias("over_limit"))
 
 
+def op4_cover_tree(spark, sf_dir):
+    """Links and components of all embeddings at a cosine of 0.95."""
+    out = covertree.cosine_links(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op5_source_mix(spark, sf_dir):
     """What a mix of all sources at the standing weights takes of every document."""
     out, _ = mixing.mix_documents(table(spark, sf_dir, "documents"))
@@ -145,5 +151,5 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
