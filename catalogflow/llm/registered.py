@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import covertree, langid, minhash, mixing, quality, templates, tokens, urllists, warc
+from . import covertree, langid, minhash, mixing, quality, sampling, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -114,6 +114,22 @@ def op8_minhash_odd_sketch(spark, sf_dir):
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def op9_sampled_segmentations(spark, sf_dir):
+    """Two distinct sampled segmentations of every document, and whether the
+    first decodes to the text again."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sampling.sampled(docs, public_tokenizers.path(PIECES))
+    each = lambda f: F.transform("samples", f)
+    return out.select(
+        F.col("key").alias("doc_id"), F.size("samples").cast("long").alias("n_samples"),
+        each(lambda s: F.size(s["ids"]).cast("long")).alias("n_pieces"), each(lambda s: s["inclusion"]).alias("inclusion"),
+        each(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"), sampling.restored(F.col("text"), F.col("decoded")).alias("round_trip"))
+
+
 def op10_line_templates(spark, sf_dir):
     """Every document without the lines whose template recurs in five documents."""
     out = templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -151,5 +167,5 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op9_sampled_segmentations, op10_line_templates)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
