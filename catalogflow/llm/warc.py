@@ -1,8 +1,8 @@
 """WARC archives: write, read, and resolve revisits by payload digest.
 
-Payloads move through one shuffle only, the one that deals records to archives
-of about ``archive_bytes`` each; what is grouped and joined by digest are
-headers.  Archives are written by Spark's own text writer (the two line ends
+What is grouped and joined by digest are headers; payloads only meet the plan
+that says which records are revisits.  An archive holds about ``archive_bytes``
+(so many records as make that at the mean size).  Archives are written by Spark's own text writer (the two line ends
 that close a WARC record are its line separator), so the commit protocol covers
 lost and repeated tasks, on any store that Spark can write.  They are plain
 WARC/1.1 files, not compressed record by record.  Reading uses the binary-file
@@ -12,12 +12,13 @@ source, one bounded archive per row.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MIN_DUPLICATE_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,8 +51,9 @@ def records_of(pages: DataFrame, key: str = "page_id", uri: str = "url", payload
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
-    """One row per (key, digest): ``original`` is the key of the response that
-    holds the payload; null if the record itself must hold it.
+    """join_key, digest, copies, original for every (key, digest) that repeats
+    or shares its payload; ``original`` is the key of the response that holds
+    the payload, null if the record itself must hold it.
 
     Of the responses with equal payloads of at least ``min_bytes`` the one with
     the largest key is the original.  Records given as revisits resolve to it by
@@ -62,11 +64,11 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -
     given = F.max(F.col("given_type") == "revisit")
     originals = headers.groupBy("digest").agg(
         F.max(F.when(F.col("given_type") == "response", F.col("key"))).alias("top"), F.count(F.lit(1)).alias("n"),
-        F.max("n_bytes").alias("size"), given.alias("has_revisits")).where("n > 1 and top is not null")
-    originals = originals.where((F.col("size") >= min_bytes) | F.col("has_revisits"))
-    one = headers.groupBy("key", "digest").agg(given.alias("was_revisit"))
-    return one.join(originals, "digest").where(
-        (F.col("size") >= min_bytes) | F.col("was_revisit")).select("key", "digest", F.col("top").alias("original"))
+        F.max("n_bytes").alias("size")).where("n > 1 and top is not null").drop("n")
+    one = headers.groupBy("join_key", "digest").agg(given.alias("was_revisit"), F.count(F.lit(1)).alias("copies"))
+    found = F.when((F.col("size") >= min_bytes) | F.col("was_revisit"), F.col("top"))
+    return one.join(originals, "digest", "left").select("join_key", "digest", "copies", found.alias("original")).where(
+        "copies > 1 or original is not null")
 
 
 def write_deduplicated(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
@@ -76,17 +78,18 @@ def write_deduplicated(records: DataFrame, path: str, date: str = "1970-01-01T00
 
     Rows that repeat both key and payload count as copies of one capture: the
     first is the response, the rest revisit it (small ones are all responses).
-    An empty table writes an archive without records.
+    An empty table writes an archive without records.  The plan is stored
+    first: Spark then knows its size, and where that is below its broadcast
+    threshold payloads go from the scan to the archive without a shuffle.
     """
-    headers = records.select("key", "digest", "n_bytes", "given_type")
-    total = headers.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
-    parts = max(1, math.ceil(total / archive_bytes))
-    plan = resolve_revisits(headers, min_bytes).repartition(parts, "key", "digest")
-    r = records.repartition(parts, "key", "digest").alias("r")
-    r = r.join(plan.alias("p"), F.col("r.key").eqNullSafe(F.col("p.key")) & (F.col("r.digest") == F.col("p.digest")), "left")
-    r = r.select("r.*", "p.original")
-    copy = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.col("given_type"), "uri"))
-    r = r.withColumn("copy", copy)
+    records = records.withColumn("join_key", F.coalesce(F.col("key").cast("string"), F.lit("-")))
+    headers = records.select("key", "join_key", "digest", "n_bytes", "given_type")
+    n, total = headers.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    plan = materialize(resolve_revisits(headers, min_bytes), "warc-plan")
+    r = records.join(plan, ["join_key", "digest"], "left")
+    order = F.row_number().over(Window.partitionBy("join_key", "digest").orderBy("given_type", "uri"))
+    r = r.where("copies is null or copies = 1").withColumn("copy", F.lit(1)).unionByName(
+        records.join(plan.where("copies > 1"), ["join_key", "digest"]).withColumn("copy", order))
     first = F.coalesce(F.col("original") == F.col("key"), F.lit(False)) & (F.col("copy") == 1) & (F.col("given_type") == "response")
     revisit = (F.col("given_type") == "revisit") | (F.col("original").isNotNull() & ~first)
     r = r.withColumn("revisit", revisit).withColumn("body", F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -108,7 +111,8 @@ def write_deduplicated(records: DataFrame, path: str, date: str = "1970-01-01T00
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
         line("Content-Length", (F.octet_length("http") + F.octet_length("body")).cast("string")), F.lit(CRLF))
     # a value ends with its block; the writer's separator closes the record
-    r.select(F.concat(head, "http", "body").alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    r.select(F.concat(head, "http", "body").alias("value")).write.option("lineSep", CRLF + CRLF).option(
+        "maxRecordsPerFile", max(1, archive_bytes * n // (total + 600 * n)) if n else 1).text(path)
 
 
 READ = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("key", pa.int64()), ("uri", pa.string()),
