@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize
 from .graph import connected_components
 
 WORDS = 5
@@ -151,7 +151,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles, component_id, kept: one row per input row.
+    """key, hash (of the text), n_shingles, component, component_id, kept: one
+    row per input row; component is an internal number of the group, null where
+    the set is empty.
 
     component_id is the least key among the documents reachable over links, the
     row's own included; kept marks the rows whose key that is.  Empty sets link
@@ -201,12 +203,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                     & (_xor_bits("a", "b") <= SKETCH_LIMIT))
     second = second.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     links = links.unionByName(confirmed(second, sets, percent))
-    labels = connected_components(links)
-    least = materialize(labels.join(classes.select("node", "top"), "node").withColumn(
-        "t", F.col("top")).select("node", "component", "t"), "minhash-components")
-    least = least.join(least.groupBy("component").agg(F.min("t").alias("least")), "component").select("node", "least")
-    of = materialize(classes.select("node", "top").join(least, "node", "left").select(
-        "node", F.coalesce("least", "top").alias("least")), "minhash-least")
-    out = signed.where("node is not null").join(of, "node").select("key", "n_shingles", F.col("least").alias("component_id"))
-    out = out.unionByName(signed.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id")))
+    labels = materialize(connected_components(links), "minhash-components")
+    of = classes.select("node", "top").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("top").alias("least"))
+    of = materialize(of.join(least, "component").select("node", "component", "least"), "minhash-least")
+    out = signed.where("node is not null").join(of, "node").select(
+        "key", "hash", "n_shingles", "component", F.col("least").alias("component_id"))
+    out = out.unionByName(signed.where("node is null").select(
+        "key", "hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("key").alias("component_id")))
     return out.withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near duplicates the one
+    with the least key (then text hash; null keys come last), of rows that
+    repeat it one, and every document without words."""
+    rows = materialize(near_duplicates(docs, key, text, percent), "minhash-rows")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("f")
+    stay = rows.where("component is not null").groupBy("component").agg(first).select("f.key", "f.hash")
+    copies = rows.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n"))
+    same = F.col("s.key").eqNullSafe(F.col("c.key")) & (F.col("s.hash") == F.col("c.hash"))
+    stay = stay.alias("s").join(copies.alias("c"), same).select("c.key", "c.hash", F.col("c.m").alias("m"))
+    stay = stay.unionByName(copies.where("n = 0").select("key", "hash", F.lit(1).cast("long").alias("m")))
+    k, h, sk, sh, m = (fresh_name(c, docs.columns) for c in ("_key", "_hash", "_skey", "_shash", "_copies"))
+    stay = materialize(stay.toDF(sk, sh, m), "minhash-stay")
+    d = docs.withColumn(k, F.col(f"`{key}`").cast("long")).withColumn(h, F.xxhash64(F.col(f"`{text}`")))
+    x = d.join(stay, F.col(k).eqNullSafe(F.col(sk)) & (F.col(h) == F.col(sh)))
+    out = x.where(F.col(m) == 1).unionByName(x.where(F.col(m) > 1).dropDuplicates([k, h]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

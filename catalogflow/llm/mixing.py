@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import fresh_name, materialize, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0      # the mix's size against all words; a source's target against its own
@@ -200,15 +200,18 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
 def mixed_texts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
     """The mix as documents: a row of ``docs`` per pass in which the mix takes
     words of it, with those words as its text (the text itself if all are taken)
-    and the columns of ``docs``.  Documents without words have none to give and
-    are left out."""
+    and the columns of ``docs``.
+
+    Documents without words have none to give and are left out.  Rows that
+    repeat key and text get each what the mix takes of any of them."""
     _, ranges = mix_documents(docs, key, source, text, seed)
-    per = ranges.groupBy("key", "hash", "pass").agg(
-        F.array_sort(F.collect_set(F.struct("from_word", "n_words"))).alias("parts"))
-    d = docs.withColumn("_t", F.col(f"`{text}`")).withColumn("_k", F.col(f"`{key}`").cast("long")).withColumn("_h", F.xxhash64("_t"))
-    x = d.join(per, F.col("_k").eqNullSafe(F.col("key")) & (F.col("_h") == F.col("hash")))
-    got = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n_words"])
-    x = x.withColumn("_w", words_of(F.col("_t"))).withColumn("_cut", F.array_join(F.transform("parts", lambda p: F.array_join(
-        F.slice(F.col("_w"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")), " "))
-    whole = F.when(got >= F.size("_w"), F.col("_t")).otherwise(F.col("_cut"))
-    return x.select(*[whole.alias(c) if c == text else d[f"`{c}`"] for c in docs.columns])
+    k, h, rk, rh, w, parts = (fresh_name(c, docs.columns) for c in ("_key", "_hash", "_rkey", "_rhash", "_words", "_parts"))
+    per = ranges.groupBy(F.col("key").alias(rk), F.col("hash").alias(rh), "pass").agg(
+        F.array_sort(F.collect_set(F.struct("from_word", "n_words"))).alias(parts)).drop("pass")
+    t = F.col(f"`{text}`")
+    d = docs.withColumn(k, F.col(f"`{key}`").cast("long")).withColumn(h, F.xxhash64(t))
+    x = d.join(per, F.col(k).eqNullSafe(F.col(rk)) & (F.col(h) == F.col(rh))).withColumn(w, words_of(t))
+    got = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["n_words"])
+    cut = F.array_join(F.transform(parts, lambda p: F.array_join(
+        F.slice(F.col(w), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")), " ")
+    return x.select(*[F.when(got >= F.size(w), t).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -194,13 +194,14 @@ def mcd_outliers(stats: DataFrame, language: str = "lang", source: str = "source
                                     *[(F.col(f"p{i}")[1] / UNIT).alias(f"m{i}") for i in range(P)], *[
         (F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / (UNIT * 1.349), F.lit(FLOORS[i])) ** 2 if i == j
          else F.lit(0.0)).alias(f"c{i}{j}") for i, j in TRI]))
-    params = materialize(plain.unionByName(spread), "mcd-start")
+    # rebalanced into few files, so that Spark sees the table's real size and may broadcast it
+    params = materialize(plain.unionByName(spread).hint("rebalance"), "mcd-start")
     for k in range(steps):
-        params = materialize(_solved(_concentrated(fit, params), SUBSET_FACTOR), f"mcd-step{k}")
+        params = materialize(_solved(_concentrated(fit, params), SUBSET_FACTOR).hint("rebalance"), f"mcd-step{k}")
     best = params.groupBy("gid").agg(F.min_by(F.struct("*"), F.struct("logdet", "start")).alias("b")).select("b.*")
     near = fit.join(best, "gid").where(_distance() <= WEIGHT_LIMIT)
     last = _solved(_moments(near, "gid").join(best.select("gid", "start", "rows_all"), "gid"), WEIGHT_FACTOR)
-    last = materialize(last.where(F.col("rows_all") >= min_rows).drop("start", "logdet"), "mcd-final")
+    last = materialize(last.where(F.col("rows_all") >= min_rows).drop("start", "logdet").hint("rebalance"), "mcd-final")
     named = [c for c in last.columns if c not in ("gid", "rows_all")]
 
     def at(level: int) -> DataFrame:
@@ -209,7 +210,7 @@ def mcd_outliers(stats: DataFrame, language: str = "lang", source: str = "source
     groups = v.groupBy("gid1", "gid2").agg(F.count(F.lit(1)).alias("n")).withColumn("gid3", _key(3))
     for level in (1, 2, 3):
         groups = groups.join(at(level), f"gid{level}", "left")
-    chosen = materialize(groups.select("gid1", F.coalesce("e1", "e2", "e3").alias("e")).select("gid1", "e.*"), "mcd-chosen")
+    chosen = materialize(groups.select("gid1", F.coalesce("e1", "e2", "e3").alias("e")).select("gid1", "e.*").hint("rebalance"), "mcd-chosen")
     out = v.join(chosen, "gid1").withColumn("mahalanobis2", F.when(~F.col("base_failed"), _distance()))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("mahalanobis2") <= limit, F.lit(True))).select(
         *stats.columns, "base_failed", "mahalanobis2", "kept")
