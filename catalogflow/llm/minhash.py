@@ -9,8 +9,10 @@ high similarities precisely from 64 bytes.
 
 Equal sets are one class.  Candidates never become all pairs of a bucket:
 
-1. every class is compared with the representative of the bucket company it
-   shares most bands with; confirmed links form components;
+1. in each of three rounds every bucket has four representatives (other ones
+   each time); a class is compared with the one, of all its buckets and of
+   another component, whose sketch is nearest to its own.  Confirmed links form
+   components, which leaves few classes with anything to compare;
 2. a bucket that still holds several components compares its strays (those
    outside the bucket's largest component) with its members of other
    components.  The odd sketch is tested inside the join, so only pairs that
@@ -32,8 +34,9 @@ from .graph import connected_components
 
 WORDS = 5
 SLOTS, BAND, BITS = 128, 4, 512
-#: XOR bits at a similarity of 0.5, where 6.5 standard deviations separate it from 0.75.
-SKETCH_LIMIT = 100
+#: XOR bits at a similarity of 0.58: a pair at 0.75 exceeds them with probability 1e-5.
+SKETCH_LIMIT = 88
+ROUNDS, REPRESENTATIVES = 3, 4
 PERCENT = 75
 
 _rng = np.random.default_rng(20250801)
@@ -101,6 +104,25 @@ def _xor_bits(a: str, b: str) -> Column:
                F.bit_count(F.col(f"{a}.k0").bitwiseXOR(F.col(f"{b}.k0"))))
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """May the sets be as similar as that, by their sizes and sketches?"""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_xor_bits(a, b) <= SKETCH_LIMIT)
+
+
+def _nearest(placed: DataFrame, sketches: DataFrame, salt: int, percent: int) -> DataFrame:
+    """(band, node, component) -> pairs (a, b): of the representatives of a
+    class's buckets that are of another component, the one with the nearest sketch."""
+    reps = placed.groupBy("band").agg(F.array(*[
+        F.min_by(F.struct(F.col("node").alias("rep"), F.col("component").alias("of")), F.xxhash64("node", F.lit(salt + i)))
+        for i in range(REPRESENTATIVES)]).alias("r"))
+    reps = reps.select("band", F.explode(F.array_distinct("r")).alias("r")).select("band", "r.*")
+    pairs = placed.join(reps, "band").where("component <> of").select("node", "rep").distinct()
+    pairs = pairs.join(sketches.alias("x"), "node").join(sketches.withColumnRenamed("node", "rep").alias("y"), "rep")
+    pairs = pairs.where(_alike("x", "y", percent)).withColumn("bits", _xor_bits("x", "y"))
+    return pairs.groupBy(F.col("node").alias("a")).agg(F.min_by("rep", F.struct("bits", "rep")).alias("b"))
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, hash (of the text), n_shingles, node (64-bit class of the set; null
     where empty), bands, k0..k7 (sketch)."""
@@ -165,14 +187,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     signed = materialize(signatures(d, "key"), "minhash-signatures")
     ks = [f"k{i}" for i in range(8)]
     classes = signed.where("node is not null").groupBy("node").agg(
-        F.min("key").alias("top"), F.any_value(F.struct("bands", *ks)).alias("s"))
+        F.min("key").alias("top"), F.any_value(F.struct(F.col("n_shingles").alias("n"), "bands", *ks)).alias("s"))
     classes = materialize(classes.select("node", "top", "s.*"), "minhash-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(banded.join(buckets.drop("n"), "band"), "minhash-members")
-    sketches = classes.select("node", *ks)
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = materialize(banded.join(buckets.drop("c"), "band"), "minhash-members")
 
-    needed = members.select("node").distinct()
+    needed = materialize(members.select("node").distinct(), "minhash-needed")
+    sketches = materialize(classes.select("node", "n", *ks).join(needed, "node"), "minhash-sketches")
     # One text per class that has company, found by key and text hash.  Rows that
     # repeat both are the only ones found twice; they are brought down to one.
     shown = signed.join(needed, "node", "left_semi").groupBy("node", "key", "hash").agg(F.count(F.lit(1)).alias("m"))
@@ -184,23 +206,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         found.where("m > 1").groupBy("node").agg(F.any_value("text").alias("text")))
     sets = materialize(full_sets(texts), "minhash-sets")
 
-    company = members.where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("c"))
-    first = company.groupBy("node").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep"))
-    first = first.join(sketches.alias("x"), "node").join(
-        sketches.withColumnRenamed("node", "rep").alias("y"), "rep").where(_xor_bits("x", "y") <= SKETCH_LIMIT)
-    links = materialize(confirmed(first.select(F.col("node").alias("a"), F.col("rep").alias("b")), sets, percent), "minhash-links1")
-    labels = materialize(connected_components(links), "minhash-components1")
-
-    placed = members.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "minhash-placed")
+    def place() -> DataFrame:
+        at = members if labels is None else members.join(labels, "node", "left")
+        return materialize(at.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node")),
+                           "minhash-placed")
+
+    links, labels = None, None
+    for r in range(ROUNDS):
+        placed = place()
+        new = confirmed(_nearest(placed, sketches, r * REPRESENTATIVES, percent), sets, percent)
+        links = materialize(new if links is None else links.unionByName(new), f"minhash-links{r}")
+        labels = materialize(connected_components(links), f"minhash-components{r}")
+    placed = place()
     mixed = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     inside = materialize(placed.join(mixed, "band").join(sketches, "node"), "minhash-mixed")
     a, b = inside.where("component <> main").alias("a"), inside.alias("b")
     second = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component"))
                     & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-                    & (_xor_bits("a", "b") <= SKETCH_LIMIT))
+                    & _alike("a", "b", percent))
     second = second.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     links = links.unionByName(confirmed(second, sets, percent))
     labels = materialize(connected_components(links), "minhash-components")
