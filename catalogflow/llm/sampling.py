@@ -22,6 +22,7 @@ are dealt to tasks.
 
 from __future__ import annotations
 
+import collections
 import itertools
 import re
 
@@ -34,8 +35,8 @@ from .langid import Rows
 
 MARK = "▁"
 ALPHA, PIECE_COST = 5e-4, 3.0
-SLICE = 800_000           # characters handled at a time
-POOL = 400_000            # places of word lattices kept from slice to slice
+SLICE = 500_000           # characters handled at a time
+POOL = 900_000            # places of word lattices kept from slice to slice
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
 
 
@@ -88,76 +89,88 @@ class Sampler:
     # ----------------------------------------------------------- the lattices
 
     def clear(self) -> None:
-        self.known, w = {}, self.longest
-        self.size, self.first, self.points = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
-        self.ids, self.logs, self.chance = (np.zeros((0, w), t) for t in (np.int32, np.float64, np.float32))
+        self.known = collections.defaultdict(itertools.count().__next__)
+        self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)                 # of units: places, first place
+        self.points, self.arc = np.zeros(0, np.uint64), np.zeros(1, np.int64)                # of places: character, first arc
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)                # of arcs; id -2: no piece
+        self.logs, self.upto = np.zeros(0), np.zeros(0)                                      # log chance, running sum
 
     def lattices(self, units: list[str]) -> None:
-        """Adds units to the pool.  For every place of a unit it holds the pieces
-        by length (ids, -1 none, -2 a character without piece), their log chances
-        given the place, and the running sum of the chances."""
+        """Adds units to the pool: an arc for every piece at every place, longest
+        first, with its log chance given the place."""
         size = np.array([len(u) for u in units])
         first = np.cumsum(size) - size
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
         total, width = len(points), min(self.longest, int(size.max()))
         left = np.repeat(first + size, size) - np.arange(total)    # characters to the unit's end
-        ids, logs = np.full((total, width), -1, np.int32), np.full((total, width), -np.inf)
         node, alive, arcs = np.zeros(total, np.uint64), np.arange(total), []
         for k in range(width):
             alive = alive[left[alive] > k]
             row = self.trie.find(_mix(node[alive] << np.uint64(21) | points[alive + k]))
-            alive = alive[row >= 0]
-            to = self.trie.values[row[row >= 0], 0].astype(np.int64)
+            hit = row >= 0
+            alive = alive[hit]
+            to = self.trie.values[row[hit], 0].astype(np.int64)
             node[alive] = to
             end = self.ends[to]
-            ids[alive, k] = end
             here = end >= 0
-            arcs.append((alive[here], np.full(here.sum(), k + 1), self.weight[end[here]]))
-        bare = np.flatnonzero(ids[:, 0] < 0)
-        ids[bare, 0] = -2
+            arcs.append((alive[here], end[here], np.full(here.sum(), k + 1), self.weight[end[here]]))
+        whole = np.zeros(total, bool)
+        whole[arcs[0][0]] = True
+        bare = np.flatnonzero(~whole)
         many = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
-        arcs.append((bare, np.ones(len(bare), int), self.rare - self.cost * (np.where(bool(self.bytes), many, 1) - 1)))
-        place, length, weight = (np.concatenate(c) for c in zip(*arcs))
-        order = np.argsort(left[place] * total + place, kind="stable")
-        place, length, weight = place[order], length[order], weight[order]
-        # log mass of what follows a place; one entry more per unit for its end
+        arcs.append((bare, np.full(len(bare), -2), np.ones(len(bare), int),
+                     self.rare - self.cost * (np.where(bool(self.bytes), many, 1) - 1)))
+        place, ids, length, weight = (np.concatenate(c[::-1]) for c in zip(arcs[-1], *arcs[:-1]))
+        order = np.argsort(place, kind="stable")                   # a merge of runs that are sorted already
+        place, ids, length, weight = place[order], ids[order], length[order], weight[order]
+        fan = np.bincount(place, minlength=total)                  # every place has an arc
+        start = np.cumsum(fan) - fan
+        # log mass of what follows a place, from the units' ends on; one entry more per unit for its end
         after = np.zeros(total + len(units))
         at = np.arange(total) + np.repeat(np.arange(len(units)), size)
-        seg = np.flatnonzero(np.append(True, place[1:] != place[:-1]))  # every place has an arc
-        fan, level = np.diff(np.append(seg, len(place))), left[place[seg]]
-        to = at[place] + length
-        bounds = np.searchsorted(level, np.arange(1, int(size.max()) + 2))
-        for r in range(len(bounds) - 1):
-            s = seg[bounds[r]:bounds[r + 1]]
-            a, b, n = s[0], s[-1] + fan[bounds[r + 1] - 1], fan[bounds[r]:bounds[r + 1]]
-            x = weight[a:b] + after[to[a:b]]
-            top = np.maximum.reduceat(x, s - a)
-            total_ = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), s - a))
-            after[at[place[s]]] = total_
-            weight[a:b] = x - np.repeat(total_, n)
-        logs[place, length - 1] = weight
-        chance = np.cumsum(np.exp(logs), axis=1)
-        chance[:, -1] = 1.0
-        self.first = np.concatenate([self.first, first + len(self.points)])
-        self.size, self.points = np.concatenate([self.size, size]), np.concatenate([self.points, points])
-        for name, a, empty in (("ids", ids, -1), ("logs", logs, -np.inf), ("chance", chance, 1.0)):
-            old = getattr(self, name)
-            wide = np.full((len(old) + total, self.longest), empty, old.dtype)
-            wide[:len(old)], wide[len(old):, :width] = old, a
-            setattr(self, name, wide)
+        by_left = np.argsort(left, kind="stable")
+        n = fan[by_left]
+        seg = np.append(0, np.cumsum(n))
+        turn = np.repeat(start[by_left] - seg[:-1], n) + np.arange(seg[-1])
+        w, to = weight[turn], (at[place] + length)[turn]
+        bounds = np.searchsorted(left[by_left], np.arange(1, int(size.max()) + 2))
+        for p, q in zip(bounds[:-1], bounds[1:]):
+            a, b, cut = seg[p], seg[q], seg[p:q] - seg[p]
+            x = w[a:b] + after[to[a:b]]
+            top = np.maximum.reduceat(x, cut)
+            mass = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n[p:q])), cut))
+            after[at[by_left[p:q]]] = mass
+            w[a:b] = x - np.repeat(mass, n[p:q])
+        weight[turn] = w
+        run = np.cumsum(np.exp(weight))
+        upto = run - np.repeat(run[start] - np.exp(weight[start]), fan)
+        upto[start + fan - 1] = 1.0
+        grown = (("first", first + len(self.points)), ("size", size), ("points", points), ("ids", ids.astype(np.int32)),
+                 ("lengths", length), ("logs", weight), ("upto", upto), ("arc", np.cumsum(fan) + self.arc[-1]))
+        for name, a in grown:
+            setattr(self, name, np.concatenate([getattr(self, name), a]))
+
+    def pick(self, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The arc of each place whose stretch of the running sum holds u."""
+        arc = self.arc[rows]
+        todo = np.flatnonzero(self.upto[arc] < u)
+        while len(todo):
+            arc[todo] += 1
+            todo = todo[self.upto[arc[todo]] < u[todo]]
+        return arc
 
     # ------------------------------------------------------------ the samples
 
     def walk(self, occ, unit, pos, step, key, place, sample):
         """Top-down samples of units from given places on: parallel arrays occ,
-        step, pos, length of all pieces (in no order)."""
+        step, place in the pool and arc of all pieces (in no order)."""
         out = []
         while len(occ):
             rows = self.first[unit] + pos
             u = self.uniform(key, sample, place, step)
-            length = (self.chance[rows] < u[:, None]).sum(axis=1) + 1
-            out.append((occ, step, rows, length))
-            pos, step = pos + length, step + 1
+            arc = self.pick(rows, u)
+            out.append((occ, step, rows, arc))
+            pos, step = pos + self.lengths[arc], step + 1
             go = pos < self.size[unit]
             occ, unit, pos, step, key, place = (a[go] for a in (occ, unit, pos, step, key, place))
         return [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), (), ()))]
@@ -173,7 +186,7 @@ class Sampler:
         if len(self.points) > POOL:
             self.clear()
         known, old = self.known, len(self.known)
-        unit = np.array([known.setdefault(u, len(known)) for s in split for u in s])
+        unit = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(count.sum()))
         if len(known) > old:
             self.lattices(list(itertools.islice(known, old, None)))
         n = len(some)
@@ -182,10 +195,10 @@ class Sampler:
         place = np.arange(len(unit)) - begin[doc]
         key = keys[some].astype(np.int64).view(np.uint64)
         best = -np.log(-np.log(self.uniform(key, 0, 0)))             # the largest perturbed value
-        # queued sets, parallel arrays: document, value, log mass, path they leave, piece index there, lengths not to take
+        # queued sets, parallel arrays: document, value, log mass, path they leave, piece index there, arcs not to take
         queue = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         paths, result = [], [[] for _ in texts]
-        now, barred = np.arange(n), np.zeros(n, np.int64)            # documents sampled in this round, barred lengths (bits)
+        now, barred = np.arange(n), np.zeros(n, np.int64)            # documents sampled in this round, barred arcs (bits)
         split_at, parent = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         for s in range(k + 1):
             if s:
@@ -205,8 +218,8 @@ class Sampler:
                     break
             new = self.path(s, now, parent, split_at, barred, paths, unit, doc, place, key, begin)
             paths.append(new)
-            occ, step, rows, length, bar, bounds = new
-            logs = self.logs[rows, length - 1]
+            occ, step, rows, arc, bar, bounds = new
+            logs = self.logs[arc]
             owner = doc[occ]
             run = np.cumsum(logs)
             base = np.zeros(n)
@@ -219,11 +232,9 @@ class Sampler:
             self.emit(result, some, now, new, whole, value_of)
             # what is left beside every piece from the split on
             rest = -np.expm1(logs)
-            taken = bar | (np.int64(1) << (length - 1))
-            few = np.flatnonzero((rest < 1e-3) | (bar > 0))           # summed, as the difference would be rounding
-            others = np.exp(self.logs[rows[few]])
-            others[(taken[few][:, None] >> np.arange(others.shape[1])) & 1 == 1] = 0
-            rest[few] = others.sum(axis=1)
+            taken = bar | (np.int64(1) << (arc - self.arc[rows]))
+            few = np.flatnonzero((rest < 1e-9) | (bar > 0))           # summed, as the difference would be rounding
+            rest[few] = self.open(rows[few], taken[few])[0]
             first_new = np.zeros(n, np.int64)
             first_new[now] = bounds[:-1] + np.maximum(split_at, 0)
             ask = np.flatnonzero((np.arange(len(occ)) >= first_new[owner]) & (rest > 0))
@@ -248,6 +259,17 @@ class Sampler:
                 one["inclusion"] = 1.0 if threshold[i] == -np.inf else float(-np.expm1(-np.exp(min(gap, 700.0))))
         return result
 
+    def open(self, rows: np.ndarray, barred: np.ndarray):
+        """Of places: the mass of the arcs that are not barred, the running sums
+        of those chances over all their arcs, and which place each sum is of."""
+        fan = self.arc[rows + 1] - self.arc[rows]
+        back, to = np.repeat(np.arange(len(rows)), fan), np.cumsum(fan) - fan
+        k = np.arange(len(back)) - to[back]
+        chance = np.where((barred[back] >> k) & 1 == 1, 0.0, np.exp(self.logs[self.arc[rows][back] + k]))
+        mass = np.add.reduceat(chance, to) if len(rows) else np.zeros(0)
+        run = np.cumsum(chance)
+        return mass, run - (run[to] - chance[to])[back], back
+
     @staticmethod
     def leading(owner: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
         """Indexes of the m largest values of each owner (owners ascending)."""
@@ -268,7 +290,7 @@ class Sampler:
 
     def path(self, s, now, parent, split_at, barred, paths, unit, doc, place, key, begin):
         """The pieces of sample s of the documents ``now``, in text order: occ,
-        step, rows, length, barred lengths and the documents' bounds."""
+        step, rows, arc, barred arcs and the documents' bounds."""
         ends = np.append(begin[1:], len(unit))
         parts = []
         if s == 0:
@@ -278,21 +300,21 @@ class Sampler:
         else:
             for which in np.unique(parent):
                 docs = np.flatnonzero(parent == which)
-                occ, step, rows, length, bar, bounds = paths[which]
+                occ, step, rows, arc, bar, bounds = paths[which]
                 of = np.unique(doc[occ])                              # documents of that path, ascending
                 at = np.searchsorted(of, now[docs])
                 a, i = bounds[at], bounds[at] + split_at[docs]
                 m = i - a
                 kept = np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                parts.append((occ[kept], step[kept], rows[kept], length[kept], bar[kept]))
+                parts.append((occ[kept], step[kept], rows[kept], arc[kept], bar[kept]))
                 # another piece at the split, then on from behind it
-                chance = np.exp(self.logs[rows[i]])
-                chance[(barred[docs][:, None] >> np.arange(chance.shape[1])) & 1 == 1] = 0
-                run = np.cumsum(chance, axis=1)
-                u = self.uniform(key[now[docs]], s, place[occ[i]], step[i]) * run[:, -1]
-                other = np.minimum((run <= u[:, None]).sum(axis=1), chance.shape[1] - 1) + 1
+                mass, run, back = self.open(rows[i], barred[docs])
+                u = self.uniform(key[now[docs]], s, place[occ[i]], step[i]) * mass
+                # the first arc whose running sum exceeds u
+                other = self.arc[rows[i]] + np.add.reduceat((run <= u[back]).astype(np.int64), np.flatnonzero(np.append(True, back[1:] != back[:-1])))
+                other = np.minimum(other, self.arc[rows[i] + 1] - 1)
                 parts.append((occ[i], step[i], rows[i], other, barred[docs]))
-                pos = rows[i] - self.first[unit[occ[i]]] + other
+                pos = rows[i] - self.first[unit[occ[i]]] + self.lengths[other]
                 go = pos < self.size[unit[occ[i]]]
                 follow = occ[i] + 1
                 f = ends[now[docs]] - follow
@@ -301,13 +323,13 @@ class Sampler:
                 zero = np.zeros(len(later), np.int64)
                 parts.append((*self.walk(o, unit[o], np.concatenate([pos[go], zero]), np.concatenate([step[i][go] + 1, zero]),
                                          key[doc[o]], place[o], s), None))
-        occ, step, rows, length = (np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(4))
+        occ, step, rows, arc = (np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(4))
         bar = np.concatenate([np.zeros(len(p[0]), np.int64) if p[4] is None else p[4] for p in parts])
         # place the pieces in text order: by occurrence, then step
         per = np.bincount(occ, minlength=len(unit))
         to = (np.cumsum(per) - per)[occ] + step
         out = []
-        for a in (occ, step, rows, length, bar):
+        for a in (occ, step, rows, arc, bar):
             b = np.empty(len(a), np.int64)
             b[to] = a
             out.append(b)
@@ -315,8 +337,8 @@ class Sampler:
         return (*out, np.append(0, np.cumsum(d)))
 
     def emit(self, result, some, now, path, whole, value):
-        _, _, rows, length, _, bounds = path
-        ids = self.ids[rows, length - 1]
+        _, _, rows, arc, _, bounds = path
+        ids = self.ids[arc]
         bare = np.flatnonzero(ids < 0)
         if len(bare):  # a character without piece becomes its bytes
             extra = [self.fallback(c) for c in "".join(map(chr, self.points[rows[bare]].tolist()))]
@@ -348,7 +370,16 @@ def sampler(model: bytes, *options) -> Sampler:
 
 
 SAMPLE = "array<struct<ids: array<int>, log_prob: double, perturbed: double, inclusion: double>>"
-_TYPE = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
+
+
+def _packed(rows: list[list[dict]]) -> pa.Array:
+    """Samples as an Arrow array of type SAMPLE."""
+    flat = [s for r in rows for s in r]
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s["ids"]) for s in flat)]), pa.int32()),
+                                   pa.array(np.concatenate([np.zeros(0, np.int32), *(s["ids"] for s in flat)]).astype(np.int32)))
+    values = [pa.array([s[k] for s in flat], pa.float64()) for k in ("log_prob", "perturbed", "inclusion")]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()),
+                                    pa.StructArray.from_arrays([ids, *values], ["ids", "log_prob", "perturbed", "inclusion"]))
 
 
 def sampled(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", k: int = 2,
@@ -378,7 +409,7 @@ def sampled(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
                 got = made.samples(texts[at:end], part.column(2).to_numpy(zero_copy_only=False), k)
                 back = made.sp.decode([s[0]["ids"].tolist() if s else [] for s in got])
                 back = [b if t else t for b, t in zip(back, texts[at:end])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, _TYPE), pa.array(back, pa.string())],
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _packed(got), pa.array(back, pa.string())],
                                                  ["key", "text", "samples", "decoded"])
                 at = end
 
