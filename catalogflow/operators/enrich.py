@@ -25,10 +25,12 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     match -- are spread over the reducers instead of all hashing to the one
     partition of ``null`` (a third of the rows may have no key / no link).
 
-    Exact: the join is on (coalesce(key, per-row sentinel), key IS NULL)
-    against (key, false), so a sentinel can never equal a real key."""
-    lk = F.coalesce(F.col(left_key).cast("string"),
-                    F.concat(F.lit("\u0000null:"), F.monotonically_increasing_id().cast("string")))
+    Exact: the join is on (coalesce(key, sentinel), key IS NULL) against
+    (key, false), so a sentinel can never equal a real key.  The sentinel is a
+    hash of the row's content: a recomputed task deals every row to the same
+    reducer again."""
+    content = F.xxhash64(*[F.col(c) for c in left.columns])
+    lk = F.coalesce(F.col(left_key).cast("string"), F.concat(F.lit("\u0000null:"), content.cast("string")))
     l2 = left.withColumn("_jk", lk).withColumn("_jnull", F.col(left_key).isNull())
     r2 = right.withColumn("_rjk", F.col(right_key).cast("string")).withColumn("_rjnull", F.lit(False))
     cond = (F.col("_jk") == F.col("_rjk")) & (F.col("_jnull") == F.col("_rjnull"))
@@ -74,33 +76,47 @@ def lookup_first(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     """For each left row, the *first* right row (by ``order``) with the same key;
     left rows without a match are dropped (``how='inner'``) or kept (``'left'``)."""
     first = dedupe_first(right, right_key, order)
+    if how == "left":
+        return left_join_spread_nulls(left, first.withColumnRenamed(right_key, "_first_key"), left_key,
+                                      "_first_key").withColumnRenamed("_first_key", right_key)
     return left.join(first, left[left_key] == first[right_key], how)
 
 
 def unresolved_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """left rows whose key is absent from the lookup (anti join)."""
-    return left.join(right.select(F.col(right_key).alias("_rk")), F.col(left_key) == F.col("_rk"), "left_anti")
+    """left rows whose key is absent from the lookup (anti join).  Rows
+    without a key are unresolved too; they skip the join, so they cannot meet
+    in one task."""
+    keyed = left.where(F.col(left_key).isNotNull()).join(
+        right.select(F.col(right_key).alias("_rk")), F.col(left_key) == F.col("_rk"), "left_anti")
+    return keyed.unionByName(left.where(F.col(left_key).isNull()))
+
+
+def first_document(documents: DataFrame, value, doc_key: str, text_col: str, order: str | None):
+    """``value`` of the first document per key: by ``order`` where the table has
+    that column, else by text.  Routing and attaching both go by this one."""
+    by = order if order and order in documents.columns else text_col
+    return documents.groupBy(F.col(doc_key).alias("_doc_key")).agg(F.min_by(value, F.col(by)).alias("_first"))
 
 
 def attach_documents(df: DataFrame, documents: DataFrame, link_col: str,
-                     doc_key: str = "doc_key", text_col: str = "text") -> DataFrame:
+                     doc_key: str = "doc_key", text_col: str = "text", order: str | None = "doc_seq") -> DataFrame:
     """Left join each row to its document text by link.
 
-    Documents are de-duplicated by key first (each extracted once); the join
-    is an equi-join that AQE may broadcast when the measured side is small.
+    The first document per key counts (see ``first_document``); the join is an
+    equi-join that AQE may broadcast when the measured side is small.
     """
-    docs = documents.select(F.col(doc_key).alias("_doc_key"), F.col(text_col).alias("_doc_text"))
-    docs = docs.groupBy("_doc_key").agg(F.min("_doc_text").alias("_doc_text"))
+    docs = first_document(documents, F.col(text_col), doc_key, text_col, order).withColumnRenamed("_first", "_doc_text")
     return (left_join_spread_nulls(df, docs, link_col, "_doc_key")
             .drop("_doc_key").withColumnRenamed("_doc_text", "doc_text"))
 
 
-def document_flags(documents: DataFrame, doc_key: str = "doc_key", text_col: str = "text") -> DataFrame:
-    """One row per document key: does it hold any text?  Computed once per
-    document, so routing joins a flag instead of shipping leaflet texts
-    through the item shuffle."""
-    return documents.groupBy(F.col(doc_key).alias("_doc_key")).agg(
-        F.max(has_text(F.col(text_col))).alias("_has_text"))
+def document_flags(documents: DataFrame, doc_key: str = "doc_key", text_col: str = "text",
+                   order: str | None = "doc_seq") -> DataFrame:
+    """One row per document key: does its first document hold text?  Computed
+    once per document, so routing joins a flag instead of shipping leaflet
+    texts through the item shuffle."""
+    flags = first_document(documents, has_text(F.col(text_col)), doc_key, text_col, order)
+    return flags.withColumnRenamed("_first", "_has_text")
 
 
 def route_items(items: DataFrame, catalog: DataFrame, documents: DataFrame,

@@ -23,11 +23,14 @@ def _key_text(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).cast("string"))
 
 
-def assert_unique(df: DataFrame, key: str) -> None:
-    """Raise ValueError when ``key`` repeats (distributed check, one tiny result)."""
-    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).limit(3).collect()
-    if dup:
-        raise ValueError(f"duplicate update keys: {[r[0] for r in dup]}")
+def unique_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows, one per key; a key that repeats fails the job that reads them
+    (the check is part of the plan, so nothing runs twice)."""
+    others = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*[F.col(c) for c in others])).alias("_row"))
+    message = F.concat(F.lit("duplicate update keys: "), F.coalesce(F.col(key), F.lit("null")))
+    checked = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(key))
+    return one.select(checked.alias(key), *[F.col("_row." + c).alias(c) for c in others])
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -47,8 +50,7 @@ def merge_updates(original: DataFrame, updates: DataFrame, key: str, columns=Non
     if columns is not None:
         shared = [c for c in shared if c in set(columns)]
     if duplicates == "error":
-        assert_unique(updates, key)
-        upd = updates
+        upd = unique_per_key(updates, key)
     elif duplicates == "unique":  # caller guarantees one row per key
         upd = updates
     elif duplicates == "last":
@@ -72,8 +74,8 @@ def merge_first_match(original: DataFrame, updates: DataFrame, key: str, order:
                       update_order: str, columns) -> DataFrame:
     """First-match overwrite: ``columns`` of the first original row per key
     (smallest ``order``) are replaced by the last update (greatest
-    ``update_order``) for that key -- null values included.  Joins on the key
-    only, so the original is hash-partitioned once."""
+    ``update_order``) for that key -- null values included.  The original is
+    read twice: key and order only, for the first row per key, then whole."""
     original = _key_text(original, key)
     updates = _key_text(updates, key)
     lastu = last_per_key(updates.select(key, update_order, *columns), key, update_order)

@@ -96,7 +96,7 @@ _ENR = """SELECT ni.input_seq, ni.item_key, ni.product_name, nc.cat_barcode, nc.
 FROM ni LEFT JOIN nc ON ni.item_key = nc.cat_barcode WHERE ni.item_key IS NOT NULL"""
 
 _ROUTED = _BASE + f""",
-nd AS (SELECT doc_key, min(text) AS doc_text FROM std_documents GROUP BY doc_key),
+nd AS (SELECT doc_key, first(text ORDER BY doc_seq) AS doc_text FROM std_documents GROUP BY doc_key),
 routed AS (
   SELECT ni.input_seq, ni.item_key, nc.cat_catalog_seq, nc.cat_leaflet_link,
     CASE WHEN ni.item_key IS NULL THEN 'no_key'
@@ -143,7 +143,7 @@ WHERE item_key IS NOT NULL
     "attach_documents": with_ctes("""
 SELECT fm.input_seq, fm.leaflet_link, length(nd.doc_text) AS text_chars, md5(nd.doc_text) AS text_md5
 FROM fm LEFT JOIN nd ON fm.leaflet_link = nd.doc_key""", *_ICD,
-                                  ctes=_FIRST + ", nd AS (SELECT doc_key, min(text) AS doc_text FROM std_documents GROUP BY doc_key)"),
+                                  ctes=_FIRST + ", nd AS (SELECT doc_key, first(text ORDER BY doc_seq) AS doc_text FROM std_documents GROUP BY doc_key)"),
     "progress_label": """
 SELECT o_orderkey AS input_seq,
        '(' || CAST(o_orderkey + 1 AS VARCHAR) || '/' || CAST((SELECT count(*) FROM orders) AS VARCHAR) || ')' AS progress

@@ -108,6 +108,6 @@ FROM (SELECT * FROM std_reviews QUALIFY row_number() OVER (PARTITION BY item_key
 JOIN (SELECT * FROM (SELECT {Q.norm_key('barcode')} AS barcode, leaflet_link, catalog_seq FROM std_catalog)
       WHERE barcode IS NOT NULL QUALIFY row_number() OVER (PARTITION BY barcode ORDER BY catalog_seq) = 1) f
   ON {Q.norm_key('l.item_key')} = f.barcode
-LEFT JOIN (SELECT doc_key, min(text) AS doc_text FROM std_documents GROUP BY doc_key) nd ON f.leaflet_link = nd.doc_key
+LEFT JOIN (SELECT doc_key, first(text ORDER BY doc_seq) AS doc_text FROM std_documents GROUP BY doc_key) nd ON f.leaflet_link = nd.doc_key
 WHERE l.status = 'disapproved'""", "std_reviews", "std_catalog", "std_documents"),
 }

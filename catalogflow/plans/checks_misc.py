@@ -119,13 +119,15 @@ def render_prompts_q(spark, d):
 
 def std_requests(spark, d):
     o = table(spark, d, "orders")
+    n_docs = table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
+    o = o.withColumn("doc", (F.col("o_orderkey") % n_docs).cast("string"))
     g = F.floor(F.col("o_orderkey") / 100).cast("bigint").alias("g")
-    lists = o.groupBy(g).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("xs"))
+    lists = o.groupBy(g).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "doc"))).alias("xs"))
     return lists.select(
         "g",
         F.to_json(F.transform("xs", lambda x: x["o_custkey"].cast("string"))).alias("skus_json"),
         F.transform("xs", lambda x: x["o_custkey"]).alias("skus"),
-        F.transform("xs", lambda x: (x["o_orderkey"] % 1000).cast("string")).alias("docs"))
+        F.transform("xs", lambda x: x["doc"]).alias("docs"))
 
 
 def json_request_rows_q(spark, d):
@@ -138,7 +140,7 @@ def positional_pairs_q(spark, d):
 
 def run_stamp_q(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", stamped_name("planilha_final", F.col("ts"), "xlsx").alias("filename"))
+    return e.select("event_id", stamped_name("catalog_final", F.col("ts"), "xlsx").alias("filename"))
 
 
 def payload_base64_q(spark, d):
@@ -284,9 +286,9 @@ FROM orders""",
     "positional_pairs": """
 SELECT CAST(o_orderkey // 100 AS BIGINT) AS g,
   CAST(row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1 AS INTEGER) AS pos,
-  o_custkey AS skus, CAST(o_orderkey % 1000 AS VARCHAR) AS docs
+  o_custkey AS skus, CAST(o_orderkey % (SELECT count(*) FROM documents) AS VARCHAR) AS docs
 FROM orders""",
-    "run_stamp": "SELECT event_id, 'planilha_final_' || strftime(ts, '%Y%m%d_%H%M%S') || '.xlsx' AS filename FROM events",
+    "run_stamp": "SELECT event_id, 'catalog_final_' || strftime(ts, '%Y%m%d_%H%M%S') || '.xlsx' AS filename FROM events",
     "payload_base64": """
 SELECT doc_id, md5(to_base64(encode(text))) AS b64_md5, length(to_base64(encode(text))) AS b64_len,
        decode(from_base64(to_base64(encode(text)))) = text AS roundtrip

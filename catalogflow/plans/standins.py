@@ -16,21 +16,7 @@ EM_SPACE = "\u2003"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spread_single_file(spark.read.parquet(path), path)
-
-
-def spread_single_file(df: DataFrame, path: str, min_bytes: int = 1 << 20) -> DataFrame:
-    """Ingest-time spreading for a *single local file* whose Parquet row groups
-    are fewer than the cores (the given test tables hold one row group, which
-    one task would read alone).  Directories -- how real tables arrive -- are
-    never inspected and pass through, so no shuffle is added at scale."""
-    import os
-    if "://" in path or not os.path.isfile(path) or os.path.getsize(path) < min_bytes:
-        return df
-    import pyarrow.parquet as pq
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if pq.ParquetFile(path).metadata.num_row_groups < n else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c):
@@ -60,12 +46,14 @@ def std_items(spark, sf_dir) -> DataFrame:
 
 def std_catalog(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 5 != 4)
+    # links reach all documents, however many there are
+    n_docs = table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
     ck = _s("c_custkey")
     base = c.select(
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), ck)).otherwise(ck).alias("barcode"),
         F.when(F.col("c_custkey") % 7 == 0, F.lit(None).cast("string"))
          .when(F.col("c_custkey") % 7 == 1, F.lit(""))
-         .otherwise((F.col("c_custkey") % 200).cast("string")).alias("leaflet_link"),
+         .otherwise((F.col("c_custkey") % n_docs).cast("string")).alias("leaflet_link"),
         F.when(F.col("c_custkey") % 3 == 0, F.lit(" Sim "))
          .when(F.col("c_custkey") % 3 == 1, F.lit("NÃO"))
          .otherwise(F.lit("SIM")).alias("link_valid"),
@@ -74,7 +62,7 @@ def std_catalog(spark, sf_dir) -> DataFrame:
     )
     copy = c.where(F.col("c_custkey") % 11 == 0).select(
         ck.alias("barcode"),
-        ((F.col("c_custkey") + 7) % 200).cast("string").alias("leaflet_link"),
+        ((F.col("c_custkey") + 7) % n_docs).cast("string").alias("leaflet_link"),
         F.lit("sim").alias("link_valid"),
         (F.col("c_custkey") * 2 + 1).alias("catalog_seq"),
         F.col("c_name"),
@@ -83,13 +71,18 @@ def std_catalog(spark, sf_dir) -> DataFrame:
 
 
 def std_documents(spark, sf_dir) -> DataFrame:
+    """Every document, some blank, some followed by a second text of the same key."""
     d = table(spark, sf_dir, "documents")
-    return d.select(
+    base = d.select(
         _s("doc_id").alias("doc_key"),
         F.when(F.col("doc_id") % 26 == 0, F.lit(""))
          .when(F.col("doc_id") % 13 == 0, F.lit(" \n "))
          .otherwise(F.col("text")).alias("text"),
-    )
+        (F.col("doc_id") * 2).alias("doc_seq"))
+    later = d.where(F.col("doc_id") % 3 == 0).select(
+        _s("doc_id").alias("doc_key"), F.when(F.col("doc_id") % 2 == 0, F.lit("A later leaflet")).otherwise(F.lit("")).alias("text"),
+        (F.col("doc_id") * 2 + 1).alias("doc_seq"))
+    return base.unionByName(later)
 
 
 def std_original(spark, sf_dir) -> DataFrame:
@@ -159,17 +152,20 @@ SELECT o_orderkey AS input_seq,
 FROM orders""",
     "std_catalog": """
 SELECT CASE WHEN c_custkey % 2 = 0 THEN ' ' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END AS barcode,
-  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN '' ELSE CAST(c_custkey % 200 AS VARCHAR) END AS leaflet_link,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN '' ELSE CAST(c_custkey % (SELECT count(*) FROM documents) AS VARCHAR) END AS leaflet_link,
   CASE WHEN c_custkey % 3 = 0 THEN ' Sim ' WHEN c_custkey % 3 = 1 THEN 'NÃO' ELSE 'SIM' END AS link_valid,
   c_custkey * 2 AS catalog_seq, c_name
 FROM customer WHERE c_custkey % 5 <> 4
 UNION ALL
-SELECT CAST(c_custkey AS VARCHAR), CAST((c_custkey + 7) % 200 AS VARCHAR), 'sim', c_custkey * 2 + 1, c_name
+SELECT CAST(c_custkey AS VARCHAR), CAST((c_custkey + 7) % (SELECT count(*) FROM documents) AS VARCHAR), 'sim', c_custkey * 2 + 1, c_name
 FROM customer WHERE c_custkey % 5 <> 4 AND c_custkey % 11 = 0""",
     "std_documents": """
 SELECT CAST(doc_id AS VARCHAR) AS doc_key,
-  CASE WHEN doc_id % 26 = 0 THEN '' WHEN doc_id % 13 = 0 THEN ' ' || chr(10) || ' ' ELSE text END AS text
-FROM documents""",
+  CASE WHEN doc_id % 26 = 0 THEN '' WHEN doc_id % 13 = 0 THEN ' ' || chr(10) || ' ' ELSE text END AS text, doc_id * 2 AS doc_seq
+FROM documents
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 'A later leaflet' ELSE '' END, doc_id * 2 + 1
+FROM documents WHERE doc_id % 3 = 0""",
     "std_original": """
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, doc_id * 2 AS orig_seq, lang, source,
   CASE WHEN doc_id % 3 <> 0 THEN 'T' || CAST(doc_id AS VARCHAR) END AS title, n_chars

@@ -37,21 +37,25 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "json", keep_corrupt:
     """Read the ledger; absent path -> empty DataFrame with the ledger schema.
 
     fmt ``json``: JSON lines (what ``append_ledger`` writes); each line is
-    parsed with built-in functions, unparsable lines go to ``_corrupt_record``
+    parsed with built-in functions, lines that hold no JSON object go to ``_corrupt_record``
     (dropped unless ``keep_corrupt``).  ``parquet``: appended Parquet parts,
-    schemas merged by name.  ``json_array``: the original single-file JSON
+    schemas merged by name, extra columns kept.  ``json_array``: the original single-file JSON
     array with its original field names (``seq`` is the array position)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     if fmt == "parquet":
-        return spark.read.schema(LEDGER_SCHEMA).option("mergeSchema", "true").parquet(path)
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+        missing = [f for f in LEDGER_SCHEMA.fields if f.name not in df.columns]
+        return df.select(*[F.col(f.name) if f not in missing else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in LEDGER_SCHEMA.fields], *[c for c in df.columns if c not in LEDGER_SCHEMA.fieldNames()])
     if fmt == "json_array":
         orig = T.StructType([T.StructField(k, LEDGER_SCHEMA[v].dataType) for k, v in ORIGINAL_FIELDS.items()])
         df = spark.read.schema(orig).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
         df = df.select(*[F.col(k).alias(v) for k, v in ORIGINAL_FIELDS.items()])
         return df.withColumn("seq", F.monotonically_increasing_id()).select(*LEDGER_SCHEMA.fieldNames())
     raw = spark.read.text(path)
-    ok = F.try_parse_json(F.col("value")).isNotNull()
+    # a record is a JSON object; numbers, strings, null and arrays are not
+    ok = F.try_parse_json(F.col("value")).isNotNull() & F.col("value").rlike(r"^\s*\{")
     parsed = raw.select(F.when(ok, F.from_json("value", LEDGER_SCHEMA)).alias("_r"),
                         F.when(~ok, F.col("value")).alias("_corrupt_record"))
     out = parsed.select("_r.*", "_corrupt_record")
