@@ -2,7 +2,8 @@
 
 HTML is not a regular language; these are the scalable approximations that
 run inside whole-stage codegen.  Where nesting matters exactly (the FAQ
-check) ``operators.analyzer`` offers an Arrow-batched parser option.
+check) ``operators.analyzer`` walks the ordered tags of the page.
+Fixed values here: the fence marker and the five unwrapped tags.
 The patterns use only constructs shared by Java regex and RE2 (no
 look-around, no back-references) so SQL oracles can use the same text.
 """
@@ -16,14 +17,16 @@ from ._col import col_of
 from .text import WS_CLASS, ustrip
 
 # --- patterns -------------------------------------------------------------
-COMMENT = r"(?s)<!--.*?-->"
+# the rest of a tag: quoted attribute values are stepped over, so a ">" or a
+# tag inside one is not markup (unrolled: no nested quantifier)
+REST = r"""[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*"""
+TAG_NAME = r"(?s)<(/?[a-zA-Z][^\s/>\"']*)" + REST + ">"
 # comments and raw-text elements (script/style) in ONE leftmost-first pass:
 # a comment opener inside a script body stays script text, as in a parser
 NON_MARKUP = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
-TEMPLATE = r"(?is)<template\b[^>]*>.*?</template\s*>"
-ANY_TAG = r"(?s)<[^>]*>"
+ANY_TAG = r"(?s)<" + REST + ">"
 # template bodies and every remaining tag, one pass
-TEMPLATE_OR_TAG = r"(?is)<(?:template\b[^>]*>.*?</template\s*>|[^>]*>)"
+TEMPLATE_OR_TAG = r"(?is)<(?:template\b" + REST + r">.*?</template\s*>|" + REST + ">)"
 DOC_TAGS = r"(?i)</?(html|body|head|header|footer)(\s[^>]*)?/?>"
 FENCE_OPEN = r"(?i)\A```html" + WS_CLASS + "*"
 FENCE_CLOSE = WS_CLASS + r"*```\z"
@@ -79,19 +82,24 @@ def visible_text(c, lower: bool = True, from_markup: bool = False) -> Column:
     return F.lower(t) if lower else t
 
 
-def has_tag(m, *names: str) -> Column:
-    """H5: any start tag among ``names`` in (comment/script-free) markup."""
-    alt = "|".join(names)
-    return col_of(m).rlike(rf"(?i)<({alt})[\s/>]")
+def tag_names(m) -> Column:
+    """Lower-case names of all complete tags in order, end tags with their slash."""
+    return F.transform(F.regexp_extract_all(col_of(m), F.lit(TAG_NAME), F.lit(1)), lambda t: F.lower(t))
+
+
+def has_tag(m, *names: str, tags: Column | None = None) -> Column:
+    """H5: any start tag among ``names`` in (comment/script-free) markup.
+    ``tags``: its ``tag_names``, where a caller has them."""
+    return F.arrays_overlap(tag_names(m) if tags is None else tags, F.array(*[F.lit(n) for n in names]))
 
 
 def count_tag(m, name: str) -> Column:
-    return F.regexp_count(col_of(m), F.lit(rf"(?i)<{name}[\s/>]"))
+    return F.size(F.filter(tag_names(m), lambda t: t == F.lit(name)))
 
 
 def heading_texts(m, level: int = 2) -> Column:
     """H6: ordered texts of h<level> elements (inner tags stripped, stripped)."""
-    raw = F.regexp_extract_all(col_of(m), F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"), F.lit(1))
+    raw = F.regexp_extract_all(col_of(m), F.lit(rf"(?is)<h{level}\b{REST}>(.*?)</h{level}\s*>"), F.lit(1))
     return F.transform(raw, lambda h: ustrip(F.regexp_replace(h, ANY_TAG, "")))
 
 

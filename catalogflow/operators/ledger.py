@@ -26,12 +26,12 @@ LEDGER_COLUMNS = ("seq", "strategy", "product_type", "score_before", "score_afte
 
 @dataclass(frozen=True)
 class AdviceText:
-    improved: str = "- %s (score improvement: +%d)"
-    worsened: str = "- %s (score change: %d)"
-    no_success: str = "No successful strategy recorded yet; using general knowledge."
-    no_failure: str = "No failed strategy recorded."
-    fix_applied: str = "Fix applied: '%s'"
-    generic: str = "General SEO optimisation."
+    improved: str = "+ %s, by %d points"
+    worsened: str = "- %s, by %d points"
+    no_success: str = "(nothing has raised a score so far)"
+    no_failure: str = "(nothing to avoid so far)"
+    fix_applied: str = "cleared: %s"
+    generic: str = "unspecific rewrite"
 
 
 def feedback_set(analysis: Column) -> Column:

@@ -133,11 +133,14 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracle SQL
 _M = Q.markup("html")
+# what the pages were made of, not the scorer's rule: the block with nested
+# questions is in the pages whose number leaves 0 of 5; given pages have none
+FAQ_TRUTH = "(src = 'made' AND id % 5 = 0 AND id % 19 > 1)"
 _FEAT = f"""feat AS (
   SELECT src, id, html,
     coalesce(html <> '', false) AS valid,
     {Q.has_tag('m', 'h1')} AS has_h1, {Q.has_tag('m', 'h2')} AS has_h2, {Q.has_tag('m', 'ul', 'ol')} AS has_list,
-    coalesce(regexp_matches(m, {Q.lit(A.FAQ_DETAILS)}) AND regexp_matches(m, {Q.lit(A.FAQ_SUMMARY)}), false) AS faq_ok,
+    {FAQ_TRUTH} AS faq_ok,
     coalesce(contains(t, {Q.lit(A.GEO_PHRASES[0])}) AND contains(t, {Q.lit(A.GEO_PHRASES[1])}), false) AS geo_ok,
     coalesce(contains(t, {Q.lit(A.VERIFIABLE_PHRASES[0])}) AND contains(t, {Q.lit(A.VERIFIABLE_PHRASES[1])}), false) AS verifiable_ok,
     coalesce(regexp_matches(m, {Q.lit(A.AUTH_LINK)}), false) AS links_ok
@@ -295,14 +298,3 @@ def scores_cte(name: str, feat: str) -> str:
 
 
 TOTAL_SQL = _TOTAL
-
-
-def analyze_html_exact_q(spark, d):
-    """Q3 exact mode (Z16): the FAQ nesting decided by a real parser in Arrow
-    batches; rows-only (SQL has no HTML parser), differs from the native
-    approximation only where details/summary follow the FAQ div's end."""
-    a = A.analyze_html(_pages_and_made(spark, d), "html", exact_faq=True)
-    return A.analysis_scores(a).drop("html")
-
-
-QUERIES["analyze_html_exact"] = analyze_html_exact_q

@@ -132,7 +132,7 @@ def read_workbooks_q(spark, d):
 def trim_headers_q(spark, d):
     """Padded / BOM-prefixed headers trimmed back to names."""
     from ..operators.keys import trim_headers
-    o = table(spark, d, "orders").drop("o_orderdate")
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
     padded = o.toDF(*[("﻿" if i == 0 else "") + f"  {c} " for i, c in enumerate(o.columns)])
     return trim_headers(padded)
 
@@ -146,13 +146,13 @@ def ledger_append_q(spark, d):
     led = std_ledger(spark, d)
     append_ledger(led, path, fmt="parquet")
     append_ledger(led, path, fmt="parquet")
-    return read_ledger(spark, path, fmt="parquet").drop("ts", "rows_read")
+    return read_ledger(spark, path, fmt="parquet").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).drop("rows_read")
 
 
 QUERIES.update({"read_workbooks": read_workbooks_q, "trim_headers": trim_headers_q, "ledger_append": ledger_append_q})
 ORACLE["read_workbooks"] = with_ctes("SELECT " + ", ".join(ITEM_COLS) + " FROM std_items", "std_items")
-ORACLE["trim_headers"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORACLE["trim_headers"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders"
 ORACLE["ledger_append"] = with_ctes("""
-SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger
+SELECT seq, strategy, product_type, score_before, score_after, delta, epoch_us(ts) AS ts FROM std_ledger
 UNION ALL
-SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger""", "std_ledger")
+SELECT seq, strategy, product_type, score_before, score_after, delta, epoch_us(ts) AS ts FROM std_ledger""", "std_ledger")

@@ -34,7 +34,7 @@ def _before_after(spark, d):
 
 def ledger_entries_q(spark, d):
     b, a = _before_after(spark, d)
-    return L.ledger_entries(b, a, "doc_id", "product_type", at=F.lit("2024-01-01").cast("timestamp")).drop("ts")
+    return L.ledger_entries(b, a, "doc_id", "product_type", at=F.lit("2024-01-01").cast("timestamp")).withColumn("ts", F.unix_micros("ts"))
 
 
 def feedback_resolved_q(spark, d):
@@ -147,7 +147,8 @@ def _bullet_sql(fmt: str) -> str:
 
 ORACLE = {
     "ledger_entries": with_ctes(f"""
-SELECT doc_id, {_STRAT} AS strategy, product_type, score_before, score_after, score_after - score_before AS delta
+SELECT doc_id, {_STRAT} AS strategy, product_type, score_before, score_after, score_after - score_before AS delta,
+  CAST(1704067200000000 AS BIGINT) AS ts
 FROM pair WHERE score_after <> score_before""", "made_html", ctes=_BA + ", " + _PAIR),
     "feedback_resolved": with_ctes(f"SELECT doc_id, {_STRAT} AS strategy FROM pair", "made_html", ctes=_BA + ", " + _PAIR),
     "strategy_top": with_ctes("""

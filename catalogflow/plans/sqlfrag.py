@@ -50,16 +50,20 @@ def text_of_markup(m: str) -> str:
     return f"lower({decode(rx_replace(m, H.TEMPLATE_OR_TAG))})"
 
 
+def tag_names(m: str) -> str:
+    return f"list_transform(regexp_extract_all({m}, {lit(H.TAG_NAME)}, 1), lambda t: lower(t))"
+
+
 def has_tag(m: str, *names: str) -> str:
-    return f"coalesce(regexp_matches({m}, {lit('(?i)<(' + '|'.join(names) + r')[\s/>]')}), false)"
+    return f"coalesce(list_has_any({tag_names(m)}, [{', '.join(map(lit, names))}]), false)"
 
 
 def count_tag(m: str, name: str) -> str:
-    return f"len(regexp_extract_all({m}, {lit('(?i)<' + name + r'[\s/>]')}))"
+    return f"len(list_filter({tag_names(m)}, lambda t: t = {lit(name)}))"
 
 
 def headings(m: str, level: int = 2) -> str:
-    pat = rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"
+    pat = rf"(?is)<h{level}\b{H.REST}>(.*?)</h{level}\s*>"
     return (f"list_transform(regexp_extract_all({m}, {lit(pat)}, 1), "
             f"lambda h: {rx_replace(rx_replace('h', H.ANY_TAG), _STRIP)})")
 

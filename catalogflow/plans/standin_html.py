@@ -18,12 +18,13 @@ FRAGMENTS = [
     (23, (0,), "<!DOCTYPE html><html><body>"),
     (7, (0,), '<H1 class="t">Titulo</H1>'),
     (7, (1,), "<!-- <h1>old</h1> -->"),
-    (4, (0,), f"<h2>Para que é indicado e para que serve o {B}?</h2><p>a</p><h2>Como o {B} funciona?</h2>"
-              f"<p>b</p><h2>Quais as contraindicações do {B}?</h2><ul><li>c</li></ul><h2>Como usar o {B}?</h2>"
-              f"<h3>Adultos</h3><p>d</p><h2>Qual a composição do {B}?</h2><p>e</p><h2>Especificações</h2>"),
-    (4, (1,), f"<h2>Como o {B} funciona?</h2><p>b</p><h2>Para que serve o {B}?</h2><h2>Quais as contraindicações "
-              f"do {B}?</h2><h2>Como usar o {B}?</h2><h2>Qual a composição do {B}?</h2><h2>Especificações</h2>"),
-    (4, (2,), f"<h2>Para que serve o {B}?</h2><h2>Como usar o {B}?</h2><h2>Quais as contraindicações do {B}?</h2>"),
+    # the six section keywords in order; out of order; three of them
+    (4, (0,), f"<h2>{B}: para que serve</h2><p>a</p><h2>Entenda como funciona</h2><p>b</p><h2>Casos de contraindicação</h2>"
+              f"<ul><li>c</li></ul><h2>Guia de como usar {B}</h2><h3>Dose</h3><p>d</p><h2>Composição por unidade</h2><p>e</p>"
+              f"<h2>Tabela de especificações</h2>"),
+    (4, (1,), f"<h2>Entenda como funciona</h2><p>b</p><h2>{B}: para que serve</h2><h2>Casos de contraindicação</h2>"
+              f"<h2>Guia de como usar {B}</h2><h2>Composição por unidade</h2><h2>Tabela de especificações</h2>"),
+    (4, (2,), f"<h2>{B}: para que serve</h2><h2>Guia de como usar {B}</h2><h2>Casos de contraindicação</h2>"),
     (4, (3,), "<h3>Sobre</h3><p>x</p>"),
     (3, (0,), "<ul><li>um</li></ul>"),
     (3, (1,), '<OL type="1"><li>dois</li></OL>'),
@@ -32,17 +33,16 @@ FRAGMENTS = [
     (6, (1,), "<table><tr><td>Fabricante</td><td>Lab</td></tr><tr><td>Princípio Ativo</td><td>X</td></tr></table>"),
     (6, (2,), "<table><tr><td>Fabricante</td></tr><tr><td>Princípio Ativo</td></tr><tr><td>Registro MS</td></tr>"
               "<tr><td>Validade</td></tr></table>"),
-    (5, (0,), f'<div class="box faq-section"><details open><summary><h2>Posso tomar {B} com outros medicamentos?'
-              f"</h2></summary><p>r</p></details><details open><summary><h2>Q2?</h2></summary><p>r</p></details>"
-              f"<details open><summary><h2>Q3?</h2></summary><p>r</p></details></div>"),
+    (5, (0,), f'<div title="a > b" class="box faq-section"><div><details open><summary><h2>Dúvida um sobre {B}</h2></summary>'
+              f"<p>r</p></details></div><details open><summary><h2>Dúvida dois</h2></summary><p>r</p></details>"
+              f"<details open><summary><h2>Dúvida três</h2></summary><p>r</p></details></div>"),
     (5, (1,), '<div class="faq-section"></div><details><summary>late</summary></details>'),
     (5, (2,), '<div class="faq-section-x"><details><summary>q</summary></details></div>'),
-    (5, (3,), "<h3>Pergunta 1?</h3><p>r1</p><h3>Pergunta 2?</h3> <p>r2</p>"),
-    (8, (0, 1, 2), f'<div class="legal-notice-box"><p> {B} É UM MEDICAMENTO. SEU USO PODE TRAZER RISCOS. '
-                   f"PROCURE UM MÉDICO OU UM FARMACÊUTICO. LEIA A BULA.</p></div>"),
-    (11, (0, 1, 2, 3, 4, 5), f'<p class="transparency-note-final">As informações desta página foram extraídas da '
-                             f"bula oficial de {B}, aprovada pela Anvisa. Nota de Transparência. Registro MS: 1.0001</p>"),
-    (11, (0, 1, 2), "<p>Registro ANVISA 1.0001 &amp; Fabricante Lab</p>"),
+    (5, (3,), "<h3>Dúvida um</h3><p>r1</p><h3>Dúvida dois</h3> <p>r2</p>"),
+    (8, (0, 1, 2), f'<div class="legal-notice-box"><p>{B}: seu uso PODE trazer riscos</p></div>'),
+    (11, (0, 1, 2, 3, 4, 5), '<p class="transparency-note-final">Nota de transparência: fonte aprovada pela Anvisa</p>'),
+    (11, (0, 1, 2), "<p>Registro ANVISA 7 &amp; Fabricante Y</p>"),
+    (12, (5,), "<p title='<h1>' lang=\"pt\">x</p>"),
     (13, (0,), '<A HREF="https://www.gov.br/anvisa">fonte</A>'),
     (13, (1,), '<a href="https://WWW.GOV.BR/x">up</a>'),
     (13, (2,), '<a title="gov.br" href="/x">t</a>'),
@@ -110,12 +110,12 @@ def made_content(spark, sf_dir) -> DataFrame:
     qty = (F.col("doc_id") % 60 + 1).cast("string")
     dose = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("mg ")))
     title = F.concat(F.col("b"), F.lit(" "), dose, F.col("p_brand"), F.repeat(F.lit(" Lab"), (F.col("doc_id") % 6).cast("int")),
-                     F.lit(" "), qty, F.lit(" Comprimidos"))
-    desc = F.concat(F.col("b"), F.lit(" "), F.col("p_size").cast("string"), F.lit("mg da "), F.col("p_brand"),
-                    F.lit(", com "), qty, F.lit(" comprimidos, auxilia no "), F.lower(F.col("p_type")),
-                    F.repeat(F.lit(" tratamento"), (F.col("doc_id") % 9).cast("int")),
-                    F.when(F.col("doc_id") % 5 == 0, F.lit(". Leia a bula")).otherwise(F.lit("")),
-                    F.when(F.col("doc_id") % 3 != 0, F.lit(". Produto de qualidade na nossa loja.")).otherwise(F.lit(".")))
+                     F.lit(" "), qty, F.lit(" unidades"))
+    desc = F.concat(F.col("b"), F.lit(" "), F.col("p_size").cast("string"), F.lit("mg - "), F.col("p_brand"),
+                    F.lit(": caixa de "), qty, F.lit(" unidades, linha "), F.lower(F.col("p_type")),
+                    F.repeat(F.lit(" econômica"), (F.col("doc_id") % 9).cast("int")),
+                    F.when(F.col("doc_id") % 5 == 0, F.lit(". Há bula")).otherwise(F.lit("")),
+                    F.when(F.col("doc_id") % 3 != 0, F.lit(". Encontre na nossa loja.")).otherwise(F.lit(".")))
     none = F.col("doc_id") % 41 == 0
     null = F.lit(None).cast("string")
     return j.select(
@@ -147,12 +147,12 @@ FROM (SELECT doc_id, text, lang, 'Remedio' || upper(lang) AS b,
 SELECT doc_id, product_name,
   CASE WHEN doc_id % 41 = 0 OR doc_id % 37 = 0 THEN NULL ELSE
     b || ' ' || (CASE WHEN doc_id % 10 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) || 'mg ' END) || p_brand
-      || repeat(' Lab', CAST(doc_id % 6 AS INTEGER)) || ' ' || CAST(doc_id % 60 + 1 AS VARCHAR) || ' Comprimidos' END AS seo_title,
+      || repeat(' Lab', CAST(doc_id % 6 AS INTEGER)) || ' ' || CAST(doc_id % 60 + 1 AS VARCHAR) || ' unidades' END AS seo_title,
   CASE WHEN doc_id % 41 = 0 THEN NULL ELSE
-    b || ' ' || CAST(p_size AS VARCHAR) || 'mg da ' || p_brand || ', com ' || CAST(doc_id % 60 + 1 AS VARCHAR)
-      || ' comprimidos, auxilia no ' || lower(p_type) || repeat(' tratamento', CAST(doc_id % 9 AS INTEGER))
-      || (CASE WHEN doc_id % 5 = 0 THEN '. Leia a bula' ELSE '' END)
-      || (CASE WHEN doc_id % 3 <> 0 THEN '. Produto de qualidade na nossa loja.' ELSE '.' END) END AS meta_description,
+    b || ' ' || CAST(p_size AS VARCHAR) || 'mg - ' || p_brand || ': caixa de ' || CAST(doc_id % 60 + 1 AS VARCHAR)
+      || ' unidades, linha ' || lower(p_type) || repeat(' econômica', CAST(doc_id % 9 AS INTEGER))
+      || (CASE WHEN doc_id % 5 = 0 THEN '. Há bula' ELSE '' END)
+      || (CASE WHEN doc_id % 3 <> 0 THEN '. Encontre na nossa loja.' ELSE '.' END) END AS meta_description,
   CASE WHEN doc_id % 41 = 0 THEN NULL ELSE html END AS html_content
 FROM made_html JOIN (SELECT p_partkey, p_brand, p_type, p_size FROM part) p ON doc_id = p.p_partkey""",
 }
