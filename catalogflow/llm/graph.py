@@ -33,7 +33,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         before = seen
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = large.where("u > v")
         s = _smallest(large)
         small = s.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")

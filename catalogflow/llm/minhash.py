@@ -9,7 +9,7 @@ high similarities precisely from 64 bytes.
 
 Equal sets are one class.  Candidates never become all pairs of a bucket:
 
-1. in each of three rounds every bucket has four representatives (other ones
+1. in each of two rounds every bucket has six representatives (other ones
    each time); a class is compared with the one, of all its buckets and of
    another component, whose sketch is nearest to its own.  Confirmed links form
    components, which leaves few classes with anything to compare;
@@ -36,7 +36,7 @@ WORDS = 5
 SLOTS, BAND, BITS = 128, 4, 512
 #: XOR bits at a similarity of 0.58: a pair at 0.75 exceeds them with probability 1e-5.
 SKETCH_LIMIT = 88
-ROUNDS, REPRESENTATIVES = 3, 4
+ROUNDS, REPRESENTATIVES = 2, 6
 PERCENT = 75
 
 _rng = np.random.default_rng(20250801)
