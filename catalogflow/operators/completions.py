@@ -55,8 +55,9 @@ def default_templates() -> dict[str, str]:
 
 def call_with_retries(fn: Callable, prompts: list, max_tries: int = 5, first_wait: float = 2.0,
                       max_wait: float = 60.0, transient=(TransientError,), sleep=time.sleep) -> list:
-    """One batch call with the retry policy; non-transient errors fall back
-    to per-prompt calls so one bad prompt does not null the whole batch."""
+    """One batch call with the retry policy.  A batch that fails for good, or
+    stays transient for ``max_tries`` calls, is asked prompt by prompt (each
+    with tries of its own), so a prompt's answer does not depend on its company."""
     wait = first_wait
     for attempt in range(max_tries):
         try:
@@ -65,30 +66,43 @@ def call_with_retries(fn: Callable, prompts: list, max_tries: int = 5, first_wai
                 raise ValueError("completion_fn returned a different number of answers")
             return out
         except transient:
-            if attempt == max_tries - 1:
-                break
-            sleep(wait)
-            wait = min(wait * 2, max_wait)
+            if attempt < max_tries - 1:
+                sleep(wait)
+                wait = min(wait * 2, max_wait)
         except Exception:  # noqa: BLE001
-            if len(prompts) == 1:
-                return [None]
-            return [call_with_retries(fn, [p], max_tries, first_wait, max_wait, transient, sleep)[0]
-                    for p in prompts]
-    return [None] * len(prompts)
+            break
+    if len(prompts) == 1:
+        return [None]
+    return [call_with_retries(fn, [p], max_tries, first_wait, max_wait, transient, sleep)[0] for p in prompts]
 
 
-def complete(df: DataFrame, key: str, prompt_col: str, completion_fn: Callable | None = None,
+def answered(df: DataFrame, key: str, prompt_col: str, responses: DataFrame, out_col: str = "response") -> DataFrame:
+    """G1 from a table of given answers: (prompt_hash, response), joined on the
+    prompt's SHA-256.  Prompts stay where they are rendered; only key and hash
+    are shuffled.  A prompt without an answer has a null response."""
+    asked = df.select(F.col(key), F.sha2(F.col(prompt_col), 256).alias("_hash"))
+    given = responses.select(F.col("prompt_hash").alias("_h"), F.col("response").alias(out_col))
+    return asked.join(given, F.col("_hash") == F.col("_h"), "left").select(key, out_col)
+
+
+def complete(df: DataFrame, key: str, prompt_col: str, completion_fn: Callable | DataFrame | None = None,
              client_factory: Callable | None = None, out_col: str = "response", batch_size: int = 16,
              parallelism: int | None = None, max_tries: int = 5, first_wait: float = 2.0,
              max_wait: float = 60.0, transient=(TransientError,), persist: bool = True,
              name: str = "completions") -> DataFrame:
-    """G1: (key, prompt) -> (key, response).  Null prompts are not sent."""
+    """G1: (key, prompt) -> (key, response).  Null prompts are not sent.
+
+    ``completion_fn`` may be a table of answers instead (see ``answered``).
+    ``parallelism`` is the number of concurrent callers and has no default:
+    left to the optimizer, short prompts would meet in one task."""
+    if isinstance(completion_fn, DataFrame):
+        return answered(df, key, prompt_col, completion_fn, out_col)
     if (completion_fn is None) == (client_factory is None):
         raise ValueError("give exactly one of completion_fn / client_factory")
     src = df.select(F.col(key), F.col(prompt_col).alias("_prompt"))
-    # parallelism = number of concurrent model callers (default: as partitioned)
-    if parallelism:
-        src = src.repartition(parallelism)
+    if not parallelism:
+        raise ValueError("say how many tasks may call the model: parallelism=...")
+    src = src.repartition(parallelism, F.xxhash64(key))
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]):
@@ -112,14 +126,32 @@ def _parsed_content(resp) -> F.Column:
     return J.parse_json(J.extract_json_text(resp, "outermost"), CONTENT_SCHEMA)
 
 
+def generate_prompts(df: DataFrame, key: str, name: str, text: str, template: str, keywords: str | None = None) -> DataFrame:
+    """(key, prompt) of the first attempt."""
+    vars_ = {"product_name": name, "base_name": base_name(name), "leaflet_text": text}
+    if keywords:
+        vars_["keywords"] = keywords
+    return df.select(key, render(template, vars_).alias("prompt"))
+
+
+def refine_prompts(df: DataFrame, key: str, name: str, text: str, template: str,
+                   content: str = "content", audit_col: str = "audit") -> DataFrame:
+    """(key, prompt) of a further attempt: what was written and what the audit found."""
+    return df.select(key, render(template, {
+        "product_name": name, "leaflet_text": text,
+        "previous_json": F.to_json(F.col(content)), "audit_json": F.to_json(F.col(audit_col))}).alias("prompt"))
+
+
+def fallback_prompts(df: DataFrame, key: str, name: str, text: str, template: str) -> DataFrame:
+    """(key, prompt) of the plain page."""
+    return df.select(key, render(template, {"product_name": name, "leaflet_text": text}).alias("prompt"))
+
+
 def generate(df: DataFrame, key: str, name: str, text: str, completion_fn, template: str,
              keywords: str | None = None, **kw) -> DataFrame:
     """Render -> complete -> extract JSON -> accept when html > 50 chars
     (F6); model error objects are never accepted as content (H11)."""
-    vars_ = {"product_name": name, "base_name": base_name(name), "leaflet_text": text}
-    if keywords:
-        vars_["keywords"] = keywords
-    prompts = df.select(key, render(template, vars_).alias("prompt"))
+    prompts = generate_prompts(df, key, name, text, template, keywords)
     resp = complete(prompts, key, "prompt", completion_fn, name="generate", **kw)
     c = _parsed_content(F.col("response"))
     ok = J.generated_ok(c["html_content"]) & J.json_error(J.extract_json_text("response")).isNull()
@@ -139,9 +171,7 @@ def audit(df: DataFrame, content: str = "content", name: str | None = None, out:
 def refine(df: DataFrame, key: str, name: str, text: str, completion_fn, template: str,
            content: str = "content", audit_col: str = "audit", **kw) -> DataFrame:
     """A new record from previous record + audit; failure keeps the previous."""
-    prompts = df.select(key, render(template, {
-        "product_name": name, "leaflet_text": text,
-        "previous_json": F.to_json(F.col(content)), "audit_json": F.to_json(F.col(audit_col))}).alias("prompt"))
+    prompts = refine_prompts(df, key, name, text, template, content, audit_col)
     resp = complete(prompts, key, "prompt", completion_fn, name="refine", **kw)
     new = _parsed_content(F.col("response"))
     bad = J.json_error(J.extract_json_text("response")).isNotNull()
@@ -152,7 +182,7 @@ def refine(df: DataFrame, key: str, name: str, text: str, completion_fn, templat
 
 def fallback(df: DataFrame, key: str, name: str, text: str, completion_fn, template: str, **kw) -> DataFrame:
     """Simple page (F7 error paragraph when short) + fixed title/description."""
-    prompts = df.select(key, render(template, {"product_name": name, "leaflet_text": text}).alias("prompt"))
+    prompts = fallback_prompts(df, key, name, text, template)
     resp = complete(prompts, key, "prompt", completion_fn, name="fallback", **kw)
     err = J.json_error(J.extract_json_text("response")).isNotNull()
     html = J.fallback_html(F.when(~err, F.col("response")))
@@ -173,15 +203,22 @@ def produce_content(df: DataFrame, key: str, name: str, text: str, completion_fn
     and defaults (P5).  ``df`` must have one row per ``key``; rows with blank
     text should be routed away before (F4)."""
     t = templates or default_templates()
-    base = df.select(key, name, text, *([keywords] if keywords else []))
-    a1 = audit(generate(base, key, name, text, completion_fn, t["page_generator"], keywords=keywords, **kw),
-               name=name)
+    base = materialize(df.select(key, name, text, *([keywords] if keywords else [])), "base")
+    texts = base.select(F.col(key).alias("_tk"), text)
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """Texts join the rows that still need a prompt, and no others."""
+        return rows.join(texts, F.col(key) == F.col("_tk")).drop("_tk")
+
+    a1 = audit(generate(base, key, name, text, completion_fn, t["page_generator"], keywords=keywords, **kw).select(
+        key, name, "content"), name=name)
     a1 = materialize(a1.withColumn("attempt", F.lit(1)), "attempt1")
     rounds = [a1.where(F.col("content").isNotNull())]
     current = rounds[0]
     for n in range(2, max_attempts + 1):
-        failing = current.where(F.col("audit.seo_score") < target).drop("attempt")
-        r = audit(refine(failing, key, name, text, completion_fn, t["quality_refiner"], **kw), name=name)
+        failing = with_text(current.where(F.col("audit.seo_score") < target).drop("attempt"))
+        r = audit(refine(failing, key, name, text, completion_fn, t["quality_refiner"], **kw).select(
+            key, name, "content"), name=name)
         current = materialize(r.withColumn("attempt", F.lit(n)), f"attempt{n}")
         rounds.append(current)
     attempts = rounds[0]
@@ -190,7 +227,7 @@ def produce_content(df: DataFrame, key: str, name: str, text: str, completion_fn
     attempts = attempts.select(key, "attempt", "content", F.col("audit.seo_score").alias("score"))
     chosen = select_attempt(attempts, key, target=target, max_attempts=max_attempts, select=select) \
         .withColumn("path", F.when(F.col("attempts_run") > 1, F.lit("refined")).otherwise(F.lit("generated")))
-    empty = a1.where(F.col("content").isNull()).select(key, name, text)
+    empty = with_text(a1.where(F.col("content").isNull()).select(key, name))
     fb = audit(fallback(empty, key, name, text, completion_fn, t["essentials_fallback"], **kw), name=name)
     fb = fb.select(key, "content", F.col("audit.seo_score").alias("score"), F.lit(1).alias("attempts_run"),
                    F.lit("fallback").alias("path"))

@@ -52,31 +52,48 @@ def build_draft(items: DataFrame, catalog: DataFrame, documents: DataFrame, comp
     return merge_updates(items, updates, key, columns=list(CONTENT_COLS), duplicates="unique")
 
 
-def review_set(sheet: DataFrame, requests: DataFrame, documents: DataFrame, completion_fn,
-               sku_list: str = "skus", doc_list: str = "docs", sku: str = "sku", order: str = "input_seq",
-               name: str = "product_name", keywords: str = "keywords", review_score: float = 70,
-               doc_key: str = "doc_key", text: str = "text", **kw) -> DataFrame:
-    """Positional (sku, document) pairs -> first sheet row per sku ->
-    default keywords (P4) -> non-blank text (F4) -> pipeline -> band (F8)."""
-    pairs = positional_pairs(requests, sku_list, doc_list)
-    pairs = pairs.select(F.col(sku_list).cast("bigint").alias("_sku"), F.col(doc_list).alias("_doc"))
+def review_pairs(sheet: DataFrame, requests: DataFrame, documents: DataFrame, request: str,
+                 sku_list: str = "skus", doc_list: str = "docs", sku: str = "sku", order: str = "input_seq",
+                 name: str = "product_name", keywords: str = "keywords", doc_key: str = "doc_key",
+                 text: str = "text", doc_order: str | None = "doc_seq") -> DataFrame:
+    """E2 up to the model call: one row per requested (sku, document) pair, by
+    request and position, with the first sheet row of the sku, default keywords
+    (P4) and a ``route``: unknown_sku, empty_text or ready.  Nothing disappears."""
+    pairs = positional_pairs(requests, sku_list, doc_list, id_cols=[request])
+    pairs = pairs.select(request, "pos", F.col(sku_list).cast("bigint").alias("_sku"), F.col(doc_list).alias("_doc"))
     first = E.dedupe_first(sheet.withColumn(sku, F.col(sku).cast("bigint")), sku, order)
-    rows = pairs.join(first, F.col("_sku") == F.col(sku), "inner")
-    if keywords in sheet.columns:
-        rows = rows.withColumn(keywords, F.coalesce(F.nullif(F.col(keywords), F.lit("")), F.lit(J.DEFAULT_KEYWORDS)))
-    else:
-        rows = rows.withColumn(keywords, F.lit(J.DEFAULT_KEYWORDS))
-    docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text).alias("leaflet_text"))
-    rows = rows.join(docs, F.col("_doc") == F.col("_dk"), "left")
-    rows = rows.where(has_text(F.col("leaflet_text")))
-    rows = E.dedupe_first(rows.select(sku, order, name, keywords, "leaflet_text"), sku, order)
-    done = produce_content(rows, sku, name, "leaflet_text", completion_fn, keywords=keywords, **kw)
-    return (done.join(rows.select(F.col(sku).alias("_s"), name), F.col(sku) == F.col("_s")).drop("_s")
-            .select(sku, name, F.coalesce(F.nullif("final_content", F.lit("")), F.lit(J.DEFAULT_HTML)).alias("html_content"),
-                    F.coalesce(F.nullif("seo_title", F.lit("")), F.col(name)).alias("seo_title"),
-                    F.coalesce(F.nullif("meta_description", F.lit("")), F.lit(J.DEFAULT_META)).alias("meta_description"),
-                    "final_score", J.score_band("final_score", review=review_score).alias("band"),
-                    F.when(F.col("final_score") >= review_score, F.lit("success")).otherwise(F.lit("info")).alias("type")))
+    rows = E.left_join_spread_nulls(pairs, first, "_sku", sku)
+    given = F.nullif(F.col(keywords), F.lit("")) if keywords in sheet.columns else F.lit(None).cast("string")
+    rows = rows.withColumn(keywords, F.coalesce(given, F.lit(J.DEFAULT_KEYWORDS)))
+    rows = E.attach_documents(rows, documents, "_doc", doc_key, text, doc_order)
+    route = (F.when(F.col(sku).isNull(), F.lit("unknown_sku"))
+              .when(~F.coalesce(has_text(F.col("doc_text")), F.lit(False)), F.lit("empty_text")).otherwise(F.lit("ready")))
+    return rows.select(request, "pos", F.col("_sku").alias(sku), F.col("_doc").alias("doc"), F.col(order), F.col(name),
+                       keywords, route.alias("route"), F.col("doc_text").alias("leaflet_text"))
+
+
+def review_set(sheet: DataFrame, requests: DataFrame, documents: DataFrame, completion_fn, request: str,
+               sku: str = "sku", name: str = "product_name", keywords: str = "keywords", review_score: float = 70,
+               **kw) -> DataFrame:
+    """Every requested pair with its content, score and quality band (F8).
+
+    A ready (sku, document) pair is produced once, however often it is asked
+    for; pairs with another route come back without content."""
+    pairs = review_pairs(sheet, requests, documents, request, sku=sku, name=name, keywords=keywords)
+    pair = F.concat_ws("|", F.col(sku).cast("string"), F.col("doc"))
+    ready = pairs.where(F.col("route") == "ready").select(pair.alias("pair"), "pos", request, name, keywords, "leaflet_text")
+    ready = ready.groupBy("pair").agg(F.min_by(F.struct(name, keywords, "leaflet_text"), F.struct(request, "pos")).alias("r"))
+    done = produce_content(ready.select("pair", "r.*"), "pair", name, "leaflet_text", completion_fn, keywords=keywords, **kw)
+    out = pairs.drop("leaflet_text").withColumn("_pair", F.when(F.col("route") == "ready", pair))
+    out = E.left_join_spread_nulls(out, done, "_pair", "pair")
+    ready_ = F.col("route") == "ready"
+    return out.select(
+        request, "pos", sku, "doc", name, "route",
+        F.when(ready_, F.coalesce(F.nullif("final_content", F.lit("")), F.lit(J.DEFAULT_HTML))).alias("html_content"),
+        F.when(ready_, F.coalesce(F.nullif("seo_title", F.lit("")), F.col(name))).alias("seo_title"),
+        F.when(ready_, F.coalesce(F.nullif("meta_description", F.lit("")), F.lit(J.DEFAULT_META))).alias("meta_description"),
+        "final_score", F.when(ready_, J.score_band("final_score", review=review_score)).alias("band"),
+        F.when(ready_, F.when(F.col("final_score") >= review_score, F.lit("success")).otherwise(F.lit("info"))).alias("type"))
 
 
 def reprocess_queue(events: DataFrame, catalog: DataFrame, documents: DataFrame, key: str = "item_key",

@@ -49,7 +49,7 @@ def _frames_source(spark, d):
 
 def stream_event_decode_q(spark, d):
     out = scratch_path(spark, "decoded")
-    S.run_available_now(S.decode_stream(spark, _frames_source(spark, d)), out, "append", "decode")
+    S.run_available_now(S.decode_stream(spark, _frames_source(spark, d)), out, scratch_path(spark, "checkpoint"))
     x = spark.read.parquet(out)
     return x.select("user_id", "chunk", "pos", "event", F.col("payload.message").alias("message"),
                     F.col("payload.type").alias("type"), F.col("payload.final_score").alias("final_score"))
@@ -57,8 +57,8 @@ def stream_event_decode_q(spark, d):
 
 def stream_log_counts_q(spark, d):
     out = scratch_path(spark, "log_counts")
-    S.run_available_now(S.log_counts_stream(S.decode_stream(spark, _frames_source(spark, d))), out, "complete",
-                        "log_counts")
+    S.run_available_now(S.log_counts_stream(S.decode_stream(spark, _frames_source(spark, d))), out, scratch_path(spark, "checkpoint"),
+                        "complete")
     return spark.read.parquet(out)
 
 
@@ -66,20 +66,25 @@ def stream_review_latest_q(spark, d):
     src = scratch_path(spark, "reviews")
     std_reviews(spark, d).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
     out = scratch_path(spark, "review_latest")
-    S.run_available_now(S.review_latest_stream(stream, "item_key"), out, "complete", "review_latest")
-    return spark.read.parquet(out).drop("ts")
+    S.run_available_now(S.review_latest_stream(stream, "item_key"), out, scratch_path(spark, "checkpoint"), "update")
+    return S.read_latest(spark, out).drop("ts")
+
+
+def _page_files(spark, d, src, part):
+    p = table(spark, d, "pages").where(F.col("page_id") % 2 == part)
+    p.select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "html").write.mode("append").json(src)
 
 
 def stream_scores_q(spark, d):
-    src = scratch_path(spark, "pages")
-    table(spark, d, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "html") \
-        .repartition(4).write.json(src)
-    stream = spark.readStream.schema("src string, id bigint, html string").option("maxFilesPerTrigger", 1).json(src)
-    out = scratch_path(spark, "scores")
-    S.run_available_now(S.scores_stream(stream), out, "append", "scores")
-    return spark.read.parquet(out).drop("batch_id")
+    """The pages arrive in two portions; a run after each, with one checkpoint."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("pages", "scores", "checkpoint"))
+    for part in (0, 1):
+        _page_files(spark, d, src, part)
+        stream = spark.readStream.schema("src string, id bigint, html string").json(src)
+        S.run_available_now(S.scores_stream(stream), out, checkpoint)
+    return spark.read.parquet(out).drop("query_id", "batch_id")
 
 
 QUERIES = {

@@ -3,7 +3,6 @@ resolving the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,14 +77,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        p = path[len("file:"):] if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
-

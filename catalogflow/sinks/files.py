@@ -17,22 +17,26 @@ def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> None:
     (w.json(path) if fmt == "json" else w.parquet(path))
 
 
-def append_ledger_stream(batch_df: DataFrame, batch_id: int, path: str) -> None:
+def append_ledger_stream(batch_df: DataFrame, batch_id: int, path: str, query_id: str) -> None:
     """foreachBatch body: idempotent per micro-batch -- a retried batch
-    rewrites only its own ``batch_id`` partition."""
-    (batch_df.withColumn("batch_id", F.lit(batch_id)).write
+    rewrites only its own (``query_id``, ``batch_id``) partition, so neither a
+    second run nor another job with the same output loses rows."""
+    (batch_df.withColumn("query_id", F.lit(query_id)).withColumn("batch_id", F.lit(batch_id)).write
      .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+     .partitionBy("query_id", "batch_id").parquet(path))
 
 
 def write_sheet(df: DataFrame, base: str, kind: str, run_id: str, fmt: str = "parquet",
-                order_col: str | None = "input_seq", require_rows: bool = True) -> str | None:
+                order_col: str | None = "input_seq", require_rows: bool | DataFrame = True) -> str | None:
     """K1-K3: write under ``{base}/kind={kind}/run_id={run_id}``; refuses to
     overwrite.  ``require_rows``: nothing is written (None returned) when the
-    frame is empty -- checked with ``limit(1)``, not a full count."""
+    frame is empty -- or, given a frame, when that one is: a draft is the whole
+    sheet but is only written if the run had a result.  Checked with
+    ``limit(1)``, not a full count."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
-    if require_rows and df.limit(1).count() == 0:
+    needed = df if require_rows is True else require_rows
+    if needed is not False and needed.limit(1).count() == 0:
         return None
     path = f"{base.rstrip('/')}/kind={kind}/run_id={run_id}"
     out = df.sortWithinPartitions(order_col) if order_col and order_col in df.columns else df

@@ -8,8 +8,7 @@
   the batch id as partition (a retried batch overwrites only itself).
 
 ``run_available_now`` drives a query to completion with
-``trigger(availableNow=True)``, checkpointing under the shared checkpoint
-folder; outputs are Parquet (never the driver-memory sink)."""
+``trigger(availableNow=True)`` and the caller's checkpoint folder; outputs are Parquet (never the driver-memory sink)."""
 
 from __future__ import annotations
 
@@ -18,15 +17,17 @@ from pyspark.sql import functions as F
 
 from ..operators.analyzer import analyze_html, analysis_scores
 from ..operators.events import decode_frames
-from ..session import scratch_path
 from ..sinks.files import append_ledger_stream
 
 CHUNK_SCHEMA = "user_id bigint, chunk bigint, text string"
 
 
 def decode_stream(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA, key: str = "user_id",
-                  max_files: int = 4) -> DataFrame:
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
+                  max_files: int | None = None) -> DataFrame:
+    src = spark.readStream.schema(schema)
+    if max_files:  # only if a caller wants small batches
+        src = src.option("maxFilesPerTrigger", max_files)
+    src = src.json(path)
     return decode_frames(src, "text", id_cols=[key, "chunk"])
 
 
@@ -45,22 +46,39 @@ def scores_stream(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return analysis_scores(analyze_html(pages, html_col)).drop(html_col)
 
 
-def run_available_now(stream: DataFrame, out_path: str, mode: str = "append", name: str = "stream") -> str:
-    """Run to the end of the available input; complete-mode results are
-    overwritten each micro-batch (the last holds the full answer), append-mode
-    batches land in their own ``batch_id`` partition (idempotent retries)."""
-    spark = stream.sparkSession
-    ckpt = scratch_path(spark, f"{name}-checkpoint")
+def run_available_now(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> str:
+    """Run to the end of the available input and stop.
 
+    ``checkpoint`` is the caller's folder for this job: a later run with the
+    same folder goes on where the last one ended and reads new files only.
+    Append- and update-mode batches land in a partition of their own, named by
+    the job (its checkpoint folder) and the batch; in update mode a
+    batch holds the keys that changed, and ``read_latest`` folds them.
+    Complete-mode results replace the last ones."""
     def sink(batch_df: DataFrame, batch_id: int):
         if mode == "complete":
             batch_df.write.mode("overwrite").parquet(out_path)
         else:
-            append_ledger_stream(batch_df, batch_id, out_path)
+            append_ledger_stream(batch_df, batch_id, out_path, query_id)
 
+    query_id = _query_id(checkpoint)
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return out_path
+
+
+def _query_id(checkpoint: str) -> str:
+    """A stable name for the job that owns a checkpoint folder."""
+    import hashlib
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def read_latest(spark: SparkSession, path: str, key: str = "item_key") -> DataFrame:
+    """The last state per key of an update-mode output (one job's)."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (key, "query_id", "batch_id")]
+    last = F.max_by(F.struct(*[F.col(c) for c in others]), F.col("batch_id"))
+    return rows.groupBy(key).agg(last.alias("_last")).select(key, *[F.col("_last." + c).alias(c) for c in others])

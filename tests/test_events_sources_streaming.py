@@ -106,12 +106,40 @@ def test_streaming_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "chunks")
     chunks.write.json(src)
     out = os.path.join(tmpdir_path, "counts")
-    S.run_available_now(S.log_counts_stream(S.decode_stream(spark, src)), out, "complete", "t")
+    S.run_available_now(S.log_counts_stream(S.decode_stream(spark, src)), out, os.path.join(tmpdir_path, "ck"), "complete")
     streamed = sorted(map(tuple, spark.read.parquet(out).collect()))
     batch = sorted(map(tuple, EV.log_counts(EV.decode_frames(chunks, id_cols=["user_id", "chunk"])).collect()))
     assert streamed == batch
 
 
+def test_a_second_run_keeps_the_first(spark, tmpdir_path):
+    src, out, ck = (os.path.join(tmpdir_path, n) for n in ("src", "out", "ck"))
+    for i in (1, 2):
+        spark.createDataFrame([(i, "<h2>x</h2>")], "id long, html string").write.mode("append").json(src)
+        S.run_available_now(S.scores_stream(spark.readStream.schema("id long, html string").json(src)), out, ck)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.id, r.batch_id) for r in rows) == [(1, 0), (2, 1)]
+    other = os.path.join(tmpdir_path, "ck2")  # another job on the same output takes nothing away
+    S.run_available_now(S.scores_stream(spark.readStream.schema("id long, html string").json(src)), out, other)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 1, 2, 2]
+
+
+def test_review_fold_over_two_runs(spark, tmpdir_path):
+    src, out, ck = (os.path.join(tmpdir_path, n) for n in ("src", "out", "ck"))
+    schema = "item_key string, status string, ts long, seq long"
+    for rows in ([("a", "pending", 1, 1), ("b", "approved", 1, 2)], [("a", "approved", 2, 3), ("b", "pending", 0, 9)]):
+        spark.createDataFrame(rows, schema).write.mode("append").json(src)
+        S.run_available_now(S.review_latest_stream(spark.readStream.schema(schema).json(src)), out, ck, "update")
+    assert {r.item_key: r.status for r in S.read_latest(spark, out).collect()} == {"a": "approved", "b": "approved"}
+
+
+def test_ledger_keeps_objects_only(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "l.json")
+    open(path, "w").write('{"seq": 1, "strategy": "s"}\n123\n"x"\nnull\n[1]\n{bad\n')
+    assert [r.seq for r in read_ledger(spark, path).collect()] == [1]
+    assert read_ledger(spark, path, keep_corrupt=True).where("_corrupt_record is not null").count() == 5
+
+
 def test_ledger_reads_do_not_share_state(spark, tmpdir_path):
     from catalogflow.sinks.files import append_ledger
     from catalogflow.sources.ledger import LEDGER_SCHEMA

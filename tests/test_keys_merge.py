@@ -40,7 +40,7 @@ def test_merge_updates_golden(spark):
 
 def test_merge_updates_duplicate_keys(spark):
     upd = spark.createDataFrame([("2", "p", 1), ("2", "q", 2)], "key string, t string, pos int")
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(Exception, match="duplicate update keys"):
         merge_updates(_orig(spark), upd, "key").collect()
     out = merge_updates(_orig(spark), upd, "key", duplicates="last", order="pos").where("key = '2'").collect()
     assert out[0].t == "q"

@@ -57,11 +57,18 @@ def test_scorer_a_branches(spark):
     assert out[3].s_headings == 10 and out[4].s_headings == 10
     assert out[1].s_readability == 10
     assert out[5].total_score == 0 and out[5].s_headings is None and out[6].total_score == 0
-    assert out[7].s_faq_structure == 10 and out[8].s_faq_structure == 10  # native approximation
+    assert out[7].s_faq_structure == 10 and out[8].s_faq_structure == 0  # nesting counts
     assert out[9].s_external_links == 10 and out[10].s_external_links == 0
     assert out[11].s_geo_signals == 10 and out[11].s_verifiable_data == 10
-    exact = {r.id: r for r in A.analysis_scores(A.analyze_html(_html_df(spark, rows), "html", exact_faq=True)).collect()}
-    assert exact[7].s_faq_structure == 10 and exact[8].s_faq_structure == 0  # exact nesting
+
+
+def test_tags_in_attribute_values_do_not_count(spark):
+    rows = ["<p title='<h1>'>x</p><h2>b</h2>", '<div class="faq-section"></div><details><summary>late</summary></details>',
+            '<div title="a > b" class="faq-section x"><div></div><details><summary>q</summary></details></div>',
+            "<DIV CLASS=faq-section><Details open><SUMMARY>q</SUMMARY></Details></DIV><div><h1", None]
+    out = {r.id: r for r in A.analysis_scores(A.analyze_html(_html_df(spark, rows), "html")).collect()}
+    assert out[0].s_headings == 10
+    assert [out[i].s_faq_structure for i in range(5)] == [0, 0, 10, 10, None]
 
 
 def test_scorer_a_feedback_shape(spark):

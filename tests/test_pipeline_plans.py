@@ -1,12 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as ent
 from catalogflow.operators import completions as C
-from catalogflow.operators.offline_model import OfflineModel, full_page
-from catalogflow.plans import app
 from catalogflow.plans.registered import QUERIES
-from catalogflow.plans.standins import std_catalog, std_documents, std_items
+from catalogflow.plans.standins import std_items
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,27 +35,61 @@ def test_retry_policy():
     assert C.call_with_retries(broken_one, ["ok", "bad"]) == ["ok", None]
 
 
+PAGE = ("<h2>{0}: para que serve</h2><h2>como funciona</h2><h2>contraindica</h2><h2>como usar</h2><h2>composição</h2><h2>especificações</h2>"
+        "<table><tr><td>Fabricante</td></tr><tr><td>Princípio Ativo</td></tr><tr><td>Registro MS</td></tr></table>"
+        "<details open><summary>q</summary></details><div class='legal-notice-box'>{0} seu uso pode trazer riscos</div>"
+        "<p class='transparency-note-final'>aprovada pela Anvisa</p>")
+
+
+def model(prompts):
+    """Answers by the product's last letter: a full page, a weak page that a
+    second call mends, or nothing but the plain page."""
+    out = []
+    for p in prompts:
+        base = next((line.split(": ")[1] for line in p.split("\n") if line.startswith(("Base name: ", "Product: "))), "").split(" ")[0]
+        full = {"seo_title": f"{base} 50mg Casa Verde Norte do Vale caixa com 30 unidades", "html_content": PAGE.format(base),
+                "meta_description": f"{base} 50mg " + "bom produto " * 9 + "na nossa loja."}
+        if "TASK: fallback" in p:
+            out.append("<p>plain page without much</p>")
+        elif "TASK: refine" in p or base.endswith("A"):
+            out.append(json.dumps(full))
+        else:
+            out.append(json.dumps(full | {"seo_title": base}) if base.endswith("B") else None)
+    return out
+
+
 def test_produce_content_paths(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(
-        F.col("doc_id").cast("string").alias("k"), F.concat(F.lit("Remedio"), F.upper("lang")).alias("name"),
-        F.col("text"))
-    out = C.produce_content(docs, "k", "name", "text", OfflineModel(), first_wait=0.0).collect()
-    assert len(out) == 60
-    paths = {r.path for r in out}
-    assert paths <= {"generated", "refined", "fallback"} and "generated" in paths
-    for r in out:
-        if r.path == "generated":
-            assert r.final_score >= 95 and r.attempts_run == 1
-        assert r.final_content.startswith("\n<div class=") or r.final_content.startswith("<style")
-        assert r.seo_title and r.meta_description
-
-
-def test_full_page_scores_100(spark):
-    p = full_page("RemedioEN", 10)
-    df = spark.createDataFrame([(p["seo_title"], p["meta_description"], p["html_content"], "RemedioEN 10mg")],
-                               "seo_title string, meta_description string, html_content string, n string")
-    from catalogflow.operators.audit import audit_content
-    assert audit_content(df, name="n").first().audit.seo_score == 100.0
+    docs = spark.createDataFrame([(str(i), "Remedio" + "ABC"[i % 3], f"leaflet {i}") for i in range(30)], "k string, name string, text string")
+    want = {"A": ("generated", 1, 100.0), "B": ("refined", 2, 100.0)}
+    got = []
+    for parallelism, batch in ((1, 32), (4, 1), (8, 16)):
+        out = C.produce_content(docs, "k", "name", "text", model, first_wait=0.0, parallelism=parallelism, batch_size=batch).collect()
+        got.append(sorted((r.k, r.path, r.attempts_run, r.final_score, r.final_content) for r in out))
+        for r in out:
+            kind = "ABC"[int(r.k) % 3]
+            assert (r.path, r.attempts_run, r.final_score) == want[kind] if kind in want else r.path == "fallback"
+            assert r.final_content.startswith("\n<div class=") and r.seo_title and r.meta_description
+    assert got[0] == got[1] == got[2]
+    with pytest.raises(ValueError, match="parallelism"):
+        C.complete(docs.withColumn("prompt", F.col("text")), "k", "prompt", model)
+
+
+@pytest.mark.parametrize("size", [1, 16, 32])
+def test_answers_do_not_depend_on_the_batch(size):
+    def limited(prompts):
+        if any(int(p) % 7 == 0 for p in prompts):
+            raise C.TransientError("429")
+        return [p + "!" for p in prompts]
+    asked = [str(i) for i in range(100)]
+    got = [a for i in range(0, 100, size) for a in C.call_with_retries(limited, asked[i:i + size], 2, 0, 0, sleep=lambda s: None)]
+    assert got == [None if i % 7 == 0 else f"{i}!" for i in range(100)]
+
+
+def test_draft_is_written_only_with_results(spark, tmpdir_path):
+    from catalogflow.sinks.files import write_sheet
+    sheet = spark.createDataFrame([(1, None)], "input_seq long, html string")
+    assert write_sheet(sheet, tmpdir_path, "draft", "r1", require_rows=sheet.where("html is not null")) is None
+    assert write_sheet(sheet, tmpdir_path, "rejected", "r1") and write_sheet(sheet, tmpdir_path, "draft", "r1", require_rows=sheet)
 
 
 def test_routes_partition_items(spark):
@@ -68,10 +102,9 @@ def test_routes_partition_items(spark):
 
 
 def test_build_draft_keeps_rows(spark):
-    draft = app.build_draft(std_items(spark, SF), std_catalog(spark, SF), std_documents(spark, SF), OfflineModel(),
-                            first_wait=0.0)
+    draft = QUERIES["batch_draft"](spark, SF)
     n_items = std_items(spark, SF).where(F.col("item_key").isNotNull()).count()
-    assert draft.count() <= n_items and draft.where("html_content IS NOT NULL").count() > 0
+    assert draft.count() <= n_items and draft.where("has_page").count() > 0
 
 
 NATIVE = ["analyze_html", "audit_scores", "lint_flags", "html_text", "route_items", "merge_updates",
