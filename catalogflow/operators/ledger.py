@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 LEDGER_COLUMNS = ("seq", "strategy", "product_type", "score_before", "score_after", "delta", "ts")
 
 
@@ -92,38 +94,36 @@ def strategy_failed(ledger: DataFrame, n: int = 3) -> DataFrame:
     return _ranked(ledger, n, F.col("delta") <= 0)
 
 
-def _global_top(ledger: DataFrame, n: int, improving: bool) -> Column:
-    """Scalar subquery: the global ranking's first n entries as one array."""
-    src = ledger.where(F.col("delta") <= 0) if not improving else ledger
-    top = src.orderBy(F.col("delta").desc(), F.col("seq").asc()).limit(n)
-    if improving:
-        top = top.where(F.col("delta") > 0)
-    # the array is bounded by n
-    return top.agg(F.collect_list(F.struct(F.lit(0).alias("rank"), "seq", "strategy", "delta"))).scalar()
-
-
-def _entries(ranked: DataFrame) -> DataFrame:
-    return ranked.groupBy("product_type").agg(
-        F.collect_list(F.struct("rank", "seq", "strategy", "delta")).alias("entries"))
+_ENTRY = ("rank", "seq", "strategy", "delta")
 
 
 def strategy_entries(ledger: DataFrame, requested_types: DataFrame, n: int = 3,
                      type_col: str = "product_type") -> DataFrame:
     """Per requested type, its own top/failed lists, or the global lists
-    when the ledger has no row of that type (``scope`` says which)."""
+    when the ledger has no row of that type (``scope`` says which).
+
+    The ledger is read twice, once per ranking.  What the rankings leave, at
+    most ``n`` rows per type and list, is stored; all else comes from that: a
+    type is known if it has a ranked row, and the first n of all types are
+    among the first n of each."""
+    ranked = _ranked(ledger, n, None).select("product_type", *_ENTRY, F.lit("top").alias("list"))
+    ranked = ranked.unionByName(_ranked(ledger, n, F.col("delta") <= 0).select("product_type", *_ENTRY, F.lit("failed").alias("list")))
+    ranked = materialize(ranked, "strategy-ranks")
+    shown = (F.col("list") == "failed") | (F.col("delta") > 0)
+    entry = F.struct(*_ENTRY)
+    own = ranked.groupBy("product_type").agg(*[
+        F.collect_list(F.when((F.col("list") == k) & shown, entry)).alias(k) for k in ("top", "failed")])
+
+    def everywhere(kind: str) -> Column:
+        """Scalar subquery: the global list as one array of at most n entries."""
+        first = ranked.where(F.col("list") == kind).orderBy(F.col("delta").desc(), F.col("seq").asc()).limit(n).where(shown)
+        return first.agg(F.collect_list(F.struct(F.lit(0).alias("rank"), "seq", "strategy", "delta"))).scalar()
+
     req = requested_types.select(F.col(type_col).alias("product_type")).distinct()
-    top = _entries(strategy_top(ledger, n)).withColumnRenamed("entries", "top")
-    failed = _entries(strategy_failed(ledger, n)).withColumnRenamed("entries", "failed")
-    known = ledger.select("product_type").distinct().withColumn("_known", F.lit(True))
-    j = (req.join(known, "product_type", "left")
-            .join(top, "product_type", "left").join(failed, "product_type", "left"))
-    empty = F.array().cast("array<struct<rank:int,seq:bigint,strategy:string,delta:int>>")
+    j = req.join(own.withColumn("_known", F.lit(True)), "product_type", "left")
     is_known = F.coalesce(F.col("_known"), F.lit(False))
-    return j.select(
-        "product_type",
-        F.when(is_known, F.lit("type")).otherwise(F.lit("global")).alias("scope"),
-        F.when(is_known, F.coalesce(F.col("top"), empty)).otherwise(_global_top(ledger, n, True)).alias("top"),
-        F.when(is_known, F.coalesce(F.col("failed"), empty)).otherwise(_global_top(ledger, n, False)).alias("failed"))
+    return j.select("product_type", F.when(is_known, F.lit("type")).otherwise(F.lit("global")).alias("scope"),
+                    *[F.when(is_known, F.col(k)).otherwise(everywhere(k)).alias(k) for k in ("top", "failed")])
 
 
 def _bullets(entries: Column, fmt: str, default: str) -> Column:

@@ -1,19 +1,14 @@
 """S1 delimited sheets and S2 workbooks.
 
 CSV: header row, every column read as text (keys must never be inferred as
-numbers), multi-line quoted cells (HTML), ``"`` escaping, UTF-8 with the BOM
-removed from the first header.  Workbooks (.xlsx): ``binaryFile`` + one
-Python task per file parsing the Office Open XML parts with the standard
-library (first sheet, row 1 = header) into ``(path, row_no, cells map)``.
-Files are parsed in parallel; one file is one unit of work."""
+numbers), ``"`` escaping, UTF-8 with the BOM removed from the first header.
+Workbooks: files are found and read by Spark (``binaryFile``), one row per file;
+what turns a file's bytes into rows of cell texts is the caller's plug-in, as
+with document extraction.  A file is one unit of work and must fit in a task."""
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
-import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,77 +16,41 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import trim_headers
 
+Parser = Callable[[bytes], Iterable[list]]
 
-def read_sheet(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+
+def read_sheet(spark: SparkSession, path: str, kind: str | None = None, multi_line: bool = True,
+               parse: Parser | None = None) -> DataFrame:
     """Read a sheet by suffix (``.csv`` case-insensitive -> CSV, else workbook).
-    Empty cells read as null (quoted or not), as spreadsheet readers do."""
+    Empty cells read as null (quoted or not), as spreadsheet readers do.
+
+    ``multi_line``: cells may hold line breaks (HTML does).  A file is then read
+    by one task; without it Spark splits large files."""
     kind = kind or ("csv" if path.lower().endswith(".csv") or path.lower().endswith(".csv/") else "xlsx")
     if kind == "csv":
-        df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+        df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
               .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
         return trim_headers(df)
-    return cells_to_columns(read_workbooks(spark, path))
-
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-       "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
-
-
-def _col_index(ref: str) -> int:
-    letters = re.match(r"[A-Z]+", ref).group(0)
-    n = 0
-    for ch in letters:
-        n = n * 26 + (ord(ch) - 64)
-    return n - 1
-
-
-def parse_xlsx(content: bytes) -> list[list[str | None]]:
-    """Rows of the first worksheet as lists of cell texts (None for empty)."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    first = wb.find("m:sheets/m:sheet", _NS)
-    rid = first.get(f"{{{_NS['r']}}}id")
-    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid)
-    sheet_path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    rows = []
-    for row in ET.fromstring(z.read(sheet_path)).iter(f"{{{_NS['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in row.findall("m:c", _NS):
-            t = c.get("t")
-            if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                v = c.find("m:v", _NS)
-                val = None if v is None else v.text
-                if t == "s" and val is not None:
-                    val = shared[int(val)]
-            cells[_col_index(c.get("r"))] = val
-        width = max(cells) + 1 if cells else 0
-        rows.append([cells.get(i) for i in range(width)])
-    return rows
-
-
-def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
-    """Every workbook under ``glob`` -> (path, row_no, cells map<header, text>)."""
+    if parse is None:
+        raise ValueError("workbooks need parse=, a function from a file's bytes to its rows")
+    return cells_to_columns(read_workbooks(spark, path, parse))
+
+
+def read_workbooks(spark: SparkSession, glob: str, parse: Parser) -> DataFrame:
+    """Every workbook under ``glob`` -> (path, row_no, cells map<header, text>).
+
+    ``parse`` gives the rows of a file's sheet as lists of cell texts (None for
+    an empty cell), the header first; files without rows give nothing."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def run(batches):
         for pdf in batches:
-            out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = parse_xlsx(bytes(content))
-                if not rows:
-                    continue
-                header = [(h or "").replace("﻿", "").strip() for h in rows[0]]
-                for i, r in enumerate(rows[1:], start=1):
-                    out.append((path, i, {h: (r[j] if j < len(r) else None) for j, h in enumerate(header) if h}))
-            yield pd.DataFrame(out, columns=["path", "row_no", "cells"])
+                rows = iter(parse(bytes(content)))
+                header = [(h or "").replace("\ufeff", "").strip() for h in next(rows, [])]
+                out = [(path, i, {h: (r[j] if j < len(r) else None) for j, h in enumerate(header) if h})
+                       for i, r in enumerate(rows, start=1)]
+                yield pd.DataFrame(out, columns=["path", "row_no", "cells"])
 
     return files.mapInPandas(run, "path string, row_no int, cells map<string,string>")
 

@@ -1,7 +1,7 @@
-import io
 import json
 import os
-import zipfile
+
+import pytest
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalogflow.operators import events as EV
 from catalogflow.sources.documents import concat_pages, extract_pages
 from catalogflow.sources.ledger import read_ledger
-from catalogflow.sources.sheets import parse_xlsx, read_sheet, read_workbooks, cells_to_columns
+from catalogflow.sources.sheets import cells_to_columns, read_sheet, read_workbooks
 from catalogflow.sources.templates import load_templates, template_map
 from catalogflow.streaming import frames as S
 
@@ -38,42 +38,18 @@ def test_csv_sheet_multiline_bom(spark, tmpdir_path):
     assert rows[0].html == '<p>a\nb, "c"</p>' and rows[0]._EANSKU == " 7891.0 "
 
 
-def _xlsx(rows):
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-                   'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
-                   '<sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/'
-                   'relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml" Type="x"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-                   '<si><t>key</t></si><si><t>name</t></si></sst>')
-        body = ""
-        for i, r in enumerate(rows, start=1):
-            cells = ""
-            for j, v in enumerate(r):
-                ref = "AB"[j] + str(i)
-                if v is None:
-                    continue
-                if isinstance(v, int):
-                    cells += f'<c r="{ref}" t="s"><v>{v}</v></c>'
-                else:
-                    cells += f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
-            body += f'<row r="{i}">{cells}</row>'
-        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/'
-                   f'main"><sheetData>{body}</sheetData></worksheet>')
-    return buf.getvalue()
-
-
 def test_workbooks(spark, tmpdir_path):
-    data = _xlsx([[0, 1], ["7891", "Aldazida"], [None, "x"]])
-    assert parse_xlsx(data) == [["key", "name"], ["7891", "Aldazida"], [None, "x"]]
-    for n in ("a", "b"):
-        with open(os.path.join(tmpdir_path, f"{n}.xlsx"), "wb") as f:
-            f.write(data)
-    df = cells_to_columns(read_workbooks(spark, os.path.join(tmpdir_path, "*.xlsx")), ["key", "name"])
-    got = sorted(((r.key, r.name) for r in df.collect()), key=repr)
-    assert got == sorted([(None, "x"), (None, "x"), ("7891", "Aldazida"), ("7891", "Aldazida")], key=repr)
+    rows = [["\ufeff key ", "name", None], ["7891", "Aldazida", "x"], [None, "x"], []]
+    for n, content in (("a", rows), ("b", rows), ("empty", [])):
+        with open(os.path.join(tmpdir_path, f"{n}.xlsx"), "w") as f:
+            json.dump(content, f)
+    glob = os.path.join(tmpdir_path, "*.xlsx")
+    df = cells_to_columns(read_workbooks(spark, glob, json.loads), ["key", "name"])
+    got = sorted(((r.row_no, r.key, r.name) for r in df.collect()), key=repr)
+    assert got == sorted([(1, "7891", "Aldazida"), (2, None, "x"), (3, None, None)] * 2, key=repr)
+    assert read_sheet(spark, glob, parse=json.loads).columns == ["path", "row_no", "key", "name"]
+    with pytest.raises(ValueError, match="parse"):
+        read_sheet(spark, glob)
 
 
 def test_templates_and_ledger_sources(spark, tmpdir_path):
