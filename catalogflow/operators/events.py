@@ -102,3 +102,48 @@ def event_rows(routed: DataFrame, key: str = "item_key", name: str = "product_na
     ex = logged.select(*id_cols, F.explode(F.array(start, outcome)).alias("e")).select(*id_cols, "e.*")
     data = F.to_json(F.struct("message", "type"))
     return ex.withColumn("frame", encode_frame(F.col("event"), data))
+
+
+def content_events(audited: DataFrame, key: str, name: str = "product_name", title: str = "seo_title",
+                   meta: str = "meta_description", html: str = "html_content", audit: str = "audit",
+                   target: float = 95) -> DataFrame:
+    """ST1/P8: the ordered events of every produced item: start, one line per
+    audit rule, score, approval, ``done`` with the content and ``review_item``
+    with the pending sheet row; an item without content has start and ``error``.
+    One ``finished`` row with a null key closes the run.
+
+    Columns: key, pos, event, type, message, frame.  One explode per item, no
+    shuffle but for the run's count."""
+    from .audit import RULES
+    score, entries = F.col(audit)["seo_score"], F.col(audit)["score_breakdown"]
+    null = F.lit(None).cast("string")
+
+    def event(pos: int, kind: str, message=null, severity=null, data=None):
+        body = F.to_json(F.struct(message.alias("message"), severity.alias("type"))) if data is None else data
+        return F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("event"), severity.alias("type"), message.alias("message"),
+                        encode_frame(F.lit(kind), body).alias("frame"))
+
+    def rule(pos: int, k: str):
+        e = entries[k]
+        return event(pos, "log", F.format_string(f"{k}: %s of %s", e["score"], e["max_score"]),
+                     F.when(e["score"] == e["max_score"], F.lit("success")).otherwise(F.lit("warning")))
+
+    start = event(0, "log", F.format_string("start: %s", F.coalesce(F.col(name), F.lit(""))), F.lit("info"))
+    n = len(RULES)
+    passed = score >= target
+    content = [F.col(c).alias(a) for c, a in ((html, "final_content"), (title, "seo_title"), (meta, "meta_description"))]
+    full = F.array(
+        start, *[rule(i, k) for i, k in enumerate(RULES, 1)],
+        event(n + 1, "log", F.format_string("score: %s", score), F.lit("info")),
+        event(n + 2, "log", F.when(passed, F.lit("approved")).otherwise(F.lit("below target")),
+              F.when(passed, F.lit("success")).otherwise(F.lit("warning"))),
+        event(n + 3, "done", data=F.to_json(F.struct(score.alias("final_score"), *content))),
+        event(n + 4, "review_item", data=F.to_json(F.struct(F.col(key).cast("string").alias("item_key"), F.col(name).alias("product_name"),
+                                                            F.lit("pending").alias("status")))))
+    failed = F.array(start, event(1, "error", F.lit("no content to review"), F.lit("error")))
+    nothing = F.col(title).isNull() & F.col(meta).isNull() & F.col(html).isNull()
+    rows = audited.select(F.col(key), F.explode(F.when(nothing, failed).otherwise(full)).alias("e")).select(key, "e.*")
+    total = audited.agg(F.count(F.lit(1)).alias("n"))
+    end = total.select(F.lit(None).cast(audited.schema[key].dataType).alias(key),
+                       event(0, "finished", F.format_string("%d items", F.col("n")), F.lit("info")).alias("e")).select(key, "e.*")
+    return rows.unionByName(end)

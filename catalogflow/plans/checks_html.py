@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..operators import analyzer as A
 from ..operators import audit as AU
+from ..operators import events as EV
 from . import sqlfrag as Q
 from .standin_html import made_content, made_html
 from .standins import table, with_ctes
@@ -298,3 +299,29 @@ def scores_cte(name: str, feat: str) -> str:
 
 
 TOTAL_SQL = _TOTAL
+
+
+def content_events_q(spark, d):
+    """Every event of every item, with what its frame decodes to (ST1, ST2, P8)."""
+    ev = EV.content_events(_audited(spark, d), "doc_id").withColumnRenamed("pos", "n")
+    back = EV.decode_frames(ev, "frame", id_cols=["doc_id", "n", "type", "message"])
+    return back.select("doc_id", F.col("n").alias("pos"), "event", "type", "message", F.col("payload.final_score").alias("final_score"))
+
+
+QUERIES["content_events"] = content_events_q
+_N = len(AU.RULES)
+_RULE_EVENTS = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS pos, 'log' AS event, CASE WHEN r_{k} = {AU.MAX_POINTS[k]} THEN 'success' ELSE 'warning' END AS type, "
+    f"'{k}: ' || CAST(CAST(r_{k} AS DOUBLE) AS VARCHAR) || ' of {AU.MAX_POINTS[k]}' AS message, NULL AS final_score FROM aud WHERE NOT none"
+    for i, k in enumerate(AU.RULES, 1))
+ORACLE["content_events"] = with_ctes(f"""
+SELECT doc_id, 0 AS pos, 'log' AS event, 'info' AS type, 'start: ' || coalesce(product_name, '') AS message, CAST(NULL AS DOUBLE) AS final_score FROM made_content
+UNION ALL {_RULE_EVENTS}
+UNION ALL SELECT doc_id, {_N + 1}, 'log', 'info', 'score: ' || CAST(CAST({_SUM} AS DOUBLE) AS VARCHAR), NULL FROM aud WHERE NOT none
+UNION ALL SELECT doc_id, {_N + 2}, 'log', CASE WHEN {_SUM} >= 95 THEN 'success' ELSE 'warning' END,
+  CASE WHEN {_SUM} >= 95 THEN 'approved' ELSE 'below target' END, NULL FROM aud WHERE NOT none
+UNION ALL SELECT doc_id, {_N + 3}, 'done', NULL, NULL, CAST({_SUM} AS DOUBLE) FROM aud WHERE NOT none
+UNION ALL SELECT doc_id, {_N + 4}, 'review_item', NULL, NULL, NULL FROM aud WHERE NOT none
+UNION ALL SELECT doc_id, 1, 'error', 'error', 'no content to review', NULL FROM aud WHERE none
+UNION ALL SELECT NULL, 0, 'finished', 'info', CAST((SELECT count(*) FROM made_content) AS VARCHAR) || ' items', NULL""",
+                                     "made_html", "made_content", ctes=_AUD_CTES)
