@@ -26,7 +26,6 @@ GOOD_TITLE = " 50mg Casa Verde Norte do Vale caixa com 30 unidades"
 GOOD_META = " 50mg - Casa Verde Norte: caixa de 30 unidades para a farmácia da família, com folheto claro e atendimento todo dia. Encontre na nossa loja."
 PLAIN_PAGE = ("<h2>{b}: para que serve</h2><p>a</p><h2>Guia de como usar {b}</h2><p>b</p><h2>Casos de contraindicação</h2><p>c</p>"
               "<h2>Composição por unidade</h2><table><tr><td>Fabricante</td></tr><tr><td>Princípio Ativo</td></tr></table>")
-N = F.col("doc_id")
 
 
 def _fill(s: str):
@@ -35,6 +34,7 @@ def _fill(s: str):
 
 def _products(spark, d):
     """One product per document with text, and what the model will answer for it."""
+    N = F.col("doc_id")  # noqa: N806
     docs = table(spark, d, "documents").where(has_text(F.col("text"))).select("doc_id", F.col("text").alias("leaflet_text"))
     h = made_html(spark, d).join(docs, "doc_id")
     title = F.concat(F.col("b"), F.lit(GOOD_TITLE))
