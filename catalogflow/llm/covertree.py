@@ -31,7 +31,7 @@ from .graph import connected_components
 
 SAMPLE = 4096        # vectors that shape the cells
 MAX_CELLS = 2048
-PART = 4096          # vectors of a part, in expectation
+PART = 8192          # vectors of a part, in expectation
 LEAF = 1024          # vectors of one tree
 RADII = (1.0, 0.5, 0.25)
 SLACK = 1e-9         # bounds are kept this much on the safe side
@@ -99,9 +99,13 @@ class Tree:
                 own = rows[a:b]
                 near = 2 - 2 * (x[own] @ x[own].T)
                 free, groups = np.ones(len(own), bool), []
+                close = near <= radius * radius
+                alone = close.sum(axis=1) == 1
                 for i in range(len(own)):  # the node's centre is first, so it is a child's centre too
-                    if free[i]:
-                        got = np.flatnonzero(free & (near[i] <= radius * radius))
+                    if alone[i]:
+                        groups.append(own[i:i + 1])
+                    elif free[i]:
+                        got = np.flatnonzero(free & close[i])
                         got = np.concatenate([[i], got[got != i]])
                         free[got] = False
                         groups.append(own[got])
@@ -130,15 +134,20 @@ def traverse(s: Tree, t: Tree, cosine: float):
     limit = np.sqrt(2 - 2 * cosine)
     whole, left, right = [], [], []
     i, j = np.array([0]), np.array([0])       # the nodes of the level that are still asked
-    asked = np.ones((1, 1), bool)
+    asked = None                              # which pairs of them; None: all
     for depth in range(len(RADII) + 2):
         (cs, rs, as_, bs, ks), (ct, rt, at, bt, kt) = s.levels[depth], t.levels[depth]
         dots = s.x[cs[i]] @ t.x[ct[j]].T
-        lone = (rs[i] == 0)[:, None] & (rt[j] == 0)
-        reach = rs[i][:, None] + rt[j]
-        near = asked & np.where(lone, dots >= cosine, dots >= 1 - np.minimum(limit + reach + SLACK, 2.0) ** 2 / 2 - SLACK)
+        near = dots >= cosine                  # right for two single vectors
+        ri, rj = rs[i], rt[j]
+        for f in np.flatnonzero(ri):           # larger nodes are asked how near their vectors may be
+            near[f] = dots[f] >= 1 - np.minimum(limit + ri[f] + rj + SLACK, 2.0) ** 2 / 2 - SLACK
+        for f in np.flatnonzero(rj):
+            near[:, f] = dots[:, f] >= 1 - np.minimum(limit + ri + rj[f] + SLACK, 2.0) ** 2 / 2 - SLACK
+        if asked is not None:
+            near &= asked
         p, q = np.nonzero(near)
-        one = lone[p, q]
+        one = (ri[p] == 0) & (rj[q] == 0)
         if one.any():  # a node whose vectors coincide with its centre has radius 0 only if it is single
             left.append(as_[i[p[one]]])
             right.append(at[j[q[one]]])
@@ -146,7 +155,7 @@ def traverse(s: Tree, t: Tree, cosine: float):
         if not len(p):
             break
         d = np.sqrt(np.maximum(2 - 2 * dots[p, q], 0))
-        all_ = d + reach[p, q] <= limit - SLACK
+        all_ = d + ri[p] + rj[q] <= limit - SLACK
         whole += list(zip(as_[i[p[all_]]].tolist(), bs[i[p[all_]]].tolist(), at[j[q[all_]]].tolist(), bt[j[q[all_]]].tolist()))
         p, q = p[~all_], q[~all_]
         if not len(p):
@@ -156,7 +165,7 @@ def traverse(s: Tree, t: Tree, cosine: float):
         still[np.searchsorted(up, p), np.searchsorted(uq, q)] = True
         i, pi = _children(ks, i[up])
         j, pj = _children(kt, j[uq])
-        asked = still[pi][:, pj]
+        asked = None if still.all() else still[pi][:, pj]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right]), whole
 
