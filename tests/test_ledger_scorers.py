@@ -110,7 +110,7 @@ def test_ledger_entries_zero_delta_not_logged(spark):
     after = A.analyze_html(df.withColumn("html", F.concat("html", F.lit("<ul><li>x</li></ul>"))), "html")
     e = L.ledger_entries(before, after, "id", "product_type").collect()
     assert len(e) == 2 and all(r.delta == 10 for r in e)
-    assert all(r.strategy.startswith("Fix applied") for r in e)
+    assert all(r.strategy.startswith("cleared: ") for r in e)
     same = L.ledger_entries(before, before, "id", "product_type").collect()
     assert same == []
 

@@ -41,21 +41,25 @@ PAGE = ("<h2>{0}: para que serve</h2><h2>como funciona</h2><h2>contraindica</h2>
         "<p class='transparency-note-final'>aprovada pela Anvisa</p>")
 
 
-def model(prompts):
-    """Answers by the product's last letter: a full page, a weak page that a
+def make_model():
+    """A model that workers get by value.  Answers by the product's last letter: a full page, a weak page that a
     second call mends, or nothing but the plain page."""
-    out = []
-    for p in prompts:
+    page = PAGE
+
+    def model(prompts):
+        return [answer(p) for p in prompts]
+
+    def answer(p):
         base = next((line.split(": ")[1] for line in p.split("\n") if line.startswith(("Base name: ", "Product: "))), "").split(" ")[0]
-        full = {"seo_title": f"{base} 50mg Casa Verde Norte do Vale caixa com 30 unidades", "html_content": PAGE.format(base),
+        full = {"seo_title": f"{base} 50mg Casa Verde Norte do Vale caixa com 30 unidades", "html_content": page.format(base),
                 "meta_description": f"{base} 50mg " + "bom produto " * 9 + "na nossa loja."}
         if "TASK: fallback" in p:
-            out.append("<p>plain page without much</p>")
-        elif "TASK: refine" in p or base.endswith("A"):
-            out.append(json.dumps(full))
-        else:
-            out.append(json.dumps(full | {"seo_title": base}) if base.endswith("B") else None)
-    return out
+            return "<p>plain page without much</p>"
+        if "TASK: refine" in p or base.endswith("A"):
+            return json.dumps(full)
+        return json.dumps(full | {"seo_title": base}) if base.endswith("B") else None
+
+    return model
 
 
 def test_produce_content_paths(spark):
@@ -63,7 +67,7 @@ def test_produce_content_paths(spark):
     want = {"A": ("generated", 1, 100.0), "B": ("refined", 2, 100.0)}
     got = []
     for parallelism, batch in ((1, 32), (4, 1), (8, 16)):
-        out = C.produce_content(docs, "k", "name", "text", model, first_wait=0.0, parallelism=parallelism, batch_size=batch).collect()
+        out = C.produce_content(docs, "k", "name", "text", make_model(), first_wait=0.0, parallelism=parallelism, batch_size=batch).collect()
         got.append(sorted((r.k, r.path, r.attempts_run, r.final_score, r.final_content) for r in out))
         for r in out:
             kind = "ABC"[int(r.k) % 3]
@@ -71,7 +75,7 @@ def test_produce_content_paths(spark):
             assert r.final_content.startswith("\n<div class=") and r.seo_title and r.meta_description
     assert got[0] == got[1] == got[2]
     with pytest.raises(ValueError, match="parallelism"):
-        C.complete(docs.withColumn("prompt", F.col("text")), "k", "prompt", model)
+        C.complete(docs.withColumn("prompt", F.col("text")), "k", "prompt", make_model())
 
 
 @pytest.mark.parametrize("size", [1, 16, 32])
