@@ -7,26 +7,23 @@ sketch: every (slot, value) flips one of 512 bits, so that the XOR of two
 sketches has few bits where many slots agree, and its population count gives
 high similarities precisely from 64 bytes.
 
-Equal sets are one class.  Candidates never become all pairs of a bucket:
-
-1. in each of two rounds every bucket has six representatives (other ones
-   each time); a class is compared with the one, of all its buckets and of
-   another component, whose sketch is nearest to its own.  Confirmed links form
-   components, which leaves few classes with anything to compare;
-2. a bucket that still holds several components compares its strays (those
-   outside the bucket's largest component) with its members of other
-   components.  The odd sketch is tested inside the join, so only pairs that
-   look similar become rows.
-
-Pairs inside one component need no further test, all others of a bucket get
-one, so no link between candidates is lost.  Links are confirmed on full sets.
+Equal sets are one class.  Classes that share a band key with the bucket's representative are linked to
+it, and the components of those links are clusters: whatever two classes share
+a band, they are in one cluster.  A cluster's members are compared in memory,
+in tasks of bounded size; a large cluster is cut into tiles and a task gets two
+of them.  The odd sketches rule out all pairs that are clearly less similar,
+the rest is confirmed on full sets, nearest first, leaving out pairs that are
+linked already through others.  Only links become rows, at most one per class
+and task, so neither a hot bucket nor a group of near copies is ever expanded
+into its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, materialize
@@ -36,7 +33,7 @@ WORDS = 5
 SLOTS, BAND, BITS = 128, 4, 512
 #: XOR bits at a similarity of 0.58: a pair at 0.75 exceeds them with probability 1e-5.
 SKETCH_LIMIT = 88
-ROUNDS, REPRESENTATIVES = 2, 6
+TILE = 1024          # classes of a tile, in expectation
 PERCENT = 75
 
 _rng = np.random.default_rng(20250801)
@@ -93,34 +90,46 @@ def odd_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def similarity_of(xor_bits: Column) -> Column:
-    """Estimated similarity of two sets from the population count of their sketches' XOR."""
-    inside = F.greatest(1 - 2 * xor_bits / F.lit(float(BITS)), F.lit(1e-9))
-    return 1 + F.lit(BITS / (4.0 * SLOTS)) * F.log(inside)
-
-
-def _xor_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))) for i in range(1, 8)),
-               F.bit_count(F.col(f"{a}.k0").bitwiseXOR(F.col(f"{b}.k0"))))
-
-
-def _alike(a: str, b: str, percent: int) -> Column:
-    """May the sets be as similar as that, by their sizes and sketches?"""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_xor_bits(a, b) <= SKETCH_LIMIT)
-
-
-def _nearest(placed: DataFrame, sketches: DataFrame, salt: int, percent: int) -> DataFrame:
-    """(band, node, component) -> pairs (a, b): of the representatives of a
-    class's buckets that are of another component, the one with the nearest sketch."""
-    reps = placed.groupBy("band").agg(F.array(*[
-        F.min_by(F.struct(F.col("node").alias("rep"), F.col("component").alias("of")), F.xxhash64("node", F.lit(salt + i)))
-        for i in range(REPRESENTATIVES)]).alias("r"))
-    reps = reps.select("band", F.explode(F.array_distinct("r")).alias("r")).select("band", "r.*")
-    pairs = placed.join(reps, "band").where("component <> of").select("node", "rep").distinct()
-    pairs = pairs.join(sketches.alias("x"), "node").join(sketches.withColumnRenamed("node", "rep").alias("y"), "rep")
-    pairs = pairs.where(_alike("x", "y", percent)).withColumn("bits", _xor_bits("x", "y"))
-    return pairs.groupBy(F.col("node").alias("a")).agg(F.min_by("rep", F.struct("bits", "rep")).alias("b"))
+def similarity_of(xor_bits):
+    """Estimated similarity of two sets from the population count of their
+    sketches' XOR; a number or an array."""
+    return 1 + BITS / (4.0 * SLOTS) * np.log(np.maximum(1 - 2 * np.asarray(xor_bits) / BITS, 1e-9))
+
+
+def linked(sketches: np.ndarray, sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets: pairs of indexes.
+
+    With ``first`` below the number of sets only pairs of one of the first so
+    many with one of the others are compared, else all pairs."""
+    n, root, out = len(sets), list(range(len(sets))), []
+    size = np.array([len(x) for x in sets])
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a in range(0, min(first, n), 256):
+        rows = np.arange(a, min(a + 256, first, n))
+        others = np.arange(first, n) if first < n else np.arange(a + 1, n)
+        bits = np.zeros((len(rows), len(others)), np.int64)
+        for k in range(sketches.shape[1]):
+            bits += np.bitwise_count(sketches[rows, k][:, None] ^ sketches[others, k])
+        near = (bits <= SKETCH_LIMIT) & (100 * np.minimum(size[rows][:, None], size[others])
+                                         >= percent * np.maximum(size[rows][:, None], size[others]))
+        if first >= n:
+            near &= rows[:, None] < others
+        i, j = np.nonzero(near)
+        order = np.argsort(bits[i, j], kind="stable")
+        for x, y in zip(rows[i[order]].tolist(), others[j[order]].tolist()):
+            u, v = find(x), find(y)
+            if u != v:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (size[x] + size[y] - both):
+                    root[max(u, v)] = min(u, v)
+                    out.append((x, y))
+    return out
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,18 +167,35 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(node, text) -> (node, shingles)."""
     @F.pandas_udf("array<long>")
     def hashed(texts):
-        import pandas as pd
         return pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
     return docs.select("node", hashed("text").alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    p = p.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return p.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def cluster_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(cluster, node, k0..k7, shingles) -> links (a, b) between nodes of a
+    cluster, enough of them to connect what is linked."""
+    ks = [f"k{i}" for i in range(8)]
+    sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "minhash-cluster-sizes")
+    small = sizes.where(F.col("size") <= TILE).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    x = members.join(sizes, "cluster").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    x = x.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int"))
+    x = x.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # small clusters share tasks; a tile of a large one meets every tile, itself once
+    shared = F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-small // TILE))))
+    x = x.withColumn("task", F.when(F.col("tiles") == 1, F.concat(F.lit("s"), shared)).otherwise(
+        F.concat_ws(":", "cluster", F.least("tile", "with"), F.greatest("tile", "with"))))
+    x = x.select("task", "cluster", (F.col("tile") > F.col("with")).alias("second"), "node", *ks, "shingles")
+
+    def compared(g: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for _, c in g.sort_values(["cluster", "second", "node"]).groupby("cluster", sort=False):
+            node, n = c["node"].to_numpy(), int((~c["second"]).sum())
+            pairs = linked(c[ks].to_numpy(np.int64).view(np.uint64), c["shingles"].tolist(), n or len(c), percent)
+            links += [(node[i], node[j]) for i, j in pairs]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return x.groupBy("task").applyInPandas(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -187,14 +213,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     signed = materialize(signatures(d, "key"), "minhash-signatures")
     ks = [f"k{i}" for i in range(8)]
     classes = signed.where("node is not null").groupBy("node").agg(
-        F.min("key").alias("top"), F.any_value(F.struct(F.col("n_shingles").alias("n"), "bands", *ks)).alias("s"))
+        F.min("key").alias("top"), F.any_value(F.struct("bands", *ks)).alias("s"))
     classes = materialize(classes.select("node", "top", "s.*"), "minhash-classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = materialize(banded.join(buckets.drop("c"), "band"), "minhash-members")
-
-    needed = materialize(members.select("node").distinct(), "minhash-needed")
-    sketches = materialize(classes.select("node", "n", *ks).join(needed, "node"), "minhash-sketches")
+    buckets = banded.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    company = banded.join(buckets, "band").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    clusters = materialize(connected_components(company), "minhash-clusters").withColumnRenamed("component", "cluster")
+    needed = clusters.select("node")
     # One text per class that has company, found by key and text hash.  Rows that
     # repeat both are the only ones found twice; they are brought down to one.
     shown = signed.join(needed, "node", "left_semi").groupBy("node", "key", "hash").agg(F.count(F.lit(1)).alias("m"))
@@ -206,27 +231,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         found.where("m > 1").groupBy("node").agg(F.any_value("text").alias("text")))
     sets = materialize(full_sets(texts), "minhash-sets")
 
-    def place() -> DataFrame:
-        at = members if labels is None else members.join(labels, "node", "left")
-        return materialize(at.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node")),
-                           "minhash-placed")
-
-    links, labels = None, None
-    for r in range(ROUNDS):
-        placed = place()
-        new = confirmed(_nearest(placed, sketches, r * REPRESENTATIVES, percent), sets, percent)
-        links = materialize(new if links is None else links.unionByName(new), f"minhash-links{r}")
-        labels = materialize(connected_components(links), f"minhash-components{r}")
-    placed = place()
-    mixed = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    inside = materialize(placed.join(mixed, "band").join(sketches, "node"), "minhash-mixed")
-    a, b = inside.where("component <> main").alias("a"), inside.alias("b")
-    second = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component"))
-                    & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-                    & _alike("a", "b", percent))
-    second = second.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    links = links.unionByName(confirmed(second, sets, percent))
+    members = sets.join(clusters, "node").join(classes.select("node", *ks), "node")
+    links = materialize(cluster_links(members, percent), "minhash-links")
     labels = materialize(connected_components(links), "minhash-components")
     of = classes.select("node", "top").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("top").alias("least"))
