@@ -232,7 +232,9 @@ def copies(rnd):
     return docs
 
 
-def test_near_duplicates_equal_all_pairs(spark):
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)  # clusters of one tile, and of many
     docs = copies(random.Random(10))
     sets = [shingles(t) for t in docs]
     pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if a and sets[j]
@@ -261,7 +263,7 @@ def test_odd_sketches_estimate_the_similarity():
             y = np.concatenate([x[cut:], rnd.integers(0, 1 << 63, cut, dtype=np.uint64)])
             a, b = (minhash.odd_sketch(minhash.min_hashes(s)).view(np.uint8) for s in (x, y))
             bits = int(np.unpackbits(a ^ b).sum())
-            got.append(1 + minhash.BITS / (4 * minhash.SLOTS) * np.log(1 - 2 * bits / minhash.BITS))
+            got.append(float(minhash.similarity_of(bits)))
         assert abs(np.mean(got) - share) < 0.03
 
 
