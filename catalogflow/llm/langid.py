@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 SAMPLE_CHARS = 8_000_000
+MAX_LANGUAGES = 2000       # rows that the driver may get of the table of languages
 PAD = "\x01"
 UNKNOWN = "und"
 CALIBRATION_TEXTS = 4000   # rows scored to calibrate, as a bound on what the driver gets
@@ -261,14 +262,16 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
     equal share for each language; the hash of a text decides whether it is in,
     and which one in eight calibrates instead of being counted."""
     r = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("lang")).where("text is not null and lang is not null")
-    totals = r.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).toPandas()
+    totals = r.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).toPandas()
     if totals.empty or totals["chars"].sum() == 0:
         return Model([], [], [], -10.0)
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"{len(totals)} languages; a model takes at most {MAX_LANGUAGES}")
     share = sample_chars / len(totals)
     spark = rows.sparkSession
     limits = spark.createDataFrame([(str(x), int(min(1.0, share / max(1, int(c))) * (1 << 30))) for x, c in zip(
         totals["lang"], totals["chars"])], "lang string, upto long")
-    sample = r.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
+    sample = r.join(limits, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
     sample = sample.select("lang", "text").distinct().withColumn("test", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)) == 0)
 
     def counted(frames):
