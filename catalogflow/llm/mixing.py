@@ -172,7 +172,9 @@ def taken(placed: DataFrame, mix: DataFrame, block_words: int = BLOCK_WORDS) ->
     low = F.greatest(F.col("block") * block_words, F.col("start"))
     high = F.least((F.col("block") + 1) * block_words, end)
     pieces = pieces.select("rank", "block", "key", "hash", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"))
-    return pieces.join(mix.select("rank", "block", "pass"), ["rank", "block"]).select("key", "hash", "pass", "from_word", "n_words")
+    # both sides grow with the data; sizes of exploded tables are underrated, so the join is named
+    uses = mix.select("rank", "block", "pass").hint("merge")
+    return pieces.join(uses, ["rank", "block"]).select("key", "hash", "pass", "from_word", "n_words")
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
