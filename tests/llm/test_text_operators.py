@@ -161,7 +161,7 @@ def test_kneser_ney_is_a_distribution():
     for context in ("the ", "at o", "zzzz"):
         points = np.concatenate([np.array([*map(ord, context + c)], np.uint32) for c in seen])
         p = [math.exp(float(model.logs(points[i * 5:i * 5 + 5], np.array([0]))[0, 0])) for i in range(len(seen))]
-        assert 0.75 < sum(p) < 1.0001  # the rest is for characters never seen
+        assert 0.5 < sum(p) < 1.0001  # the rest is for characters never seen
         assert min(p) > 0
 
 
