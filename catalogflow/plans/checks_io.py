@@ -69,7 +69,7 @@ def stream_review_latest_q(spark, d):
     stream = spark.readStream.schema(schema).parquet(src)
     out = scratch_path(spark, "review_latest")
     S.run_available_now(S.review_latest_stream(stream, "item_key"), out, scratch_path(spark, "checkpoint"), "update")
-    return S.read_latest(spark, out).drop("ts")
+    return S.read_latest(spark, out).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def _page_files(spark, d, src, part):

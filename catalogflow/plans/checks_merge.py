@@ -36,7 +36,8 @@ def rejected_rows_q(spark, d):
 
 
 def review_latest_q(spark, d):
-    return R.latest_reviews(std_reviews(spark, d), "item_key").drop("ts")
+    latest = R.latest_reviews(std_reviews(spark, d), "item_key")
+    return latest.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def review_gates_q(spark, d):
@@ -58,7 +59,12 @@ def finalize_approved_q(spark, d):
 
 
 def finalize_rejected_q(spark, d):
-    return R.finalize_rejected(_items(spark, d), std_reviews(spark, d), "item_key").select(*ITEM_COLS)
+    """Rejected rows written as a sheet of their kind and reread."""
+    from ..session import scratch_path
+    from ..sinks.files import write_sheet
+    out = R.finalize_rejected(_items(spark, d), std_reviews(spark, d), "item_key").select(*ITEM_COLS)
+    path = write_sheet(out, scratch_path(spark, "sheets"), "rejected", "r1")
+    return spark.read.parquet(path) if path else out.limit(0)
 
 
 QUERIES = {
@@ -101,7 +107,7 @@ t AS (SELECT f.doc_key, f.first_seq, l.lang, l.title FROM firsts f JOIN lastu l
     "rejected_rows": with_ctes("""
 SELECT * FROM std_original
 WHERE doc_key IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""", "std_original"),
-    "review_latest": with_ctes("SELECT * EXCLUDE (ts) FROM latest", "std_reviews", ctes=_LATEST),
+    "review_latest": with_ctes("SELECT * REPLACE (epoch_us(ts) AS ts) FROM latest", "std_reviews", ctes=_LATEST),
     "review_gates": with_ctes("""
 SELECT count(*) AS n_items,
        count(*) FILTER (WHERE status = 'pending') AS n_pending,
