@@ -224,14 +224,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # repeat both are the only ones found twice; they are brought down to one.
     shown = signed.join(needed, "node", "left_semi").groupBy("node", "key", "hash").agg(F.count(F.lit(1)).alias("m"))
     shown = shown.groupBy("node").agg(F.min(F.struct("key", "hash", "m")).alias("s")).select("node", "s.*")
-    shown = materialize(shown, "minhash-shown").alias("s")
+    # both sides of these joins grow with the data, so they are the same joins at every size
+    shown = materialize(shown, "minhash-shown").hint("merge").alias("s")
     found = d.withColumn("hash", F.xxhash64("text")).alias("d").join(
         shown, F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.hash") == F.col("s.hash"))).select("node", "text", "m")
     texts = found.where("m = 1").select("node", "text").unionByName(
         found.where("m > 1").groupBy("node").agg(F.any_value("text").alias("text")))
     sets = materialize(full_sets(texts), "minhash-sets")
 
-    members = sets.join(clusters, "node").join(classes.select("node", *ks), "node")
+    members = sets.join(clusters.hint("merge"), "node").join(classes.select("node", *ks).hint("merge"), "node")
     links = materialize(cluster_links(members, percent), "minhash-links")
     labels = materialize(connected_components(links), "minhash-components")
     of = classes.select("node", "top").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
