@@ -271,7 +271,8 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
     spark = rows.sparkSession
     limits = spark.createDataFrame([(str(x), int(min(1.0, share / max(1, int(c))) * (1 << 30))) for x, c in zip(
         totals["lang"], totals["chars"])], "lang string, upto long")
-    sample = r.join(limits, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
+    # at most MAX_LANGUAGES rows, made here: a bound that allows the broadcast
+    sample = r.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
     sample = sample.select("lang", "text").distinct().withColumn("test", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)) == 0)
 
     def counted(frames):
