@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SLICE = 2 << 20        # characters handled at a time
 CHUNK = 128            # characters (splitter) and bytes (merger) of a chunk
-MAX_STATES = 300_000   # the merger's table starts afresh beyond this many
+MAX_STATES = 300_000   # beyond this many the merger's table starts afresh from the states in use
 #: The split pattern of byte-level BPE (a fixed value): contractions, letters,
 #: numbers, other signs, white space.
 CONTRACTIONS = (("s", "t", "m", "d"), ("re", "ve", "ll"))
@@ -70,10 +70,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-class _Afresh(Exception):
-    """The merger's table was emptied; what runs must start again."""
-
-
 class Transducer:
     """Counts tokens as the tokenizer file's library does; see the module."""
 
@@ -162,12 +158,19 @@ class Transducer:
         new = (*((n, t, a - count) for n, t, a in still), (0, token, 0))
         to = self.states.setdefault(new, len(self.known))
         if to == len(self.known):
-            if to >= MAX_STATES:
-                self.clear()
-                raise _Afresh
             self.known.append(new)
         self.put(key, to, count)
 
+    def afresh(self, states: np.ndarray) -> np.ndarray:
+        """Empties the table of all but these states; their new numbers."""
+        used, at = np.unique(states, return_inverse=True)
+        kept = [self.known[s] for s in used.tolist()]
+        self.clear()
+        for state in kept:
+            if self.states.setdefault(state, len(self.known)) == len(self.known):
+                self.known.append(state)
+        return np.array([self.states[state] for state in kept], np.int64)[at]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of the transitions, compiled where they are new."""
         while True:
@@ -200,18 +203,15 @@ class Transducer:
         fresh = np.zeros(len(data), bool)
         fresh[piece] = True
         active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        while True:
-            try:
-                state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-                for j, k in enumerate(active):
-                    at = start[:k] + j
-                    from_ = np.where(fresh[at], 0, state[:k])
-                    slot = self.find(from_ * 256 + data[at])
-                    state[:k] = self.to[slot]
-                    count[:k] += self.step[slot]
-                break
-            except _Afresh:
-                continue
+        state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        for j, k in enumerate(active):
+            at = start[:k] + j
+            from_ = np.where(fresh[at], 0, state[:k])
+            if len(self.known) > MAX_STATES:  # between bytes, so that a byte adds one state a chunk at most
+                from_ = self.afresh(from_)
+            slot = self.find(from_ * 256 + data[at])
+            state[:k] = self.to[slot]
+            count[:k] += self.step[slot]
         return np.bincount(np.searchsorted(text_at, start, side="right") - 1, count, len(text_at)).astype(np.int64)
 
     # ---------------------------------------------------------- the splitter
@@ -276,21 +276,31 @@ class Transducer:
         byte_at = np.flatnonzero((data & 0xC0) != 0x80)
         return self.merged(data, byte_at[marks], byte_at[begins])
 
+    def certain(self, text: str, at: int) -> int:
+        """The first place from ``at`` on where a piece starts whatever stands
+        around it, or the text's end: the class changes, but not after white
+        space or an apostrophe, which may belong to what follows."""
+        while at < len(text):
+            points = np.frombuffer(text[at - 1:at + 4095].encode("utf-32-le"), np.uint32)
+            cls = self.classes[points]
+            found = np.flatnonzero((cls[1:] != cls[:-1]) & (cls[:-1] != BLANK) & (points[:-1] != 39))
+            if len(found):
+                return at + int(found[0])
+            at += len(points) - 1
+        return len(text)
+
     def parts(self, text: str):
         """Parts that can be counted apart, and the number of special strings between them.
 
-        Beyond that, a long text is cut where a space follows a word character,
-        for there a piece starts whatever stands around it."""
+        Beyond that, a long text is cut where a piece starts whatever stands around it."""
         found = self.split.split(text) if self.split else [text]
         out = []
         for part in found:
             at = 0
             while len(part) - at > SLICE:
-                m = re.compile(r"(?<=\w) ").search(part, at + SLICE // 2)
-                if not m or m.start() >= len(part):
-                    break
-                out.append(part[at:m.start()])
-                at = m.start()
+                end = self.certain(part, at + SLICE // 2)
+                out.append(part[at:end])
+                at = end
             out.append(part[at:])
         return [p for p in out if p], len(found) - 1
 

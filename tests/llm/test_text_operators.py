@@ -131,6 +131,38 @@ def test_token_counts_of_long_texts_and_a_full_table():
         tokens.Transducer(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
 
 
+def test_token_counts_where_one_slice_overfills_the_table(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, made = Tokenizer.from_file(path), tokens.Transducer(open(path, "rb").read())
+    monkeypatch.setattr(tokens, "MAX_STATES", 300)
+    clear, cleared = made.clear, []
+
+    def counted():
+        cleared.append(1)
+        assert len(cleared) < 2000, "starts again without end"
+        clear()
+
+    monkeypatch.setattr(made, "clear", counted)
+    rnd = random.Random(4)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(rnd.choices(signs, k=6000)), "".join(rnd.choices(signs[:52], k=2000)), "it's", "日本語x1" * 300]
+    assert made.counts(texts).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(cleared) > 5
+
+
+def test_long_texts_without_blanks_are_cut(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, made = Tokenizer.from_file(path), tokens.Transducer(open(path, "rb").read())
+    monkeypatch.setattr(tokens, "SLICE", 64)
+    rnd = random.Random(5)
+    for signs in (["ab", "\n", "\n", "c'll", "d"], ["a", "Z", "7", "+", "/"], ["'s", "'re", "'", "x", "!", "\u3000", " ", "\x1c"]):
+        text = "".join(rnd.choices(signs, k=4000))
+        assert max(map(len, made.parts(text)[0])) < 128
+        assert made.counts([text]).tolist() == [len(lib.encode(text, add_special_tokens=False).ids)]
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
