@@ -1,8 +1,9 @@
 """Language ID by character language models with interpolated Kneser-Ney smoothing.
 
 One five-character model per language is counted by Spark over a bounded sample
-of the labelled rows (``SAMPLE_CHARS`` characters, shared by the languages; rows
-enter by a hash of their text, copies once).  The model's size is bounded by
+of the labelled rows (``SAMPLE_CHARS`` characters, shared by the languages; copies
+of a text count once, and units of ``UNIT`` characters enter by a hash of their
+text and place, so that no text fills a share or misses it as a whole).  The model's size is bounded by
 that sample, so the driver turns the counts into probabilities and broadcasts
 them.  It is stored once for all languages: per order a sorted array of 64-bit
 n-gram hashes, found through an index over their leading bits, with a row of
@@ -25,8 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 ORDER = 5
 SAMPLE_CHARS = 8_000_000
+UNIT = 500                 # characters that enter the sample together
 MAX_LANGUAGES = 2000       # rows that the driver may get of the table of languages
 PAD = "\x01"
 UNKNOWN = "und"
@@ -254,15 +258,34 @@ def _calibrated(model: Model, texts: list[str], truth: list[str]) -> Model:
     return model
 
 
+def units(texts: DataFrame) -> DataFrame:
+    """(lang, text, upto) -> lang, hash (of the text), at, text: its units whose
+    hash is below ``upto``, those of copies once.
+
+    Only texts with such a unit are cut, in one pass over the text."""
+    def chosen(h: Column, at: Column) -> Column:
+        return F.pmod(F.xxhash64(h, at), F.lit(1 << 30)) < F.col("upto")
+
+    last = F.greatest(F.floor((F.length("text") - 1) / UNIT).cast("int"), F.lit(0))
+    places = let(F.xxhash64("text"), lambda h: F.struct(h.alias("hash"), F.filter(F.sequence(F.lit(0), last), lambda i: chosen(h, i)).alias("at")))
+    cut = F.when(F.length("text") <= UNIT, F.array("text")).otherwise(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{UNIT}}}+"), F.lit(0)))
+    x = texts.select("lang", "text", places.alias("p")).where("size(p.at) > 0")
+    x = x.select("lang", "p.hash", F.explode(let(cut, lambda c: F.transform("p.at", lambda i: F.struct(i.alias("at"), c[i].alias("text"))))).alias("u"))
+    return x.select("lang", "hash", "u.*").distinct()
+
+
 def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model:
     """The models of all languages in ``rows``; rows without text or language
     teach nothing, and no rows give a model that knows no language.
 
     The sample is bounded by ``sample_chars`` characters in expectation, an
-    equal share for each language; the hash of a text decides whether it is in,
+    equal share for each language, filled where its distinct texts have so many;
+    the hash of a text and a unit's place in it decide whether the unit is in,
     and which one in eight calibrates instead of being counted."""
     r = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("lang")).where("text is not null and lang is not null")
-    totals = r.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).toPandas()
+    distinct = r.select("lang", F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("chars")).distinct()
+    totals = distinct.groupBy("lang").agg(F.sum("chars").alias("chars")).limit(MAX_LANGUAGES + 1).toPandas()
     if totals.empty or totals["chars"].sum() == 0:
         return Model([], [], [], -10.0)
     if len(totals) > MAX_LANGUAGES:
@@ -272,8 +295,7 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
     limits = spark.createDataFrame([(str(x), int(min(1.0, share / max(1, int(c))) * (1 << 30))) for x, c in zip(
         totals["lang"], totals["chars"])], "lang string, upto long")
     # at most MAX_LANGUAGES rows, made here: a bound that allows the broadcast
-    sample = r.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
-    sample = sample.select("lang", "text").distinct().withColumn("test", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)) == 0)
+    sample = units(r.join(F.broadcast(limits), "lang")).withColumn("test", F.pmod(F.xxhash64("hash", "at", F.lit(1)), F.lit(8)) == 0)
 
     def counted(frames):
         for f in frames:
@@ -292,7 +314,7 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
     if counts.empty:
         return Model([], [], [], -10.0)
     model = kneser_ney(counts)
-    tests = sample.where("test").orderBy(F.xxhash64("text", F.lit(2)), "lang").limit(CALIBRATION_TEXTS).toPandas()
+    tests = sample.where("test").orderBy(F.xxhash64("hash", "at", F.lit(2)), "lang").limit(CALIBRATION_TEXTS).toPandas()
     return _calibrated(model, tests["text"].tolist(), tests["lang"].tolist())
 
 

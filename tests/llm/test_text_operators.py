@@ -176,6 +176,28 @@ def test_language_id_on_held_out_documents(spark):
     assert all(0 <= r.p.score <= 1 for r in held)
 
 
+def invented(rnd, letters, n):
+    vocabulary = ["".join(rnd.choices(letters, k=rnd.randint(2, 7))) for _ in range(60)]
+    return lambda: " ".join(rnd.choices(vocabulary, k=n))
+
+
+def test_units_fill_the_share_of_every_language(spark):
+    rnd = random.Random(6)
+    short, long, other = invented(rnd, "abcdef", 30), invented(rnd, "klmnop", 60000), invented(rnd, "stuvwx", 30)
+    rows = [("copied text " * 100, "copies")] * 3000 + [(short(), "copies") for _ in range(300)]
+    rows += [(long(), "long"), (long(), "long")] + [(other(), "other") for _ in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = langid.fit(docs, sample_chars=60000)
+    got = docs.distinct().select("lang", langid.predict(docs, model)["lang_pred"].alias("p")).groupBy("lang").agg(
+        F.avg((F.col("lang") == F.col("p")).cast("int")).alias("right")).collect()
+    assert {r.lang: r.right >= 0.97 for r in got} == {"copies": True, "long": True, "other": True}
+    found = langid.units(docs.withColumn("upto", F.lit(1 << 30))).groupBy("hash").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda u: u["text"]), "").alias("text"))
+    assert {r.text for r in found.collect()} == {t for t, _ in rows}
+    some = langid.units(docs.where("lang = 'long'").withColumn("upto", F.lit((1 << 30) // 10))).agg(F.sum(F.length("text"))).first()[0]
+    assert 0.05 < some / sum(len(t) for t, x in rows if x == "long") < 0.15
+
+
 def test_language_id_without_labels(spark):
     none = spark.createDataFrame([(None, "en"), ("abc", None)], "text string, lang string")
     model = langid.fit(none)
