@@ -31,8 +31,8 @@ from .graph import connected_components
 
 WORDS = 5
 SLOTS, BAND, BITS = 128, 4, 512
-#: XOR bits at a similarity of 0.58: a pair at 0.75 exceeds them with probability 1e-5.
-SKETCH_LIMIT = 88
+#: XOR bits at a similarity of 0.50: a pair at 0.75 exceeds them with probability 2e-7.
+SKETCH_LIMIT = 100
 TILE = 1024          # classes of a tile, in expectation
 PERCENT = 75
 

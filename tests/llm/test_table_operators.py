@@ -1,5 +1,6 @@
 """WARC revisits, cover trees, mixing, URL lists, MinHash, line templates, pipeline."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -339,3 +340,14 @@ def test_pipeline_on_planted_documents(spark):
     want = dict(zip(["s1", "s2"], water([size["s1"], size["s2"]], [5, 2])))
     assert all(abs(got[s] - want[s]) <= 3 * mixing.BLOCK_WORDS for s in want)
     assert len(kept["sentencepiece"]) == len(kept["source_mix"]) and all(r.round_trip for r in kept["sentencepiece"])
+
+
+def test_odd_sketches_hardly_turn_true_pairs_away():
+    # exact: each slot that differs flips two random bits
+    bits, k = minhash.BITS, np.arange(minhash.BITS + 1)
+    p, lost = np.eye(1, bits + 1)[0], 0.0
+    for d in range(minhash.SLOTS + 1):
+        lost += math.comb(minhash.SLOTS, d) * 0.25 ** d * 0.75 ** (minhash.SLOTS - d) * p[minhash.SKETCH_LIMIT + 1:].sum()
+        for _ in range(2):
+            p = np.append(0, (p * (bits - k) / bits)[:-1]) + np.append((p * k / bits)[1:], 0)
+    assert lost < 1e-6
