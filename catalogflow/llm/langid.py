@@ -11,10 +11,12 @@ log probabilities (one per language) and, for contexts, of back-off weights.
 
 A text is read as its lower-case letters, with one blank for whatever stands
 between words.  Its language is the one with the least cross-entropy per
-character.  Rows of the sample that were not counted calibrate two things: the
-score (probability that the answer is right, a logistic function of the margin
-to the second language) and the rejection limit (cross-entropy that texts of a
-language hardly exceed at their length).
+character.  Units that were not counted, a quota of each language, calibrate two
+things: the score (probability that the answer is right, a logistic function of
+the margin to the second language) and the rejection limit (cross-entropy that
+texts of a language hardly exceed at their length).  A language with too little
+text for that is counted whole and takes its limit from models of seven eighths
+of its units, read on the last eighth.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ UNIT = 500                 # characters that enter the sample together
 MAX_LANGUAGES = 2000       # rows that the driver may get of the table of languages
 PAD = "\x01"
 UNKNOWN = "und"
-CALIBRATION_TEXTS = 4000   # rows scored to calibrate, as a bound on what the driver gets
+CALIBRATION_UNITS = 1000   # units of each language scored to calibrate, in expectation
+FEW_UNITS = 240            # a language with fewer is learnt whole and its limit cross-fitted
+LEAST_UNITS = 20           # with fewer scored, a language's texts are rejected only where they hold no letter
+FOLDS = 8
 _MULTIPLIERS = np.random.default_rng(6).integers(0, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -223,22 +228,58 @@ def _of(strings, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _calibrated(model: Model, texts: list[str], truth: list[str]) -> Model:
-    """Sets the score's logistic function and the rejection limits."""
-    width = len(model.languages)
-    usual = np.array([[3.0] * width, [3.0] * width, [0.5] * width])
+def _limit(own: np.ndarray, size: np.ndarray) -> tuple[float, float, float]:
+    """Mean cross-entropy, spread of one character and slack, from the
+    cross-entropies and sizes of a language's texts; no limit where they are few."""
+    if len(own) < LEAST_UNITS:
+        return np.inf, 0.0, 0.0
+    mean = np.average(own, weights=np.minimum(size, 2000))
+    spread = np.sqrt(np.median(((own - mean) ** 2) * size) / 0.455)
+    over = (own - 4 * spread / np.sqrt(size)) / mean - 1
+    return mean, spread, max(0.25, 1.5 * np.quantile(over, 0.999))
+
+
+def _grams(texts: list[str]) -> pd.DataFrame | None:
+    """gram, n: the n-grams of ORDER characters of some texts, if they have any."""
+    points, _ = characters(texts)
+    if len(points) < ORDER:
+        return None
+    windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)
+    windows = np.ascontiguousarray(windows[windows[:, -1] != ord(PAD)])
+    if not len(windows):
+        return None
+    gram, n = np.unique(windows.view(f"<U{ORDER}").ravel(), return_counts=True)
+    return pd.DataFrame({"gram": gram.astype(object), "n": n})
+
+
+def _cross_fitted(f: pd.DataFrame) -> pd.DataFrame:
+    """The units of one language -> lang, mean, spread, slack of its limit, each
+    unit read by a model of the other folds."""
+    lang, own, size = f["lang"].iloc[0], [], []
+    texts = f.sort_values(["hash", "at"])["text"].tolist()
+    for k in range(FOLDS):
+        grams = _grams([t for i, t in enumerate(texts) if i % FOLDS != k])
+        held = texts[k::FOLDS]
+        if grams is not None and held:
+            h, n = kneser_ney(grams.assign(lang=lang)).entropies(held)
+            own += h[n > 0, 0].tolist()
+            size += n[n > 0].tolist()
+    return pd.DataFrame([(lang, *map(float, _limit(np.array(own), np.array(size))))], columns=["lang", "mean", "spread", "slack"])
+
+
+def _calibrated(model: Model, texts: list[str], truth: list[str], fitted: dict[str, tuple] | None = None) -> Model:
+    """Sets the score's logistic function and the rejection limits; ``fitted``
+    has limits that are known already."""
+    width, fitted = len(model.languages), fitted or {}
+    usual = np.array([fitted.get(x, (np.inf, 0.0, 0.0)) for x in model.languages]).reshape(width, 3).T.copy()
     if texts and width:
         h, n = model.entropies(texts)
         lang = np.array([model.languages.index(x) if x in model.languages else -1 for x in truth])
         ok = (n > 0) & (lang >= 0)
         h, n, lang = h[ok], n[ok], lang[ok]
-        for c in range(width):
-            own, size = h[lang == c, c], n[lang == c]
-            if len(own) >= 20:
-                mean = np.average(own, weights=np.minimum(size, 2000))
-                spread = np.sqrt(np.median(((own - mean) ** 2) * size) / 0.455)
-                over = (own - 4 * spread / np.sqrt(size)) / mean - 1
-                usual[:, c] = mean, spread, max(0.25, 1.5 * np.quantile(over, 0.999))
+        for c, x in enumerate(model.languages):
+            if x not in fitted:
+                usual[:, c] = _limit(h[lang == c, c], n[lang == c])
         if width > 1 and len(h):
             order = np.argsort(h, axis=1, kind="stable")
             rows = np.arange(len(h))
@@ -281,41 +322,46 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
 
     The sample is bounded by ``sample_chars`` characters in expectation, an
     equal share for each language, filled where its distinct texts have so many;
-    the hash of a text and a unit's place in it decide whether the unit is in,
-    and which one in eight calibrates instead of being counted."""
+    the hash of a text and a unit's place in it decide whether the unit is in.
+    One unit in eight is kept for calibration instead of being counted, with a
+    quota of its own for each language; of languages with few units none is."""
     r = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("lang")).where("text is not null and lang is not null")
     distinct = r.select("lang", F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("chars")).distinct()
-    totals = distinct.groupBy("lang").agg(F.sum("chars").alias("chars")).limit(MAX_LANGUAGES + 1).toPandas()
+    totals = distinct.groupBy("lang").agg(F.sum("chars").alias("chars"), F.sum(
+        F.ceil(F.col("chars") / UNIT)).alias("units")).limit(MAX_LANGUAGES + 1).toPandas()
     if totals.empty or totals["chars"].sum() == 0:
         return Model([], [], [], -10.0)
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"{len(totals)} languages; a model takes at most {MAX_LANGUAGES}")
     share = sample_chars / len(totals)
     spark = rows.sparkSession
-    limits = spark.createDataFrame([(str(x), int(min(1.0, share / max(1, int(c))) * (1 << 30))) for x, c in zip(
-        totals["lang"], totals["chars"])], "lang string, upto long")
+    rate = lambda part: int(min(1.0, part) * (1 << 30))
+    limits = spark.createDataFrame([
+        (str(x), rate(share / max(1, int(c))), int(u) < FEW_UNITS, rate(8 * CALIBRATION_UNITS / max(1, int(u))))
+        for x, c, u in zip(totals["lang"], totals["chars"], totals["units"])], "lang string, counted long, few boolean, tested long")
     # at most MAX_LANGUAGES rows, made here: a bound that allows the broadcast
-    sample = units(r.join(F.broadcast(limits), "lang")).withColumn("test", F.pmod(F.xxhash64("hash", "at", F.lit(1)), F.lit(8)) == 0)
+    labelled = r.join(F.broadcast(limits.withColumn("upto", F.greatest("counted", F.when(~F.col("few"), F.col("tested"))))), "lang")
+    sample = units(labelled).join(F.broadcast(limits), "lang").withColumn(
+        "test", ~F.col("few") & (F.pmod(F.xxhash64("hash", "at", F.lit(1)), F.lit(8)) == 0))
+    place = F.pmod(F.xxhash64("hash", "at"), F.lit(1 << 30))
 
     def counted(frames):
         for f in frames:
             for lang, texts in f.groupby("lang")["text"]:
-                points, _ = characters(texts.tolist())
-                if len(points) < ORDER:
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)
-                windows = np.ascontiguousarray(windows[windows[:, -1] != ord(PAD)])
-                if len(windows):
-                    gram, n = np.unique(windows.view(f"<U{ORDER}").ravel(), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": gram.astype(object), "n": n})
-
-    counts = sample.where("not test").select("lang", "text").mapInPandas(counted, "lang string, gram string, n long")
+                grams = _grams(texts.tolist())
+                if grams is not None:
+                    yield grams.assign(lang=lang)[["lang", "gram", "n"]]
+
+    counts = sample.where(~F.col("test") & (place < F.col("counted"))).select("lang", "text").mapInPandas(counted, "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return Model([], [], [], -10.0)
     model = kneser_ney(counts)
-    tests = sample.where("test").orderBy(F.xxhash64("hash", "at", F.lit(2)), "lang").limit(CALIBRATION_TEXTS).toPandas()
-    return _calibrated(model, tests["text"].tolist(), tests["lang"].tolist())
+    tests = sample.where(F.col("test") & (place < F.col("tested"))).select("lang", "text").toPandas()
+    few = sample.where("few").select("lang", "hash", "at", "text") if (totals["units"] < FEW_UNITS).any() else None
+    fitted = [] if few is None else few.groupBy("lang").applyInPandas(
+        _cross_fitted, "lang string, mean double, spread double, slack double").collect()
+    return _calibrated(model, tests["text"].tolist(), tests["lang"].tolist(), {f["lang"]: tuple(f[1:]) for f in fitted})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:

@@ -198,6 +198,24 @@ def test_units_fill_the_share_of_every_language(spark):
     assert 0.05 < some / sum(len(t) for t, x in rows if x == "long") < 0.15
 
 
+def test_rejection_limits_of_rare_and_of_many_languages(spark):
+    # uniform over 2,000 letters: some 6 nats a character, beyond any fixed limit for alphabets
+    rnd = random.Random(7)
+    ideographs = [chr(0x4E00 + i) for i in range(2000)]
+    text = lambda n: "".join(rnd.choices(ideographs, k=n))
+    latin = invented(rnd, "abcdefgh", 40)
+    for n in (5, 60):  # too few units for a limit; enough to fit one on folds
+        rows = [(text(450), "zh") for _ in range(n)] + [(latin(), "en") for _ in range(400)]
+        model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+        got = model.answers([text(450) for _ in range(40)])
+        assert (got["lang_pred"] == "zh").all() and not got["rejected"].any()
+        assert np.isinf(model.usual[0, 1]) == (n == 5)
+    assert model.answers(["", "12 !"])["rejected"].all()
+    rows = [(invented(rnd, chr(0x400 + 8 * c) + chr(0x401 + 8 * c) + "abcd", 80)(), f"l{c}") for c in range(6) for _ in range(300)]
+    limits = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample_chars=30000).usual
+    assert np.isfinite(limits).all()
+
+
 def test_language_id_without_labels(spark):
     none = spark.createDataFrame([(None, "en"), ("abc", None)], "text string, lang string")
     model = langid.fit(none)
