@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import covertree, langid, minhash, mixing, quality, sampling, templates, tokens, urllists, warc
+from . import covertree, langid, minhash, mixing, quality, repair, sampling, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -167,5 +167,28 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op9_sampled_segmentations, op10_line_templates)}
+def damaged_conversations(turns):
+    """Conversations with faults that follow from crc32 of ``conv_id:turn``."""
+    part = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                     part.alias("part")).where("part <> 0")
+    text = F.when(F.col("part") == 1, "").when(F.col("part") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return t.select("conv_id", "turn", F.when(F.col("part") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                    F.explode(F.when(F.col("part") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    """Damaged conversations, what is wrong with each, and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    report, rows = repair.repair(damaged_conversations(turns))
+    ids = turns.select("conv_id", repair.key_of("conv_id").alias("k")).distinct()
+    out = ids.join(report, "k", "left").join(repair.digests(rows, "digest"), "k", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op9_sampled_segmentations, op10_line_templates,
+                                  op12_conversation_repair)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
