@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import covertree, langid, minhash, mixing, quality, repair, sampling, templates, tokens, urllists, warc
+from . import covertree, langid, minhash, mixing, prefixtrie, quality, repair, sampling, templates, tokens, urllists, warc
 from .common import materialize, scratch_path, table
 
 
@@ -189,6 +189,16 @@ def op12_conversation_repair(spark, sf_dir):
                       F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """Prefix trie of all conversations, each rebuilt on the first turns of another."""
+    hashed = materialize(prefixtrie.turn_hashes(table(spark, sf_dir, "conversations")), "turn-hashes")
+    taken = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("int")
+    convs = prefixtrie.rebuilt(hashed, F.col("conv") - F.col("conv") % 5, taken)
+    out = prefixtrie.trie(prefixtrie.sequences(convs))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+                      F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op9_sampled_segmentations, op10_line_templates,
-                                  op12_conversation_repair)}
+                                  op12_conversation_repair, op13_prefix_trie)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}

@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import product
 
-from catalogflow.llm import registered, repair
+import numpy as np
+import pytest
+
+from catalogflow.llm import prefixtrie, registered, repair
 from catalogflow.llm.common import scratch_path, table
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +137,86 @@ def test_odd_turns_and_odd_tables(spark, monkeypatch):
                                                         "conv_id long, turn long, role string, text string"))
     assert [(r.k, r.audit, r.cost) for r in report.orderBy("k").collect()] == [("k1", "IKD", 5), ("k2", "D", 3)]
     assert [(r.edit, r.turn, r.role, r.text) for r in turns.orderBy("k", "seq").collect()] == [("I", None, "user", ""), ("K", 1, "assistant", "Hello.")]
+
+
+# ---------------------------------------------------------------------- trie
+
+def plain_trie(turns):
+    """What op13 returns, from a dictionary of all prefixes."""
+    own = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    seqs = {}
+    for c, mine in own.items():
+        own[c] = sorted(mine, key=lambda r: (r[0], r[1], hashlib.md5(f"{len(r[2])}:{r[2]}{r[3]}".encode()).hexdigest()))
+    for c in list(own):
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (abs(c) % 5) * (1 if c >= 0 else -1)
+        seqs[c] = tuple(r[2:] for r in own.get(base, [])[:h] + own[c][h:])
+    members = defaultdict(list)
+    for c, s in sorted(seqs.items()):
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+    kids = defaultdict(list)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    out = {}
+
+    def walk(p):
+        leaves, saved = (0 if kids[p] else 1), (len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0)
+        for q in kids[p]:
+            a, b = walk(q)
+            leaves, saved = leaves + a, saved + b
+        ends = ",".join(str(c) for c in members[p] if len(seqs[c]) == len(p))
+        out[p] = (members[p][0], len(p), members[p[:-1]][0] if p else None, len(members[p]), len(kids[p]), leaves, saved,
+                  hashlib.sha256(ends.encode()).hexdigest())
+        return leaves, saved
+
+    if members:
+        walk(())
+    return Counter(out.values())
+
+
+def test_find_close_over_many_blocks(monkeypatch):
+    rnd = random.Random(4)
+    for block, n in ((2, 400), (8, 3000), (64, 9000), (64, 10)):
+        monkeypatch.setattr(prefixtrie.Parens, "BLOCK", block)
+        for lean in (.5, .9, .1):
+            steps, depth = [1], 1
+            while len(steps) < n - depth:
+                step = 1 if depth == 1 or rnd.random() < (lean if len(steps) < n / 3 else .5) else -1
+                steps.append(step)
+                depth += step
+            steps += [-1] * depth
+            stack, want = [], {}
+            for i, s in enumerate(steps):
+                if s > 0:
+                    stack.append(i)
+                else:
+                    want[stack.pop()] = i
+            opens = np.array(sorted(want))
+            assert prefixtrie.Parens(np.array(steps, np.int8)).find_close(opens).tolist() == [want[i] for i in opens]
+
+
+@pytest.mark.parametrize("least", [64, 1 << 18])
+def test_every_node_as_counted_from_all_prefixes(spark, monkeypatch, least):
+    monkeypatch.setattr(prefixtrie, "SHARD_LEAST", least)
+    rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert Counter(map(tuple, registered.op13_prefix_trie(spark, SF).collect())) == plain_trie(rows)
+    rnd = random.Random(least)
+    rows = [(None, 1, "user", "lost"), (-7, 1, "u", "é"), (-5, 1, None, None), (10 ** 15 + 3, None, "u", ""), (10 ** 15, 2, "u", "b" * 300000)]
+    for c in range(260):
+        rows += [(c, t if rnd.random() > .1 else None, rnd.choice("ua"), rnd.choice(["same", "other", "é"])) for t in range(rnd.choice([1, 2, 3, 12]))]
+    rows += [(c, t, "user", "copied") for c in range(1000, 1300) for t in range(3)] + [(2001, t, "user", f"t{t % 7}") for t in range(600)]
+    path = scratch_path(spark, "turns")
+    spark.createDataFrame([(*r, "h", 1, "p") for r in rows], "conv_id long, turn long, role string, text string, hash string, n int, path string").write.parquet(
+        f"{path}/conversations.parquet")
+    assert Counter(map(tuple, registered.op13_prefix_trie(spark, path).collect())) == plain_trie(rows)
+
+
+def test_no_conversations_make_no_nodes(spark):
+    path = scratch_path(spark, "turns")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/conversations.parquet")
+    assert registered.op13_prefix_trie(spark, path).collect() == []
