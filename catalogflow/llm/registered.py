@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import covertree, langid, minhash, mixing, prefixtrie, quality, repair, sampling, templates, tokens, urllists, warc
+from . import covertree, langid, minhash, mixing, prefixtrie, quality, repair, sampling, templates, tokens, urllists, warc, wrappers
 from .common import materialize, scratch_path, table
 
 
@@ -167,6 +167,12 @@ FROM documents o LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def op11_wrapper_induction(spark, sf_dir):
+    """Main text of every page."""
+    out = wrappers.main_text(table(spark, sf_dir, "pages"))
+    return out.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def damaged_conversations(turns):
     """Conversations with faults that follow from crc32 of ``conv_id:turn``."""
     part = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
@@ -200,5 +206,5 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_warc_revisits, op3_token_counts, op4_cover_tree, op5_source_mix, op6_language_id, op7_url_lists, op8_minhash_odd_sketch, op9_sampled_segmentations, op10_line_templates,
-                                  op12_conversation_repair, op13_prefix_trie)}
+                                  op11_wrapper_induction, op12_conversation_repair, op13_prefix_trie)}
 ORACLE: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op7_url_lists": OP7_SQL, "op10_line_templates": OP10_SQL}
