@@ -57,8 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
+    ``compression`` names another codec than the session's, for wide texts.
 
     Used after non-deterministic stages (model calls): the result is stored
     once, downstream stages read the files, and a lost executor never makes
@@ -68,7 +69,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     import uuid
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 
