@@ -15,6 +15,7 @@ in a tree of bounded groups, texts travel as hashes with partial counts.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -55,7 +56,7 @@ FOLD = 64              # wrappers that one merge takes, about
 TEMPLATE_SHARE = 0.9   # of a host's distinct pages that must share a text for it to be template
 TEMPLATE_PAGES = 8     # and their least number
 FEW_TEXTS = 0.1        # texts per page under which a slot with a single text a page is template
-LINK_SHARE = 0.5       # of a slot's characters inside links, above which it is a menu
+LINK_SHARE = 0.5       # of a slot's or block's characters inside links, above which it is a menu
 
 TOKEN = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))"                                   # comments
@@ -418,40 +419,55 @@ def page_blocks(page: str):
 
 
 def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(key, url, host, shape_id, shape, blocks): every page read once; the whole
-    text is kept, by block."""
+    """(key, url, host, shape_id, shape, page, blocks): every page read once; the
+    whole text is kept, by block.  ``page`` is a hash of all texts, ``mark`` one of
+    a block's; ``again`` says that the node had the text before."""
     import pyarrow as pa
     src = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), host_of(F.col(f"`{url}`")).alias("host"),
                        F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     from pyspark.sql.pandas.types import to_arrow_type
     head = [pa.field(c, to_arrow_type(src.schema[c].dataType)) for c in ("key", "url", "host")]
-    block = pa.struct([pa.field("node", pa.int32()), pa.field("text", pa.string()), pa.field("link", pa.int32())])
-    schema = pa.schema([*head, pa.field("shape_id", pa.int64()), pa.field("shape", pa.string()), pa.field("blocks", pa.list_(block))])
+    block = pa.struct([pa.field("node", pa.int32()), pa.field("text", pa.string()), pa.field("link", pa.int32()),
+                       pa.field("mark", pa.int64()), pa.field("again", pa.bool_())])
+    schema = pa.schema([*head, pa.field("shape_id", pa.int64()), pa.field("shape", pa.string()), pa.field("page", pa.int64()),
+                        pa.field("blocks", pa.list_(block))])
+
+    def short_hash(texts):
+        h = hashlib.blake2b(digest_size=8)
+        for t in texts:
+            h.update(t.encode("utf-8", "surrogatepass") + b"\0")
+        return int.from_bytes(h.digest(), "big", signed=True)
 
     def read(batches):
-        import hashlib
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, shapes, ends, nodes, texts, links = [], [], [0], [], [], []
+                ids, shapes, wholes, ends, nodes, texts, links, marks, again = [], [], [], [0], [], [], [], [], []
                 for page in part.column(3).to_pylist():
                     shape, blocks = page_blocks(page)
                     text = dumps(shape)
                     shapes.append(text)
-                    ids.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True))
+                    ids.append(short_hash([text]))
+                    wholes.append(short_hash(t for _, t, _ in blocks))
+                    seen = set()
                     for node, said, link in blocks:
+                        mark = short_hash([said])
                         nodes.append(node)
                         texts.append(said)
                         links.append(link)
+                        marks.append(mark)
+                        again.append((node, mark) in seen)
+                        seen.add((node, mark))
                     ends.append(len(nodes))
-                items = pa.StructArray.from_arrays([pa.array(nodes, pa.int32()), pa.array(texts, pa.string()), pa.array(links, pa.int32())],
-                                                   fields=list(block))
+                items = pa.StructArray.from_arrays(
+                    [pa.array(nodes, pa.int32()), pa.array(texts, pa.string()), pa.array(links, pa.int32()),
+                     pa.array(marks, pa.int64()), pa.array(again, pa.bool_())], fields=list(block))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(i).cast(head[i].type) for i in range(3)], pa.array(ids, pa.int64()), pa.array(shapes, pa.string()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], schema=schema)
+                     pa.array(wholes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], schema=schema)
 
     out = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in ("key", "url", "host"))
-    return src.mapInArrow(read, f"{out}, shape_id long, shape string, blocks array<struct<node:int,text:string,link:int>>")
+    return src.mapInArrow(read, f"{out}, shape_id long, shape string, page long, blocks array<struct<node:int,text:string,link:int,mark:bigint,again:boolean>>")
 
 
 def wrappers(shapes: DataFrame) -> DataFrame:
@@ -478,51 +494,59 @@ def wrappers(shapes: DataFrame) -> DataFrame:
 
 
 def slots(shapes: DataFrame, wraps: DataFrame) -> DataFrame:
-    """(host, shape_id, node, slot, place): every shape aligned to its host's wrapper."""
+    """(host, shape_id, slots, places): every shape aligned to its host's wrapper;
+    both arrays have an element per node of the shape."""
     def align(batches):
         for pdf in batches:
             rows = []
             for host, sid, shape, wrapper in zip(pdf["host"], pdf["shape_id"], pdf["shape"], pdf["wrapper"]):
                 tree = loads(shape)
-                for node, (slot, place) in enumerate(zip(aligned(loads(wrapper), tree), places(tree))):
-                    rows.append((host, sid, node, slot, place))
-            yield pd.DataFrame(rows, columns=["host", "shape_id", "node", "slot", "place"])
+                rows.append((host, sid, aligned(loads(wrapper), tree), places(tree)))
+            yield pd.DataFrame(rows, columns=["host", "shape_id", "slots", "places"])
 
     return shapes.join(wraps, "host").select("host", "shape_id", "shape", "wrapper").mapInPandas(
-        align, "host string, shape_id long, node int, slot int, place int")
+        align, "host string, shape_id long, slots array<int>, places array<int>")
 
 
 def verdicts(pages: DataFrame, at: DataFrame) -> DataFrame:
-    """(host, shape_id, nodes, template): the nodes of a shape that hold content,
-    and hashes of (node, text) that are template all the same.
-
-    A host's equal pages count once."""
-    said = pages.select("host", "shape_id", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"), F.explode("blocks").alias("b"))
-    said = said.select("host", "shape_id", "page", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("text"),
-                       F.col("b.link").alias("link"), F.length("b.text").alias("chars"))
-    once = said.groupBy("host", "shape_id", "node", "text", "page").agg(F.max("link").alias("link"), F.max("chars").alias("chars"))
-    texts = once.groupBy("host", "shape_id", "node", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("link").alias("link"), F.sum("chars").alias("chars"))
-    having = once.groupBy("host", "shape_id", "node", "page").agg(F.lit(1).alias("one")).groupBy("host", "shape_id", "node").agg(
-        F.count(F.lit(1)).alias("pages"))
-    by = ["host", "shape_id", "node"]
-    per_slot = texts.join(at, by).groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("n", "link", "chars")])
-    stats = per_slot.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("uses"),
-                                                 F.sum("link").alias("link"), F.sum("chars").alias("chars"))
-    pages_of = having.join(at, by).groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
-    stats = stats.join(pages_of, ["host", "slot"]).where("slot >= 0")
+    """(host, shape_id, place, nodes, template): the best place in which a shape
+    has content, its nodes there, and hashes of (node, text) that are template
+    all the same.
+
+    A host's equal pages count once.  What is shuffled per page is its blocks'
+    hashes, once by page and once by text."""
+    marks = F.transform(F.filter("blocks", lambda b: ~b["again"]), lambda b: F.struct(
+        b["node"].alias("node"), b["mark"].alias("mark"), b["link"].alias("link"), F.length(b["text"]).alias("chars")))
+    once = pages.select("host", "shape_id", "page", marks.alias("marks")).groupBy("host", "shape_id", "page").agg(F.first("marks").alias("marks"))
+    once = materialize(once.join(at, ["host", "shape_id"]).select("host", "shape_id", "places", "slots", "marks"), "page-marks", "zstd")
+    slot_of = lambda m: F.get("slots", m["node"])
+    said = once.select("host", F.explode(F.transform("marks", lambda m: F.struct(
+        slot_of(m).alias("slot"), m["mark"].alias("mark"), m["link"].alias("link"), m["chars"].alias("chars")))).alias("m")).select("host", "m.*")
+    having = once.select("host", F.explode(F.array_distinct(F.transform("marks", slot_of))).alias("slot"))
+    by = ["host", "slot"]
+    stats = said.groupBy(*by).agg(F.count(F.lit(1)).alias("uses"), F.sum("link").alias("link"), F.sum("chars").alias("chars"))
+    stats = stats.join(having.groupBy(*by).agg(F.count(F.lit(1)).alias("pages")), by).where("slot >= 0")
+    texts = said.groupBy("host", "slot", "mark").agg(F.count(F.lit(1)).alias("n"))
+    texts = materialize(texts.where(f"n >= {TEMPLATE_PAGES * TEMPLATE_SHARE}").unionByName(
+        # of texts that cannot be template by themselves, only their number matters
+        texts.where(f"n < {TEMPLATE_PAGES * TEMPLATE_SHARE}").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n")).select(
+            "host", "slot", F.lit(None).cast("long").alias("mark"), "n")), "page-texts")
+    stats = stats.join(texts.groupBy(*by).agg(F.sum(F.when(F.col("mark").isNull(), F.col("n")).otherwise(1)).alias("n_texts")), by)
     enough = F.col("pages") >= TEMPLATE_PAGES
-    stats = stats.select("host", "slot", "pages", (F.col("link") > LINK_SHARE * F.col("chars")).alias("links"),
-                         (enough & (F.col("uses") <= 1.5 * F.col("pages")) & (F.col("n_texts") <= FEW_TEXTS * F.col("pages"))).alias("few"))
-    common = per_slot.join(stats, ["host", "slot"]).where(enough & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))).select("host", "slot", "text")
-    filled = having.select(*by).join(at, by).where("place > 0").join(stats.select("host", "slot", "links", "few"), ["host", "slot"], "left")
+    stats = materialize(stats.select(
+        "host", "slot", "pages", (F.col("link") > LINK_SHARE * F.col("chars")).alias("links"),
+        (enough & (F.col("uses") <= 1.5 * F.col("pages")) & (F.col("n_texts") <= FEW_TEXTS * F.col("pages"))).alias("few")), "page-stats")
+    common = texts.where("mark is not null").join(stats, by).where(enough & (F.col("n") >= TEMPLATE_SHARE * F.col("pages")))
+    used = once.select("host", "shape_id", F.explode(F.array_distinct(F.transform("marks", lambda m: m["node"]))).alias("node")).distinct()
+    nodes = used.join(at, ["host", "shape_id"]).select(
+        "host", "shape_id", "node", F.get("slots", "node").alias("slot"), F.get("places", "node").alias("place"))
     # inside an article neither links nor few texts speak against a slot
-    open_ = filled.where("place = 3 or not (coalesce(links, false) or coalesce(few, false))")
+    open_ = nodes.where("place > 0").join(stats, by, "left").where("place = 3 or not (coalesce(links, false) or coalesce(few, false))")
     best = open_.groupBy("host", "shape_id").agg(F.max("place").alias("best"), F.collect_list(F.struct("place", "node")).alias("all"))
-    nodes = best.select("host", "shape_id", F.expr("transform(filter(all, x -> x.place = best), x -> x.node)").alias("nodes"))
-    fixed = at.join(common, ["host", "slot"]).groupBy("host", "shape_id").agg(
-        F.collect_list(F.xxhash64("node", "text")).alias("template"))
-    return nodes.join(fixed, ["host", "shape_id"], "left")
+    chosen = best.select("host", "shape_id", F.col("best").alias("place"), F.expr("transform(filter(all, x -> x.place = best), x -> x.node)").alias("nodes"))
+    fixed = nodes.join(common.select("host", "slot", "mark"), by).groupBy("host", "shape_id").agg(
+        F.collect_list(F.xxhash64("node", "mark")).alias("template"))
+    return chosen.join(fixed, ["host", "shape_id"], "left")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -533,12 +557,14 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     share the host ``""``; repeated rows get a row each.  Pages of a host with
     fewer than ``TEMPLATE_PAGES`` distinct pages are judged by their places alone.
     Other columns play no part."""
-    read = materialize(parsed(pages, key, url, html), "page-blocks")
+    read = materialize(parsed(pages, key, url, html), "page-blocks", "zstd")
     shapes = materialize(read.groupBy("host", "shape_id").agg(F.min("shape").alias("shape")), "page-shapes")
     at = materialize(slots(shapes, wrappers(shapes)), "page-slots")
     judged = materialize(verdicts(read, at), "page-verdicts")
     out = read.join(judged, ["host", "shape_id"], "left")
-    kept = F.filter("blocks", lambda b: F.array_contains("nodes", b["node"]) & ~F.coalesce(
-        F.array_contains("template", F.xxhash64(b["node"], F.xxhash64(b["text"]))), F.lit(False)))
+    # outside an article a block that is mostly links is a menu, whatever its slot
+    kept = F.filter("blocks", lambda b: F.array_contains("nodes", b["node"]) & (
+        (F.col("place") == 3) | (b["link"] <= LINK_SHARE * F.length(b["text"]))) & ~F.coalesce(
+        F.array_contains("template", F.xxhash64(b["node"], b["mark"])), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return out.select("key", "url", F.coalesce(text, F.lit("")).alias("text"))
