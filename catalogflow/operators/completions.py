@@ -9,26 +9,26 @@ partitions = concurrent callers) and retries:
   ``max_tries`` with a doubling wait capped at ``max_wait``;
 * any other error gives null for the prompt.
 
-Model output is non-deterministic and costly, so every stage writes its
-responses under the shared checkpoint folder and reads them back
-(``materialize``); a lost executor never makes Spark call the model again.
-Only (key, prompt) columns cross into Python; results join back on the key.
+Model output is non-deterministic and costly, so answers go to a keyed store
+(``answers.AnswerStore``) and are read from there; neither a lost executor nor a
+lost driver makes Spark pay for an answer again.  Only prompts cross into
+Python, each once; answers join back on the prompt's hash.
 """
 
 from __future__ import annotations
 
 import os
 import time
-from typing import Callable, Iterable
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
 from ..functions.html import base_name, wrap_fragment
 from ..functions.prompts import render
-from ..session import materialize
+from ..session import materialize, scratch_path
+from .answers import AnswerStore, one_answer, prompt_hash
 from .attempts import select_attempt
 from .audit import audit_content
 
@@ -79,47 +79,42 @@ def call_with_retries(fn: Callable, prompts: list, max_tries: int = 5, first_wai
 def answered(df: DataFrame, key: str, prompt_col: str, responses: DataFrame, out_col: str = "response") -> DataFrame:
     """G1 from a table of given answers: (prompt_hash, response), joined on the
     prompt's SHA-256.  Prompts stay where they are rendered; only key and hash
-    are shuffled.  A prompt without an answer has a null response."""
-    asked = df.select(F.col(key), F.sha2(F.col(prompt_col), 256).alias("_hash"))
-    given = responses.select(F.col("prompt_hash").alias("_h"), F.col("response").alias(out_col))
+    are shuffled.  One row per row of ``df``: of repeated answers to a prompt the
+    first counts (``one_answer``), a prompt without an answer has a null response."""
+    asked = df.select(F.col(key), prompt_hash(prompt_col).alias("_hash"))
+    given = one_answer(responses).select(F.col("prompt_hash").alias("_h"), F.col("response").alias(out_col))
     return asked.join(given, F.col("_hash") == F.col("_h"), "left").select(key, out_col)
 
 
 def complete(df: DataFrame, key: str, prompt_col: str, completion_fn: Callable | DataFrame | None = None,
              client_factory: Callable | None = None, out_col: str = "response", batch_size: int = 16,
              parallelism: int | None = None, max_tries: int = 5, first_wait: float = 2.0,
-             max_wait: float = 60.0, transient=(TransientError,), persist: bool = True,
+             max_wait: float = 60.0, transient=(TransientError,), store: AnswerStore | None = None,
              name: str = "completions") -> DataFrame:
-    """G1: (key, prompt) -> (key, response).  Null prompts are not sent.
+    """G1: (key, prompt) -> (key, response).  Null prompts are not sent, equal
+    prompts are sent once.
 
     ``completion_fn`` may be a table of answers instead (see ``answered``).
-    ``parallelism`` is the number of concurrent callers and has no default:
-    left to the optimizer, short prompts would meet in one task."""
+    ``store`` keeps the answers: a run that finds them there calls nothing, and
+    one that was cut off goes on where it stopped.  Without one, answers go to a
+    store of this call's own.  ``parallelism`` is the number of concurrent
+    callers and has no default: left to the optimizer, short prompts would meet
+    in one task."""
     if isinstance(completion_fn, DataFrame):
         return answered(df, key, prompt_col, completion_fn, out_col)
     if (completion_fn is None) == (client_factory is None):
         raise ValueError("give exactly one of completion_fn / client_factory")
-    src = df.select(F.col(key), F.col(prompt_col).alias("_prompt"))
     if not parallelism:
         raise ValueError("say how many tasks may call the model: parallelism=...")
-    src = src.repartition(parallelism, F.xxhash64(key))
-    key_type = df.schema[key].dataType.simpleString()
+    if store is None:
+        store = AnswerStore(df.sparkSession, scratch_path(df.sparkSession, name))
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def client():
         fn = completion_fn if completion_fn is not None else client_factory()
-        for pdf in batches:
-            answers = [None] * len(pdf)
-            prompts = pdf["_prompt"].tolist()
-            idx = [i for i, p in enumerate(prompts) if p is not None]
-            for s in range(0, len(idx), batch_size):
-                part = idx[s:s + batch_size]
-                res = call_with_retries(fn, [prompts[i] for i in part], max_tries, first_wait, max_wait, transient)
-                for i, r in zip(part, res):
-                    answers[i] = r
-            yield pd.DataFrame({key: pdf[key], out_col: answers})
+        return lambda prompts: call_with_retries(fn, prompts, max_tries, first_wait, max_wait, transient)
 
-    out = src.mapInPandas(run, f"{key} {key_type}, {out_col} string")
-    return materialize(out, name) if persist else out
+    store.ask(df, prompt_col, client, parallelism, batch_size)
+    return answered(df, key, prompt_col, store.rows(), out_col)
 
 
 def _parsed_content(resp) -> F.Column:
@@ -201,8 +196,11 @@ def produce_content(df: DataFrame, key: str, name: str, text: str, completion_fn
     """Generate, audit, refine the failing (up to ``max_attempts``),
     select (W5), fallback for rows without content, finalise HTML (H1-H3)
     and defaults (P5).  ``df`` must have one row per ``key``; rows with blank
-    text should be routed away before (F4)."""
+    text should be routed away before (F4).  A table of answers is reduced to one
+    answer per prompt and stored once, for all stages."""
     t = templates or default_templates()
+    if isinstance(completion_fn, DataFrame):
+        completion_fn = materialize(one_answer(completion_fn), "answers")
     base = materialize(df.select(key, name, text, *([keywords] if keywords else [])), "base")
     texts = base.select(F.col(key).alias("_tk"), text)
 

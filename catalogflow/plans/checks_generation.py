@@ -13,8 +13,10 @@ from ..functions import html as H
 from ..functions import jsonx as J
 from ..functions.text import has_text, normalize_key
 from ..operators import completions as C
+from ..operators.answers import AnswerStore, prompt_hash
 from ..operators import enrich as E
 from ..operators.keys import normalize_keys
+from ..session import materialize, scratch_path
 from . import app
 from . import sqlfrag as Q
 from .checks_html import _AUD_CTES, _SUM
@@ -33,71 +35,107 @@ def _fill(s: str):
 
 
 def _products(spark, d):
-    """One product per document with text, and what the model will answer for it."""
-    N = F.col("doc_id")  # noqa: N806
+    """One product per document with text, and what the model will answer for
+    it.  Products of equal name and leaflet have equal prompts, so their answers
+    are those of the least such document (number ``n``)."""
     docs = table(spark, d, "documents").where(has_text(F.col("text"))).select("doc_id", F.col("text").alias("leaflet_text"))
-    h = made_html(spark, d).join(docs, "doc_id")
+    h = made_html(spark, d).join(docs, "doc_id").withColumn("same", F.sha2(F.concat_ws("|", "product_name", "leaflet_text"), 256))
+    owner = h.groupBy("same").agg(F.min("doc_id").alias("n"), F.min_by("html", "doc_id").alias("html"))
+    h = h.drop("html").join(owner, "same")
+    N = F.col("n")  # noqa: N806
     title = F.concat(F.col("b"), F.lit(GOOD_TITLE))
     meta = F.concat(F.col("b"), F.lit(GOOD_META))
     first = F.to_json(F.struct(F.when(N % 2 == 0, title).otherwise(F.col("b")).alias("seo_title"),
                                F.when(N % 3 != 0, meta).otherwise(F.lit("x")).alias("meta_description"),
                                F.when(N % 10 == 7, F.lit("<p>short</p>")).otherwise(F.col("html")).alias("html_content")))
     better = F.to_json(F.struct(title.alias("seo_title"), meta.alias("meta_description"), _fill(PLAIN_PAGE).alias("html_content")))
-    return h.select(
-        "doc_id", N.cast("string").alias("doc_key"), "product_name", "leaflet_text",
+    return materialize(h.select(
+        "doc_id", F.col("doc_id").cast("string").alias("doc_key"), "product_name", "leaflet_text", "n",
         F.when(N % 10 == 9, F.lit(None)).when(N % 10 == 8, F.lit('{"error": "client failed"}'))
          .when(N % 10 == 6, F.concat(F.lit("Here it is: "), first))
          .otherwise(F.concat(F.lit("```json\n"), first, F.lit("\n```"))).alias("a1"),
         F.when(N % 4 != 0, F.concat(F.lit("```json\n"), better, F.lit("\n```"))).alias("a2"),
-        F.when(N % 4 != 0, _fill(PLAIN_PAGE)).otherwise(F.lit("<p>x</p>")).alias("a3"))
+        F.when(N % 4 != 0, _fill(PLAIN_PAGE)).otherwise(F.lit("<p>x</p>")).alias("a3")), "products", "zstd")
 
 
 def _answers(products, prompts, col, key="doc_key"):
-    """(prompt_hash, response) for prompts of those products; a null answer has no row."""
+    """(prompt_hash, response, run, wave) for prompts of those products: the
+    answer of the first run, and a later one that must not count for every prompt
+    whose hash begins with 0 to 3.  A null answer has no row."""
     a = products.select(F.col(key).alias("_k"), F.col(col).alias("response")).where("response is not null")
-    return prompts.join(a, F.col(key) == F.col("_k")).select(F.sha2("prompt", 256).alias("prompt_hash"), "response").distinct()
+    given = prompts.select(F.col(key), prompt_hash("prompt").alias("prompt_hash")).join(a, F.col(key) == F.col("_k"))
+    given = given.groupBy("prompt_hash").agg(F.min("response").alias("response"))
+    again = F.when(F.col("prompt_hash") < "4", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = given.select("prompt_hash", "response", F.explode(again).alias("run")).withColumn("run", F.col("run").cast("long"))
+    return rows.select("prompt_hash", F.when(F.col("run") == 1, F.col("response")).otherwise(F.lit("a later answer")).alias("response"),
+                       "run", F.lit(0).cast("long").alias("wave"))
 
 
-def _stages(spark, d):
+IDS = ("doc_key", "product_name", "leaflet_text")
+
+
+def _generated(spark, d):
+    """(templates, products, answers of the first attempt stored, generated and audited products)."""
     t, p = C.default_templates(), _products(spark, d)
-    ids = ("doc_key", "product_name", "leaflet_text")
-    r1 = _answers(p, C.generate_prompts(p, *ids, t["page_generator"]), "a1")
-    g = C.audit(C.generate(p, *ids, r1, t["page_generator"]), name="product_name")
-    failing = g.where(F.col("content").isNotNull() & (F.col("audit.seo_score") < 95))
-    r2 = _answers(p, C.refine_prompts(failing, *ids, t["quality_refiner"]), "a2")
-    r3 = _answers(p, C.fallback_prompts(p, *ids, t["essentials_fallback"]), "a3")
-    return t, p, ids, r1, g, failing, r2, r3
+    r1 = materialize(_answers(p, C.generate_prompts(p, *IDS, t["page_generator"]), "a1"), "answers1")
+    g = C.audit(C.generate(p, *IDS, r1, t["page_generator"]), name="product_name")
+    return t, p, r1, g
+
+
+def _failing(g):
+    return g.where(F.col("content").isNotNull() & (F.col("audit.seo_score") < 95))
 
 
 def completions_q(spark, d):
-    t, p, ids, r1, *_ = _stages(spark, d)
-    out = C.complete(C.generate_prompts(p, *ids, t["page_generator"]), "doc_key", "prompt", r1)
+    t, p = C.default_templates(), _products(spark, d)
+    prompts = C.generate_prompts(p, *IDS, t["page_generator"])
+    out = C.complete(prompts, "doc_key", "prompt", _answers(p, prompts, "a1"))
     err = J.json_error(J.extract_json_text("response")).isNotNull()
     return out.select("doc_key", F.col("response").isNotNull().alias("answered"), F.coalesce(err, F.lit(False)).alias("failed"))
 
 
+def answer_store_q(spark, d):
+    """Every document's prompt answered over three runs of one store: the first
+    was cut off (it saw one document in three) and got no answer to some, the
+    second asks what is left, the third finds nothing to ask."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+    store = AnswerStore(spark, scratch_path(spark, "answer-store"))
+    ask = lambda rows, fn: store.ask(rows, "prompt", lambda: fn, parallelism=4, wave_size=20_000)
+    n1 = ask(docs.where(F.col("doc_id") % 3 == 0), lambda prompts: [f"1:{len(p)}" if len(p) % 5 else None for p in prompts])
+    n2 = ask(docs, lambda prompts: [f"2:{len(p)}" for p in prompts])
+    n3 = ask(docs, lambda prompts: [f"3:{len(p)}" for p in prompts])
+    out = C.answered(docs, "doc_id", "prompt", store.rows())
+    return out.select("doc_id", "response", *[F.lit(n).cast("long").alias(f"asked_{i}") for i, n in enumerate((n1, n2, n3), 1)])
+
+
 def generate_stage_q(spark, d):
-    g = _stages(spark, d)[4]
+    g = _generated(spark, d)[3]
     return g.select("doc_key", F.col("content.seo_title").alias("seo_title"), F.col("audit.seo_score").alias("score"))
 
 
 def refine_stage_q(spark, d):
-    t, _, ids, _, _, failing, r2, _ = _stages(spark, d)
-    r = C.audit(C.refine(failing, *ids, r2, t["quality_refiner"]), name="product_name")
+    t, p, _, g = _generated(spark, d)
+    failing = materialize(_failing(g).select(*IDS, "a2", "content", "audit"), "failing", "zstd")
+    r2 = _answers(failing, C.refine_prompts(failing, *IDS, t["quality_refiner"]), "a2")
+    r = C.audit(C.refine(failing, *IDS, r2, t["quality_refiner"]), name="product_name")
     return r.select("doc_key", F.col("content.seo_title").alias("seo_title"), F.col("audit.seo_score").alias("score"))
 
 
 def fallback_stage_q(spark, d):
-    t, _, ids, _, g, _, _, r3 = _stages(spark, d)
-    empty = g.where(F.col("content").isNull()).drop("content", "audit")
-    fb = C.audit(C.fallback(empty, *ids, r3, t["essentials_fallback"]), name="product_name")
+    t, p, _, g = _generated(spark, d)
+    empty = materialize(g.where(F.col("content").isNull()).select(*IDS, "a3"), "empty", "zstd")
+    r3 = _answers(empty, C.fallback_prompts(empty, *IDS, t["essentials_fallback"]), "a3")
+    fb = C.audit(C.fallback(empty, *IDS, r3, t["essentials_fallback"]), name="product_name")
     return fb.select("doc_key", F.col("content.html_content").alias("html_content"),
                      F.col("content.seo_title").alias("seo_title"), F.col("audit.seo_score").alias("score"))
 
 
 def produce_content_q(spark, d):
-    _, p, ids, r1, _, _, r2, r3 = _stages(spark, d)
-    out = C.produce_content(p, *ids, r1.unionByName(r2).unionByName(r3))
+    t, p, r1, g = _generated(spark, d)
+    failing = _failing(g)
+    r2 = _answers(p, C.refine_prompts(failing, *IDS, t["quality_refiner"]), "a2")
+    r3 = _answers(p, C.fallback_prompts(p, *IDS, t["essentials_fallback"]), "a3")
+    out = C.produce_content(p, *IDS, r1.unionByName(r2).unionByName(r3))
     return out.select("doc_key", "final_score", "seo_title", F.md5("final_content").alias("content_md5"), "attempts_run", "path")
 
 
@@ -120,7 +158,6 @@ def batch_draft_q(spark, d):
     items, cat, docs = std_items(spark, d), std_catalog(spark, d), std_documents(spark, d)
     ready = app.ready_documents(normalize_keys(items, "item_key"), cat, docs)
     draft = app.build_draft(items, cat, docs, _ready_answers(ready, "item_key", "product_name"))
-    from ..session import scratch_path
     from ..sinks.files import write_sheet
     done = draft.where("html_content is not null")
     path = write_sheet(draft, scratch_path(spark, "draft"), "draft", "run1", require_rows=done)
@@ -167,6 +204,7 @@ def reprocess_q(spark, d):
 
 QUERIES = {
     "completions": completions_q,
+    "answer_store": answer_store_q,
     "generate_stage": generate_stage_q,
     "refine_stage": refine_stage_q,
     "fallback_stage": fallback_stage_q,
@@ -178,14 +216,16 @@ QUERIES = {
     "reprocess": reprocess_q,
 }
 
-_P = f"""p AS (SELECT h.doc_id, CAST(h.doc_id AS VARCHAR) AS doc_key, h.product_name, h.b, h.html
-  FROM made_html h JOIN documents o ON h.doc_id = o.doc_id WHERE {Q.blank_to_null('o.text')} IS NOT NULL),
-g1 AS (SELECT *, CASE WHEN doc_id % 10 = 7 THEN '<p>short</p>' ELSE html END AS h1 FROM p),
-g2 AS (SELECT *, doc_id % 10 NOT IN (8, 9) AND coalesce(length(h1) > 50, false) AS ok FROM g1)"""
+_P = f"""p AS (SELECT h.doc_id, CAST(h.doc_id AS VARCHAR) AS doc_key, h.product_name, h.b, min(h.doc_id) OVER w AS n,
+    first_value(h.html) OVER (PARTITION BY h.product_name, o.text ORDER BY h.doc_id) AS html
+  FROM made_html h JOIN documents o ON h.doc_id = o.doc_id WHERE {Q.blank_to_null('o.text')} IS NOT NULL
+  WINDOW w AS (PARTITION BY h.product_name, o.text)),
+g1 AS (SELECT *, CASE WHEN n % 10 = 7 THEN '<p>short</p>' ELSE html END AS h1 FROM p),
+g2 AS (SELECT *, n % 10 NOT IN (8, 9) AND coalesce(length(h1) > 50, false) AS ok FROM g1)"""
 _PAGE_SQL = " || ".join(x for i, part in enumerate(PLAIN_PAGE.split("{b}")) for x in (["b"] if i else []) + [Q.lit(part)])
-_GEN = f"""made_content AS (SELECT doc_id, doc_key, product_name, b, ok,
-    CASE WHEN ok THEN CASE WHEN doc_id % 2 = 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE b END END AS seo_title,
-    CASE WHEN ok THEN CASE WHEN doc_id % 3 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE 'x' END END AS meta_description,
+_GEN = f"""made_content AS (SELECT doc_id, n, doc_key, product_name, b, ok,
+    CASE WHEN ok THEN CASE WHEN n % 2 = 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE b END END AS seo_title,
+    CASE WHEN ok THEN CASE WHEN n % 3 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE 'x' END END AS meta_description,
     CASE WHEN ok THEN h1 END AS html_content FROM g2)"""
 
 
@@ -204,15 +244,15 @@ def _score(a: str) -> str:
 
 _S1 = f"{_P}, {_GEN}, {_AUD_CTES}, s1 AS (SELECT doc_id, {_score('aud')} AS score FROM aud)"
 _S2 = _S1 + f""", second AS (SELECT m.doc_id, m.doc_key, m.product_name, m.b,
-    CASE WHEN m.doc_id % 4 <> 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE seo_title END AS seo_title,
-    CASE WHEN m.doc_id % 4 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE meta_description END AS meta_description,
-    CASE WHEN m.doc_id % 4 <> 0 THEN {_PAGE_SQL} ELSE html_content END AS html_content
+    CASE WHEN m.n % 4 <> 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE seo_title END AS seo_title,
+    CASE WHEN m.n % 4 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE meta_description END AS meta_description,
+    CASE WHEN m.n % 4 <> 0 THEN {_PAGE_SQL} ELSE html_content END AS html_content
   FROM made_content m JOIN s1 USING (doc_id) WHERE ok AND score < 95), {_again(2, 'second')},
 s2 AS (SELECT doc_id, {_score('aud2')} AS score FROM aud2)"""
 _S3 = f"""third AS (SELECT doc_id, doc_key, product_name, {Q.lit(J.FALLBACK_TITLE.split('%s')[0])} || product_name
       || {Q.lit(J.FALLBACK_TITLE.split('%s')[1])} AS seo_title,
     {Q.lit(J.FALLBACK_DESCRIPTION.split('%s')[0])} || product_name || {Q.lit(J.FALLBACK_DESCRIPTION.split('%s')[1])} AS meta_description,
-    CASE WHEN doc_id % 4 <> 0 THEN {_PAGE_SQL} ELSE {Q.lit(J.FALLBACK_HTML_ERROR)} END AS html_content
+    CASE WHEN n % 4 <> 0 THEN {_PAGE_SQL} ELSE {Q.lit(J.FALLBACK_HTML_ERROR)} END AS html_content
   FROM made_content WHERE NOT ok), {_again(3, 'third')}, s3 AS (SELECT doc_id, {_score('aud3')} AS score FROM aud3)"""
 _CLEAN = Q.ustrip(Q.rx_replace(Q.clean_fences("html_content"), H.DOC_TAGS))
 _WRAP = f"md5(chr(10) || '<div class=\"product-description\">' || chr(10) || {_CLEAN} || chr(10) || '</div>')"
@@ -260,7 +300,13 @@ JOIN fc ON {Q.norm_key('l.item_key')} = fc.barcode JOIN nd ON fc.leaflet_link =
 LEFT JOIN (SELECT item_key, min(product_name) AS product_name FROM ni GROUP BY 1) n ON n.item_key = {Q.norm_key('l.item_key')}
 WHERE l.status = 'disapproved' AND {Q.blank_to_null('nd.doc_text')} IS NOT NULL""",
                            "std_items", "std_catalog", "std_documents", "std_reviews", ctes=_READY),
-    "completions": with_ctes("SELECT doc_key, doc_id % 10 <> 9 AS answered, doc_id % 10 = 8 AS failed FROM p", "made_html", ctes=_P),
+    "completions": with_ctes("SELECT doc_key, n % 10 <> 9 AS answered, n % 10 = 8 AS failed FROM p", "made_html", ctes=_P),
+    "answer_store": """
+WITH t AS (SELECT text, length(text) AS n, bool_or(doc_id % 3 = 0) AS early FROM documents WHERE text IS NOT NULL GROUP BY text),
+c AS (SELECT count(*) FILTER (WHERE early) AS asked_1, count(*) FILTER (WHERE NOT early OR n % 5 = 0) AS asked_2 FROM t)
+SELECT doc_id, CASE WHEN early AND n % 5 <> 0 THEN '1:' || n WHEN n IS NOT NULL THEN '2:' || n END AS response,
+       asked_1, asked_2, CAST(0 AS BIGINT) AS asked_3
+FROM documents LEFT JOIN t USING (text), c""",
     "generate_stage": with_ctes("SELECT doc_key, seo_title, score FROM made_content JOIN s1 USING (doc_id)", "made_html", ctes=_S1),
     "refine_stage": with_ctes("SELECT doc_key, seo_title, score FROM second JOIN s2 USING (doc_id)", "made_html", ctes=_S2),
     "fallback_stage": with_ctes("SELECT doc_key, html_content, seo_title, score FROM third JOIN s3 USING (doc_id)",
