@@ -66,11 +66,11 @@ def test_a_run_that_was_cut_off_goes_on(spark, tmpdir_path):
     def dies(prompts):
         if any(p in ("p17", "p44") for p in prompts):
             raise MemoryError("the driver's machine is gone")
-        return [p.upper() for p in prompts]
+        return [None if p.startswith("hard") else p.upper() for p in prompts]
 
     with pytest.raises(Exception, match="gone"):
         store.ask(docs, "prompt", lambda: dies, parallelism=2, batch_size=2, wave_size=5)
-    kept = store.rows().count()      # the waves that were over are there, whole
+    kept = store.rows().where("response is not null").count()      # the waves that were over are there, whole
     model = counting(tmpdir_path)
     n = store.ask(docs, "prompt", lambda: model, parallelism=2, batch_size=2, wave_size=50)
     assert n == 62 - kept and len(asked(tmpdir_path)) == n
