@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import (ANY_TAG, DETAILS_BLOCK, base_name, count_tag, has_tag,
-                              heading_texts, markup, visible_text)
-from ..functions.text import pretty_label, ustrip
+from ..functions.html import (attribute_is, base_name, count_tag, events, has_attribute, has_tag, outline,
+                              tag_names, tags_of, text_of)
+from ..functions.text import pretty_label
 
 RULES = ("json_structure", "no_h1_tag", "section_order", "specifications_table", "faq_structure",
          "legal_notice", "transparency_note", "seo_title_format", "meta_description_format")
@@ -51,10 +51,8 @@ def _b(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def section_positions(m: Column, rules: AuditRules) -> Column:
-    """Positions of the h2 headings (FAQ <details> blocks removed first)."""
-    heads = heading_texts(F.regexp_replace(m, DETAILS_BLOCK, ""), 2)
-
+def section_positions(heads: Column, rules: AuditRules) -> Column:
+    """Positions of headings in the page layout; headings of no section are left out."""
     def pos(h):
         lh = F.lower(h)
         e = None
@@ -64,12 +62,14 @@ def section_positions(m: Column, rules: AuditRules) -> Column:
     return F.filter(F.transform(heads, pos), lambda x: x.isNotNull())
 
 
-def table_labels(m: Column) -> Column:
-    """First-cell labels of the rows of the first table (lower, stripped)."""
-    table = F.regexp_extract(m, r"(?is)<table\b[^>]*>(.*?)</table\s*>", 1)
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
-    return F.transform(rows, lambda r: F.lower(ustrip(F.regexp_replace(
-        F.regexp_extract(r, r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>", 1), ANY_TAG, ""))))
+def _parts(df: DataFrame, html: str, text: bool) -> DataFrame:
+    """The columns both scorers read: ``_o`` (outline), ``_g`` (tags), ``_n``
+    (their names) and, if asked for, ``_t`` (visible text)."""
+    inner = df.withColumn("_ev", events(html))
+    inner = inner.withColumn("_o", outline("_ev")).withColumn("_g", tags_of("_ev"))
+    if text:
+        inner = inner.withColumn("_t", text_of("_ev"))
+    return inner.withColumn("_n", tag_names("_g"))
 
 
 def _len_between(c: Column, lo_hi) -> Column:
@@ -91,29 +91,29 @@ def audit_content(df: DataFrame, title: str = "seo_title", meta: str = "meta_des
                   html: str = "html_content", name: str | None = None,
                   rules: AuditRules = AuditRules(), out: str = "audit") -> DataFrame:
     for c in (title, meta, html):
-        if c in ("_m", "_t"):
-            raise ValueError("column names _m/_t are reserved by audit_content")
-    inner = df.withColumn("_m", markup(html))
-    inner = inner.withColumn("_t", visible_text("_m", from_markup=True))
-    m, t, h = F.col("_m"), F.col("_t"), F.col(html)
+        if c in ("_ev", "_o", "_g", "_n", "_t"):
+            raise ValueError("column names _ev, _o, _g, _n and _t are reserved by audit_content")
+    inner = _parts(df, html, text=True).drop("_ev")
+    o, tags, t, h = F.col("_o"), F.col("_g"), F.col("_t"), F.col(html)
     ti, me = F.col(title), F.col(meta)
     base = F.lower(base_name(name)) if name else None
 
     t_pat, t_len = title_checks(ti, rules)
     d_len, d_clean, d_cta = description_checks(me, rules)
-    legal = _b(m.rlike(r"(?i)class\s*=\s*[\"']?[^\"'>]*legal-notice-box")) & _b(F.contains(t, F.lit(rules.legal_phrase)))
+    legal = _b(F.exists(tags, lambda g: attribute_is(g["raw"], "class", "legal-notice-box"))) & _b(F.contains(t, F.lit(rules.legal_phrase)))
     if base is not None:
         legal = legal & _b(F.contains(t, base))
     want = F.array(*[F.lit(i) for i in range(1, len(rules.section_keywords) + 1)])
     score = {
         "json_structure": F.when(ti.isNotNull() & me.isNotNull() & h.isNotNull(), 5.0),
-        "no_h1_tag": F.when(h.isNotNull() & ~_b(has_tag(m, "h1")), 5.0),
-        "section_order": F.when(_b(section_positions(m, rules) == want), 15.0),
-        "specifications_table": F.when(_b(F.array_sort(table_labels(m)) ==
+        "no_h1_tag": F.when(h.isNotNull() & ~_b(has_tag("_n", "h1")), 5.0),
+        "section_order": F.when(_b(section_positions(o["h2_main"], rules) == want), 15.0),
+        "specifications_table": F.when(_b(F.array_sort(o["labels"]) ==
                                           F.array_sort(F.array(*[F.lit(x) for x in rules.spec_rows]))), 10.0),
-        "faq_structure": F.when(_b(m.rlike(r"(?i)<details\s+open")) & _b(has_tag(m, "summary")), 15.0),
+        "faq_structure": F.when(_b(F.exists(tags, lambda g: (g["name"] == "details") & has_attribute(g["raw"], "open")))
+                                & _b(has_tag("_n", "summary")), 15.0),
         "legal_notice": F.when(legal, 10.0),
-        "transparency_note": F.when(_b(m.rlike("transparency-note-final")) &
+        "transparency_note": F.when(_b(F.exists(tags, lambda g: F.contains(g["raw"], F.lit("transparency-note-final")))) &
                                     _b(F.contains(t, F.lit(rules.transparency_phrase))), 10.0),
         "seo_title_format": F.when(t_pat, 7.5).otherwise(0.0) + F.when(t_len, 7.5).otherwise(0.0),
         "meta_description_format": (F.when(d_len, 5.0).otherwise(0.0) + F.when(d_clean, 5.0).otherwise(0.0)
@@ -136,7 +136,7 @@ def audit_content(df: DataFrame, title: str = "seo_title", meta: str = "meta_des
                                    ).alias("score_breakdown"))
     none = ti.isNull() & me.isNull() & h.isNull()
     return (inner.withColumn(out, F.when(none, failed).otherwise(ok))
-            .drop("_m", "_t", *[f"_r_{k}" for k in RULES]))
+            .drop("_o", "_g", "_n", "_t", *[f"_r_{k}" for k in RULES]))
 
 
 def audit_long(df: DataFrame, id_cols, col: str = "audit") -> DataFrame:
@@ -154,25 +154,24 @@ def lint_flags(df: DataFrame, html: str = "html_content", title: str = "seo_titl
                meta: str = "meta_description", name: str | None = None,
                rules: AuditRules = AuditRules()) -> DataFrame:
     """L1-L7 layout lint (not scored): one boolean per rule plus repair candidates."""
-    inner = df.withColumn("_m", markup(html))
-    m = F.col("_m")
-    heads = F.concat(heading_texts(m, 2), heading_texts(m, 3))
-    out = inner
+    out = _parts(df, html, text=False)
+    o = F.col("_o")
+    heads = F.concat(o["h2"], o["h3"])
     if name:
         b = F.lower(base_name(name))
         out = out.withColumn("l1_no_heading_starts_with_name",
                              ~_b(F.exists(heads, lambda x: F.startswith(F.lower(x), b))))
-    n_details = count_tag(m, "details")
-    h2s = F.transform(heading_texts(m, 2), lambda x: F.lower(x))
-    labels = table_labels(m)
+    n_details = count_tag("_n", "details")
+    h2s = F.transform(o["h2"], lambda x: F.lower(x))
+    labels = o["labels"]
+    doctype = F.exists("_ev", lambda e: F.lower(F.substring(e["raw"], 1, 9)) == "<!doctype")
     t_pat, t_len = title_checks(F.col(title), rules)
     d_len, d_clean, d_cta = description_checks(F.col(meta), rules)
     out = (out
            .withColumn("l2_no_section_label", ~_b(F.col(html).rlike(r"SEÇÃO [0-9]+")))
            .withColumn("l3_faq_count_ok", _b(n_details.between(3, 5)))
-           .withColumn("l4_no_document_tags", ~_b(m.rlike(r"(?i)<(!doctype|html|head|body)[\s/>]")))
-           .withColumn("l5_alt_faq_form", _b(F.regexp_count(m, F.lit(r"(?is)<h3\b[^>]*>.*?</h3\s*>\s*<p[\s>]")) > 0)
-                       & ~_b(has_tag(m, "details", "summary")))
+           .withColumn("l4_no_document_tags", ~_b(doctype | has_tag("_n", "html", "head", "body")))
+           .withColumn("l5_alt_faq_form", _b(o["pairs"] > 0) & ~_b(has_tag("_n", "details", "summary")))
            .withColumn("l6_fallback_page_ok",
                        _b(F.forall(F.array(*[F.lit(k) for k in rules.fallback_sections]),
                                    lambda k: F.exists(h2s, lambda hh: F.contains(hh, k))))
@@ -182,5 +181,5 @@ def lint_flags(df: DataFrame, html: str = "html_content", title: str = "seo_titl
                F.when(~t_pat, F.lit("title_pattern")), F.when(~t_len, F.lit("title_length")),
                F.when(~d_len, F.lit("description_length")), F.when(~d_clean, F.lit("banned_word")),
                F.when(~d_cta, F.lit("call_to_action")))))
-           .drop("_m"))
+           .drop("_ev", "_o", "_g", "_n"))
     return out

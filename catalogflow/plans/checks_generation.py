@@ -19,7 +19,7 @@ from ..operators.keys import normalize_keys
 from ..session import materialize, scratch_path
 from . import app
 from . import sqlfrag as Q
-from .checks_html import _AUD_CTES, _SUM
+from .checks_html import _AUD_CTES, _DOC_TAGS, _SUM
 from .checks_misc import std_requests
 from .standin_html import made_html
 from .standins import std_catalog, std_documents, std_items, std_reviews, table, with_ctes
@@ -217,16 +217,18 @@ QUERIES = {
 }
 
 _P = f"""p AS (SELECT h.doc_id, CAST(h.doc_id AS VARCHAR) AS doc_key, h.product_name, h.b, min(h.doc_id) OVER w AS n,
-    first_value(h.html) OVER (PARTITION BY h.product_name, o.text ORDER BY h.doc_id) AS html
+    first_value(h.html) OVER (PARTITION BY h.product_name, o.text ORDER BY h.doc_id) AS html,
+    first_value(h.plain) OVER (PARTITION BY h.product_name, o.text ORDER BY h.doc_id) AS plain
   FROM made_html h JOIN documents o ON h.doc_id = o.doc_id WHERE {Q.blank_to_null('o.text')} IS NOT NULL
   WINDOW w AS (PARTITION BY h.product_name, o.text)),
-g1 AS (SELECT *, CASE WHEN n % 10 = 7 THEN '<p>short</p>' ELSE html END AS h1 FROM p),
+g1 AS (SELECT *, CASE WHEN n % 10 = 7 THEN '<p>short</p>' ELSE html END AS h1,
+    CASE WHEN n % 10 = 7 THEN '<p>short</p>' ELSE plain END AS plain1 FROM p),
 g2 AS (SELECT *, n % 10 NOT IN (8, 9) AND coalesce(length(h1) > 50, false) AS ok FROM g1)"""
 _PAGE_SQL = " || ".join(x for i, part in enumerate(PLAIN_PAGE.split("{b}")) for x in (["b"] if i else []) + [Q.lit(part)])
 _GEN = f"""made_content AS (SELECT doc_id, n, doc_key, product_name, b, ok,
     CASE WHEN ok THEN CASE WHEN n % 2 = 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE b END END AS seo_title,
     CASE WHEN ok THEN CASE WHEN n % 3 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE 'x' END END AS meta_description,
-    CASE WHEN ok THEN h1 END AS html_content FROM g2)"""
+    CASE WHEN ok THEN h1 END AS html_content, CASE WHEN ok THEN plain1 END AS plain FROM g2)"""
 
 
 def _again(n: int, source: str) -> str:
@@ -246,15 +248,17 @@ _S1 = f"{_P}, {_GEN}, {_AUD_CTES}, s1 AS (SELECT doc_id, {_score('aud')} AS scor
 _S2 = _S1 + f""", second AS (SELECT m.doc_id, m.doc_key, m.product_name, m.b,
     CASE WHEN m.n % 4 <> 0 THEN b || {Q.lit(GOOD_TITLE)} ELSE seo_title END AS seo_title,
     CASE WHEN m.n % 4 <> 0 THEN b || {Q.lit(GOOD_META)} ELSE meta_description END AS meta_description,
-    CASE WHEN m.n % 4 <> 0 THEN {_PAGE_SQL} ELSE html_content END AS html_content
+    CASE WHEN m.n % 4 <> 0 THEN {_PAGE_SQL} ELSE html_content END AS html_content,
+    CASE WHEN m.n % 4 <> 0 THEN {_PAGE_SQL} ELSE plain END AS plain
   FROM made_content m JOIN s1 USING (doc_id) WHERE ok AND score < 95), {_again(2, 'second')},
 s2 AS (SELECT doc_id, {_score('aud2')} AS score FROM aud2)"""
 _S3 = f"""third AS (SELECT doc_id, doc_key, product_name, {Q.lit(J.FALLBACK_TITLE.split('%s')[0])} || product_name
       || {Q.lit(J.FALLBACK_TITLE.split('%s')[1])} AS seo_title,
     {Q.lit(J.FALLBACK_DESCRIPTION.split('%s')[0])} || product_name || {Q.lit(J.FALLBACK_DESCRIPTION.split('%s')[1])} AS meta_description,
-    CASE WHEN n % 4 <> 0 THEN {_PAGE_SQL} ELSE {Q.lit(J.FALLBACK_HTML_ERROR)} END AS html_content
+    CASE WHEN n % 4 <> 0 THEN {_PAGE_SQL} ELSE {Q.lit(J.FALLBACK_HTML_ERROR)} END AS html_content,
+    CASE WHEN n % 4 <> 0 THEN {_PAGE_SQL} ELSE {Q.lit(J.FALLBACK_HTML_ERROR)} END AS plain
   FROM made_content WHERE NOT ok), {_again(3, 'third')}, s3 AS (SELECT doc_id, {_score('aud3')} AS score FROM aud3)"""
-_CLEAN = Q.ustrip(Q.rx_replace(Q.clean_fences("html_content"), H.DOC_TAGS))
+_CLEAN = Q.ustrip(Q.rx_replace(Q.clean_fences("html_content"), _DOC_TAGS))
 _WRAP = f"md5(chr(10) || '<div class=\"product-description\">' || chr(10) || {_CLEAN} || chr(10) || '</div>')"
 
 _READY = f"""ni AS (SELECT input_seq, {Q.norm_key('item_key')} AS item_key, product_name FROM std_items),

@@ -20,8 +20,8 @@ def _pages_and_made(spark, d):
     return pages.unionByName(made)
 
 
-_PM = """pm AS (SELECT 'page' AS src, page_id AS id, html FROM pages
-             UNION ALL SELECT 'made', doc_id, html FROM made_html)"""
+_PM = """pm AS (SELECT 'page' AS src, page_id AS id, html, html AS plain FROM pages
+             UNION ALL SELECT 'made', doc_id, html, plain FROM made_html)"""
 
 
 def clean_fences_q(spark, d):
@@ -54,8 +54,8 @@ def html_features_q(spark, d):
 
 
 def heading_list_q(spark, d):
-    h = made_html(spark, d)
-    heads = H.heading_texts(H.markup("html"), 2)
+    h = made_html(spark, d).withColumn("ev", H.events("html"))
+    heads = H.outline("ev")["h2"]
     return h.select("doc_id", F.size(heads).alias("n_h2"), F.array_join(heads, " | ").alias("h2_texts"))
 
 
@@ -133,18 +133,19 @@ QUERIES = {
 }
 
 # ---------------------------------------------------------------- oracle SQL
-_M = Q.markup("html")
+_M = Q.markup("plain")
 # what the pages were made of, not the scorer's rule: the block with nested
 # questions is in the pages whose number leaves 0 of 5; given pages have none
 FAQ_TRUTH = "(src = 'made' AND id % 5 = 0 AND id % 19 > 1)"
+_AUTHORITY = "<[aA] [^>]*[hH][rR][eE][fF]=[\"']?[^\"'> ]*gov[.]br"
 _FEAT = f"""feat AS (
-  SELECT src, id, html,
-    coalesce(html <> '', false) AS valid,
+  SELECT src, id,
+    coalesce(plain <> '', false) AS valid,
     {Q.has_tag('m', 'h1')} AS has_h1, {Q.has_tag('m', 'h2')} AS has_h2, {Q.has_tag('m', 'ul', 'ol')} AS has_list,
     {FAQ_TRUTH} AS faq_ok,
     coalesce(contains(t, {Q.lit(A.GEO_PHRASES[0])}) AND contains(t, {Q.lit(A.GEO_PHRASES[1])}), false) AS geo_ok,
     coalesce(contains(t, {Q.lit(A.VERIFIABLE_PHRASES[0])}) AND contains(t, {Q.lit(A.VERIFIABLE_PHRASES[1])}), false) AS verifiable_ok,
-    coalesce(regexp_matches(m, {Q.lit(A.AUTH_LINK)}), false) AS links_ok
+    coalesce(regexp_matches(m, {Q.lit(_AUTHORITY)}), false) AS links_ok
   FROM (SELECT *, {Q.text_of_markup('m')} AS t FROM (SELECT *, {_M} AS m FROM pm)))"""
 
 _SCORES = """scores AS (
@@ -169,7 +170,7 @@ _FB = f"""CASE WHEN NOT valid THEN '' ELSE array_to_string(list_concat(
                CASE WHEN NOT verifiable_ok THEN {Q.lit(_MSG.no_verifiable)} END,
                CASE WHEN NOT links_ok THEN {Q.lit(_MSG.no_links)} END], lambda x: x IS NOT NULL)), ' | ') END"""
 
-_CM = "cm AS (SELECT *, " + Q.markup("html_content") + " AS m FROM made_content)"
+_CM = "cm AS (SELECT *, " + Q.markup("plain") + " AS m FROM made_content)"
 _CMT = "cmt AS (SELECT *, " + Q.text_of_markup("m") + " AS t FROM cm)"
 _R = AU.AuditRules()
 
@@ -179,12 +180,10 @@ def _section_case(h: str) -> str:
     return f"CASE {whens} END"
 
 
-_SECTIONS = (f"list_filter(list_transform({Q.headings(Q.rx_replace('m', H.DETAILS_BLOCK))}, "
+_SECTIONS = (f"list_filter(list_transform({Q.headings(Q.rx_replace('m', '(?is)<details.*?</details>'))}, "
              f"lambda h: {_section_case('h')}), lambda x: x IS NOT NULL)")
-_TD = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"
-_LABELS = (f"list_transform(regexp_extract_all(regexp_extract(m, {Q.lit(r'(?is)<table\b[^>]*>(.*?)</table\s*>')}, 1), "
-           f"{Q.lit(r'(?is)<tr\b[^>]*>(.*?)</tr\s*>')}, 1), lambda r: lower("
-           f"{Q.rx_replace(Q.rx_replace(f'regexp_extract(r, {Q.lit(_TD)}, 1)', H.ANY_TAG), Q._STRIP)}))")
+_LABELS = (f"list_transform(regexp_extract_all(regexp_extract(m, '(?is)<table>(.*?)</table>', 1), '(?is)<tr>(.*?)</tr>', 1), "
+           f"lambda r: lower({Q.rx_replace(Q.rx_replace("regexp_extract(r, '(?is)<t[hd]>(.*?)</t[hd]>', 1)", Q.PLAIN_TAG), Q._STRIP)}))")
 _SPEC = "[" + ", ".join(Q.lit(x) for x in _R.spec_rows) + "]"
 _TPAT = f"coalesce(regexp_matches(seo_title, {Q.lit(_R.title_pattern)}), false)"
 _TLEN = f"coalesce(length(seo_title) BETWEEN {_R.title_len[0]} AND {_R.title_len[1]}, false)"
@@ -198,8 +197,8 @@ _AUD = f"""aud AS (
     CASE WHEN html_content IS NOT NULL AND NOT {Q.has_tag('m', 'h1')} THEN 5.0 ELSE 0.0 END AS r_no_h1_tag,
     CASE WHEN coalesce({_SECTIONS} = [1, 2, 3, 4, 5, 6], false) THEN 15.0 ELSE 0.0 END AS r_section_order,
     CASE WHEN coalesce(list_sort({_LABELS}) = list_sort({_SPEC}), false) THEN 10.0 ELSE 0.0 END AS r_specifications_table,
-    CASE WHEN coalesce(regexp_matches(m, '(?i)<details\\s+open'), false) AND {Q.has_tag('m', 'summary')} THEN 15.0 ELSE 0.0 END AS r_faq_structure,
-    CASE WHEN coalesce(regexp_matches(m, {Q.lit(r'(?i)class\s*=\s*["' + "'" + r']?[^"' + "'" + r'>]*legal-notice-box')}), false)
+    CASE WHEN coalesce(contains(m, '<details open'), false) AND {Q.has_tag('m', 'summary')} THEN 15.0 ELSE 0.0 END AS r_faq_structure,
+    CASE WHEN coalesce(contains(m, 'class="legal-notice-box"'), false)
           AND coalesce(contains(t, {Q.lit(_R.legal_phrase)}), false)
           AND coalesce(contains(t, lower({Q.base_name('product_name')})), false) THEN 10.0 ELSE 0.0 END AS r_legal_notice,
     CASE WHEN coalesce(regexp_matches(m, 'transparency-note-final'), false)
@@ -216,18 +215,20 @@ _LONG = ("long AS (" + " UNION ALL ".join(
     f"CAST({AU.MAX_POINTS[k]} AS DOUBLE) AS max_score FROM aud WHERE NOT none" for k in AU.RULES)
     + " UNION ALL SELECT doc_id, 'error', 'Error', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM aud WHERE none)")
 
+_DOC_TAGS = "</?(html|body|head|header|footer)( [^<>]*)?>"
+_UNWRAPPED = Q.rx_replace("html", _DOC_TAGS)
+
 ORACLE = {
     "clean_fences": with_ctes(f"""
 SELECT doc_id, md5({Q.clean_fences('html')}) AS clean_md5, length({Q.clean_fences('html')}) AS clean_len
 FROM made_html""", "made_html"),
     "unwrap_tags": with_ctes(f"""
-SELECT src, id, md5({Q.rx_replace('html', H.DOC_TAGS)}) AS unwrapped_md5,
-       length({Q.rx_replace('html', H.DOC_TAGS)}) AS unwrapped_len FROM pm""", "made_html", ctes=_PM),
+SELECT src, id, md5({_UNWRAPPED}) AS unwrapped_md5, length({_UNWRAPPED}) AS unwrapped_len FROM pm""", "made_html", ctes=_PM),
     "wrap_fragment": with_ctes(f"""
 SELECT doc_id, md5(w) AS wrapped_md5, length(w) AS wrapped_len FROM (
   SELECT doc_id, CASE WHEN html IS NULL THEN '' ELSE
     '<style>.pd{{margin:0}}</style>' || chr(10) || '<div class="pd">' || chr(10)
-    || {Q.ustrip(Q.rx_replace(Q.clean_fences('html'), H.DOC_TAGS))} || chr(10) || '</div>' END AS w
+    || {Q.ustrip(Q.rx_replace(Q.clean_fences('html'), _DOC_TAGS))} || chr(10) || '</div>' END AS w
   FROM made_html)""", "made_html"),
     "html_text": with_ctes(f"""
 SELECT src, id, md5(t) AS text_md5, length(t) AS text_len
@@ -274,10 +275,10 @@ ORACLE["lint_flags"] = with_ctes(f"""
 SELECT doc_id,
   NOT coalesce(list_bool_or(list_transform({_HEADS23},
       lambda x: starts_with(lower(x), lower({Q.base_name('product_name')})))), false) AS l1_no_heading_starts_with_name,
-  NOT coalesce(regexp_matches(html_content, 'SEÇÃO [0-9]+'), false) AS l2_no_section_label,
+  NOT coalesce(regexp_matches(plain, 'SEÇÃO [0-9]+'), false) AS l2_no_section_label,
   coalesce({Q.count_tag('m', 'details')} BETWEEN 3 AND 5, false) AS l3_faq_count_ok,
-  NOT coalesce(regexp_matches(m, {Q.lit(r'(?i)<(!doctype|html|head|body)[\s/>]')}), false) AS l4_no_document_tags,
-  coalesce(len(regexp_extract_all(m, {Q.lit(r'(?is)<h3\b[^>]*>.*?</h3\s*>\s*<p[\s>]')})) > 0, false)
+  NOT coalesce(regexp_matches(m, {Q.lit('(?i)<(!doctype|html|head|body)[ />]')}), false) AS l4_no_document_tags,
+  coalesce(len(regexp_extract_all(m, {Q.lit('(?s)</h3>[ \n]*<p>')})) > 0, false)
     AND NOT {Q.has_tag('m', 'details', 'summary')} AS l5_alt_faq_form,
   coalesce(list_bool_and(list_transform({_FB_SECTIONS}, lambda k: list_bool_or(list_transform({_H2L}, lambda hh: contains(hh, k))))), false)
     AND coalesce(list_bool_and(list_transform({_FB_ROWS}, lambda k: list_contains({_LABELS}, k))), false) AS l6_fallback_page_ok,
@@ -289,7 +290,7 @@ FROM cm""", "made_html", "made_content", ctes=_CM)
 
 
 def feat_cte(name: str, src: str) -> str:
-    """Scorer-A feature CTE over table ``src`` (columns src, id, html)."""
+    """Scorer-A feature CTE over table ``src`` (columns src, id, plain)."""
     return _FEAT.replace("feat AS (", f"{name} AS (", 1).replace("FROM pm)))", f"FROM {src})))")
 
 

@@ -19,7 +19,7 @@ FIX_SPARK = lambda: F.concat(
     F.when(F.col("doc_id") % 2 == 0, F.lit("<ul><li>x</li></ul>")).otherwise(F.lit("")),
     F.when(F.col("doc_id") % 3 == 0, F.lit("<h2>Extra</h2>")).otherwise(F.lit("")),
     F.when(F.col("doc_id") % 5 == 4, F.lit("<h1>bad</h1>")).otherwise(F.lit("")))
-FIX_SQL = ("coalesce(html, '') || (CASE WHEN doc_id % 2 = 0 THEN '<ul><li>x</li></ul>' ELSE '' END)"
+FIX_SQL = ("coalesce(plain, '') || (CASE WHEN doc_id % 2 = 0 THEN '<ul><li>x</li></ul>' ELSE '' END)"
            " || (CASE WHEN doc_id % 3 = 0 THEN '<h2>Extra</h2>' ELSE '' END)"
            " || (CASE WHEN doc_id % 5 = 4 THEN '<h1>bad</h1>' ELSE '' END)")
 
@@ -97,9 +97,9 @@ QUERIES = {
 
 _T = L.AdviceText()
 _MSG = A.Messages()
-_BA = (f"ba AS (SELECT 'made' AS src, m.doc_id AS id, m.html, d.lang AS product_type FROM made_html m "
+_BA = (f"ba AS (SELECT 'made' AS src, m.doc_id AS id, m.plain, d.lang AS product_type FROM made_html m "
        f"JOIN documents d ON m.doc_id = d.doc_id), "
-       f"ab AS (SELECT 'made' AS src, m.doc_id AS id, {FIX_SQL} AS html FROM made_html m), "
+       f"ab AS (SELECT 'made' AS src, m.doc_id AS id, {FIX_SQL} AS plain FROM made_html m), "
        + feat_cte("fb", "ba") + ", " + feat_cte("fa", "ab") + ", " + scores_cte("sb", "fb") + ", "
        + scores_cte("sa", "fa"))
 

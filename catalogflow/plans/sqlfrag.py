@@ -23,10 +23,18 @@ def flag_is(e: str, expected: str = "sim") -> str:
     return f"coalesce(lower({ustrip(e)}) = '{expected}', false)"
 
 
-# --- HTML (mirrors functions/html.py and the scorers) ---------------------
+# --- HTML ----------------------------------------------------------------
+# Patterns of the oracles' own.  They read plain markup (no ">" inside a tag,
+# letters instead of references), which is how the twin of every made page is
+# written and how the given pages are; the library reads the pages themselves.
 from ..functions import html as H  # noqa: E402
 from ..functions.text import STRIP_PATTERN as _STRIP, WS_CLASS as _WS  # noqa: E402
 
+PLAIN_TAG = "<[^>]*>"
+PLAIN_HIDDEN = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+# the references that the given pages use; a cut-off one at a title's end has no ";"
+PLAIN_REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&amp", "&")]
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -37,35 +45,34 @@ def rx_replace(e: str, pattern: str, repl: str = "") -> str:
 
 
 def markup(e: str) -> str:
-    return rx_replace(e, H.NON_MARKUP)
+    return rx_replace(e, PLAIN_HIDDEN)
 
 
 def decode(e: str) -> str:
-    for ent, ch in H.ENTITIES:
-        e = f"replace({e}, {lit(ent)}, {lit(ch)})"
+    # one pass: each reference becomes a sign that no page holds, then its letter
+    for i, (ref, _) in enumerate(PLAIN_REFERENCES):
+        e = f"replace({e}, {lit(ref)}, chr({57344 + i}))"
+    for i, (_, ch) in enumerate(PLAIN_REFERENCES):
+        e = f"replace({e}, chr({57344 + i}), {lit(ch)})"
     return e
 
 
 def text_of_markup(m: str) -> str:
-    return f"lower({decode(rx_replace(m, H.TEMPLATE_OR_TAG))})"
-
-
-def tag_names(m: str) -> str:
-    return f"list_transform(regexp_extract_all({m}, {lit(H.TAG_NAME)}, 1), lambda t: lower(t))"
+    return f"lower({decode(rx_replace(m, PLAIN_TAG))})"
 
 
 def has_tag(m: str, *names: str) -> str:
-    return f"coalesce(list_has_any({tag_names(m)}, [{', '.join(map(lit, names))}]), false)"
+    return f"coalesce(regexp_matches({m}, {lit('(?i)<(' + '|'.join(names) + ')[ />]')}), false)"
 
 
 def count_tag(m: str, name: str) -> str:
-    return f"len(list_filter({tag_names(m)}, lambda t: t = {lit(name)}))"
+    return f"len(regexp_extract_all({m}, {lit('(?i)<' + name + '[ />]')}))"
 
 
 def headings(m: str, level: int = 2) -> str:
-    pat = rf"(?is)<h{level}\b{H.REST}>(.*?)</h{level}\s*>"
-    return (f"list_transform(regexp_extract_all({m}, {lit(pat)}, 1), "
-            f"lambda h: {rx_replace(rx_replace('h', H.ANY_TAG), _STRIP)})")
+    pat = rf"(?is)<h{level}( [^>]*)?>(.*?)</h{level}>"
+    return (f"list_transform(regexp_extract_all({m}, {lit(pat)}, 2), "
+            f"lambda h: {rx_replace(rx_replace('h', PLAIN_TAG), _STRIP)})")
 
 
 def base_name(e: str) -> str:

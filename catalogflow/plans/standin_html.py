@@ -1,7 +1,11 @@
 """HTML / content stand-ins over ``documents`` (+ ``part``): every page holds
 the *whole* document text in a paragraph, and fragments chosen by
 ``doc_id`` residues exercise each scorer branch.  One fragment spec renders
-to both Spark columns and DuckDB SQL."""
+to both Spark columns and DuckDB SQL.
+
+A fragment that is hard to read (a ">" in an attribute, character references)
+has a plain twin that says the same.  The library reads ``html``; the oracles of
+scores and texts read ``plain``, with simple patterns of their own."""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from .standins import table
 
 B = "{b}"  # placeholder for the product base name
 
-# (modulus, residues, fragment) in page order
+# (modulus, residues, fragment[, plain twin]) in page order
 FRAGMENTS = [
     (31, (0,), "```html\n"),
     (23, (0,), "<!DOCTYPE html><html><body>"),
@@ -33,20 +37,36 @@ FRAGMENTS = [
     (6, (1,), "<table><tr><td>Fabricante</td><td>Lab</td></tr><tr><td>Princípio Ativo</td><td>X</td></tr></table>"),
     (6, (2,), "<table><tr><td>Fabricante</td></tr><tr><td>Princípio Ativo</td></tr><tr><td>Registro MS</td></tr>"
               "<tr><td>Validade</td></tr></table>"),
+    (6, (3,), "<table data-x='a>b'><tr class=\"x > y\"><td title='a > b'>Fabricante</td><td>Lab</td></tr><tr><th>Princ&iacute;pio Ativo</th></tr>"
+              "<tr><td data-y='<td>'>Registro&#32;MS</td></tr></table>",
+     "<table><tr><td>Fabricante</td><td>Lab</td></tr><tr><th>Princípio Ativo</th></tr><tr><td>Registro MS</td></tr></table>"),
     (5, (0,), f'<div title="a > b" class="box faq-section"><div><details open><summary><h2>Dúvida um sobre {B}</h2></summary>'
-              f"<p>r</p></details></div><details open><summary><h2>Dúvida dois</h2></summary><p>r</p></details>"
-              f"<details open><summary><h2>Dúvida três</h2></summary><p>r</p></details></div>"),
+              f"<p>r</p></details></div><details title='x > y' open><summary><h2 id='>'>Dúvida dois</h2></summary><p>r</p></details>"
+              f"<details open><summary><h2>Dúvida três</h2></summary><p>r</p></details></div>",
+     f'<div class="box faq-section"><div><details open><summary><h2>Dúvida um sobre {B}</h2></summary>'
+     f"<p>r</p></details></div><details open><summary><h2>Dúvida dois</h2></summary><p>r</p></details>"
+     f"<details open><summary><h2>Dúvida três</h2></summary><p>r</p></details></div>"),
     (5, (1,), '<div class="faq-section"></div><details><summary>late</summary></details>'),
     (5, (2,), '<div class="faq-section-x"><details><summary>q</summary></details></div>'),
-    (5, (3,), "<h3>Dúvida um</h3><p>r1</p><h3>Dúvida dois</h3> <p>r2</p>"),
+    (5, (3,), "<h3 data-n='1 > 0'>D&uacute;vida um</h3>\n<p title='>'>r1</p><h3>Dúvida dois</h3> <p>r2</p>",
+     "<h3>Dúvida um</h3>\n<p>r1</p><h3>Dúvida dois</h3> <p>r2</p>"),
     (8, (0, 1, 2), f'<div class="legal-notice-box"><p>{B}: seu uso PODE trazer riscos</p></div>'),
     (11, (0, 1, 2, 3, 4, 5), '<p class="transparency-note-final">Nota de transparência: fonte aprovada pela Anvisa</p>'),
+    (11, (6,), '<p class="transparency-note-final">Nota de transpar&ecirc;ncia: fonte aprovada pela &#65;nvisa</p>',
+     '<p class="transparency-note-final">Nota de transparência: fonte aprovada pela Anvisa</p>'),
+    (11, (7,), '<p title="a > b" class="transparency-note-final">Nota de transpar&#234;ncia &#x2014; fonte aprovada pela Anvis&#x61; &copy &euro;&bogus;</p>',
+     '<p class="transparency-note-final">Nota de transparência — fonte aprovada pela Anvisa © €&bogus;</p>'),
+    (11, (8,), "<p>Nota de transpar&amp;ecirc;ncia sem Anvisa</p>"),
     (11, (0, 1, 2), "<p>Registro ANVISA 7 &amp; Fabricante Y</p>"),
-    (12, (5,), "<p title='<h1>' lang=\"pt\">x</p>"),
+    (11, (7,), "<p>Registro&nbsp;ANVISA 7 <b title='>'>&#70;abricante</b> Z, registro anvisa 8</p>",
+     "<p>Registro\u00a0ANVISA 7 <b>Fabricante</b> Z, registro anvisa 8</p>"),
+    (12, (5,), "<p title='<h1>' lang=\"pt\">x</p>", "<p>x</p>"),
     (13, (0,), '<A HREF="https://www.gov.br/anvisa">fonte</A>'),
     (13, (1,), '<a href="https://WWW.GOV.BR/x">up</a>'),
     (13, (2,), '<a title="gov.br" href="/x">t</a>'),
     (13, (3,), "<a class=x href='http://portal.gov.br'>s</a>"),
+    (13, (4,), '<a title="x > y" href="https://www.gov.br/z">u</a>', '<a href="https://www.gov.br/z">u</a>'),
+    (13, (5,), "<a title=\"href='https://www.gov.br'\" href=/v>v</a>", "<a href=/v>v</a>"),
     (17, (0,), '<script>var s="<h2>x</h2><ul>";</script><style>h1{color:red}</style>'),
     (None, None, "<p>{text}</p>"),
     (29, (0,), "<p>SEÇÃO 1</p>"),
@@ -94,7 +114,7 @@ def _base_cols(d: DataFrame) -> DataFrame:
 def made_html(spark, sf_dir) -> DataFrame:
     d = _base_cols(table(spark, sf_dir, "documents"))
     pieces = []
-    for mod, res, frag in FRAGMENTS:
+    for mod, res, frag, *_ in FRAGMENTS:
         c = _spark_frag(frag)
         pieces.append(c if mod is None else F.when((F.col("doc_id") % mod).isin(*res), c).otherwise(F.lit("")))
     html = F.concat(*pieces)
@@ -125,10 +145,10 @@ def made_content(spark, sf_dir) -> DataFrame:
         F.when(none, null).otherwise(F.col("html")).alias("html_content"))
 
 
-def _html_sql() -> str:
+def _html_sql(plain: bool = False) -> str:
     parts = []
-    for mod, res, frag in FRAGMENTS:
-        s = _sql_frag(frag)
+    for mod, res, frag, *twin in FRAGMENTS:
+        s = _sql_frag(twin[0] if plain and twin else frag)
         if mod is None:
             parts.append(f"({s})")
         else:
@@ -139,7 +159,8 @@ def _html_sql() -> str:
 SQL = {
     "made_html": f"""
 SELECT doc_id, product_name, b,
-  CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '' ELSE {_html_sql()} END AS html
+  CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '' ELSE {_html_sql()} END AS html,
+  CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '' ELSE {_html_sql(plain=True)} END AS plain
 FROM (SELECT doc_id, text, lang, 'Remedio' || upper(lang) AS b,
              'Remedio' || upper(lang) || ' ' || CAST(doc_id % 90 + 10 AS VARCHAR) || 'mg + 5mg' AS product_name
       FROM documents)""",
@@ -153,6 +174,7 @@ SELECT doc_id, product_name,
       || ' unidades, linha ' || lower(p_type) || repeat(' econômica', CAST(doc_id % 9 AS INTEGER))
       || (CASE WHEN doc_id % 5 = 0 THEN '. Há bula' ELSE '' END)
       || (CASE WHEN doc_id % 3 <> 0 THEN '. Encontre na nossa loja.' ELSE '.' END) END AS meta_description,
-  CASE WHEN doc_id % 41 = 0 THEN NULL ELSE html END AS html_content
+  CASE WHEN doc_id % 41 = 0 THEN NULL ELSE html END AS html_content,
+  CASE WHEN doc_id % 41 = 0 THEN NULL ELSE plain END AS plain
 FROM made_html JOIN (SELECT p_partkey, p_brand, p_type, p_size FROM part) p ON doc_id = p.p_partkey""",
 }
