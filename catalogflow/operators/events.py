@@ -4,6 +4,7 @@ typed columns everywhere else.
 * ``encode_frame`` (K7) / ``decode_frames`` (ST2): batch and streaming.
   Decoding splits on blank lines, takes the ``event:`` / ``data:`` lines,
   drops incomplete frames and parses the JSON payload.
+* ``reassemble``: the frames of streams that a transport cut anywhere.
 * ``frame_chunks``: frames of one key concatenated in bounded chunks
   (``chunk_size`` frames per chunk -- a key's whole history is never
   gathered into one row).
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_rows
+
 EVENTS = ("log", "done", "error", "review_item", "finished")
 SEVERITIES = ("info", "success", "warning", "error")
 
@@ -49,6 +52,38 @@ def decode_frames(df: DataFrame, text_col: str = "text", id_cols=(), schema: str
     return parts.withColumn("payload", F.from_json("data", schema))
 
 
+def cut_chunks(frames: DataFrame, key: str, order: str, size: Column, frame_col: str = "frame", chunk_size: int = 50) -> DataFrame:
+    """Frames as a transport delivers them: each key's text in pieces of ``size``
+    characters, whatever they cut, numbered 0, 1, ... per key (``chunk``)."""
+    whole = frame_chunks(frames, key, order, frame_col, chunk_size).withColumn("_size", size)
+    pieces = whole.select(key, F.col("chunk").alias("_c"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.col("_size")).cast("int")),
+        lambda i: F.substring(F.col("text"), (i * F.col("_size") + 1).cast("int"), F.col("_size")))).alias("_i", "text"))
+    return number_rows(pieces, [F.col("_c"), F.col("_i")], (key,), "chunk").select(key, "chunk", "text")
+
+
+def reassemble(chunks: DataFrame, key: str, order: str = "chunk", text: str = "text") -> DataFrame:
+    """ST2 over transport chunks: the frames of every key's stream, whichever way
+    it was cut: (key, ``frame_no``, ``chunk`` in which the frame begins, ``text``).
+
+    Line ends and blank lines before a chunk are counted by ranges of the stream
+    (``number_rows``), so the pieces of a line, and then the lines of a frame, meet
+    by their number; no task holds a key's stream.  A frame that no blank line
+    ends is incomplete and left out.  Null texts are empty."""
+    c = chunks.select(key, F.col(order).alias("_at"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    c = c.withColumn("_ends", F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))))
+    c = number_rows(c, [F.col("_at")], (key,), "_n", sums={"_line": "_ends"})
+    pieces = c.select(key, "_n", "_at", "_line", "_line_total", F.posexplode(F.split("_text", "\n")).alias("_i", "_piece"))
+    lines = pieces.groupBy(key, (F.col("_line") + F.col("_i")).alias("_line"), "_line_total").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_piece"))), lambda x: x["_piece"]), "").alias("_text"),
+        F.min_by("_at", F.when(F.length("_piece") > 0, F.col("_n")).otherwise(F.col("_n") + (1 << 40))).alias("_at"))
+    lines = lines.where("_line < _line_total").withColumn("_blank", (F.trim("_text") == "").cast("int"))
+    lines = number_rows(lines.drop("_line_total"), [F.col("_line")], (key,), "_l", sums={"_frame": "_blank"})
+    said = lines.where("_blank = 0 and _frame < _frame_total")
+    frames = said.groupBy(key, "_frame").agg(F.array_sort(F.collect_list(F.struct("_line", "_text"))).alias("_ls"), F.min_by("_at", "_line").alias("chunk"))
+    return frames.select(key, F.col("_frame").alias("frame_no"), "chunk", F.array_join(F.transform("_ls", lambda x: x["_text"]), "\n").alias("text"))
+
+
 def done_to_sheet(decoded: DataFrame, id_cols=()) -> DataFrame:
     """P6/ST3: done events projected onto the sheet's content columns."""
     p = F.col("payload")

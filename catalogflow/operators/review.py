@@ -7,7 +7,7 @@ pre-reduced in every map task before the shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .merge import merge_updates, rejected_rows
@@ -53,10 +53,48 @@ def review_split(latest: DataFrame, status: str) -> DataFrame:
 
 
 def reset_pending(draft: DataFrame) -> DataFrame:
-    """A re-read draft replaces all review state with `pending` rows."""
+    """The rows of a re-read draft, all `pending`."""
     return draft.withColumn("status", F.lit("pending"))
 
 
+KIND, RELOADED = "kind", "reloaded_at"   # "review" sorts behind "reload"
+
+
+def reload_events(draft: DataFrame, at: dict[str, Column]) -> DataFrame:
+    """S7 as events: one `pending` row per item of a re-read draft, all with the
+    reload's place in the order (``at``: order column -> value).  What was said
+    before the reload counts no more; items that the draft lacks are gone."""
+    return reset_pending(draft).withColumns(at).withColumn(KIND, F.lit("reload"))
+
+
+def fold(events: DataFrame, key: str = "item_key", order=("ts", "seq"), columns=None) -> DataFrame:
+    """W6/ST6 with reloads: a key's last event with its ``kind`` and, as
+    ``reloaded_at``, the order of its last reload (null without one).  Batch and
+    streaming alike; one partial aggregate, no state but a row per key.  Events
+    without a ``kind`` are reviews; a review beats a reload of the same order."""
+    kind = F.coalesce(F.col(KIND), F.lit("review")) if KIND in events.columns else F.lit("review")
+    events = events.withColumn(KIND, kind)
+    if columns is not None:
+        events = events.select(key, *dict.fromkeys([*columns, *order, KIND]))
+    others = [c for c in events.columns if c != key]
+    place = F.struct(*[F.col(c) for c in order])
+    last = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order], KIND))
+    out = events.groupBy(key).agg(last.alias("_last"), F.max(F.when(F.col(KIND) == "reload", place)).alias(RELOADED))
+    return out.select(key, *[F.col("_last." + c).alias(c) for c in others], RELOADED)
+
+
+def live(states: DataFrame, order=("ts", "seq")) -> DataFrame:
+    """The folded states that count: those not older than the last reload of any
+    key (all of them, if there was none).  The last reload is one value."""
+    last = states.agg(F.max(RELOADED)).scalar()
+    return states.where(last.isNull() | (F.struct(*[F.col(c) for c in order]) >= last))
+
+
+def latest_after_reloads(events: DataFrame, key: str = "item_key", order=("ts", "seq"), columns=None) -> DataFrame:
+    """The review items after all reloads, one row per key."""
+    return live(fold(events, key, order, columns), order).drop(RELOADED, KIND)
+
+
 def require_rows(df: DataFrame, what: str) -> None:
     """an empty approved / rejected set is an error (``limit(1)``, not a count)."""
     if df.limit(1).count() == 0:

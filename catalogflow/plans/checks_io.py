@@ -11,10 +11,12 @@ from ..session import scratch_path
 from ..sources.documents import concat_pages
 from ..sources.sheets import read_sheet
 from ..streaming import frames as S
+from ..streaming.review_store import ReviewStore, run_reviews
 from .checks_events import ORACLE as EV_ORACLE
 from .checks_html import ORACLE as HTML_ORACLE
 from .checks_merge import ORACLE as MERGE_ORACLE
-from .standins import std_frames, std_items, std_reviews, table, with_ctes
+from .checks_merge import reviews_with_reload
+from .standins import std_frames, std_items, table, with_ctes
 
 ITEM_COLS = ["input_seq", "item_key", "product_name", "seo_title", "meta_description", "html_content", "o_orderstatus"]
 
@@ -47,12 +49,30 @@ def _frames_source(spark, d):
     return path
 
 
+def cut_stream(spark, d):
+    """Every user's frames in pieces of 7 to 96 characters, which cut frames, words and line ends."""
+    return EV.cut_chunks(std_frames(spark, d), "user_id", "event_id", (F.lit(7) + F.col("user_id") % 90).cast("int"))
+
+
+def _decoded_frames(frames):
+    x = EV.decode_frames(frames, "text", id_cols=["user_id", "frame_no"])
+    return x.select("user_id", "frame_no", "event", F.col("payload.message").alias("message"), F.col("payload.type").alias("type"),
+                    F.col("payload.final_score").alias("final_score"))
+
+
+def event_reassembly_q(spark, d):
+    return _decoded_frames(EV.reassemble(cut_stream(spark, d), "user_id"))
+
+
 def stream_event_decode_q(spark, d):
-    out = scratch_path(spark, "decoded")
-    S.run_available_now(S.decode_stream(spark, _frames_source(spark, d)), out, scratch_path(spark, "checkpoint"))
-    x = spark.read.parquet(out)
-    return x.select("user_id", "chunk", "pos", "event", F.col("payload.message").alias("message"),
-                    F.col("payload.type").alias("type"), F.col("payload.final_score").alias("final_score"))
+    """The pieces arrive in two portions, the later ones of some users first."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("pieces", "decoded", "checkpoint"))
+    pieces = cut_stream(spark, d)
+    late = (F.col("chunk") + F.col("user_id")) % 3 == 0
+    for portion in (pieces.where(late), pieces.where(~late)):
+        portion.write.mode("append").json(src)
+        S.run_available_now(_decoded_frames(S.reassembled_stream(S.chunk_stream(spark, src))), out, checkpoint)
+    return spark.read.parquet(out).drop("query_id", "batch_id")
 
 
 def stream_log_counts_q(spark, d):
@@ -63,13 +83,21 @@ def stream_log_counts_q(spark, d):
 
 
 def stream_review_latest_q(spark, d):
-    src = scratch_path(spark, "reviews")
-    std_reviews(spark, d).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    out = scratch_path(spark, "review_latest")
-    S.run_available_now(S.review_latest_stream(stream, "item_key"), out, scratch_path(spark, "checkpoint"), "update")
-    return S.read_latest(spark, out).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    """Reviews in eight portions and a draft reload after the fifth, folded by a
+    job that compacts every third batch and that crashed twice while doing so."""
+    src, path, checkpoint = (scratch_path(spark, n) for n in ("reviews", "review_store", "checkpoint"))
+    events = reviews_with_reload(spark, d).withColumn("part", F.col("seq") % 8)
+    schema = events.drop("part").schema
+    store = ReviewStore(spark, path)
+    for part in range(8):
+        events.where(F.col("part") == part).drop("part").write.mode("append").parquet(src)
+        run_reviews(spark.readStream.schema(schema).parquet(src), store, checkpoint, compact_every=3)
+        if part in (3, 6):
+            try:
+                store.compact(_crash="before" if part == 3 else "after")
+            except RuntimeError:
+                pass
+    return store.latest().withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def _page_files(spark, d, src, part):
@@ -90,12 +118,20 @@ def stream_scores_q(spark, d):
 QUERIES = {
     "read_csv_sheet": read_csv_sheet_q,
     "leaflet_concat_pages": leaflet_concat_pages_q,
+    "event_reassembly": event_reassembly_q,
     "stream_event_decode": stream_event_decode_q,
     "stream_log_counts": stream_log_counts_q,
     "stream_review_latest": stream_review_latest_q,
     "stream_scores": stream_scores_q,
 }
 
+# the frames as they were before anything cut them
+_WHOLE_FRAMES = with_ctes("""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no, event,
+  json_extract_string(data, '$.message') AS message, json_extract_string(data, '$.type') AS type,
+  CAST(json_extract(data, '$.final_score') AS DOUBLE) AS final_score
+FROM (SELECT *, regexp_extract(frame, 'data: (.+)', 1) AS data FROM std_frames)""", "std_frames")
+
 ORACLE = {
     # an empty cell reads back as null, as spreadsheet readers do
     "read_csv_sheet": with_ctes("SELECT input_seq, " + ", ".join(f"nullif({c}, '') AS {c}" for c in ITEM_COLS[1:])
@@ -109,9 +145,10 @@ SELECT doc_key, md5(string_agg(p || chr(10), '' ORDER BY page)) AS text_nl_md5,
        md5(coalesce(string_agg(p, '' ORDER BY page) FILTER (WHERE p <> ''), '')) AS text_compact_md5,
        CAST(count(*) FILTER (WHERE p <> '') AS INTEGER) AS n_pages
 FROM pages GROUP BY doc_key""",
-    "stream_event_decode": EV_ORACLE["event_decode"],
+    "event_reassembly": _WHOLE_FRAMES,
+    "stream_event_decode": _WHOLE_FRAMES,
     "stream_log_counts": EV_ORACLE["log_counts"],
-    "stream_review_latest": MERGE_ORACLE["review_latest"],
+    "stream_review_latest": MERGE_ORACLE["review_reload"],
     "stream_scores": HTML_ORACLE["analyze_html"].replace(
         "FROM scores", "FROM scores WHERE src = 'page'"),
 }

@@ -40,6 +40,24 @@ def review_latest_q(spark, d):
     return latest.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
+def reviews_with_reload(spark, d):
+    """All reviews, and a draft that was reloaded at the middle one: items of two
+    users in three, so some reviewed items are gone and some start anew."""
+    r = std_reviews(spark, d)
+    half = r.agg(F.floor(F.max("seq") / 2)).scalar()
+    seq = r.where(F.col("seq") <= half).agg(F.max("seq")).scalar()
+    ts = r.where(F.col("seq") == seq).agg(F.max("ts")).scalar()
+    draft = r.where(F.col("item_key").cast("bigint") % 3 != 0).select("item_key").distinct().select(
+        "item_key", F.concat(F.lit("draft "), F.col("item_key")).alias("seo_title"), F.lit(None).cast("string").alias("meta_description"),
+        F.lit("<p>draft</p>").alias("html_content"))
+    return r.withColumn("kind", F.lit("review")).unionByName(R.reload_events(draft, {"seq": seq, "ts": ts}))
+
+
+def review_reload_q(spark, d):
+    latest = R.latest_after_reloads(reviews_with_reload(spark, d), "item_key")
+    return latest.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
 def review_gates_q(spark, d):
     return R.review_gates(R.latest_reviews(std_reviews(spark, d), "item_key", columns=("status",)))
 
@@ -73,6 +91,7 @@ QUERIES = {
     "merge_first_match": merge_first_match_q,
     "rejected_rows": rejected_rows_q,
     "review_latest": review_latest_q,
+    "review_reload": review_reload_q,
     "review_gates": review_gates_q,
     "review_split": review_split_q,
     "finalize_approved": finalize_approved_q,
@@ -108,6 +127,15 @@ t AS (SELECT f.doc_key, f.first_seq, l.lang, l.title FROM firsts f JOIN lastu l
 SELECT * FROM std_original
 WHERE doc_key IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""", "std_original"),
     "review_latest": with_ctes("SELECT * REPLACE (epoch_us(ts) AS ts) FROM latest", "std_reviews", ctes=_LATEST),
+    "review_reload": with_ctes("""
+SELECT l.* EXCLUDE (review) REPLACE (epoch_us(l.ts) AS ts) FROM (
+  SELECT * FROM (SELECT item_key, status, seq, ts, seo_title, meta_description, html_content, 1 AS review FROM std_reviews
+                 UNION ALL SELECT DISTINCT item_key, 'pending', rseq, rts, 'draft ' || item_key, NULL, '<p>draft</p>', 0
+                 FROM std_reviews, mid WHERE CAST(item_key AS BIGINT) % 3 <> 0)
+  QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY ts DESC, seq DESC, review DESC) = 1) l, mid
+WHERE l.ts > rts OR (l.ts = rts AND l.seq >= rseq)""", "std_reviews", ctes="""mid AS (
+  SELECT ts AS rts, seq AS rseq FROM std_reviews WHERE seq = (
+    SELECT max(seq) FROM std_reviews WHERE seq <= (SELECT max(seq) // 2 FROM std_reviews)))"""),
     "review_gates": with_ctes("""
 SELECT count(*) AS n_items,
        count(*) FILTER (WHERE status = 'pending') AS n_pending,

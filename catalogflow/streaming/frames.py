@@ -1,6 +1,8 @@
 """Streaming jobs over a file source of frame chunks / review events / pages.
 
-* ``decode_stream`` (ST2): JSON files of ``(key, chunk, text)`` -> decoded events.
+* ``decode_stream`` (ST2): JSON files of ``(key, chunk, text)`` -> decoded events;
+  ``reassembled_stream`` carries a key's open frame from chunk to chunk, so a
+  transport may cut anywhere and deliver out of order.
 * ``log_counts_stream`` (ST5): severity counts, complete mode.
 * ``review_latest_stream`` (ST6): latest state per key with ``max_by`` --
   built-in aggregation state, one row per key, no custom state store.
@@ -12,6 +14,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +27,49 @@ from ..sinks.files import append_ledger_stream
 CHUNK_SCHEMA = "user_id bigint, chunk bigint, text string"
 
 
-def decode_stream(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA, key: str = "user_id",
-                  max_files: int | None = None) -> DataFrame:
+def chunk_stream(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA, max_files: int | None = None) -> DataFrame:
     src = spark.readStream.schema(schema)
     if max_files:  # only if a caller wants small batches
         src = src.option("maxFilesPerTrigger", max_files)
-    src = src.json(path)
-    return decode_frames(src, "text", id_cols=[key, "chunk"])
+    return src.json(path)
+
+
+def reassembled_stream(chunks: DataFrame, key: str = "user_id", chunk: str = "chunk", text: str = "text") -> DataFrame:
+    """(key, frame_no, text): every frame once its blank line has come, in its
+    key's order, from chunks numbered 0, 1, ... per key.
+
+    State per key: the next chunk's number, the number of frames given, the open
+    frame's text, and chunks that came too early.  A chunk that came before
+    (a repeated delivery) changes nothing.  Append mode."""
+    key_type = chunks.schema[key].dataType.simpleString()
+
+    def carry(group, batches, state):
+        at, given, tail, early = state.get if state.exists else (0, 0, "", "{}")
+        early = {int(k): v for k, v in json.loads(early).items()}
+        for pdf in batches:
+            for n, said in zip(pdf[chunk], pdf[text]):
+                if n >= at:
+                    early[int(n)] = said or ""
+        out, parts = [], [tail]
+        while at in early:
+            parts.append(early.pop(at))
+            at += 1
+        blocks = "".join(parts).split("\n\n")
+        for block in blocks[:-1]:
+            block = block.strip("\n")
+            if block.strip(" "):
+                out.append((given, block))
+                given += 1
+        state.update((at, given, blocks[-1], json.dumps(early)))
+        yield pd.DataFrame({key: [group[0]] * len(out), "frame_no": [n for n, _ in out], "text": [b for _, b in out]})
+
+    return chunks.groupBy(key).applyInPandasWithState(
+        carry, f"{key} {key_type}, frame_no long, text string", "at long, given long, tail string, early string", "append", "NoTimeout")
+
+
+def decode_stream(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA, key: str = "user_id",
+                  max_files: int | None = None) -> DataFrame:
+    return decode_frames(chunk_stream(spark, path, schema, max_files), "text", id_cols=[key, "chunk"])
 
 
 def log_counts_stream(decoded: DataFrame) -> DataFrame:

@@ -142,3 +142,41 @@ def test_original_ledger_file(spark, tmpdir_path):
     led = read_ledger(spark, p, fmt="json_array").orderBy("seq").collect()
     assert [(r.strategy, r.delta) for r in led] == [("fix a", 15), ("fix b", 25), ("fix c", 25), ("fix d", 15)]
     assert led[0].rows_read is None and led[0].ts is not None
+
+
+def test_frames_cut_anywhere_decode_as_if_whole(spark, tmpdir_path):
+    import random
+
+    from catalogflow.operators import events as EV
+    from catalogflow.streaming import frames as S
+    rnd = random.Random(4)
+    blocks = [f"event: {rnd.choice(['log', 'done'])}\ndata: " + json.dumps({"message": "m" * rnd.randint(0, 30) + str(i)}) for i in range(40)]
+    rows, want = [], {}
+    for key in (0, 1, 2, 3):
+        mine = blocks[key * 10:key * 10 + 10]
+        text = "".join(b + "\n\n" + "\n" * rnd.choice([0, 0, 1, 2, 3]) for b in mine) + ("" if key else "event: log\ndata: never ended")
+        want |= {(key, i): b for i, b in enumerate(mine)}
+        n = at = 0
+        while at < len(text):
+            size = 1 if key == 1 else rnd.choice([1, 2, 3, 17, 60])
+            rows.append((key, n, text[at:at + size]))
+            n, at = n + 1, at + size
+    rows += [(9, 0, None), (9, 1, "\n\n"), (9, 2, "")]
+    chunks = spark.createDataFrame(rows, "user_id long, chunk long, text string").repartition(5)
+    got = EV.reassemble(chunks, "user_id").collect()
+    assert {(r.user_id, r.text) for r in got} == {(k, b) for (k, _), b in want.items()} and len(got) == 40
+    order = sorted((r.user_id, r.frame_no, r.text) for r in got)
+    assert [t for _, _, t in order] == [want[k] for k in sorted(want)]
+    decoded = EV.decode_frames(EV.reassemble(chunks, "user_id"), "text", ["user_id"])
+    assert decoded.where("payload.message is null").count() == 0 and decoded.count() == 40
+    # the same as a stream: three portions, out of order, one delivered twice
+    src, out, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "out", "ckpt"))
+    for portion in (2, 0, 0, 1):
+        chunks.where(f"pmod(hash(user_id, chunk), 3) = {portion}").write.mode("append").json(src)
+        S.run_available_now(S.reassembled_stream(S.chunk_stream(spark, src)), out, ckpt)
+    got = spark.read.parquet(out).collect()
+    assert {(r.user_id, r.frame_no): r.text for r in got} == want and len(got) == 40
+    # pieces cut by size put together again
+    frames = spark.createDataFrame([(k, i, b + "\n\n") for (k, i), b in want.items()], "user_id long, event_id long, frame string")
+    again = EV.reassemble(EV.cut_chunks(frames, "user_id", "event_id", F.lit(5)), "user_id").collect()
+    assert {(r.user_id, r.frame_no): r.text for r in again} == want
