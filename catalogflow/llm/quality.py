@@ -83,6 +83,7 @@ def base_failed() -> Column:
 
 UNIT = 1024          # fixed-point steps per unit of a transformed statistic
 P = 4                # dimensions
+SALTS = 32           # parts in which a group's rows may meet its parameters
 ALPHA = 0.75         # share of a group's rows in the h-subset
 # Chi-square values for four degrees of freedom (fixed values): consistency of
 # the 75 % subset, the 97.5 % reweighting limit and its consistency factor, and
@@ -161,9 +162,17 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in TRI]]]
 
 
+def _met(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows with their group's parameters.  Where the parameters are too many to
+    broadcast, a group's rows are dealt by salt, so that the group of all rows is
+    no task of its own; what follows aggregates before it shuffles."""
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, ["gid", "salt"]).drop("salt")
+
+
 def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One C-step: moments of the ALPHA share of rows nearest to the estimate."""
-    by = _moments(rows.join(params, "gid").withColumn("bucket", _bucket(_distance())), "gid", "start", "bucket")
+    by = _moments(_met(rows, params).withColumn("bucket", _bucket(_distance())), "gid", "start", "bucket")
     w = Window.partitionBy("gid", "start")
     run = by.withColumn("rows_all", F.sum("n").over(w)).withColumn(
         "before", F.coalesce(F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -186,7 +195,8 @@ def mcd_outliers(stats: DataFrame, language: str = "lang", source: str = "source
     v = materialize(v.select("*", *transformed(), _key(1, F.col(f"`{language}`"), F.col(f"`{source}`")).alias("gid1"),
                              _key(2, F.col(f"`{language}`")).alias("gid2")), "mcd-vectors")
     fit = v.where(~F.col("base_failed")).select(
-        F.explode(F.array("gid1", "gid2", _key(3))).alias("gid"), *[f"z{i}" for i in range(P)])
+        F.explode(F.array("gid1", "gid2", _key(3))).alias("gid"), *[f"z{i}" for i in range(P)],
+        (F.rand(1) * SALTS).cast("int").alias("salt"))
     plain = _solved(_moments(fit, "gid").withColumn("rows_all", F.col("n")).withColumn("start", F.lit(0)), 1.0)
     quart = fit.groupBy("gid").agg(F.count(F.lit(1)).alias("rows_all"), *[
         F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)])
@@ -199,7 +209,7 @@ def mcd_outliers(stats: DataFrame, language: str = "lang", source: str = "source
     for k in range(steps):
         params = materialize(_solved(_concentrated(fit, params), SUBSET_FACTOR).hint("rebalance"), f"mcd-step{k}")
     best = params.groupBy("gid").agg(F.min_by(F.struct("*"), F.struct("logdet", "start")).alias("b")).select("b.*")
-    near = fit.join(best, "gid").where(_distance() <= WEIGHT_LIMIT)
+    near = _met(fit, best).where(_distance() <= WEIGHT_LIMIT)
     last = _solved(_moments(near, "gid").join(best.select("gid", "start", "rows_all"), "gid"), WEIGHT_FACTOR)
     last = materialize(last.where(F.col("rows_all") >= min_rows).drop("start", "logdet").hint("rebalance"), "mcd-final")
     named = [c for c in last.columns if c not in ("gid", "rows_all")]
@@ -216,11 +226,16 @@ def mcd_outliers(stats: DataFrame, language: str = "lang", source: str = "source
         *stats.columns, "base_failed", "mahalanobis2", "kept")
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "mahalanobis2", "kept")
+
+
 def quality_outliers(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
                      language: str = "lang", source: str = "source") -> DataFrame:
     """Statistics and verdict for every document (``keep`` columns carried along).
 
-    Language and source are carried under fresh names, so ``keep`` may hold them."""
+    Language and source are carried under fresh names, so ``keep`` may hold them.
+    Kept columns that are named like a result are replaced by it."""
+    keep = tuple(c for c in keep if c.lower() not in RESULTS)
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{language}`").alias("_lang"),
                     F.col(f"`{source}`").alias("_source"), F.col(f"`{text}`").alias("_text"))
     stats = base_statistics(d, "_text", (*keep, "_lang", "_source"))
