@@ -30,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0      # the mix's size against all words; a source's target against its own
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
+SLOTS_A_TASK = 1 << 18   # slots that one task writes out
 BUCKETS = 4096
 MAX_SOURCES = 100_000      # rows of the source table that the shard draws may broadcast
 
@@ -154,7 +155,9 @@ def slots(sources: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, sha
     counts = materialize(counts, "mix-draws")
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(s.select("rank", "blocks", "most"), "rank")
-    x = counts.repartition("shard", "rank").select("shard", "rank", "blocks", "most", F.explode(
+    # a row becomes as many as it has slots: the number of tasks follows the slots, not the rows
+    tasks = max(1, -(-total // SLOTS_A_TASK))
+    x = counts.repartition(tasks, "shard", "rank").select("shard", "rank", "blocks", "most", F.explode(
         F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i")).where("i < most")
 
     @F.pandas_udf("long")
