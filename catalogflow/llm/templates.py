@@ -82,13 +82,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = DEPTH, simi
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 5,
-                         **options) -> DataFrame:
+                         original: str | None = None, **options) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, plus n_lines (lines
     with a token), n_dropped and emptied (true if no line with a token is left
     of some).
 
     Null texts stay null with no lines; blank lines always stay.  All other
     columns are carried along; own columns named like the three are replaced.
+    ``original`` names a further column that holds the text of emptied rows as it
+    was (null for others).
     """
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "emptied")]
     k, h, dk, dh = (fresh_name(c, own) for c in ("_key", "_hash", "_dkey", "_dhash"))
@@ -108,5 +110,29 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     filled = F.coalesce(F.size(F.filter(lines_, lambda s: s.rlike(f"[^{WS}]"))), F.lit(0))
     filled = F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(filled)
     x = x.withColumn("n_lines", filled.cast("long")).withColumn("n_dropped", gone.cast("long"))
-    return x.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in own], "n_lines", "n_dropped",
-                    ((F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))).alias("emptied"))
+    emptied = (F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))
+    was = [F.when(emptied, F.col(f"`{text}`")).alias(original)] if original else []
+    return x.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in own], "n_lines", "n_dropped", emptied.alias("emptied"), *was)
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without recurring lines, and without the documents whose every
+    line another document keeps word for word.
+
+    A document of which nothing is left but whose lines only resemble others (a
+    variable field differs) holds text that no other does: it stays, as it was."""
+    was, line, i = (fresh_name(c, docs.columns) for c in ("_was", "_line", "_row"))
+    out = materialize(drop_recurring_lines(docs, key, text, original=was, **options).withColumn(
+        i, F.monotonically_increasing_id()), "template-texts", "zstd")
+
+    def lines(rows: DataFrame, of: str) -> DataFrame:
+        each = F.filter(F.transform(F.split(F.col(f"`{of}`"), "\n"), lambda s: F.trim(s, F.lit(" \t\x0b\x0c\r"))), lambda s: s != "")
+        return rows.select(i, F.explode(F.transform(each, lambda s: F.xxhash64(s))).alias(line))
+
+    empty = out.where("emptied")
+    theirs = lines(empty, was).distinct()
+    held = lines(out.where("not emptied"), text).select(line).join(theirs.select(line).distinct(), line, "left_semi").distinct()
+    own = theirs.join(held, line, "left_anti").select(i).distinct()
+    left = out.where("not emptied").unionByName(
+        empty.join(own, i, "left_semi").withColumn(text, F.col(f"`{was}`")))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
