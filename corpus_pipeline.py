@@ -29,10 +29,9 @@ def language(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Takes out lines whose template recurs; the first document keeps them.
-    Documents with nothing left are copies of what others keep, and go."""
-    out = templates.drop_recurring_lines(docs)
-    return _sized(out.where("not emptied"), docs.columns)
+    """Takes out lines whose template recurs; the first document keeps them.  A
+    document goes only if another keeps each of its lines word for word."""
+    return _sized(templates.without_copies(docs), docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
