@@ -179,48 +179,74 @@ class Model:
         return pd.DataFrame({"lang_pred": np.where(n > 0, names, UNKNOWN), "score": np.where(n > 0, score, 0.0), "rejected": rejected})
 
 
-def kneser_ney(counts: pd.DataFrame) -> Model:
-    """(lang, gram of ORDER characters, n) -> the models.
+def _strings(points: np.ndarray) -> np.ndarray:
+    """Rows of k code points as strings of k characters, for sorting and grouping."""
+    return np.ascontiguousarray(points, np.uint32).view(f"<U{points.shape[1]}").ravel()
+
+
+def _grouped(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the number of each row's; rows of no characters are one group."""
+    if not points.shape[1]:
+        return points[:1], np.zeros(len(points), np.int64)
+    _, first, number = np.unique(_strings(points), return_index=True, return_inverse=True)
+    return points[first], number.ravel()
+
+
+def _summed(values: np.ndarray, number: np.ndarray, groups: int) -> np.ndarray:
+    return np.stack([np.bincount(number, values[:, c], groups) for c in range(values.shape[1])], axis=1)
+
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """{language: (n-grams of ORDER code points, a row each; how often)} -> the models.
 
     Orders below the highest use continuation counts (distinct characters seen
     before the n-gram); every order is discounted by n1 / (n1 + 2 n2) and
-    interpolated with the one below, the lowest with a uniform distribution."""
-    languages = sorted(counts["lang"].unique())
-    tables, t = [], counts.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)
-    t = t.reindex(columns=languages, fill_value=0)
+    interpolated with the one below, the lowest with a uniform distribution.
+    Everything is arrays of code points and numbers, some hundred bytes for an
+    n-gram of the sample and language."""
+    languages = sorted(counts)
+    points, number = _grouped(np.concatenate([counts[x][0] for x in languages]))
+    c = np.zeros((len(points), len(languages)))
+    at = 0
+    for j, x in enumerate(languages):
+        n = len(counts[x][0])
+        np.add.at(c[:, j], number[at:at + n], counts[x][1])
+        at += n
+    tables = []
     for k in range(ORDER, 0, -1):
-        tables.append(t)
-        seen = (t > 0).astype(np.int64)
-        t = seen.groupby(t.index.str[1:]).sum()
-        t = t[~t.index.str.endswith(PAD)] if k > 1 else t
+        tables.append((points, c))
+        if k == 1:
+            break
+        lower, number = _grouped(points[:, 1:])
+        c = _summed((c > 0).astype(np.float64), number, len(lower))
+        real = lower[:, -1] != ord(PAD)
+        points, c = lower[real], c[real]
     tables.reverse()
-    floor = float(-np.log(len(tables[0]) + 1000)) if len(tables[0]) else -10.0
-    lower, grams, contexts = None, [], []
-    for k, t in enumerate(tables, 1):
-        c = t.to_numpy(np.float64)
+    floor = float(-np.log(len(tables[0][0]) + 1000)) if len(tables[0][0]) else -10.0
+    below, lower, grams, contexts = None, None, [], []
+    for k, (points, c) in enumerate(tables, 1):
         n1, n2 = (c == 1).sum(0), (c == 2).sum(0)
         d = np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
         d = np.clip(d, 0.05, 0.95)
-        ctx = t.index.str[:-1]
-        total, kinds = t.groupby(ctx).sum(), (t > 0).groupby(ctx).sum()
-        weight = np.where(total.to_numpy() > 0, d * kinds.to_numpy() / np.maximum(total.to_numpy(), 1), 1.0)
-        weight = pd.DataFrame(weight, index=total.index)
-        below = np.exp(floor) if k == 1 else lower.loc[t.index.str[1:]].to_numpy()
-        all_, back = total.loc[ctx].to_numpy(np.float64), weight.loc[ctx].to_numpy()
-        p = np.where(all_ > 0, np.maximum(c - d, 0) / np.maximum(all_, 1), 0.0) + back * below
-        lower = pd.DataFrame(p, index=t.index)
-        grams.append(Rows(_of(t.index, k), np.log(p)))
-        contexts.append(Rows(_of(weight.index, k - 1), np.log(np.maximum(weight.to_numpy(), 1e-9))))
+        ctx, number = _grouped(points[:, :-1])
+        total, kinds = _summed(c, number, len(ctx)), _summed((c > 0).astype(np.float64), number, len(ctx))
+        weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+        if k == 1:
+            under = np.exp(floor)
+        else:       # both are sorted, and every n-gram's end is an n-gram of the order below
+            under = lower[np.searchsorted(below, _strings(points[:, 1:]))]
+        p = np.where(total[number] > 0, np.maximum(c - d, 0) / np.maximum(total[number], 1), 0.0) + weight[number] * under
+        below, lower = _strings(points), p
+        grams.append(Rows(_of(points), np.log(p)))
+        contexts.append(Rows(_of(ctx), np.log(np.maximum(weight, 1e-9))))
     return Model(languages, grams, contexts, floor)
 
 
-def _of(strings, k: int) -> np.ndarray:
-    """Hashes of strings of k characters, as ``hashes`` gives them for places in a text."""
-    if not len(strings):
-        return np.zeros(0, np.uint64)
+def _of(points: np.ndarray) -> np.ndarray:
+    """Hashes of rows of k code points, as ``hashes`` gives them for places in a text."""
+    k = points.shape[1]
     if not k:
-        return hashes(np.zeros(ORDER, np.uint32), 0).repeat(len(strings))
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(-1, k)
+        return hashes(np.zeros(ORDER, np.uint32), 0).repeat(len(points))
     h = np.full(len(points), k, np.uint64)
     for j in range(k):
         h += points[:, k - 1 - j].astype(np.uint64) * _MULTIPLIERS[j]
@@ -228,6 +254,11 @@ def _of(strings, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _points(grams: str) -> np.ndarray:
+    """n-grams of ORDER characters written one after another -> their code points, a row each."""
+    return np.frombuffer(grams.encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+
+
 def _limit(own: np.ndarray, size: np.ndarray) -> tuple[float, float, float]:
     """Mean cross-entropy, spread of one character and slack, from the
     cross-entropies and sizes of a language's texts; no limit where they are few."""
@@ -261,7 +292,7 @@ def _cross_fitted(f: pd.DataFrame) -> pd.DataFrame:
         grams = _grams([t for i, t in enumerate(texts) if i % FOLDS != k])
         held = texts[k::FOLDS]
         if grams is not None and held:
-            h, n = kneser_ney(grams.assign(lang=lang)).entropies(held)
+            h, n = kneser_ney({lang: (_points("".join(grams["gram"])), grams["n"].to_numpy())}).entropies(held)
             own += h[n > 0, 0].tolist()
             size += n[n > 0].tolist()
     return pd.DataFrame([(lang, *map(float, _limit(np.array(own), np.array(size))))], columns=["lang", "mean", "spread", "slack"])
@@ -353,10 +384,17 @@ def fit(rows: DataFrame, text: str = "text", language: str = "lang", sample_char
                     yield grams.assign(lang=lang)[["lang", "gram", "n"]]
 
     counts = sample.where(~F.col("test") & (place < F.col("counted"))).select("lang", "text").mapInPandas(counted, "lang string, gram string, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counts.empty:
+    # counted by Spark; a language's n-grams come as one text and its counts as one
+    # array, bounded by the sample and a tenth of what a row each would take
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang").agg(
+        F.collect_list(F.struct("gram", "n")).alias("g"))
+    counts = counts.select("lang", F.array_join(F.transform("g", lambda x: x["gram"]), "").alias("grams"), F.transform("g", lambda x: x["n"]).alias("n"))
+    counted_ = counts.toArrow()
+    if not counted_.num_rows:
         return Model([], [], [], -10.0)
-    model = kneser_ney(counts)
+    model = kneser_ney({counted_["lang"][i].as_py(): (_points(counted_["grams"][i].as_py()), counted_["n"][i].values.to_numpy())
+                        for i in range(counted_.num_rows)})
+    del counted_
     tests = sample.where(F.col("test") & (place < F.col("tested"))).select("lang", "text").toPandas()
     few = sample.where("few").select("lang", "hash", "at", "text") if (totals["units"] < FEW_UNITS).any() else None
     fitted = [] if few is None else few.groupBy("lang").applyInPandas(

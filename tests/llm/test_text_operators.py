@@ -223,12 +223,60 @@ def test_language_id_without_labels(spark):
     assert langid.fit(none.limit(0)).languages == []
 
 
+def gram_counts(texts):
+    points, _ = langid.characters(texts)
+    return Counter("".join(map(chr, points[i:i + langid.ORDER])) for i in range(len(points) - langid.ORDER + 1)
+                   if points[i + langid.ORDER - 1] != 1)
+
+
+def as_arrays(grams):
+    return langid._points("".join(grams)), np.array(list(grams.values()))
+
+
+def plain_kneser_ney(grams, kinds):
+    """log p(character after context) of one language, from its counts in dictionaries."""
+    by_order, now = {}, dict(grams)
+    for k in range(langid.ORDER, 0, -1):
+        by_order[k] = now
+        seen = Counter(g[1:] for g in now)
+        now = {g: n for g, n in seen.items() if not g.endswith("\x01")}
+
+    def p(gram, floor):
+        k = len(gram)
+        if not k:
+            return floor
+        t = by_order[k]
+        n1, n2 = sum(n == 1 for n in t.values()), sum(n == 2 for n in t.values())
+        d = min(0.95, max(0.05, n1 / max(n1 + 2 * n2, 1) if n1 else 0.5))
+        after = {g: n for g, n in t.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        low = p(gram[1:], floor)
+        if not total:
+            return low
+        return max(t.get(gram, 0) - d, 0) / total + d * len(after) / total * low
+    return lambda gram: math.log(p(gram, 1 / (kinds + 1000)))
+
+
+def test_every_probability_as_kneser_and_ney_define_it():
+    texts = {"en": ["the cat sat on the mat then ran", "a cat and that hat", "the the the"], "de": ["der hund und die katze", "das ist der hund"],
+             "xx": ["q"]}
+    counts = {x: gram_counts(t) for x, t in texts.items()}
+    model = langid.kneser_ney({x: as_arrays(c) for x, c in counts.items()})
+    kinds = len({g[-1] for c in counts.values() for g in c})
+    assert model.languages == ["de", "en", "xx"] and math.isclose(model.floor, -math.log(kinds + 1000))
+    read = ["the cat sat", "der hund sat on die mat", "zzz qqq", "éa the", "q"]
+    points, _ = langid.characters(read)
+    places = np.flatnonzero(points[langid.ORDER - 1:] != 1)
+    got = model.logs(points, places)
+    for c, x in enumerate(model.languages):
+        plain = plain_kneser_ney(counts[x], kinds)
+        for row, at in zip(got[:, c], places):
+            assert abs(float(row) - plain("".join(map(chr, points[at:at + langid.ORDER])))) < 1e-4
+
+
 def test_kneser_ney_is_a_distribution():
-    import pandas as pd
-    points, _ = langid.characters(["the cat sat on the mat then ran", "a cat and that hat"])
-    grams = Counter("".join(map(chr, points[i:i + langid.ORDER])) for i in range(len(points) - langid.ORDER + 1)
-                    if points[i + langid.ORDER - 1] != 1)
-    model = langid.kneser_ney(pd.DataFrame([("en", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
+    grams = gram_counts(["the cat sat on the mat then ran", "a cat and that hat"])
+    model = langid.kneser_ney({"en": as_arrays(grams)})
     seen = sorted({g[-1] for g in grams})
     for context in ("the ", "at o", "zzzz"):
         points = np.concatenate([np.array([*map(ord, context + c)], np.uint32) for c in seen])
