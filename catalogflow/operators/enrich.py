@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flag_is, has_text, normalize_key
+from .numbering import number_rows
 
 ROUTES = ("no_key", "not_found", "not_validated", "no_link", "empty_text", "ready")
 
@@ -152,31 +153,33 @@ def route_counts(routed: DataFrame, seq_col: str = "input_seq", chunk_size: int
                   .groupBy("chunk_no", "route").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-def chunk_summary(routed: DataFrame, seq_col: str = "input_seq", chunk_size: int = 500,
-                  key_col: str = "item_key") -> DataFrame:
-    """Per 500-row chunk (by ingest position): items read, validated
-    rows, ready rows and the running ``processed_count`` (= min(i+500, total)
-    for dense sequences) -- arithmetic only, no global window."""
-    per_item = routed.withColumn("chunk_no", chunk_of(seq_col, chunk_size))
-    return (per_item.groupBy("chunk_no")
-            .agg(F.count_distinct(F.col(seq_col)).alias("n_items"),
+def number_items(items: DataFrame, key: str = "item_key", seq_col: str = "input_seq") -> DataFrame:
+    """Items with a key, with their place among them: ``item_no`` (0, 1,
+    ... in input order, ties by key) and ``item_total``.  Gaps and repeats in
+    ``seq_col`` do not matter; rows without a key are dropped first, as they take
+    no place.  Counted by ranges of the order, without a global window."""
+    return number_rows(items.where(F.col(key).isNotNull()), [F.col(seq_col), F.col(key)], out="item_no", total="item_total")
+
+
+def chunk_summary(routed: DataFrame, chunk_size: int = 500) -> DataFrame:
+    """Per chunk of ``chunk_size`` items (routed from ``number_items``):
+    items read, validated rows, ready rows and the running ``processed_count``,
+    min(items up to the chunk's end, total)."""
+    return (routed.groupBy(chunk_of("item_no", chunk_size).alias("chunk_no"))
+            .agg(F.count_distinct("item_no").alias("n_items"),
                  F.count_if(~F.col("route").isin("no_key", "not_found", "not_validated")).alias("n_valid"),
                  F.count_if(F.col("route") == "ready").alias("n_ready"),
-                 F.min(F.col(seq_col)).alias("first_seq"))
-            .withColumn("processed_count", F.col("chunk_no") * chunk_size + F.col("n_items"))
-            .drop("first_seq"))
-
-
-def progress_label(df: DataFrame, seq_col: str = "input_seq", run_col: str | None = None) -> DataFrame:
-    """`(i/total)` per row from a dense 0-based per-run sequence.
-
-    The total per run is a grouped count joined back (one row per run), not a
-    window over the whole run, so a huge run is never sorted in one task."""
-    if run_col:
-        totals = df.groupBy(run_col).agg(F.count(F.lit(1)).alias("_total"))
-        out = df.join(totals, run_col, "left")
-    else:
-        # scalar subquery: evaluated once, inlined as a literal
-        out = df.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
-    return (out.withColumn("progress", F.format_string("(%d/%d)", F.col(seq_col) + 1, F.col("_total")))
-               .drop("_total"))
+                 F.max("item_total").alias("_total"))
+            .withColumn("processed_count", F.least((F.col("chunk_no") + 1) * chunk_size, F.col("_total")))
+            .drop("_total"))
+
+
+def progress_label(df: DataFrame, seq_col: str = "input_seq", run_col: str | None = None, key: str | None = None) -> DataFrame:
+    """`(i/total)` per row: its place in the order of ``seq_col`` (ties by
+    ``key``) among the rows of its run.  With ``key``, rows without one are
+    dropped first.  The places are counted by ranges (``number_rows``), so a huge
+    run is never sorted in one task."""
+    rows = df.where(F.col(key).isNotNull()) if key else df
+    order = [F.col(seq_col), *([F.col(key)] if key else [])]
+    out = number_rows(rows, order, (run_col,) if run_col else (), "_no", "_total")
+    return out.withColumn("progress", F.format_string("(%d/%d)", F.col("_no") + 1, F.col("_total"))).drop("_no", "_total")

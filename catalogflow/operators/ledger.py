@@ -77,6 +77,17 @@ def ledger_entries(before: DataFrame, after: DataFrame, key: str, type_col: str,
     return ledger_entries_paired(j, key, type_col, "_b", "_a", at, text, keep_zero)
 
 
+def ledger_entries_versions(df: DataFrame, key: str, type_col: str, before: str, after: str, analyze, at: Column | None = None,
+                            text: AdviceText = AdviceText(), keep_zero: bool = False) -> DataFrame:
+    """E6 from two versions of a text in one row: both become rows, are scored by
+    one pass of ``analyze(df, column)`` (which adds ``analysis``) and meet again
+    by ``key`` in one aggregate.  One scan, one exchange; keys are unique."""
+    rows = df.select(key, type_col, F.posexplode(F.array(before, after)).alias("_v", "_text"))
+    scored = analyze(rows, "_text").select(key, type_col, "_v", "analysis")
+    pairs = scored.groupBy(key).agg(F.min(type_col).alias(type_col), F.min_by("analysis", "_v").alias("_b"), F.max_by("analysis", "_v").alias("_a"))
+    return ledger_entries_paired(pairs, key, type_col, "_b", "_a", at, text, keep_zero)
+
+
 def _ranked(ledger: DataFrame, n: int, where: Column | None) -> DataFrame:
     src = ledger if where is None else ledger.where(where)
     w = Window.partitionBy("product_type").orderBy(F.col("delta").desc(), F.col("seq").asc())

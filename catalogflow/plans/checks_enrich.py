@@ -37,9 +37,14 @@ def route_counts_q(spark, d):
     return E.route_counts(r)
 
 
+def _numbered(spark, d):
+    """Items with gaps and repeats in their sequence, numbered."""
+    items = normalize_keys(std_items(spark, d).withColumn("input_seq", F.expr("input_seq * 3 div 4 * 5")), "item_key")
+    return E.number_items(items)
+
+
 def chunk_summary_q(spark, d):
-    r = E.route_items(std_items(spark, d), std_catalog(spark, d), std_documents(spark, d))
-    return E.chunk_summary(r)
+    return E.chunk_summary(E.route_items(_numbered(spark, d), std_catalog(spark, d), std_documents(spark, d)))
 
 
 def unresolved_keys_q(spark, d):
@@ -70,8 +75,10 @@ def attach_documents_q(spark, d):
 
 
 def progress_label_q(spark, d):
-    items = std_items(spark, d).select("input_seq", "product_name")
-    return E.progress_label(items).select("input_seq", "progress")
+    items = normalize_keys(std_items(spark, d).withColumn("input_seq", F.expr("input_seq * 3 div 4 * 5")), "item_key")
+    whole = E.progress_label(items, key="item_key").select("input_seq", "item_key", "o_orderstatus", "progress")
+    runs = E.progress_label(items, run_col="o_orderstatus", key="item_key").select("input_seq", "item_key", "o_orderstatus", "progress")
+    return whole.withColumn("scope", F.lit("all")).unionByName(runs.withColumn("scope", F.lit("run"))).drop("o_orderstatus")
 
 
 QUERIES = {
@@ -118,6 +125,10 @@ fm AS (SELECT ni.input_seq, ni.item_key, firstc.leaflet_link, firstc.link_valid,
 _IC = ("std_items", "std_catalog")
 _ICD = ("std_items", "std_catalog", "std_documents")
 
+_NUM = """num AS (SELECT ni.input_seq, ni.input_seq * 3 // 4 * 5 AS seq, ni.item_key, i.o_orderstatus,
+  row_number() OVER (ORDER BY ni.input_seq * 3 // 4 * 5, ni.item_key) - 1 AS item_no
+  FROM ni JOIN std_items i USING (input_seq) WHERE ni.item_key IS NOT NULL)"""
+
 ORACLE = {
     "normalize_keys": with_ctes("SELECT input_seq, raw_key, item_key FROM ni WHERE item_key IS NOT NULL",
                                 "std_items", ctes=f"ni AS ({_NI})"),
@@ -127,13 +138,13 @@ ORACLE = {
     "route_counts": with_ctes("""
 SELECT CAST(floor(input_seq / 500) AS BIGINT) AS chunk_no, route, count(*) AS n_rows
 FROM routed GROUP BY ALL""", *_ICD, ctes=_ROUTED),
-    "chunk_summary": with_ctes("""
-SELECT CAST(floor(input_seq / 500) AS BIGINT) AS chunk_no,
-       count(DISTINCT input_seq) AS n_items,
+    "chunk_summary": with_ctes(f"""
+SELECT CAST(floor(item_no / 500) AS BIGINT) AS chunk_no, count(DISTINCT item_no) AS n_items,
        count(*) FILTER (WHERE route NOT IN ('no_key', 'not_found', 'not_validated')) AS n_valid,
        count(*) FILTER (WHERE route = 'ready') AS n_ready,
-       CAST(floor(input_seq / 500) AS BIGINT) * 500 + count(DISTINCT input_seq) AS processed_count
-FROM routed GROUP BY 1""", *_ICD, ctes=_ROUTED),
+       least(CAST(floor(item_no / 500) AS BIGINT) * 500 + 500, (SELECT count(*) FROM num)) AS processed_count
+FROM (SELECT num.item_no, any_value(routed.route) AS route FROM num JOIN routed USING (input_seq) GROUP BY num.item_no, routed.cat_catalog_seq)
+GROUP BY 1""", *_ICD, ctes=_ROUTED + ", " + _NUM),
     "unresolved_keys": with_ctes(f"""
 SELECT input_seq, item_key FROM ni
 WHERE item_key IS NOT NULL
@@ -144,8 +155,9 @@ WHERE item_key IS NOT NULL
 SELECT fm.input_seq, fm.leaflet_link, length(nd.doc_text) AS text_chars, md5(nd.doc_text) AS text_md5
 FROM fm LEFT JOIN nd ON fm.leaflet_link = nd.doc_key""", *_ICD,
                                   ctes=_FIRST + ", nd AS (SELECT doc_key, first(text ORDER BY doc_seq) AS doc_text FROM std_documents GROUP BY doc_key)"),
-    "progress_label": """
-SELECT o_orderkey AS input_seq,
-       '(' || CAST(o_orderkey + 1 AS VARCHAR) || '/' || CAST((SELECT count(*) FROM orders) AS VARCHAR) || ')' AS progress
-FROM orders""",
+    "progress_label": with_ctes(f"""
+SELECT seq AS input_seq, item_key, '(' || (item_no + 1) || '/' || (SELECT count(*) FROM num) || ')' AS progress, 'all' AS scope FROM num
+UNION ALL
+SELECT seq, item_key, '(' || row_number() OVER (PARTITION BY o_orderstatus ORDER BY seq, item_key) || '/'
+  || count(*) OVER (PARTITION BY o_orderstatus) || ')', 'run' FROM num""", "std_items", ctes=f"ni AS ({_NI}), {_NUM}"),
 }

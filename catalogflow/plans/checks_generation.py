@@ -159,8 +159,7 @@ def batch_draft_q(spark, d):
     ready = app.ready_documents(normalize_keys(items, "item_key"), cat, docs)
     draft = app.build_draft(items, cat, docs, _ready_answers(ready, "item_key", "product_name"))
     from ..sinks.files import write_sheet
-    done = draft.where("html_content is not null")
-    path = write_sheet(draft, scratch_path(spark, "draft"), "draft", "run1", require_rows=done)
+    path = write_sheet(draft, scratch_path(spark, "draft"), "draft", "run1", require_rows=F.col("html_content").isNotNull())
     back = spark.read.parquet(path)
     return back.select("input_seq", "item_key", F.col("html_content").isNotNull().alias("has_page"),
                        F.col("seo_title").like("%Para que serve%").alias("is_fallback"))

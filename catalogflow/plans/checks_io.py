@@ -82,6 +82,25 @@ def stream_log_counts_q(spark, d):
     return spark.read.parquet(out)
 
 
+def stream_log_windows_q(spark, d):
+    """Log lines by day.  Every second line of one user in seven arrives late, in a
+    second portion: those within two days of the latest line still count, older
+    ones whose day is over do not.  A last line far in the future ends the days."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("lines", "windows", "checkpoint"))
+    late = (F.col("user_id") % 7 == 3) & (F.col("event_id") % 2 == 0)
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("received_at"))
+    frames = std_frames(spark, d).join(events, "event_id").select("event_id", "user_id", "received_at", F.col("frame").alias("text"))
+    last = frames.agg(F.max("received_at").alias("t")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("user_id"), (F.col("t") + F.expr("INTERVAL 40 DAYS")).alias("received_at"),
+        F.lit('event: log\ndata: {"message": "end", "type": "info"}\n\n').alias("text"))
+    for portion in (frames.where(~late), frames.where(late), last):
+        portion.write.mode("append").parquet(src)
+        stream = spark.readStream.schema("event_id long, user_id long, received_at timestamp, text string").parquet(src)
+        decoded = EV.decode_frames(stream, "text", id_cols=["received_at"])
+        S.run_available_now(S.log_windows_stream(decoded, width="1 day", late="2 days"), out, checkpoint)
+    return spark.read.parquet(out).select(F.unix_micros("window_start").alias("window_start"), "type", "n_events")
+
+
 def stream_review_latest_q(spark, d):
     """Reviews in eight portions and a draft reload after the fifth, folded by a
     job that compacts every third batch and that crashed twice while doing so."""
@@ -121,6 +140,7 @@ QUERIES = {
     "event_reassembly": event_reassembly_q,
     "stream_event_decode": stream_event_decode_q,
     "stream_log_counts": stream_log_counts_q,
+    "stream_log_windows": stream_log_windows_q,
     "stream_review_latest": stream_review_latest_q,
     "stream_scores": stream_scores_q,
 }
@@ -148,6 +168,14 @@ FROM pages GROUP BY doc_key""",
     "event_reassembly": _WHOLE_FRAMES,
     "stream_event_decode": _WHOLE_FRAMES,
     "stream_log_counts": EV_ORACLE["log_counts"],
+    "stream_log_windows": with_ctes("""
+SELECT epoch_us(date_trunc('day', ts)) AS window_start, type, count(*) AS n_events
+FROM (SELECT e.ts, json_extract_string(regexp_extract(f.frame, 'data: (.+)', 1), '$.type') AS type,
+             f.user_id % 7 = 3 AND f.event_id % 2 = 0 AS late,
+             max(e.ts) FILTER (WHERE f.event = 'log' AND NOT (f.user_id % 7 = 3 AND f.event_id % 2 = 0)) OVER () AS seen
+      FROM std_frames f JOIN events e ON f.event_id = e.event_id WHERE f.event = 'log')
+WHERE NOT late OR date_trunc('day', ts) + INTERVAL 1 DAY > seen - INTERVAL 2 DAY
+GROUP BY ALL""", "std_frames"),
     "stream_review_latest": MERGE_ORACLE["review_reload"],
     "stream_scores": HTML_ORACLE["analyze_html"].replace(
         "FROM scores", "FROM scores WHERE src = 'page'"),

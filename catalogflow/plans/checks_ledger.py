@@ -33,8 +33,10 @@ def _before_after(spark, d):
 
 
 def ledger_entries_q(spark, d):
-    b, a = _before_after(spark, d)
-    return L.ledger_entries(b, a, "doc_id", "product_type", at=F.lit("2024-01-01").cast("timestamp")).withColumn("ts", F.unix_micros("ts"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("product_type"))
+    h = made_html(spark, d).join(docs, "doc_id").withColumn("after", FIX_SPARK())
+    out = L.ledger_entries_versions(h, "doc_id", "product_type", "html", "after", A.analyze_html, at=F.lit("2024-01-01").cast("timestamp"))
+    return out.withColumn("ts", F.unix_micros("ts"))
 
 
 def feedback_resolved_q(spark, d):

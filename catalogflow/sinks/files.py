@@ -3,7 +3,7 @@ append-only ledger (K6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import run_stamp
@@ -26,20 +26,27 @@ def append_ledger_stream(batch_df: DataFrame, batch_id: int, path: str, query_id
      .partitionBy("query_id", "batch_id").parquet(path))
 
 
+MARKER = "_ROWS"   # file that makes a written sheet count; holds the number of rows that were required
+
+
 def write_sheet(df: DataFrame, base: str, kind: str, run_id: str, fmt: str = "parquet",
-                order_col: str | None = "input_seq", require_rows: bool | DataFrame = True) -> str | None:
+                order_col: str | None = "input_seq", require_rows: bool | Column = True) -> str | None:
     """K1-K3: write under ``{base}/kind={kind}/run_id={run_id}``; refuses to
-    overwrite.  ``require_rows``: nothing is written (None returned) when the
-    frame is empty -- or, given a frame, when that one is: a draft is the whole
-    sheet but is only written if the run had a result.  Checked with
-    ``limit(1)``, not a full count."""
+    overwrite.  ``require_rows``: a sheet without rows does not count -- or, given
+    a condition, one in which no row meets it: a draft is the whole sheet but
+    counts only if the run had a result.
+
+    The rows are counted while they are written (one evaluation of ``df``).  A
+    sheet counts once its marker stands, which is written last; one that holds
+    nothing is removed again, and None is returned."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
-    needed = df if require_rows is True else require_rows
-    if needed is not False and needed.limit(1).count() == 0:
-        return None
     path = f"{base.rstrip('/')}/kind={kind}/run_id={run_id}"
     out = df.sortWithinPartitions(order_col) if order_col and order_col in df.columns else df
+    seen = Observation()
+    if require_rows is not False:
+        wanted = F.lit(True) if require_rows is True else F.coalesce(require_rows, F.lit(False))
+        out = out.observe(seen, F.count_if(wanted).alias("rows"))
     w = out.write.mode("errorifexists")
     if fmt == "csv":
         # keep cell values exactly (the CSV writer trims blanks by default)
@@ -47,6 +54,16 @@ def write_sheet(df: DataFrame, base: str, kind: str, run_id: str, fmt: str = "pa
           .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
+    rows = seen.get["rows"] if require_rows is not False else None
+    jvm = df.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if rows == 0:
+        fs.delete(folder, True)
+        return None
+    mark = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}"), True)
+    mark.write(bytearray(str(rows if rows is not None else "").encode()))
+    mark.close()
     return path
 
 

@@ -3,7 +3,8 @@
 * ``decode_stream`` (ST2): JSON files of ``(key, chunk, text)`` -> decoded events;
   ``reassembled_stream`` carries a key's open frame from chunk to chunk, so a
   transport may cut anywhere and deliver out of order.
-* ``log_counts_stream`` (ST5): severity counts, complete mode.
+* ``log_counts_stream`` (ST5): severity counts, complete mode;
+  ``log_windows_stream`` by event-time windows with a watermark, append mode.
 * ``review_latest_stream`` (ST6): latest state per key with ``max_by`` --
   built-in aggregation state, one row per key, no custom state store.
 * ``scores_stream`` (ST7): stateless scoring, appended per micro-batch with
@@ -77,6 +78,15 @@ def log_counts_stream(decoded: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_events")))
 
 
+def log_windows_stream(decoded: DataFrame, at: str = "received_at", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """ST5 by event time: log lines per severity and tumbling window of ``width``,
+    for append mode.  A window is given once, when no line may come any more: a
+    line more than ``late`` behind the latest one seen is left out if its window is over."""
+    rows = decoded.where(F.col("event") == "log").select(F.col(at), F.col("payload.type").alias("type")).withWatermark(at, late)
+    counts = rows.groupBy(F.window(at, width).alias("w"), "type").agg(F.count(F.lit(1)).alias("n_events"))
+    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "type", "n_events")
+
+
 def review_latest_stream(events: DataFrame, key: str = "item_key", order=("ts", "seq")) -> DataFrame:
     others = [c for c in events.columns if c != key]
     last = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))

@@ -89,11 +89,26 @@ def test_answers_do_not_depend_on_the_batch(size):
     assert got == [None if i % 7 == 0 else f"{i}!" for i in range(100)]
 
 
-def test_draft_is_written_only_with_results(spark, tmpdir_path):
-    from catalogflow.sinks.files import write_sheet
-    sheet = spark.createDataFrame([(1, None)], "input_seq long, html string")
-    assert write_sheet(sheet, tmpdir_path, "draft", "r1", require_rows=sheet.where("html is not null")) is None
-    assert write_sheet(sheet, tmpdir_path, "rejected", "r1") and write_sheet(sheet, tmpdir_path, "draft", "r1", require_rows=sheet)
+def test_draft_is_written_only_with_results_and_evaluated_once(spark, tmpdir_path):
+    import os
+
+    from catalogflow.sinks.files import MARKER, write_sheet
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+    sheet = spark.createDataFrame([(1, None), (2, None)], "input_seq long, html string").mapInPandas(seen, "input_seq long, html string")
+    done = F.col("html").isNotNull()
+    assert write_sheet(sheet, tmpdir_path, "draft", "r1", require_rows=done) is None and calls.value == 2
+    assert not os.path.exists(f"{tmpdir_path}/kind=draft/run_id=r1")
+    assert write_sheet(sheet.limit(0), tmpdir_path, "approved", "r1") is None
+    path = write_sheet(sheet, tmpdir_path, "rejected", "r1")
+    assert open(f"{path}/{MARKER}").read() == "2" and calls.value == 4
+    path = write_sheet(sheet.withColumn("html", F.when(F.col("input_seq") == 1, "p")), tmpdir_path, "draft", "r1", require_rows=done)
+    assert open(f"{path}/{MARKER}").read() == "1" and spark.read.parquet(path).count() == 2
+    assert write_sheet(sheet.limit(0), tmpdir_path, "draft", "r2", require_rows=False)
 
 
 def test_routes_partition_items(spark):
