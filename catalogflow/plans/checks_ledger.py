@@ -66,7 +66,7 @@ def strategy_text_q(spark, d):
 
 
 def ledger_union_q(spark, d):
-    led = std_ledger(spark, d).drop("ts")
+    led = std_ledger(spark, d).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     extra = (table(spark, d, "labels")
              .select(F.col("doc_id").alias("seq"), F.lit("manual").alias("strategy"),
                      F.lit("audit").alias("product_type"), F.col("quality").alias("score_before"),
@@ -83,7 +83,7 @@ def ledger_read_q(spark, d):
     append_ledger(led, path)
     append_ledger(led, path)
     spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
-    return read_ledger(spark, path).drop("ts", "rows_read")
+    return read_ledger(spark, path).withColumn("ts", F.unix_micros("ts"))
 
 
 QUERIES = {
@@ -168,13 +168,12 @@ SELECT s.product_type, s.scope,
             WHERE f.product_type = s.product_type), {Q.lit(_T.no_failure)}) AS failed
 FROM scope s""", "std_ledger", "std_requested_types", ctes=_RANKED + ", " + _RANKED_F + ", " + _SCOPE),
     "ledger_union": with_ctes("""
-SELECT seq, strategy, product_type, score_before, score_after, delta, CAST(NULL AS INTEGER) AS rows_read FROM std_ledger
+SELECT seq, strategy, product_type, score_before, score_after, delta, epoch_us(ts) AS ts, CAST(NULL AS INTEGER) AS rows_read FROM std_ledger
 UNION ALL
-SELECT doc_id, 'manual', 'audit', quality, toxic, toxic - quality, 1 FROM labels""", "std_ledger"),
+SELECT doc_id, 'manual', 'audit', quality, toxic, toxic - quality, NULL, 1 FROM labels""", "std_ledger"),
 }
 
 # the derived ledger appended twice, read back tolerant (the corrupt line is set aside)
 ORACLE["ledger_read"] = with_ctes("""
-SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger
-UNION ALL
-SELECT seq, strategy, product_type, score_before, score_after, delta FROM std_ledger""", "std_ledger")
+SELECT seq, strategy, product_type, score_before, score_after, delta, epoch_us(ts) AS ts, CAST(NULL AS INTEGER) AS rows_read
+FROM std_ledger, range(2)""", "std_ledger")

@@ -3,6 +3,8 @@ resolving the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, wherever the driver was started.  A
+    session that was built elsewhere calls this once (or ships the package
+    with ``--py-files``)."""
+    if getattr(spark.sparkContext, "_catalogflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="catalogflow-pkg-"), "catalogflow")
+    archive = shutil.make_archive(made, "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._catalogflow_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -12,8 +12,10 @@ KINDS = ("draft", "approved", "rejected")
 
 
 def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """K6: append-only; never rewrites existing files (no lost updates)."""
-    w = df.write.mode("append")
+    """K6: append-only; never rewrites existing files (no lost updates).  Times
+    keep their microseconds in JSON, too."""
+    w = df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") \
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     (w.json(path) if fmt == "json" else w.parquet(path))
 
 

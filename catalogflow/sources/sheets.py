@@ -9,6 +9,7 @@ with document extraction.  A file is one unit of work and must fit in a task."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..operators.keys import trim_headers
 
 Parser = Callable[[bytes], Iterable[list]]
 
+PORTION = 1000   # rows of a workbook that leave a task at a time
+
 
 def read_sheet(spark: SparkSession, path: str, kind: str | None = None, multi_line: bool = True,
                parse: Parser | None = None) -> DataFrame:
@@ -48,17 +51,22 @@ def read_workbooks(spark: SparkSession, glob: str, parse: Parser) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows = iter(parse(bytes(content)))
                 header = [(h or "").replace("\ufeff", "").strip() for h in next(rows, [])]
-                out = [(path, i, {h: (r[j] if j < len(r) else None) for j, h in enumerate(header) if h})
-                       for i, r in enumerate(rows, start=1)]
-                yield pd.DataFrame(out, columns=["path", "row_no", "cells"])
+                numbered = enumerate(rows, start=1)
+                # a sheet of any length leaves the task in portions
+                while part := [(path, i, {h: (r[j] if j < len(r) else None) for j, h in enumerate(header) if h})
+                               for i, r in islice(numbered, PORTION)]:
+                    yield pd.DataFrame(part, columns=["path", "row_no", "cells"])
 
     return files.mapInPandas(run, "path string, row_no int, cells map<string,string>")
 
 
-def cells_to_columns(df: DataFrame, columns=None) -> DataFrame:
-    """Project the cell map onto columns (all keys seen when ``columns`` is None;
-    that needs one distinct-keys job whose result is bounded by the header width)."""
+def cells_to_columns(df: DataFrame, columns=None, most: int = 2000) -> DataFrame:
+    """Project the cell map onto columns: the given ones, or all headers seen in
+    any file, in order of name (one job of distinct headers).  Files that have
+    more than ``most`` headers between them are an error: name the columns then."""
     if columns is None:
-        keys = df.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()
+        keys = df.select(F.explode(F.map_keys("cells")).alias("k")).distinct().limit(most + 1).collect()
+        if len(keys) > most:
+            raise ValueError(f"more than {most} different headers; say which columns to read")
         columns = sorted(r.k for r in keys)
     return df.select("path", "row_no", *[F.col("cells")[c].alias(c) for c in columns])

@@ -105,12 +105,12 @@ def run_available_now(stream: DataFrame, out_path: str, checkpoint: str, mode: s
     Append- and update-mode batches land in a partition of their own, named by
     the job (its checkpoint folder) and the batch; in update mode a
     batch holds the keys that changed, and ``read_latest`` folds them.
-    Complete-mode results replace the last ones."""
+    In complete mode every batch is a whole result beside the last one, which
+    stays until the new one stands; ``read_complete`` takes the newest."""
     def sink(batch_df: DataFrame, batch_id: int):
+        append_ledger_stream(batch_df, batch_id, out_path, query_id)
         if mode == "complete":
-            batch_df.write.mode("overwrite").parquet(out_path)
-        else:
-            append_ledger_stream(batch_df, batch_id, out_path, query_id)
+            _drop_older(batch_df.sparkSession, f"{out_path.rstrip('/')}/query_id={query_id}", batch_id)
 
     query_id = _query_id(checkpoint)
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
@@ -121,6 +121,23 @@ def run_available_now(stream: DataFrame, out_path: str, checkpoint: str, mode: s
     return out_path
 
 
+def _drop_older(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Removes whole results older than the one before ``batch_id``'s."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            if name.startswith("batch_id=") and int(name.split("=")[1]) < batch_id - 1:
+                fs.delete(status.getPath(), True)
+
+
+def read_complete(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole result of a complete-mode output (one job's)."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).drop("query_id", "batch_id")
+
+
 def _query_id(checkpoint: str) -> str:
     """A stable name for the job that owns a checkpoint folder."""
     import hashlib

@@ -83,7 +83,7 @@ def test_streaming_equals_batch(spark, tmpdir_path):
     chunks.write.json(src)
     out = os.path.join(tmpdir_path, "counts")
     S.run_available_now(S.log_counts_stream(S.decode_stream(spark, src)), out, os.path.join(tmpdir_path, "ck"), "complete")
-    streamed = sorted(map(tuple, spark.read.parquet(out).collect()))
+    streamed = sorted(map(tuple, S.read_complete(spark, out).collect()))
     batch = sorted(map(tuple, EV.log_counts(EV.decode_frames(chunks, id_cols=["user_id", "chunk"])).collect()))
     assert streamed == batch
 
@@ -180,3 +180,30 @@ def test_frames_cut_anywhere_decode_as_if_whole(spark, tmpdir_path):
     frames = spark.createDataFrame([(k, i, b + "\n\n") for (k, i), b in want.items()], "user_id long, event_id long, frame string")
     again = EV.reassemble(EV.cut_chunks(frames, "user_id", "event_id", F.lit(5)), "user_id").collect()
     assert {(r.user_id, r.frame_no): r.text for r in again} == want
+
+
+def test_workers_get_the_package_wherever_the_driver_starts(tmpdir_path):
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from catalogflow.session import build_session
+spark = build_session("local[1]", 1)
+def run(frames):
+    from catalogflow.operators.completions import call_with_retries
+    for f in frames:
+        yield f.assign(id=[len(call_with_retries(lambda p: p, ["a"]))] * len(f))
+print("rows", spark.range(3).mapInPandas(run, "id long").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmpdir_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_too_many_headers_are_an_error(spark):
+    cells = spark.createDataFrame([("p", 1, {f"h{i}": "x"}) for i in range(12)], "path string, row_no int, cells map<string,string>")
+    assert len(cells_to_columns(cells).columns) == 14
+    with pytest.raises(ValueError, match="more than 10"):
+        cells_to_columns(cells, most=10)
+    assert cells_to_columns(cells, ["h3"], most=1).columns == ["path", "row_no", "h3"]
