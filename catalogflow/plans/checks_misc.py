@@ -12,8 +12,10 @@ from ..functions.html import base_name
 from ..functions.prompts import ESCAPES, render
 from ..functions.text import default_if_empty, default_if_missing, elapsed_hms
 from ..operators.attempts import select_attempt
+from ..session import scratch_path
 from ..sinks.files import payload_base64, payload_decode, stamped_name
 from ..sources.requests import json_request_rows, positional_pairs
+from ..sources.templates import load_templates, template_map
 from . import sqlfrag as Q
 from .standin_html import _base_cols, made_content, made_html
 from .standins import table, with_ctes
@@ -117,6 +119,31 @@ def render_prompts_q(spark, d):
     return b.select("doc_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len"))
 
 
+def template_set_q(spark, d):
+    """A folder with a template per language of the documents (and
+    files that are none), read as a template set; every document is rendered with
+    its language's template."""
+    folder = scratch_path(spark, "templates")
+    files = {"broken.yml": "template: [unclosed", "empty.yaml": "name: nothing here", "notes.txt": "template: not a template file"}
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    # a template set is small by its nature: one file per language
+    for r in docs.select("lang").where("lang is not null").distinct().collect():
+        files[f"{r.lang}.yaml"] = ("name: %s\ndescription: texts in %s\ntemplate: |-\n  Language %s, document {{ id }}:\n  {{text}}{{ undefined }}\n"
+                                   % ((r.lang,) * 3))
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, text in files.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+    templates = load_templates(spark, folder)
+    prompt = F.lit(None).cast("string")
+    for name, text in sorted(template_map(templates).items()):
+        prompt = F.when(F.col("lang") == name, render(text, {"id": "doc_id", "text": "text"})).otherwise(prompt)
+    rows = docs.select("lang", "doc_id", F.md5(prompt).alias("prompt_md5"))
+    out = rows.join(templates, F.col("template_name") == F.col("lang"), "full")
+    return out.select("template_name", "description", F.col("error").isNull().alias("ok"), "doc_id", "prompt_md5")
+
+
 def std_requests(spark, d):
     o = table(spark, d, "orders")
     n_docs = table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
@@ -170,6 +197,7 @@ QUERIES = {
     "score_bands": score_bands_q,
     "default_fill": default_fill_q,
     "render_prompts": render_prompts_q,
+    "template_set": template_set_q,
     "json_request_rows": json_request_rows_q,
     "positional_pairs": positional_pairs_q,
     "run_stamp": run_stamp_q,
@@ -278,6 +306,11 @@ FROM made_content""", "made_html", "made_content"),
     "render_prompts": with_ctes(f"""
 SELECT doc_id, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT doc_id, {_PROMPT_SQL} AS p FROM bc)""",
                                 ctes=_BC),
+    "template_set": """
+SELECT lang AS template_name, 'texts in ' || lang AS description, true AS ok, doc_id,
+       md5('Language ' || lang || ', document ' || doc_id || ':' || chr(10) || coalesce(text, '')) AS prompt_md5
+FROM documents
+UNION ALL SELECT unnest(['broken', 'empty']), NULL, false, NULL, NULL""",
     "json_request_rows": """
 SELECT CAST(o_orderkey // 100 AS BIGINT) AS g,
   CAST(row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1 AS INTEGER) AS pos,

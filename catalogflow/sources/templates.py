@@ -15,8 +15,8 @@ def load_templates(spark: SparkSession, folder: str) -> DataFrame:
     from .ledger import _exists
     if not _exists(spark, folder):
         return spark.createDataFrame([], SCHEMA)
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{yaml,yml}")
-           .text(folder).select(F.input_file_name().alias("path"), "value"))
+    raw = (spark.read.option("pathGlobFilter", "*.{yaml,yml}")
+           .text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value"))
 
     def run(batches):
         import yaml

@@ -56,6 +56,7 @@ def test_templates_and_ledger_sources(spark, tmpdir_path):
     from catalogflow.operators.completions import TEMPLATE_DIR
     t = template_map(load_templates(spark, TEMPLATE_DIR))
     assert {"page_generator", "quality_refiner", "essentials_fallback"} <= set(t)
+    assert t["page_generator"].count("\n") > 2 and "{{" in t["page_generator"]   # files are read whole
     bad = os.path.join(tmpdir_path, "tpl")
     os.makedirs(bad)
     open(os.path.join(bad, "ok.yaml"), "w").write("template: hi {{ x }}\n")
@@ -207,3 +208,29 @@ def test_too_many_headers_are_an_error(spark):
     with pytest.raises(ValueError, match="more than 10"):
         cells_to_columns(cells, most=10)
     assert cells_to_columns(cells, ["h3"], most=1).columns == ["path", "row_no", "h3"]
+
+
+def test_files_are_packed_into_tasks_by_size(spark, tmpdir_path):
+    """Spark's file source deals whole files by bytes: many small ones share a task
+    (and a call of the extractor), one that fills a task has it to itself."""
+    from catalogflow.session import scratch_path
+    folder = scratch_path(spark, "files")
+    os.makedirs(folder)
+    for i in range(400):
+        with open(f"{folder}/small{i}.txt", "w") as f:
+            f.write(f"leaflet {i}")
+    with open(f"{folder}/large.txt", "w") as f:
+        f.write("x" * (160 << 20))
+    conf = {"spark.sql.files.openCostInBytes": "256k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tasks = spark.read.format("binaryFile").load(folder).select("path", "length", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by = {}
+    for r in tasks:
+        by.setdefault(r.p, []).append(r.length)
+    assert len(by) < 20 and [len(v) for v in by.values() if max(v) > 1 << 20] == [1]
