@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 SCHEMA = "prompt_hash string, response string, run long, wave long"
 ORDER = ("run", "wave")
@@ -84,7 +84,12 @@ class AnswerStore:
         size = wave_size or parallelism * batch_size * 64
         waves = -(-n // size)
         run = (self.rows().agg(F.max("run")).first()[0] or 0) + 1
-        todo = todo.withColumn("wave", F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)))
+        if waves > 1:       # laid out by wave, so that a wave reads its own prompts only
+            path = scratch_path(self.spark, "waves")
+            todo.withColumn("wave", F.pmod(F.xxhash64("prompt_hash"), F.lit(waves))).repartition("wave").write.partitionBy("wave").parquet(path)
+            todo = self.spark.read.schema("prompt_hash string, prompt string, wave long").parquet(path)
+        else:
+            todo = todo.withColumn("wave", F.lit(0).cast("long"))
 
         def call(batches: Iterable[pd.DataFrame]):
             client = client_factory()
