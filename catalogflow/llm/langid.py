@@ -127,14 +127,17 @@ class Model:
 
         def flush(a, b):
             points, owner = characters(texts[a:b])
-            if len(points) < ORDER:
-                return
-            scored = np.flatnonzero(points[ORDER - 1:] != ord(PAD))
-            logs = self.logs(points, scored)
-            who = owner[ORDER - 1:][scored]
-            counts[a:b] += np.bincount(who, minlength=b - a)
-            for c in range(width):
-                sums[a:b, c] += np.bincount(who, logs[:, c], b - a)
+            # a portion at a time: its values take some 16 MB, whatever a text's
+            # length and the number of languages
+            step = max(1 << 12, (1 << 22) // max(1, width))
+            for at in range(0, len(points) - ORDER + 1, step):
+                part = points[at:at + step + ORDER - 1]
+                scored = np.flatnonzero(part[ORDER - 1:] != ord(PAD))
+                logs = self.logs(part, scored)
+                who = owner[at + ORDER - 1:][scored]
+                counts[a:b] += np.bincount(who, minlength=b - a)
+                for c in range(width):
+                    sums[a:b, c] += np.bincount(who, logs[:, c], b - a)
 
         for i, t in enumerate(texts):
             if size and size + len(t) > 1 << 20:

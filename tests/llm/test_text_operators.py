@@ -274,6 +274,17 @@ def test_every_probability_as_kneser_and_ney_define_it():
             assert abs(float(row) - plain("".join(map(chr, points[at:at + langid.ORDER])))) < 1e-4
 
 
+def test_long_texts_are_read_in_portions():
+    texts = {"en": ["the cat sat on the mat then ran"], "de": ["der hund und die katze"]}
+    model = langid.kneser_ney({x: as_arrays(gram_counts(t)) for x, t in texts.items()})
+    long = " ".join(["the cat und der hund"] * 150_000)     # 3 million characters, two portions
+    h, n = model.entropies(["the cat", long, "", "der hund"])
+    short, m = model.entropies([" ".join(["the cat und der hund"] * 50)])
+    points, _ = langid.characters([long])
+    assert n[1] == (points != 1).sum() and n[2] == 0 and np.allclose(h[1], short[0], rtol=.02)
+    assert np.allclose(h[[0, 3]], model.entropies(["the cat", "der hund"])[0])
+
+
 def test_kneser_ney_is_a_distribution():
     grams = gram_counts(["the cat sat on the mat then ran", "a cat and that hat"])
     model = langid.kneser_ney({"en": as_arrays(grams)})
