@@ -79,7 +79,8 @@ def _generated(spark, d):
     t, p = C.default_templates(), _products(spark, d)
     r1 = materialize(_answers(p, C.generate_prompts(p, *IDS, t["page_generator"]), "a1"), "answers1")
     g = C.audit(C.generate(p, *IDS, r1, t["page_generator"]), name="product_name")
-    return t, p, r1, g
+    # scored once: a filter on the score would run the scorer again beside it
+    return t, p, r1, materialize(g, "generated", "zstd")
 
 
 def _failing(g):
@@ -115,7 +116,7 @@ def generate_stage_q(spark, d):
 
 def refine_stage_q(spark, d):
     t, p, _, g = _generated(spark, d)
-    failing = materialize(_failing(g).select(*IDS, "a2", "content", "audit"), "failing", "zstd")
+    failing = _failing(g).select(*IDS, "a2", "content", "audit")
     r2 = _answers(failing, C.refine_prompts(failing, *IDS, t["quality_refiner"]), "a2")
     r = C.audit(C.refine(failing, *IDS, r2, t["quality_refiner"]), name="product_name")
     return r.select("doc_key", F.col("content.seo_title").alias("seo_title"), F.col("audit.seo_score").alias("score"))
@@ -123,7 +124,7 @@ def refine_stage_q(spark, d):
 
 def fallback_stage_q(spark, d):
     t, p, _, g = _generated(spark, d)
-    empty = materialize(g.where(F.col("content").isNull()).select(*IDS, "a3"), "empty", "zstd")
+    empty = g.where(F.col("content").isNull()).select(*IDS, "a3")
     r3 = _answers(empty, C.fallback_prompts(empty, *IDS, t["essentials_fallback"]), "a3")
     fb = C.audit(C.fallback(empty, *IDS, r3, t["essentials_fallback"]), name="product_name")
     return fb.select("doc_key", F.col("content.html_content").alias("html_content"),
@@ -156,7 +157,7 @@ def _ready_answers(ready, key, name, text="leaflet_text", keywords=None):
 def batch_draft_q(spark, d):
     """Which items get a page, and which of the two kinds; written as a draft and reread (K1)."""
     items, cat, docs = std_items(spark, d), std_catalog(spark, d), std_documents(spark, d)
-    ready = app.ready_documents(normalize_keys(items, "item_key"), cat, docs)
+    ready = materialize(app.ready_documents(normalize_keys(items, "item_key"), cat, docs), "ready", "zstd")
     draft = app.build_draft(items, cat, docs, _ready_answers(ready, "item_key", "product_name"))
     from ..sinks.files import write_sheet
     path = write_sheet(draft, scratch_path(spark, "draft"), "draft", "run1", require_rows=F.col("html_content").isNotNull())
@@ -179,7 +180,7 @@ def review_set_q(spark, d):
     sheet, req, docs = _sheet(spark, d), std_requests(spark, d), std_documents(spark, d)
     p = app.review_pairs(sheet, req, docs, "g").where("route = 'ready'")
     p = p.select(F.concat_ws("|", F.col("sku").cast("string"), "doc").alias("pair"), "product_name", "keywords", "leaflet_text")
-    answers = _ready_answers(p.dropDuplicates(["pair"]), "pair", "product_name", keywords="keywords")
+    answers = _ready_answers(materialize(p.dropDuplicates(["pair"]), "pairs", "zstd"), "pair", "product_name", keywords="keywords")
     out = app.review_set(sheet, req, docs, answers, "g")
     return out.select("g", "pos", "sku", "doc", "route", F.col("html_content").isNotNull().alias("has_page"),
                       F.col("seo_title").like("%Para que serve%").alias("is_fallback"))
