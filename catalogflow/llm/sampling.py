@@ -28,15 +28,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .langid import Rows
-
 MARK = "▁"
 ALPHA, PIECE_COST = 5e-4, 3.0
-SLICE = 500_000           # characters handled at a time
-POOL = 900_000            # places of word lattices kept from slice to slice
+SLICE = 125_000           # characters handled at a time: their arrays stay in a core's cache
+POOL = 600_000            # places of word lattices kept from slice to slice
+# what the pool holds: of units (places, first place), of places (character,
+# first arc) and of arcs (piece or -2 for none, characters, log chance, running sum)
+_KEPT = {"size": np.int32, "first": np.int32, "points": np.uint32, "arc": np.int32,
+         "ids": np.int32, "lengths": np.int16, "logs": np.float64, "upto": np.float64}
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
 
 
@@ -46,6 +49,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Edges:
+    """A trie's edges by (node << 21 | character), in a sparse table of slots: one
+    look finds most of them."""
+
+    def __init__(self, keys: np.ndarray, nodes: np.ndarray):
+        bits = int(np.ceil(np.log2(4 * len(keys) + 4)))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.full(1 << bits, ~np.uint64(0)), np.full(1 << bits, -1, np.int32)
+        slot, todo = self.slot(keys), np.arange(len(keys))
+        while len(todo):           # every round, one key settles in each free slot that is asked for
+            free = todo[self.nodes[slot[todo]] < 0]
+            _, which = np.unique(slot[free], return_index=True)
+            won = free[which]
+            self.keys[slot[won]], self.nodes[slot[won]] = keys[won], nodes[won]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The node each edge leads to, or -1."""
+        slot = self.slot(keys)
+        seen, out = self.keys[slot], self.nodes[slot]
+        todo = np.flatnonzero((seen != keys) & (out >= 0))       # another key's slot: the next ones
+        while len(todo):
+            at = slot[todo] = (slot[todo] + 1) & self.mask
+            out[todo] = self.nodes[at]
+            todo = todo[(self.keys[at] != keys[todo]) & (out[todo] >= 0)]
+        return out
+
+
 class Sampler:
     """Lattices and samples of one model; see the module."""
 
@@ -72,8 +107,7 @@ class Sampler:
                 at = trie[key]
             self.ends[at] = i
         self.ends = np.array(self.ends)
-        # the mix is one to one, so equal hashes are equal keys
-        self.trie = Rows(_mix(np.array(list(trie), np.uint64)), np.array(list(trie.values()), np.float32)[:, None])
+        self.trie = Edges(np.array(list(trie), np.uint64), np.array(list(trie.values()), np.int32))
         lowest = -float(n)
         self.weight = np.array([alpha * max(sp.get_score(i), lowest) - piece_cost for i in range(n)])
         self.rare = alpha * lowest - piece_cost
@@ -90,10 +124,19 @@ class Sampler:
 
     def clear(self) -> None:
         self.known = collections.defaultdict(itertools.count().__next__)
-        self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)                 # of units: places, first place
-        self.points, self.arc = np.zeros(0, np.uint64), np.zeros(1, np.int64)                # of places: character, first arc
-        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)                # of arcs; id -2: no piece
-        self.logs, self.upto = np.zeros(0), np.zeros(0)                                      # log chance, running sum
+        self.units = self.places = self.arcs = 0                   # how many the pool holds
+        for name, kind in _KEPT.items():
+            setattr(self, name, np.zeros(1, kind))
+
+    def add(self, name: str, at: int, values: np.ndarray) -> None:
+        """Writes values behind the first ``at`` of a pool array, which grows by
+        halves: adding to the pool does not copy it each time."""
+        kept, end = getattr(self, name), at + len(values)
+        if end > len(kept):
+            grown = np.empty(max(end, len(kept) * 3 // 2), kept.dtype)
+            grown[:at] = kept[:at]
+            setattr(self, name, grown)
+        getattr(self, name)[at:end] = values
 
     def lattices(self, units: list[str]) -> None:
         """Adds units to the pool: an arc for every piece at every place, longest
@@ -104,31 +147,34 @@ class Sampler:
         total, width = len(points), min(self.longest, int(size.max()))
         left = np.repeat(first + size, size) - np.arange(total)    # characters to the unit's end
         node, alive, arcs = np.zeros(total, np.uint64), np.arange(total), []
+        fan = np.zeros(total, np.int64)                            # arcs of a place so far; in the end it has one at least
         for k in range(width):
             alive = alive[left[alive] > k]
-            row = self.trie.find(_mix(node[alive] << np.uint64(21) | points[alive + k]))
-            hit = row >= 0
-            alive = alive[hit]
-            to = self.trie.values[row[hit], 0].astype(np.int64)
+            to = self.trie.find(node[alive] << np.uint64(21) | points[alive + k])
+            hit = to >= 0
+            alive, to = alive[hit], to[hit]
             node[alive] = to
             end = self.ends[to]
             here = end >= 0
-            arcs.append((alive[here], end[here], np.full(here.sum(), k + 1), self.weight[end[here]]))
-        whole = np.zeros(total, bool)
-        whole[arcs[0][0]] = True
-        bare = np.flatnonzero(~whole)
-        many = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
-        arcs.append((bare, np.full(len(bare), -2), np.ones(len(bare), int),
-                     self.rare - self.cost * (np.where(bool(self.bytes), many, 1) - 1)))
-        place, ids, length, weight = (np.concatenate(c[::-1]) for c in zip(arcs[-1], *arcs[:-1]))
-        order = np.argsort(place, kind="stable")                   # a merge of runs that are sorted already
-        place, ids, length, weight = place[order], ids[order], length[order], weight[order]
-        fan = np.bincount(place, minlength=total)                  # every place has an arc
+            at, end = alive[here], end[here]
+            arcs.append((at, fan[at], end, np.full(len(at), k + 1), self.weight[end]))
+            fan[at] += 1
+            if k == 0:
+                bare = np.flatnonzero(fan == 0)
+                many = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
+                arcs.append((bare, fan[bare], np.full(len(bare), -2), np.ones(len(bare), int),
+                             self.rare - self.cost * (np.where(bool(self.bytes), many, 1) - 1)))
+                fan[bare] = 1
         start = np.cumsum(fan) - fan
+        place = np.repeat(np.arange(total), fan)
+        ids, length, weight = np.empty(len(place), np.int32), np.empty(len(place), np.int64), np.empty(len(place))
+        for at, rank, *values in arcs:                             # the shortest comes last
+            to = start[at] + fan[at] - 1 - rank
+            ids[to], length[to], weight[to] = values
         # log mass of what follows a place, from the units' ends on; one entry more per unit for its end
         after = np.zeros(total + len(units))
         at = np.arange(total) + np.repeat(np.arange(len(units)), size)
-        by_left = np.argsort(left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if size.max() < 1 << 16 else left, kind="stable")    # short numbers sort faster
         n = fan[by_left]
         seg = np.append(0, np.cumsum(n))
         turn = np.repeat(start[by_left] - seg[:-1], n) + np.arange(seg[-1])
@@ -145,10 +191,12 @@ class Sampler:
         run = np.cumsum(np.exp(weight))
         upto = run - np.repeat(run[start] - np.exp(weight[start]), fan)
         upto[start + fan - 1] = 1.0
-        grown = (("first", first + len(self.points)), ("size", size), ("points", points), ("ids", ids.astype(np.int32)),
-                 ("lengths", length), ("logs", weight), ("upto", upto), ("arc", np.cumsum(fan) + self.arc[-1]))
-        for name, a in grown:
-            setattr(self, name, np.concatenate([getattr(self, name), a]))
+        for name, at, values in (
+                ("first", self.units, first + self.places), ("size", self.units, size), ("points", self.places, points),
+                ("arc", self.places + 1, np.cumsum(fan) + self.arcs), ("ids", self.arcs, ids), ("lengths", self.arcs, length),
+                ("logs", self.arcs, weight), ("upto", self.arcs, upto)):
+            self.add(name, at, values)
+        self.units, self.places, self.arcs = self.units + len(units), self.places + total, self.arcs + len(ids)
 
     def pick(self, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc of each place whose stretch of the running sum holds u."""
@@ -183,7 +231,7 @@ class Sampler:
         some = np.flatnonzero(count)
         if not len(some):
             return [[] for _ in texts]
-        if len(self.points) > POOL:
+        if self.places > POOL:
             self.clear()
         known, old = self.known, len(self.known)
         unit = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(count.sum()))
@@ -398,17 +446,16 @@ def sampled(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
     def drawn(batches):
         made = sampler(model.value, alpha, piece_cost, seed)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE):
-                    size += len(texts[end] or "")
-                    end += 1
+            while at < len(upto):
+                before = upto[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(upto, before + SLICE, "right")))
                 part = batch.slice(at, end - at)
-                got = made.samples(texts[at:end], part.column(2).to_numpy(zero_copy_only=False), k)
+                texts = part.column(1).to_pylist()
+                got = made.samples(texts, part.column(2).to_numpy(zero_copy_only=False), k)
                 back = made.sp.decode([s[0]["ids"].tolist() if s else [] for s in got])
-                back = [b if t else t for b, t in zip(back, texts[at:end])]
+                back = [b if t else t for b, t in zip(back, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _packed(got), pa.array(back, pa.string())],
                                                  ["key", "text", "samples", "decoded"])
                 at = end

@@ -365,3 +365,23 @@ def test_pool_is_emptied(made):
         sampling.POOL = before
     assert [[s["ids"].tolist() for s in r] for r in a] == [[s["ids"].tolist() for s in r] for r in b]
     assert os.path.exists(SF)
+
+
+def test_edges_find_what_was_put_in():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+    table = sampling.Edges(keys, np.arange(len(keys), dtype=np.int32))
+    asked = np.concatenate([keys, keys + np.uint64(1)])
+    known = dict(zip(keys.tolist(), range(len(keys))))
+    assert table.find(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+    assert sampling.Edges(keys[:0], np.zeros(0, np.int32)).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_pool_grows_in_place(made):
+    made.clear()
+    made.samples([" ".join(f"word{i}" for i in range(400))], np.arange(1), 2)
+    made.samples(["grow the arrays " * 3 + "once"], np.arange(1), 2)
+    held, n = made.logs, made.arcs
+    made.samples(["zq"], np.arange(1), 2)
+    assert made.arcs > n and (made.logs is held or len(made.logs) >= len(held) * 3 // 2)
+    assert len(made.known) == made.units and made.arc[made.places] == made.arcs
