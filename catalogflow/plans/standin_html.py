@@ -111,16 +111,19 @@ def _base_cols(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", "lang", b.alias("b"), name.alias("product_name"))
 
 
-def made_html(spark, sf_dir) -> DataFrame:
-    d = _base_cols(table(spark, sf_dir, "documents"))
+def page_html(number) -> F.Column:
+    """The page of the document with that number, over its ``text`` and ``b``."""
     pieces = []
     for mod, res, frag, *_ in FRAGMENTS:
         c = _spark_frag(frag)
-        pieces.append(c if mod is None else F.when((F.col("doc_id") % mod).isin(*res), c).otherwise(F.lit("")))
-    html = F.concat(*pieces)
-    html = (F.when(F.col("doc_id") % 19 == 0, F.lit(None).cast("string"))
-             .when(F.col("doc_id") % 19 == 1, F.lit("")).otherwise(html))
-    return d.select("doc_id", "product_name", "b", html.alias("html"))
+        pieces.append(c if mod is None else F.when((number % mod).isin(*res), c).otherwise(F.lit("")))
+    return (F.when(number % 19 == 0, F.lit(None).cast("string"))
+             .when(number % 19 == 1, F.lit("")).otherwise(F.concat(*pieces)))
+
+
+def made_html(spark, sf_dir) -> DataFrame:
+    d = _base_cols(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "product_name", "b", page_html(F.col("doc_id")).alias("html"))
 
 
 def made_content(spark, sf_dir) -> DataFrame:
