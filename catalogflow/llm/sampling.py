@@ -117,7 +117,16 @@ class Sampler:
     def uniform(self, key: np.ndarray, *places) -> np.ndarray:
         h = _mix(key ^ _mix(np.full(1, self.seed, np.uint64)))
         for p in places:
-            h = _mix(h + np.asarray(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+            h = self.then(h, p)
+        return self.share(h)
+
+    @staticmethod
+    def then(h: np.ndarray, place) -> np.ndarray:
+        """A hash with one more place in it."""
+        return _mix(h + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+    @staticmethod
+    def share(h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
     # ----------------------------------------------------------- the lattices
@@ -125,8 +134,9 @@ class Sampler:
     def clear(self) -> None:
         self.known = collections.defaultdict(itertools.count().__next__)
         self.units = self.places = self.arcs = 0                   # how many the pool holds
-        for name, kind in _KEPT.items():
-            setattr(self, name, np.zeros(1, kind))
+        for name, kind in _KEPT.items():                           # emptied arrays keep their room
+            setattr(self, name, getattr(self, name, np.zeros(1, kind)))
+        self.arc[0] = 0
 
     def add(self, name: str, at: int, values: np.ndarray) -> None:
         """Writes values behind the first ``at`` of a pool array, which grows by
@@ -146,14 +156,16 @@ class Sampler:
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
         total, width = len(points), min(self.longest, int(size.max()))
         left = np.repeat(first + size, size) - np.arange(total)    # characters to the unit's end
-        node, alive, arcs = np.zeros(total, np.uint64), np.arange(total), []
+        node, alive, arcs = np.zeros(total, np.uint64), np.arange(total), []    # nodes of the places still alive
         fan = np.zeros(total, np.int64)                            # arcs of a place so far; in the end it has one at least
         for k in range(width):
-            alive = alive[left[alive] > k]
-            to = self.trie.find(node[alive] << np.uint64(21) | points[alive + k])
+            if k:
+                inside = left[alive] > k
+                alive, node = alive[inside], node[inside]
+            to = self.trie.find(node << np.uint64(21) | points[alive + k])
             hit = to >= 0
             alive, to = alive[hit], to[hit]
-            node[alive] = to
+            node = to.astype(np.uint64)
             end = self.ends[to]
             here = end >= 0
             at, end = alive[here], end[here]
@@ -213,14 +225,15 @@ class Sampler:
         """Top-down samples of units from given places on: parallel arrays occ,
         step, place in the pool and arc of all pieces (in no order)."""
         out = []
+        rows, stop = self.first[unit] + pos, self.first[unit] + self.size[unit]
+        # all of a draw's hash but the step is the same along a unit
+        h = self.then(self.then(_mix(key ^ _mix(np.full(1, self.seed, np.uint64))), sample), place)
         while len(occ):
-            rows = self.first[unit] + pos
-            u = self.uniform(key, sample, place, step)
-            arc = self.pick(rows, u)
+            arc = self.pick(rows, self.share(self.then(h, step)))
             out.append((occ, step, rows, arc))
-            pos, step = pos + self.lengths[arc], step + 1
-            go = pos < self.size[unit]
-            occ, unit, pos, step, key, place = (a[go] for a in (occ, unit, pos, step, key, place))
+            rows, step = rows + self.lengths[arc], step + 1
+            go = rows < stop
+            occ, rows, stop, step, h = (a[go] for a in (occ, rows, stop, step, h))
         return [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), (), ()))]
 
     def samples(self, texts: list[str], keys: np.ndarray, k: int):
