@@ -73,3 +73,16 @@ def test_one_answer_keeps_its_order(spark):
     df = spark.createDataFrame([("h", None, 1, 0), ("h", "b", 2, 0), ("h", "a", 2, 1), ("n", None, 1, 0), (None, "x", 1, 0)],
                                "prompt_hash string, response string, run long, wave long")
     assert {r.prompt_hash: r.response for r in one_answer(df).collect()} == {"h": "b", "n": None}
+
+
+def test_fallback_stage_stores_texts_of_unwritten_products_only(spark):
+    from catalogflow.plans import checks_generation as G
+    page = "struct<seo_title:string,meta_description:string,html_content:string>"
+    g = spark.createDataFrame([("k1", "Name", "leaflet one", "a2", "a3", None, {"seo_score": 0.0}),
+                               ("k2", "Name", "leaflet two", "a2", "a3", ("T", "M", "<p>page</p>"), {"seo_score": 40.0})],
+                              f"doc_key string, product_name string, leaflet_text string, a2 string, a3 string, content {page}, audit struct<seo_score:double>")
+    stored = G._unwritten(g)
+    got = {r.doc_key: r for r in stored.collect()}
+    assert "content" not in stored.columns and got["k2"].leaflet_text is None and got["k2"].a3 is None
+    assert (got["k1"].leaflet_text, got["k1"].a3, got["k1"].empty, got["k2"].empty) == ("leaflet one", "a3", True, False)
+    assert got["k2"].audit.seo_score == 40.0        # every product is audited, whether it is asked again or not
