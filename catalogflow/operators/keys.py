@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_key, strict_int_key
+from ..functions.text import has_text, normalize_key, strict_int_key
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -26,6 +26,11 @@ def normalize_keys(df: DataFrame, key: str = "item_key", out: str | None = None,
     """Normalise ``key`` in place (or into ``out``) and drop rows whose key is
     null or blank.  ``integer=True`` gives the strict bigint variant."""
     out = out or key
-    expr = strict_int_key(key) if integer else normalize_key(key)
-    df = df.withColumn(out, expr)
-    return df.where(F.col(out).isNotNull()) if drop_null else df
+    if integer:
+        df = df.withColumn(out, strict_int_key(key))
+        return df.where(F.col(out).isNotNull()) if drop_null else df
+    # a key is null exactly where its text is blank: the plainer test spares a
+    # filter that would normalise every key again, several times
+    if drop_null:
+        df = df.where(has_text(F.col(key).cast("string")))
+    return df.withColumn(out, normalize_key(key))

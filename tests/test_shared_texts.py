@@ -86,3 +86,45 @@ def test_fallback_stage_stores_texts_of_unwritten_products_only(spark):
     assert "content" not in stored.columns and got["k2"].leaflet_text is None and got["k2"].a3 is None
     assert (got["k1"].leaflet_text, got["k1"].a3, got["k1"].empty, got["k2"].empty) == ("leaflet one", "a3", True, False)
     assert got["k2"].audit.seo_score == 40.0        # every product is audited, whether it is asked again or not
+
+
+def _sheet(spark):
+    items = spark.createDataFrame([(1, " 7 ", "Name a"), (2, "7.0", "Name b"), (3, "8", "Name c"), (4, "9", "Name d"), (5, "7", "Name e"),
+                                   (6, " \t", "Name f"), (7, None, "Name g")], "input_seq long, item_key string, product_name string")
+    items = items.selectExpr("*", "CAST(NULL AS STRING) AS seo_title", "CAST(NULL AS STRING) AS meta_description",
+                             "CAST(NULL AS STRING) AS html_content")
+    cat = spark.createDataFrame([("7", "d1", "sim", 1), (" 7", "d2", "sim", 2), ("8", "d2", "sim", 3), ("9", "d3", "sim", 4)],
+                                "barcode string, leaflet_link string, link_valid string, catalog_seq long")
+    docs = spark.createDataFrame([("d1", "leaflet one", 1), ("d1", "a later one", 2), ("d2", "leaflet two", 3), ("d3", " ", 4), ("d4", "of no item", 5)],
+                                 "doc_key string, text string, doc_seq long")
+    return items, cat, docs
+
+
+def test_draft_routes_a_key_once_and_keeps_linked_texts_only(spark, monkeypatch):
+    items, cat, docs = _sheet(spark)
+    routed, route = [], app.E.route_items
+    monkeypatch.setattr(app.E, "route_items", lambda rows, *a, **kw: routed.append(rows) or route(rows, *a, **kw))
+    ready = app.ready_items(items, cat, docs).orderBy("item_key").collect()
+    assert [(r.input_seq, r.item_key, r.product_name, r.cat_leaflet_link) for r in ready] == [(1, "7", "Name a", "d1"), (3, "8", "Name c", "d2")]
+    assert sorted(r.item_key for r in routed[0].collect()) == ["7", "8", "9"]
+    twice = app.ready_items(items, cat, docs, dedupe_catalog=False).collect()
+    assert sorted((r.input_seq, r.item_key) for r in twice) == [(1, "7"), (3, "8")]
+    products, texts = app.draft_products(items, cat, docs)
+    assert products.count() == 2 and {(r.cat_leaflet_link, r.leaflet_text) for r in texts.collect()} == {("d1", "leaflet one"), ("d2", "leaflet two")}
+
+
+def test_draft_from_products_at_hand_is_the_same(spark):
+    items, cat, docs = _sheet(spark)
+    model = lambda prompts: [PAGE % "x" if p.startswith("TASK") else None for p in prompts]
+    products = app.draft_products(items, cat, docs)
+    a, b = (app.build_draft(items, cat, docs, model, products=p, parallelism=1, target=0).orderBy("input_seq").collect() for p in (None, products))
+    assert a == b and [(r.input_seq, r.html_content is not None) for r in a] == [(1, True), (2, True), (3, True), (4, False), (5, True)]
+
+
+def test_normalising_evaluates_the_rule_once_per_row(spark):
+    from catalogflow.operators.keys import normalize_keys
+    df = spark.createDataFrame([(" 7.0 ",), ("　\u001c",), ("",), (None,), (".0",), ("0.0",)], "k string")
+    out = normalize_keys(df, "k")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [r.k for r in out.collect()] == ["7", ".0", "0"]
+    assert [r.k for r in normalize_keys(df, "k", drop_null=False).collect()] == ["7", None, None, None, ".0", "0"]
